@@ -5,8 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from partloom.llm.classifier import classify
 from partloom.llm.decontaminate import decontaminate
+from partloom.llm.quality import quality_rules, trusted_ids
+from partloom.llm.substring import substring_dedup
+from partloom.llm.suffix import suffix_dedup
+from partloom.llm.warc import archive_digests
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,5 +37,42 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN item USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate}
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL}
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.col("_n").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.col("_kept_sha256").alias("kept_sha256"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.col("_n").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.col("_kept_sha256").alias("kept_sha256"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"), trusted_ids(_table(spark, sf_dir, "labels")))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_digests(_table(spark, sf_dir, "pages"))
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS m FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT p.page_id, p.payload_bytes, p.payload_digest, CASE WHEN p.page_id <> f.m THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.page_id <> f.m THEN f.m END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_warc": op9_warc,
+}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op9_warc": OP9_SQL}
