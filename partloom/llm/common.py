@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches hold few rows because one text can be very long.
-ARROW_ROWS = 512
+ARROW_ROWS = 1024
 #: Texts are hashed in chunks of about this many bytes, so that the arrays stay in cache.
 CHUNK_BYTES = 1 << 20
 
@@ -132,12 +132,12 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, bytes, offsets into them) for whole rows of about CHUNK_BYTES."""
+def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, bytes, offsets into them) for whole rows of about size bytes."""
     data, offsets = text_buffers(column)
     i, n = 0, len(column)
     while i < n:
-        j = int(np.searchsorted(offsets, offsets[i] + CHUNK_BYTES, side="right")) - 1
+        j = int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1
         j = min(max(j, i + 1), n)
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from partloom.llm.classifier import classify
 from partloom.llm.decontaminate import decontaminate
+from partloom.llm.jaccard import jaccard_components
 from partloom.llm.quality import quality_rules, trusted_ids
+from partloom.llm.sentencepiece_sampling import sample_segmentations
 from partloom.llm.substring import substring_dedup
 from partloom.llm.suffix import suffix_dedup
 from partloom.llm.warc import archive_digests
@@ -47,6 +49,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("_n").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.col("_kept_sha256").alias("kept_sha256"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -59,6 +65,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_digests(_table(spark, sf_dir, "pages"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_segmentations(_table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = """
 WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS m FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
@@ -71,8 +81,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_quality_rules": op8_quality_rules,
     "op9_warc": op9_warc,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op9_warc": OP9_SQL}

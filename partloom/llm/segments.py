@@ -96,19 +96,20 @@ def blocks(rows: DataFrame, u: Units) -> DataFrame:
     return rows.mapInArrow(run, BLOCK)
 
 
-LIVE = "h bigint, d bigint, doc bigint, th bigint, start int, n int, copies bigint, seg binary"
+PICK = ("h", "d", "doc", "th", "start", "n", "copies", "kinds")
+LIVE = "h bigint, d bigint, doc bigint, th bigint, start int, n int, copies bigint, kinds bigint, seg binary"
 
 
 def fetch(rows: DataFrame, wanted: DataFrame, u: Units) -> DataFrame:
     """Add the text of wanted blocks (words joined by one space, or bytes): one join of documents and their block lists."""
-    lists = wanted.groupBy("doc", "th").agg(F.collect_list(F.struct("h", "d", "start", "n", "copies")).alias("_list"))  # of one document
+    lists = wanted.groupBy("doc", "th").agg(F.collect_list(F.struct("h", "d", "start", "n", "copies", "kinds")).alias("_list"))  # of one document
     joined = rows.join(lists, (F.col("_doc") == F.col("doc")) & (F.col("_th") == F.col("th"))).select("_text", "doc", "th", "_list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lists = batch.column(0), batch.column(3)
             at, items = lists.offsets.to_numpy(), lists.values
-            cols = [items.field(k).to_numpy() for k in range(5)]
+            cols = [items.field(k).to_numpy() for k in range(6)]
             for i in range(len(texts)):
                 data = texts[i].as_py().encode()
                 buffer, own = np.frombuffer(data, np.uint8), slice(at[i], at[i + 1])
@@ -118,7 +119,7 @@ def fetch(rows: DataFrame, wanted: DataFrame, u: Units) -> DataFrame:
                 else:
                     segs = [buffer[s : s + n].tobytes() for s, n in zip(cols[2][own], cols[3][own])]
                 m = len(segs)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c[own]) for c in cols[:2]), pa.array(np.full(m, batch.column(1)[i].as_py())), pa.array(np.full(m, batch.column(2)[i].as_py())), *(pa.array(c[own]) for c in cols[2:]), pa.array(segs, pa.binary())], ["h", "d", "doc", "th", "start", "n", "copies", "seg"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[own]) for c in cols[:2]), pa.array(np.full(m, batch.column(1)[i].as_py())), pa.array(np.full(m, batch.column(2)[i].as_py())), *(pa.array(c[own]) for c in cols[2:]), pa.array(segs, pa.binary())], ["h", "d", "doc", "th", "start", "n", "copies", "kinds", "seg"])
 
     return joined.mapInArrow(run, LIVE)
 
@@ -211,21 +212,21 @@ def repeated_spans(docs: DataFrame, u: Units, search: Search, earlier: bool, doc
     small_batches(docs.sparkSession)
     rows = keyed(docs, doc_id, text)
     found = materialise(blocks(rows, u), "blocks")
-    whole = F.struct("doc", "th", "start", "n")
-    kinds = found.groupBy("h", "d").agg(F.min(whole).alias("rep"), F.count("*").alias("copies"), F.max("multi").alias("multi"), F.max("doc").alias("last"))
-    groups = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("copies").alias("_all"), F.max("multi").alias("_multi"), F.min("rep.doc").alias("_low"), F.max("last").alias("_high"))
+    kinds = found.groupBy("h", "d").agg(F.min("doc").alias("first"), F.count("*").alias("copies"), F.max("multi").alias("multi"), F.max("doc").alias("last"))
+    groups = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("copies").alias("_all"), F.max("multi").alias("_multi"), F.min("first").alias("_low"), F.max("last").alias("_high"))
     groups = groups.where("_high > _low" if earlier else "_all > 1 or _multi").select("h", "kinds", "_low", "_multi", "_high")
     # hashes met once are gone from here on
-    known = materialise(kinds.drop("multi").join(groups, "h"), "kinds")
-    full = known.where(F.col("last") > F.col("rep.doc") if earlier else F.col("copies") > 1).select("h", "d", F.col("rep.doc").alias("_first"))
-    copies = found.join(full, ["h", "d"])
-    if earlier:
-        copies = copies.where("doc > _first")
-    copies = copies.select("doc", "th", F.col("start").alias("s"), (F.col("start") + F.col("n")).alias("e"))
-    pick = known.where("kinds > 1" if earlier else "kinds > 1 or _multi").select("h", "d", "rep.*", "copies", "kinds")
-    live = materialise(fetch(rows, pick, u).join(pick.select("h", "kinds").where(F.col("kinds") > hot_blocks).select("h").distinct().withColumn("_hot", F.lit(True)), "h", "left"), "live")
-    cool = search_blocks(live.where("_hot is null"), u, search)
-    return copies.unionByName(cool).unionByName(hot_windows(live.where("_hot"), u, earlier))
+    known = kinds.drop("multi").join(groups, "h").select("h", "d", "copies", "kinds", "_multi", "last", F.col("first").alias("_first"))
+    met = materialise(found.drop("multi").join(known, ["h", "d"]), "met")
+    whole_too = F.col("doc") > F.col("_first") if earlier else F.col("copies") > 1
+    copies = met.where(whole_too).select("doc", "th", F.col("start").alias("s"), (F.col("start") + F.col("n")).alias("e"))
+    if earlier:  # every place of a block in its first document; later ones go whole
+        pick = met.where((F.col("doc") == F.col("_first")) & (F.col("kinds") > 1)).select(*PICK)
+    else:  # one place stands for all copies
+        pick = met.where((F.col("kinds") > 1) | F.col("_multi")).groupBy("h", "d", "n", "copies", "kinds").agg(F.min(F.struct("doc", "th", "start")).alias("_at")).select("h", "d", "_at.*", "n", "copies", "kinds")
+    live = materialise(fetch(rows, pick, u), "live")
+    cool = search_blocks(live.where(F.col("kinds") <= hot_blocks), u, search)
+    return copies.unionByName(cool).unionByName(hot_windows(live.where(F.col("kinds") > hot_blocks), u, earlier))
 
 
 RESULT = "n bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
