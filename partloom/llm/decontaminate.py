@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import ascii_lower, rows_for_broadcast
+from partloom.llm.common import ascii_lower, materialise, rows_for_broadcast
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Low bits of a packed fingerprint hold the position.
@@ -104,7 +104,7 @@ def hits(docs: DataFrame, windows: DataFrame, lengths: list[int], keep: list[Col
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """One row for each input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and spans (the hit word ranges).
+    """One row for each input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (the hit word ranges) and text_hash.
 
     Nulls: a null text has no words; a null doc_id stays null and is a document of its own. Empty text: zero words, no
     hit. Empty benchmark: nothing is hit. Repeated rows: each is answered by itself. Repeated items with one id count
@@ -115,10 +115,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_i
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect())
     small = rows_for_broadcast(windows, broadcast_windows)
     keep = [F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("_doc"), F.col(text).alias("_text")]
-    rows = hits(docs.select(*keep), windows, lengths, [F.col("_row"), F.col("_doc")], "_text", small)
+    rows = hits(docs.select(*keep), windows, lengths, [F.col("_row"), F.col("_doc"), F.xxhash64("_text").alias("_th")], "_text", small)
     span = F.when(F.col("s").isNotNull(), F.struct("s", (F.col("s") + F.col("length")).alias("e")))
     grouped = rows.groupBy("_row", "_doc").agg(
-        F.first("_n").cast("bigint").alias("n_words"), F.array_sort(F.collect_set(span)).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("_items")
+        F.first("_n").cast("bigint").alias("n_words"), F.first("_th").alias("text_hash"), F.array_sort(F.collect_set(span)).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("_items")
     )
     merged = F.aggregate(
         "_spans",
@@ -128,5 +128,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_i
     out = grouped.withColumn("spans", merged)
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + (x["e"] - x["s"]))
     return out.select(
-        F.col("_doc").alias(doc_id), "n_words", hit.alias("n_hit"), F.size("_items").cast("bigint").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (F.size("_spans") > 0).alias("contaminated"), "spans"
+        F.col("_doc").alias(doc_id), "n_words", hit.alias("n_hit"), F.size("_items").cast("bigint").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (F.size("_spans") > 0).alias("contaminated"), "spans", "text_hash"
     )
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The rows of docs, all columns as they are, that no benchmark window hits."""
+    bad = decontaminate(docs, benchmark, doc_id=doc_id, text=text).where("contaminated").select(F.col(doc_id).alias("_bad"), F.col("text_hash").alias("_hash")).distinct()
+    bad = materialise(bad, "contaminated")
+    if rows_for_broadcast(bad, broadcast_rows):
+        bad = F.broadcast(bad)
+    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_bad")) & (F.xxhash64(F.col(text)) == F.col("_hash")), "left_anti")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import GRAM_ROLLER, chunks, materialise, mix, small_batches, word_bounds, word_hashes
+from partloom.llm.common import GRAM_ROLLER, chunks, materialise, mix, rows_for_broadcast, small_batches, word_bounds, word_hashes
 
 SHINGLE, PERCENT = 3, 90
 #: Most documents of one group that one task compares with each other.
@@ -28,6 +28,8 @@ BLOCK = 1024
 #: Size classes grow by this factor; a set near the upper end of its class also visits the next.
 CLASS_GROWTH = 1.5
 BITS = 2048
+#: Ids to drop are broadcast up to this number (8 bytes each), and joined by a shuffle beyond.
+BROADCAST_IDS = 2_000_000
 FANOUT = 8
 
 
@@ -275,11 +277,11 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFram
 SETS = "doc bigint, th bigint, n int, d1 bigint, d2 bigint, keys array<bigint>"
 
 
-def _facts(percent: int):
+def _facts(percent: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column(2)):
-                sets, first = shingle_sets(data, offsets)
+                sets, first = shingle_sets(data, offsets, size)
                 total = np.zeros(len(sets) + 1, np.uint64)
                 np.cumsum(mix(sets), out=total[1:])
                 other = np.zeros(len(sets) + 1, np.uint64)
@@ -294,15 +296,18 @@ def _facts(percent: int):
     return run
 
 
-def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i, j, data, offsets in chunks(batch.column(1)):
-            sets, first = shingle_sets(data, offsets)
-            arrays = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(sets.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), arrays], ["id", "sets"])
+def _sets_of(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in chunks(batch.column(1)):
+                sets, first = shingle_sets(data, offsets, size)
+                arrays = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(sets.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), arrays], ["id", "sets"])
 
+    return run
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """One row for each input row: doc_id, n_shingles, component_id.
 
     Texts without words (null, empty, white space) have no shingles and are linked with nothing; their component is their
@@ -313,7 +318,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, doc_id: str = "d
     small_batches(docs.sparkSession)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("bigint").alias("_doc"), F.xxhash64(t).alias("_th"), t.alias("_text"))
-    facts = materialise(rows.mapInArrow(_facts(percent), SETS), "facts")
+    facts = materialise(rows.mapInArrow(_facts(percent, size), SETS), "facts")
     small = facts.select("doc", "th", "n", "d1", "d2")
     # one text speaks for an id, and one id (the smallest) for equal sets
     present = small.where("doc is not null and n > 0").groupBy("doc").agg(F.min(F.struct("th", "n", "d1", "d2")).alias("s")).select("doc", "s.*")
@@ -333,7 +338,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, doc_id: str = "d
     placed = materialise(placed.union(lead).distinct(), "placed")
     wanted = placed.select("id").distinct().join(reps.select("id", "id_th"), "id")
     texts = rows.join(wanted, (F.col("_doc") == F.col("id")) & (F.col("_th") == F.col("id_th"))).select("id", "_text")
-    sets = materialise(texts.mapInArrow(_sets_of, "id bigint, sets array<bigint>").dropDuplicates(["id"]), "wanted")
+    sets = materialise(texts.mapInArrow(_sets_of(size), "id bigint, sets array<bigint>").dropDuplicates(["id"]), "wanted")
     edges = materialise(placed.select("pivot", "block", "id").join(sets, "id").select("pivot", "block", "id", "sets").repartition("pivot", "block").sortWithinPartitions("pivot", "block").mapInArrow(_within(percent), EDGES), "links")
     big = placed.where("pieces > 1").select("pivot", "id", "pieces", "block")
     if big.limit(1).count():
@@ -351,3 +356,16 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, doc_id: str = "d
     found = components(present.select(F.col("doc").alias("id")).distinct(), edges.union(same))
     out = small.join(found, F.col("doc") == F.col("id"), "left")
     return out.select(F.col("doc").alias(doc_id), F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, percent: int, size: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without all but the smallest id of each component; rows that repeat an id are kept once. Null ids stay."""
+    found = jaccard_components(docs, percent, size, doc_id, text)
+    gone = materialise(found.where(F.col("component_id") < F.col(doc_id)).select(F.col(doc_id).alias("_gone")).distinct(), "gone")
+    if rows_for_broadcast(gone, BROADCAST_IDS):
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    repeated = found.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").limit(1).count()
+    if not repeated:
+        return kept
+    return kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(kept.where(F.col(doc_id).isNull()))
