@@ -1,5 +1,449 @@
-"""Registered queries of the library's own operators."""
+"""Registered queries of the library's own operators over the driver's tables, with the SQL that states the same."""
 
-QUERIES = {}
-ORACLES = {}
-FLAGSHIP = "search"
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from partloom.functions.text import kgrams
+from partloom.operators import enrich, evaluate, graph, search, sequences
+from partloom.plans import domain as D
+from partloom.plans.query import Engine, parse
+from partloom.session import Options
+from partloom.streaming import updates
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+FLAGSHIP = "search_end_to_end"
+
+DOCS = r"""d AS (SELECT doc_id, 'doc/' || doc_id AS subject, source || '_' || doc_id AS displayId, '1' AS version, string_split(text, chr(10))[1] AS name, text AS description,
+  CASE WHEN lang = 'de' THEN 'Sequence' ELSE lang END AS type, source AS graph,
+  CASE WHEN quality = 1 THEN 'http://roles.example.org/q1' WHEN quality = 0 THEN 'http://identifiers.org/so/SO:0000167' END AS role,
+  (1 + doc_id % 97) / 97.0::DOUBLE AS pagerank, replace(source || '_' || doc_id, '_', ' ') AS keywords
+  FROM documents LEFT JOIN (SELECT doc_id, quality FROM labels) USING (doc_id))"""
+TERMS = ("the", "onenth", "reerea")
+
+
+def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _bm25_sql(terms: tuple[str, ...], fields: dict[str, float]) -> str:
+    """CTEs f (field table), st (statistics) and q (subject, q) for the scores of exact terms."""
+    tok = " UNION ALL ".join(f"SELECT subject, '{f}' AS field, {b} AS boost, regexp_extract_all(lower({f}), '[\\p{{L}}\\p{{N}}_]+') AS t FROM d" for f, b in fields.items())
+    return f"""f AS ({tok}),
+st AS (SELECT field, count(*) FILTER (WHERE len(t) > 0) AS n, sum(len(t)) AS l FROM f GROUP BY field),
+tf AS (SELECT subject, field, boost, len(t) AS len, term, len(list_filter(t, lambda x: x = term)) AS tf FROM f, (SELECT unnest({list(terms)}) AS term)),
+df AS (SELECT field, term, count(*) AS df FROM tf WHERE tf > 0 GROUP BY ALL),
+fs AS (SELECT subject, field, sum(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (l / n)))) AS s FROM tf JOIN df USING (field, term) JOIN st USING (field) WHERE tf > 0 GROUP BY subject, field),
+q AS (SELECT subject, max(s) AS q FROM fs GROUP BY subject)"""
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return D.documents(spark, sf)
+
+
+# --- search -------------------------------------------------------------------------------------------------------
+
+
+@register("empty_search_page", f"WITH {DOCS}, p AS (SELECT subject, type, round(ln(1 + pagerank), 6) AS score FROM d WHERE graph IN ('src1', 'src2') ORDER BY score DESC, subject LIMIT 50 OFFSET 10) SELECT subject, score FROM p")
+def empty_search_page(spark: SparkSession, sf: str) -> DataFrame:
+    return search.all_in_graphs(_docs(spark, sf), ["src1", "src2"], 10, 50).select("subject", "score")
+
+
+@register("bm25_multifield_boost", f"WITH {DOCS}, {_bm25_sql(TERMS, search.FIELDS)} SELECT subject, round(q * q * ln(1 + pagerank), 6) AS score FROM q JOIN d USING (subject) ORDER BY score DESC, subject LIMIT 10000")
+def bm25_multifield_boost(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search_text(_docs(spark, sf), list(TERMS)).select("subject", "score")
+
+
+@register("bm25_text_search", f"WITH {DOCS}, {_bm25_sql(TERMS, dict.fromkeys(search.FIELDS, 1.0))} SELECT subject, round(q, 6) AS score FROM q ORDER BY score DESC, subject LIMIT 10000")
+def bm25_text_search(spark: SparkSession, sf: str) -> DataFrame:
+    return search.plain_search(_docs(spark, sf), list(TERMS)).select("subject", "score")
+
+
+@register("text_search_allowlist", f"WITH {DOCS}, {_bm25_sql(TERMS, search.FIELDS)} SELECT subject, round((q + 1) * (q + 1) * ln(1 + pagerank), 6) AS score FROM q JOIN d USING (subject) WHERE role = 'http://roles.example.org/q1' ORDER BY score DESC, subject LIMIT 10000")
+def text_search_allowlist(spark: SparkSession, sf: str) -> DataFrame:
+    allowed = D.parts(spark, sf).where(F.col("role") == "http://roles.example.org/q1").select("subject")
+    return search.search_allowed(_docs(spark, sf), list(TERMS), allowed).select("subject", "score")
+
+
+@register("allowlist_only", f"WITH {DOCS} SELECT subject, round(ln(1 + pagerank), 6) AS score FROM d WHERE type = 'fr' ORDER BY score DESC, subject LIMIT 10000")
+def allowlist_only(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _docs(spark, sf)
+    return search.allowed_only(docs, docs.where(F.col("type") == "fr").select("subject")).select("subject", "score")
+
+
+@register("fuzzy_vocabulary", r"""WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM documents),
+n AS (SELECT word, damerau_levenshtein(word, 'onenth') AS d FROM v WHERE abs(length(word) - 6) <= 2)
+SELECT word, round(1 - d / least(length(word), 6), 6) AS weight FROM (SELECT * FROM n WHERE d <= 2 AND d = levenshtein(word, 'onenth') OR word IN ('noenth', 'oennth', 'onneth', 'onetnh', 'onenht')) ORDER BY CASE WHEN word IN ('noenth', 'oennth', 'onneth', 'onetnh', 'onenht') THEN 1 ELSE d END, word LIMIT 50""")
+def fuzzy_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    found = search.fuzzy_terms(D.table(spark, sf, "documents"), ["onenth"], ["text"])["onenth"]
+    return spark.createDataFrame(found, "word string, weight double").select("word", F.round("weight", 6).alias("weight"))
+
+
+@register("fuzzy_text_search")
+def fuzzy_text_search(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _docs(spark, sf)
+    return search.search_text(docs, search.fuzzy_terms(docs, ["onenth", "reerea"], ["description"], 20)).select("subject", "score")
+
+
+@register("cluster_demotion", f"""WITH {DOCS}, h AS (SELECT subject, type, doc_id % 10 AS c, round(ln(1 + pagerank), 6) AS score FROM d ORDER BY score DESC, subject LIMIT 10000),
+k AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY score DESC, subject) AS k FROM h)
+SELECT subject, round((CASE WHEN k > 1 AND c < 5 THEN score / 2 ELSE score END) / (CASE WHEN type LIKE '%Sequence%' THEN 10 ELSE 1 END), 9) AS order_by FROM k""")
+def cluster_demotion(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _docs(spark, sf)
+    clusters = docs.select("subject", (F.col("doc_id") % 10).alias("cluster_id")).where("cluster_id < 5")
+    hits = search.allowed_only(docs, docs)
+    return search.demote(hits, clusters).select("subject", F.round("order_by", 9).alias("order_by"))
+
+
+@register("acl_role_gate", f"WITH {DOCS} SELECT subject, role FROM d WHERE graph IN ('src3', 'src4') AND (role IS NULL OR contains(role, 'http://roles.example.org'))")
+def acl_role_gate(spark: SparkSession, sf: str) -> DataFrame:
+    return search.role_gate(search.acl(D.parts(spark, sf), ["src3", "src4"]), "http://roles.example.org").select("subject", "role")
+
+
+@register("criteria_search", f"""WITH {DOCS} SELECT subject, round(CASE WHEN contains(type, 'Sequence') THEN r / 10 ELSE r END, 6) AS order_by
+FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN pagerank ELSE 1.0 END AS r FROM d) WHERE role IS NULL OR contains(role, 'http://roles.example.org')""")
+def criteria_search(spark: SparkSession, sf: str) -> DataFrame:
+    ranks = _docs(spark, sf).where("doc_id % 2 = 0").select("subject", "pagerank")
+    return search.criteria_rows(D.parts(spark, sf), ranks, "http://roles.example.org").select("subject", F.round("order_by", 6).alias("order_by"))
+
+
+@register("similar_parts", "SELECT 'doc/' || doc_id AS subject FROM documents WHERE doc_id % 50 = 3 AND doc_id <> 3")
+def similar_parts(spark: SparkSession, sf: str) -> DataFrame:
+    return search.similar(_docs(spark, sf).select("subject", (F.col("doc_id") % 50).alias("cluster_id")), "doc/3")
+
+
+@register("graph_in_uri", "SELECT subject FROM (SELECT source || '/' || doc_id AS subject FROM documents) WHERE contains(subject, 'src1/') OR contains(subject, 'src19')")
+def graph_in_uri(spark: SparkSession, sf: str) -> DataFrame:
+    return search.graph_in_uri(D.table(spark, sf, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("subject")), ["src1/", "src19"])
+
+
+@register("search_end_to_end", f"""WITH {DOCS}, {_bm25_sql(("the", "onenth"), search.FIELDS)},
+h AS (SELECT subject, type, graph, doc_id % 7 AS c, round((q + 1) * (q + 1) * ln(1 + pagerank), 6) AS score FROM q JOIN d USING (subject) WHERE role = 'http://roles.example.org/q1' ORDER BY score DESC, subject LIMIT 10000),
+k AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY score DESC, subject) AS k FROM h WHERE graph IN ('src1', 'src2', 'src3')),
+o AS (SELECT subject, round((CASE WHEN k > 1 THEN score / 2 ELSE score END) / (CASE WHEN type LIKE '%Sequence%' THEN 10 ELSE 1 END), 9) AS order_by FROM k)
+SELECT subject, order_by FROM o ORDER BY order_by DESC, subject LIMIT 20 OFFSET 2""")
+def search_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _docs(spark, sf)
+    parts = D.parts(spark, sf)
+    quads = parts.where("role is not null").select(F.col("graph").alias("g"), F.col("subject").alias("s"), F.lit("role").alias("p"), F.col("role").alias("o"))
+    clusters = docs.select("subject", (F.col("doc_id") % 7).alias("cluster_id"))
+    none = docs.limit(0)
+    engine = Engine(docs, parts, quads, none.select("subject", "pagerank"), clusters, none.select("subject", F.lit("").alias("sequence")), none.select(F.col("subject").alias("parent"), F.col("subject").alias("child")), Options())
+    text = """SELECT DISTINCT ?subject FROM <src1> FROM <src2> FROM <src3> WHERE { ?subject role <http://roles.example.org/q1> .
+    FILTER (CONTAINS(lcase(?displayId), lcase('the')) || CONTAINS(lcase(?displayId), lcase('onenth'))) } LIMIT 20 OFFSET 2"""
+    return engine.search(parse(text)).select("subject", F.round("order_by", 9).alias("order_by"))
+
+
+# --- graph --------------------------------------------------------------------------------------------------------
+
+QUADS = """qd AS (
+SELECT 'nation/' || n_nationkey AS s, unnest(['type', 'topLevel', 'title']) AS p, unnest(['Nation', 'nation/' || n_nationkey, n_name]) AS o FROM nation
+UNION ALL SELECT 'supplier/' || s_suppkey, unnest(['type', 'topLevel', 'title', 'in', 'serves']), unnest(['Supplier', 'supplier/' || s_suppkey, s_name, 'nation/' || s_nationkey, 'customer/' || s_suppkey]) FROM supplier
+UNION ALL SELECT 'supplier/' || s_suppkey, 'role', 'creditor' FROM supplier WHERE s_acctbal > 0
+UNION ALL SELECT 'supplier/' || s_suppkey, 'role', 'third' FROM supplier WHERE s_suppkey % 3 = 0
+UNION ALL SELECT 'customer/' || c_custkey, unnest(['type', 'of']), unnest(['Customer', 'nation/' || c_nationkey]) FROM customer),
+top AS (SELECT DISTINCT s FROM qd WHERE p = 'topLevel' AND s = o)"""
+
+
+@register("parts_optional_fanout", f"WITH {QUADS} SELECT DISTINCT t.s AS subject, t.o AS type, n.o AS name, r.o AS role FROM qd t JOIN top USING (s) LEFT JOIN (SELECT s, o FROM qd WHERE p = 'title') n ON n.s = t.s LEFT JOIN (SELECT s, o FROM qd WHERE p = 'role') r ON r.s = t.s WHERE t.p = 'type'")
+def parts_optional_fanout(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.parts(D.quads(spark, sf), {"name": "title", "role": "role"}).select("subject", "type", "name", "role")
+
+
+@register("parts_one_row_each", f"WITH {QUADS}, x AS (SELECT DISTINCT t.s AS subject, t.o AS type, r.o AS role FROM qd t JOIN top USING (s) LEFT JOIN (SELECT s, o FROM qd WHERE p = 'role') r ON r.s = t.s WHERE t.p = 'type') SELECT subject, type, role FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY type NULLS LAST, role NULLS LAST) AS k FROM x) WHERE k = 1")
+def parts_one_row_each(spark: SparkSession, sf: str) -> DataFrame:
+    p = graph.parts(D.quads(spark, sf), {"role": "role"})
+    for c in ("sboltype", "name", "description", "version"):
+        p = p.withColumn(c, F.lit(None).cast("string"))
+    return graph.one_row_each(p).select("subject", "type", "role")
+
+
+@register("type_toplevel_semi", f"WITH {QUADS} SELECT s AS subject FROM top WHERE s IN (SELECT s FROM qd WHERE p = 'role' AND o = 'creditor') AND s IN (SELECT s FROM qd WHERE p = 'type' AND o = 'Supplier')")
+def type_toplevel_semi(spark: SparkSession, sf: str) -> DataFrame:
+    q = D.quads(spark, sf)
+    return graph.with_criteria(graph.top_levels(q), q, [("role", "creditor"), ("type", "Supplier")]).select(F.col("s").alias("subject"))
+
+
+@register("federated_union_dedup", "SELECT DISTINCT subject, name FROM (SELECT 'n' || n_nationkey AS subject, n_name AS name FROM nation UNION ALL SELECT 'n' || n_nationkey, n_name FROM nation WHERE n_nationkey < 10 UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier)")
+def federated_union_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from partloom.sources.readers import federated
+
+    nation = D.table(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("subject"), F.col("n_name").alias("name"), "n_nationkey")
+    supplier = D.table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("subject"), F.col("s_name").alias("name"))
+    return federated([lambda: nation.drop("n_nationkey"), lambda: nation.where("n_nationkey < 10").drop("n_nationkey"), lambda: supplier, lambda: spark.read.parquet(f"{sf}/no-such-table")])
+
+
+@register("links_one_two_hop", f"WITH {QUADS}, e AS (SELECT DISTINCT s, o FROM qd) SELECT DISTINCT parent, child FROM (SELECT s AS parent, o AS child FROM e WHERE s IN (SELECT s FROM top) AND o IN (SELECT s FROM top) UNION ALL SELECT a.s, b.o FROM e a JOIN e b ON a.o = b.s WHERE a.s IN (SELECT s FROM top) AND b.o IN (SELECT s FROM top))")
+def links_one_two_hop(spark: SparkSession, sf: str) -> DataFrame:
+    q = D.quads(spark, sf)
+    return graph.links(q, graph.top_levels(q))
+
+
+RANK = """n AS (SELECT 'c' || c_custkey AS id FROM customer UNION ALL SELECT 'p' || p_partkey FROM part),
+e0 AS (SELECT 'c' || o_custkey AS src, 'p' || l_partkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey UNION ALL SELECT 'p' || p_partkey, 'c' || p_partkey FROM part WHERE p_partkey % 2 = 0)"""
+
+
+def _edges_sql(distinct: bool) -> str:
+    return f"e AS (SELECT {'DISTINCT ' * distinct}src, dst FROM e0 WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)), g AS (SELECT src, count(*) AS k FROM e GROUP BY src), c AS (SELECT count(*) AS n FROM n)"
+
+
+def _rank_sql(passes: int, static: bool = False, distinct: bool = True) -> str:
+    steps = ["r0 AS (SELECT id, 1.0::DOUBLE / c.n AS r FROM n, c)"]
+    for i in range(passes):
+        loose = 0 if static else i
+        steps.append(f"d{i} AS (SELECT coalesce(sum(r), 0) / (SELECT n FROM c) AS d FROM r{loose} WHERE id NOT IN (SELECT src FROM g))")
+        steps.append(f"v{i} AS (SELECT n.id, 0.85 * (coalesce(f, 0) + d) + 0.15 / c.n AS r FROM n CROSS JOIN c CROSS JOIN d{i} LEFT JOIN (SELECT dst, sum(r / k) AS f FROM e JOIN r{i} ON src = id JOIN g USING (src) GROUP BY dst) ON dst = n.id)")
+        steps.append(f"r{i + 1} AS (SELECT id, r / (SELECT sum(r) FROM v{i}) AS r FROM v{i})")
+    return f"WITH {RANK}, {_edges_sql(distinct)}, {', '.join(steps)} SELECT id, round(r * 1000, 6) AS rank FROM r{passes}"
+
+
+@register("outdegree_dangling", f"WITH {RANK}, {_edges_sql(True)} SELECT id, CAST(coalesce(k, 0) AS BIGINT) AS degree FROM n LEFT JOIN g ON src = id")
+def outdegree_dangling(spark: SparkSession, sf: str) -> DataFrame:
+    n = D.rank_nodes(spark, sf)
+    e = D.rank_edges(spark, sf).join(n.select(F.col("id").alias("src")), "src", "left_semi").join(n.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return graph.out_degrees(n, e).select("id", F.col("degree").cast("bigint").alias("degree"))
+
+
+@register("pagerank_fixed_iter", _rank_sql(4))
+def pagerank_fixed_iter(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.pagerank(D.rank_nodes(spark, sf), D.rank_edges(spark, sf), iterations=4).select("id", F.round(F.col("rank") * 1000, 6).alias("rank"))
+
+
+@register("pagerank_static_dangling", _rank_sql(3, True, False))
+def pagerank_static_dangling(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.pagerank(D.rank_nodes(spark, sf), D.rank_edges(spark, sf, False), iterations=3, static_dangling=True, multi=True).select("id", F.round(F.col("rank") * 1000, 6).alias("rank"))
+
+
+@register("pagerank_converged")
+def pagerank_converged(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.pagerank(D.rank_nodes(spark, sf), D.rank_edges(spark, sf), tolerance=1e-4)
+
+
+@register("top_rank_slices", _rank_sql(2).replace("SELECT id, round(r * 1000, 6) AS rank FROM r2", "SELECT id, round(r * 1000, 6) AS rank, row_number() OVER (ORDER BY round(r * 1000, 6) DESC, id) AS place FROM r2 ORDER BY 2 DESC, 1 LIMIT 11"))
+def top_rank_slices(spark: SparkSession, sf: str) -> DataFrame:
+    r = graph.pagerank(D.rank_nodes(spark, sf), D.rank_edges(spark, sf), iterations=2).select("id", F.round(F.col("rank") * 1000, 6).alias("rank"))
+    return evaluate.top_slices(r).select("id", "rank", F.col("place").cast("bigint").alias("place"))
+
+
+@register("components_threshold", """WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey * 7 % 50 AS b FROM supplier WHERE s_acctbal > 5000), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT s_suppkey AS id, s_suppkey AS m FROM supplier UNION SELECT b.b, r.m FROM r JOIN b ON r.id = b.a)
+SELECT id, min(m) AS component FROM r WHERE id IN (SELECT s_suppkey FROM supplier) GROUP BY id""")
+def components_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    s = D.table(spark, sf, "supplier")
+    e = s.where("s_acctbal > 5000").select(F.col("s_suppkey").alias("src"), (F.col("s_suppkey") * 7 % 50).alias("dst"))
+    nodes = s.select(F.col("s_suppkey").alias("id"))
+    return graph.connected_components(nodes, e.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"))
+
+
+@register("containment_three_hop", """WITH a AS (SELECT DISTINCT 'n' || n_nationkey AS parent, 'r' || n_regionkey AS child FROM nation UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_partkey <= 50)
+SELECT parent, child FROM a UNION SELECT x.parent, y.child FROM a x JOIN a y ON x.child = y.parent UNION SELECT x.parent, z.child FROM a x JOIN a y ON x.child = y.parent JOIN a z ON y.child = z.parent""")
+def containment_three_hop(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.containment(_contained(spark, sf))
+
+
+def _contained(spark: SparkSession, sf: str) -> DataFrame:
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    a = D.table(spark, sf, "nation").select(key("n", "n_nationkey").alias("parent"), key("r", "n_regionkey").alias("child"))
+    b = D.table(spark, sf, "supplier").select(key("s", "s_suppkey"), key("n", "s_nationkey"))
+    c = D.table(spark, sf, "lineitem").where("l_partkey <= 50").select(key("p", "l_partkey"), key("s", "l_suppkey"))
+    return a.union(b).union(c)
+
+
+@register("viz_nodes_links", """WITH p AS (SELECT DISTINCT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation), i AS (SELECT a AS id FROM p UNION SELECT b FROM p)
+SELECT 'node' AS kind, id AS source, '1' AS target FROM i UNION ALL SELECT 'node', 'root', '2' UNION ALL SELECT 'link', a, b FROM p UNION ALL SELECT 'link', 'root', id FROM i""")
+def viz_nodes_links(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = D.table(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("parent"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("child"))
+    nodes, links = graph.force_graph(pairs)
+    return nodes.select(F.lit("node").alias("kind"), F.col("id").alias("source"), F.col("group").cast("string").alias("target")).union(links.select(F.lit("link"), "source", "target"))
+
+
+# --- enrichment ---------------------------------------------------------------------------------------------------
+
+
+@register("keywords_enrich", f"WITH {DOCS} SELECT subject, replace(displayId, '_', ' ') AS keywords, CASE WHEN doc_id % 3 = 0 THEN pagerank ELSE 1.0 END AS pagerank FROM d")
+def keywords_enrich(spark: SparkSession, sf: str) -> DataFrame:
+    ranks = _docs(spark, sf).where("doc_id % 3 = 0").select("subject", "pagerank")
+    return enrich.add_keywords(enrich.add_rank(D.parts(spark, sf), ranks)).select("subject", "keywords", "pagerank")
+
+
+@register("ontology_role_enrich", f"WITH {DOCS} SELECT subject, CASE WHEN role LIKE '%identifiers.org%' THEN keywords || ' promoter start promoter region' ELSE keywords END AS keywords FROM d")
+def ontology_role_enrich(spark: SparkSession, sf: str) -> DataFrame:
+    terms = spark.createDataFrame([("http://terms.example.org/SO_0000167", "promoter region", ["INSDC_qualifier:promoter", "start"]), ("http://terms.example.org/SO_0000001", "region", None)], "id string, lbl string, synonyms array<string>").coalesce(1)
+    return enrich.add_roles(enrich.add_keywords(D.parts(spark, sf)), terms).select("subject", "keywords")
+
+
+# --- sequences ----------------------------------------------------------------------------------------------------
+
+SEQ = "s AS (SELECT 'doc/' || doc_id AS subject, doc_id, regexp_replace(lower(text), '[^gatc]', '', 'g') AS q FROM documents)"
+
+
+@register("sequence_normalise", f"WITH {SEQ} SELECT subject, CAST(length(q) AS INTEGER) AS len, md5(q) AS digest FROM s")
+def sequence_normalise(spark: SparkSession, sf: str) -> DataFrame:
+    return D.sequences(spark, sf).select("subject", F.length("sequence").alias("len"), F.md5("sequence").alias("digest"))
+
+
+@register("base_frequency", f"WITH {SEQ} SELECT base, count(*) AS n FROM (SELECT unnest(string_split(q, '')) AS base FROM s) WHERE base <> '' GROUP BY base")
+def base_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    return sequences.base_frequencies(D.sequences(spark, sf))
+
+
+@register("length_histogram", f"WITH {SEQ}, l AS (SELECT length(q)::DOUBLE AS x FROM s), m AS (SELECT min(x) AS a, max(x) AS b FROM l) SELECT CAST(least(floor((x - a) / (b - a) * 50) + 1, 50) AS BIGINT) AS bin, count(*) AS n FROM l, m GROUP BY 1")
+def length_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return sequences.length_histogram(D.sequences(spark, sf), 50)
+
+
+@register("length_cumulative", f"WITH {SEQ} SELECT CAST(len AS INTEGER) AS len, (SELECT count(*) FROM s WHERE length(q) <= len) AS n FROM (SELECT unnest(range(100)) AS len)")
+def length_cumulative(spark: SparkSession, sf: str) -> DataFrame:
+    return sequences.length_cumulative(D.sequences(spark, sf))
+
+
+PART_SEQ = "s AS (SELECT 'part/' || p_partkey AS subject, lower(p_name) AS q FROM part)"
+PAIRS = f"""{PART_SEQ}, g AS (SELECT DISTINCT subject, substr(q, i, 3) AS gram FROM (SELECT subject, q, unnest(range(1, length(q) - 1)) AS i FROM s)),
+n AS (SELECT subject, count(*) AS n FROM g GROUP BY subject), c AS (SELECT x.subject AS a, y.subject AS b, count(*) AS c FROM g x JOIN g y USING (gram) WHERE x.subject < y.subject GROUP BY ALL),
+pd AS (SELECT a, b, round(1 - c / (na.n + nb.n - c), 6) AS dist FROM c JOIN n na ON na.subject = a JOIN n nb ON nb.subject = b)"""
+
+
+def _part_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    return D.table(spark, sf, "part").select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("subject"), F.lower("p_name").alias("sequence"))
+
+
+@register("kgram_sets", f"WITH {PART_SEQ} SELECT subject, CAST(len(list_distinct(list_transform(range(1, length(q) - 1), lambda i: substr(q, i, 3)))) AS INTEGER) AS n FROM s")
+def kgram_sets(spark: SparkSession, sf: str) -> DataFrame:
+    return _part_sequences(spark, sf).select("subject", F.size(kgrams(F.col("sequence"), 3)).alias("n"))
+
+
+def _few(spark: SparkSession, sf: str) -> DataFrame:
+    return D.table(spark, sf, "supplier").select(F.concat(F.lit("s/"), F.col("s_suppkey").cast("string")).alias("subject"), F.concat_ws(" ", F.lower("s_name"), F.round("s_acctbal", 0).cast("int").cast("string")).alias("sequence"))
+
+
+FEW = PAIRS.replace(PART_SEQ, "s AS (SELECT 's/' || s_suppkey AS subject, lower(s_name) || ' ' || CAST(round(s_acctbal, 0) AS INTEGER) AS q FROM supplier)")
+
+
+@register("kgram_jaccard_pairs", f"WITH {FEW} SELECT a, b, dist FROM pd")
+def kgram_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return sequences.gram_pairs(_few(spark, sf)).select("a", "b", F.round("dist", 6).alias("dist"))
+
+
+@register("distance_ecdf", f"WITH {FEW} SELECT dist AS value, round((SELECT count(*) FROM pd p WHERE p.dist <= x.dist) / (SELECT count(*) FROM pd)::DOUBLE, 6) AS y FROM (SELECT DISTINCT dist FROM pd) x")
+def distance_ecdf(spark: SparkSession, sf: str) -> DataFrame:
+    return sequences.ecdf(sequences.gram_pairs(_few(spark, sf)).select(F.round("dist", 6).alias("dist")), "dist").select("value", F.round("y", 6).alias("y"))
+
+
+@register("hierarchical_single_link")
+def hierarchical_single_link(spark: SparkSession, sf: str) -> DataFrame:
+    return sequences.hierarchical_clusters(_few(spark, sf), 10)
+
+
+@register("sequence_exact_search", f"WITH {SEQ} SELECT subject FROM s WHERE q = (SELECT q FROM s WHERE doc_id = 1)")
+def sequence_exact_search(spark: SparkSession, sf: str) -> DataFrame:
+    s = D.sequences(spark, sf)
+    return sequences.exact_search(s, s.where("subject = 'doc/1'").first()["sequence"])
+
+
+@register("sequence_substring_semi", f"WITH {DOCS} SELECT subject FROM d WHERE contains(subject, 'doc/1') OR contains(subject, 'doc/25')")
+def sequence_substring_semi(spark: SparkSession, sf: str) -> DataFrame:
+    return sequences.substring_semi(D.parts(spark, sf), spark.createDataFrame([("doc/1",), ("doc/25",)], "subject string")).select("subject")
+
+
+@register("sequence_global_search")
+def sequence_global_search(spark: SparkSession, sf: str) -> DataFrame:
+    s = D.sequences(spark, sf).where(F.length("sequence").between(20, 400))
+    return sequences.global_search(s, s.orderBy("subject").first()["sequence"])
+
+
+@register("greedy_centroid_clusters")
+def greedy_centroid_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    seqs = D.table(spark, sf, "supplier").select(F.concat(F.lit("s/"), F.col("s_suppkey").cast("string")).alias("subject"), F.regexp_replace(F.lower(F.sha2(F.col("s_suppkey").cast("string"), 256)), "[^acd]", "").alias("sequence"))
+    return sequences.greedy_clusters(seqs)
+
+
+def _uc(spark: SparkSession, sf: str) -> DataFrame:
+    """A UC table from orders: open ones are seeds, filled ones hits on the order before."""
+    o = D.table(spark, sf, "orders")
+    rec = F.when(F.col("o_orderstatus") == "O", F.lit("S")).when(F.col("o_orderstatus") == "F", F.lit("H")).otherwise(F.lit("C"))
+    return o.select(
+        rec.alias("rec"), (F.col("o_custkey") % 100).alias("cluster_no"), F.when(F.col("o_orderstatus") == "F", F.round(F.col("o_totalprice") % 100, 1).cast("string")).otherwise(F.lit("*")).alias("pct_id"),
+        F.lit("+").alias("strand"), F.lit("10M").alias("cigar"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("query_label"), F.concat(F.lit("o"), (F.col("o_orderkey") - 1).cast("string")).alias("target_label"), F.col("o_orderkey").alias("line"),
+    )
+
+
+@register("uc_summary", "SELECT count(*) FILTER (WHERE o_orderstatus IN ('O', 'F')) AS parts, count(*) FILTER (WHERE o_orderstatus = 'F') AS hits, coalesce(round(avg(CASE WHEN o_orderstatus = 'F' THEN round(o_totalprice % 100, 1) END), 6), 0) AS mean_identity FROM orders")
+def uc_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return sequences.uc_summary(_uc(spark, sf))
+
+
+@register("uc_targets", "SELECT DISTINCT 'o' || (o_orderkey - 1) AS subject FROM orders WHERE o_orderstatus = 'F'")
+def uc_targets(spark: SparkSession, sf: str) -> DataFrame:
+    return sequences.uc_targets(_uc(spark, sf))
+
+
+@register("uc_cluster_neighbours", "WITH c AS (SELECT 'o' || o_orderkey AS subject, o_custkey % 100 AS k FROM orders WHERE o_orderstatus IN ('O', 'F')) SELECT subject, (SELECT count(*) FROM c y WHERE y.k = c.k) - 1 AS others FROM c")
+def uc_cluster_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return sequences.cluster_neighbours(sequences.uc_clusters(_uc(spark, sf))).select("subject", F.size("others").cast("bigint").alias("others"))
+
+
+@register("cluster_size_distribution", "WITH z AS (SELECT o_custkey % 100 AS k, count(*) AS size FROM orders WHERE o_orderstatus IN ('O', 'F') GROUP BY 1), t AS (SELECT * FROM z ORDER BY size DESC, k OFFSET 3) SELECT size, count(*) AS clusters FROM t GROUP BY size")
+def cluster_size_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    return sequences.cluster_sizes(sequences.uc_clusters(_uc(spark, sf)), 3)
+
+
+@register("hit_attributes", "SELECT 'o' || k AS subject, round(CASE WHEN o.o_orderstatus = 'F' THEN round(o.o_totalprice % 100, 1) / 100 END, 6) AS order_by, CASE WHEN o.o_orderstatus = 'F' THEN '+' END AS strand FROM (SELECT o_orderkey AS k FROM orders) p LEFT JOIN orders o ON o.o_orderkey - 1 = k")
+def hit_attributes(spark: SparkSession, sf: str) -> DataFrame:
+    p = D.table(spark, sf, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("subject"), F.lit("x").alias("type"))
+    return sequences.hit_attributes(p, _uc(spark, sf), spark.createDataFrame([], "subject string, pagerank double")).select("subject", F.round("order_by", 6).alias("order_by"), F.col("strandAlignment").alias("strand"))
+
+
+# --- updates and evaluation ---------------------------------------------------------------------------------------
+
+
+@register("incremental_latest_state", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1 AND event_type <> 'error'")
+def incremental_latest_state(spark: SparkSession, sf: str) -> DataFrame:
+    return updates.latest(D.table(spark, sf, "events"), "user_id", ["ts", "event_id"]).where("event_type <> 'error'").select("user_id", "event_id", "event_type")
+
+
+@register("incremental_apply", f"WITH {DOCS} SELECT subject, displayId, keywords FROM d WHERE doc_id % 5 NOT IN (0, 1) UNION ALL SELECT subject, 'new_' || doc_id, 'new ' || doc_id FROM d WHERE doc_id % 5 = 1")
+def incremental_apply(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _docs(spark, sf)
+    index = docs.select("subject", "displayId", "keywords", "pagerank")
+    part = F.struct("subject", F.concat(F.lit("new_"), F.col("doc_id").cast("string")).alias("displayId"))
+    changes = docs.where("doc_id % 5 = 0").select(F.lit("remove").alias("op"), "subject", F.lit(1).alias("seq"), part.alias("part"))
+    changes = changes.union(docs.where("doc_id % 5 = 1").select(F.lit("add"), "subject", F.lit(2), part)).union(docs.where("doc_id % 5 = 1").select(F.lit("remove"), "subject", F.lit(1), part))
+    return updates.apply_changes(index, changes, spark.createDataFrame([], "subject string, pagerank double")).select("subject", "displayId", "keywords")
+
+
+@register("collection_remove", "SELECT 'doc/' || doc_id AS subject FROM documents WHERE NOT (source = 'src5' AND ('doc/' || doc_id) LIKE 'doc/1%')")
+def collection_remove(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _docs(spark, sf)
+    return updates.remove_collection(docs.select("subject"), docs.select(F.col("graph").alias("collection"), F.col("subject").alias("member")), "src5", "doc/1")
+
+
+EXPECT = """r AS (SELECT o_custkey AS query_id, 'o' || o_orderkey AS subject, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, 'o' || o_orderkey) - 1 AS position FROM orders WHERE o_orderstatus <> 'F'),
+x AS (SELECT o_custkey AS query_id, 'o' || o_orderkey AS child FROM orders WHERE o_orderkey % 4 = 0), pos AS (SELECT x.query_id, child, CAST(coalesce(position, -1) AS BIGINT) AS position FROM x LEFT JOIN r ON r.query_id = x.query_id AND r.subject = x.child)"""
+
+
+def _positions(spark: SparkSession, sf: str) -> DataFrame:
+    o = D.table(spark, sf, "orders")
+    key = F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))
+    results = o.where("o_orderstatus <> 'F'").select(F.col("o_custkey").alias("query_id"), key.alias("subject"), F.col("o_totalprice").alias("order_by"))
+    return evaluate.rank_of_expected(results, o.where("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("query_id"), key.alias("child"))).withColumn("position", F.col("position").cast("bigint"))
+
+
+@register("rank_of_expected", f"WITH {EXPECT} SELECT query_id, child, position FROM pos")
+def rank_of_expected(spark: SparkSession, sf: str) -> DataFrame:
+    return _positions(spark, sf)
+
+
+@register("upper_median_rank", f"WITH {EXPECT}, f AS (SELECT position FROM pos WHERE position >= 0) SELECT (SELECT count(*) FROM pos) AS total, (SELECT count(*) FROM f) AS found, round(avg(position), 6) AS average, (SELECT list_sort(list(position))[count(*) // 2 + 1] FROM f) AS upper_median FROM f")
+def upper_median_rank(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.summary(_positions(spark, sf))
