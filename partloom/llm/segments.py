@@ -5,6 +5,10 @@ run of windows of one text with the same smallest hash. Equal windows have equal
 repeat between blocks of one hash, and blocks of different hashes never need to meet. Blocks are first counted by
 (hash, digest), which collapses exact copies before any shuffle by hash; only hashes with different blocks go on to a
 search inside blocks. Nothing is dropped: a block that is alone under its hash holds no repeated window.
+
+Before the search, blocks are trimmed: some grams of each block are chosen by their content, and a chosen gram that comes
+once under its hash can't be in a repeated window, so the block is cut there. What differs around a shared passage goes
+away with that, and equal pieces collapse once more. This keeps the groups to search small however often a passage comes.
 """
 
 from __future__ import annotations
@@ -17,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import BYTE_CODES, GRAM_ROLLER, SPAN_ROLLER, chunks, materialise, sliding_min, small_batches, word_bounds, word_hashes
+from partloom.llm.common import BYTE_CODES, GRAM_ROLLER, SPAN_ROLLER, chunks, materialise, mix, sliding_min, small_batches, word_bounds, word_hashes
 
-#: A hash with more different blocks than this is settled window by window, so that no task gets an unbounded group.
-HOT_BLOCKS = 512
+#: A hash with more different pieces than this is settled window by window, so that no task gets an unbounded group.
+HOT_BLOCKS = 4096
 #: Rows without a document id count as later than all others.
 NO_ID = (1 << 63) - 1
 BLOCK = "h bigint, d bigint, doc bigint, th bigint, start int, n int, multi boolean"
@@ -34,6 +38,11 @@ class Units:
     window: int
     k: int
 
+    @property
+    def spread(self) -> int:
+        """One gram of so many is chosen for trimming: about six in a window."""
+        return max(1, (self.window - self.k) // 6)
+
     def split(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Codes of the units, their starts and ends in bytes, and the first unit of each row."""
         if self.words:
@@ -96,20 +105,20 @@ def blocks(rows: DataFrame, u: Units) -> DataFrame:
     return rows.mapInArrow(run, BLOCK)
 
 
-PICK = ("h", "d", "doc", "th", "start", "n", "copies", "kinds")
-LIVE = "h bigint, d bigint, doc bigint, th bigint, start int, n int, copies bigint, kinds bigint, seg binary"
+PICK = ("h", "d", "doc", "th", "start", "n", "copies", "multi")
+LIVE = "h bigint, d bigint, doc bigint, th bigint, start int, n int, copies bigint, multi boolean, seg binary"
 
 
 def fetch(rows: DataFrame, wanted: DataFrame, u: Units) -> DataFrame:
     """Add the text of wanted blocks (words joined by one space, or bytes): one join of documents and their block lists."""
-    lists = wanted.groupBy("doc", "th").agg(F.collect_list(F.struct("h", "d", "start", "n", "copies", "kinds")).alias("_list"))  # of one document
+    lists = wanted.groupBy("doc", "th").agg(F.collect_list(F.struct("h", "d", "start", "n", "copies", "multi")).alias("_list"))  # of one document
     joined = rows.join(lists, (F.col("_doc") == F.col("doc")) & (F.col("_th") == F.col("th"))).select("_text", "doc", "th", "_list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lists = batch.column(0), batch.column(3)
             at, items = lists.offsets.to_numpy(), lists.values
-            cols = [items.field(k).to_numpy() for k in range(6)]
+            cols = [items.field(k).to_numpy(zero_copy_only=False) for k in range(6)]
             for i in range(len(texts)):
                 data = texts[i].as_py().encode()
                 buffer, own = np.frombuffer(data, np.uint8), slice(at[i], at[i + 1])
@@ -119,7 +128,7 @@ def fetch(rows: DataFrame, wanted: DataFrame, u: Units) -> DataFrame:
                 else:
                     segs = [buffer[s : s + n].tobytes() for s, n in zip(cols[2][own], cols[3][own])]
                 m = len(segs)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c[own]) for c in cols[:2]), pa.array(np.full(m, batch.column(1)[i].as_py())), pa.array(np.full(m, batch.column(2)[i].as_py())), *(pa.array(c[own]) for c in cols[2:]), pa.array(segs, pa.binary())], ["h", "d", "doc", "th", "start", "n", "copies", "kinds", "seg"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[own]) for c in cols[:2]), pa.array(np.full(m, batch.column(1)[i].as_py())), pa.array(np.full(m, batch.column(2)[i].as_py())), *(pa.array(c[own]) for c in cols[2:]), pa.array(segs, pa.binary())], ["h", "d", "doc", "th", "start", "n", "copies", "multi", "seg"])
 
     return joined.mapInArrow(run, LIVE)
 
@@ -132,6 +141,53 @@ def seg_codes(segs: list[bytes], u: Units) -> tuple[np.ndarray, np.ndarray]:
     return codes, first
 
 
+def _chosen(codes: np.ndarray, first: np.ndarray, u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grams chosen by their hash alone, so in all their places or in none: block, place, hash."""
+    block = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    grams = GRAM_ROLLER.grams(GRAM_ROLLER.prefix(codes), u.k)
+    at = np.flatnonzero((grams >> np.uint64(20)) % np.uint64(u.spread) == 0)
+    at = at[block[at] == block[at + u.k - 1]]
+    return block[at], at, grams[at]
+
+
+def trim(live: DataFrame, u: Units) -> DataFrame:
+    """Pieces of blocks (same columns) between chosen grams that come once under their hash."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            codes, first = seg_codes(batch.column(2).to_pylist(), u)
+            block, at, gram = _chosen(codes, first, u)
+            key = mix(h[block].view(np.uint64) ^ mix(gram))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h[block]), pa.array(d[block]), pa.array((at - first[block]).astype(np.int32))], ["x", "h", "d", "at"])
+
+    marks = live.select("h", "d", "seg").mapInArrow(mark, "x bigint, h bigint, d bigint, at int")
+    alone = marks.groupBy("x").agg(F.count("*").alias("c"), F.min("h").alias("h"), F.min("d").alias("d"), F.min("at").alias("at")).where("c = 1")
+    cuts = alone.groupBy("h", "d").agg(F.sort_array(F.collect_list("at")).alias("_cuts"))  # of one block
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = {f: batch.column(f).to_pylist() for f in batch.schema.names}
+            out: list[tuple] = []
+            for i, seg in enumerate(rows["seg"]):
+                edges, n = rows["_cuts"][i] or [], rows["n"][i]
+                units = seg.split() if u.words and edges else seg
+                for a, b in zip([-1, *edges], [*edges, n - u.k + 1]):
+                    # a piece holds no whole cut gram
+                    lo, hi = a + 1, b + u.k - 1
+                    if hi - lo >= u.window:
+                        piece = seg if not edges else b" ".join(units[lo:hi]) if u.words else units[lo:hi]
+                        out.append((rows["h"][i], rows["doc"][i], rows["th"][i], rows["start"][i] + lo, hi - lo, rows["copies"][i], rows["multi"][i], piece))
+            cols = list(zip(*out)) if out else [()] * 8
+            codes, first = seg_codes(list(cols[7]), u)
+            d = SPAN_ROLLER.spans(SPAN_ROLLER.prefix(codes), first[:-1], first[1:])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
+            arrays = [pa.array(c, k) for c, k in zip(cols, kinds)]
+            yield pa.RecordBatch.from_arrays([arrays[0], pa.array(d.view(np.int64)), *arrays[1:]], ["h", "d", "doc", "th", "start", "n", "copies", "multi", "seg"])
+
+    return live.join(cuts, ["h", "d"], "left").mapInArrow(cut, LIVE)
+
+
 SPAN = "doc bigint, th bigint, s int, e int"
 
 
@@ -207,26 +263,41 @@ def hot_windows(live: DataFrame, u: Units, earlier: bool) -> DataFrame:
     return found.select("doc", "th", "s", (F.col("s") + u.window).alias("e"))
 
 
+def _known(found: DataFrame, earlier: bool) -> DataFrame:
+    """For every (h, d) of hashes that may hold repeated windows: first document, copies and number of different blocks."""
+    kinds = found.groupBy("h", "d").agg(F.min("doc").alias("_first"), F.max("doc").alias("_last"), F.sum("copies").alias("_copies"), F.max("multi").alias("_multi"))
+    groups = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("_copies").alias("_all"), F.max("_multi").alias("_any"), F.min("_first").alias("_low"), F.max("_last").alias("_high"))
+    return kinds.select("h", "d", "_first", "_copies").join(groups.where("_high > _low" if earlier else "_all > 1 or _any").select("h", "kinds", "_any"), "h")
+
+
+def _settled(met: DataFrame, earlier: bool) -> DataFrame:
+    """Spans of blocks that are repeated as a whole."""
+    whole = F.col("doc") > F.col("_first") if earlier else F.col("_copies") > 1
+    return met.where(whole).select("doc", "th", F.col("start").alias("s"), (F.col("start") + F.col("n")).alias("e"))
+
+
 def repeated_spans(docs: DataFrame, u: Units, search: Search, earlier: bool, doc_id: str, text: str, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """Spans (doc, th, s, e) of repeated windows. earlier: only where a smaller document id has the window too."""
     small_batches(docs.sparkSession)
     rows = keyed(docs, doc_id, text)
-    found = materialise(blocks(rows, u), "blocks")
-    kinds = found.groupBy("h", "d").agg(F.min("doc").alias("first"), F.count("*").alias("copies"), F.max("multi").alias("multi"), F.max("doc").alias("last"))
-    groups = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("copies").alias("_all"), F.max("multi").alias("_multi"), F.min("first").alias("_low"), F.max("last").alias("_high"))
-    groups = groups.where("_high > _low" if earlier else "_all > 1 or _multi").select("h", "kinds", "_low", "_multi", "_high")
-    # hashes met once are gone from here on
-    known = kinds.drop("multi").join(groups, "h").select("h", "d", "copies", "kinds", "_multi", "last", F.col("first").alias("_first"))
-    met = materialise(found.drop("multi").join(known, ["h", "d"]), "met")
-    whole_too = F.col("doc") > F.col("_first") if earlier else F.col("copies") > 1
-    copies = met.where(whole_too).select("doc", "th", F.col("start").alias("s"), (F.col("start") + F.col("n")).alias("e"))
+    found = materialise(blocks(rows, u).withColumn("copies", F.lit(1).cast("bigint")), "blocks")
+    met = materialise(found.join(_known(found, earlier), ["h", "d"]), "met")  # hashes met once are gone from here on
+    open_ = (F.col("kinds") > 1) | F.lit(False if earlier else True) & F.col("_any")
     if earlier:  # every place of a block in its first document; later ones go whole
-        pick = met.where((F.col("doc") == F.col("_first")) & (F.col("kinds") > 1)).select(*PICK)
+        pick = met.where(open_ & (F.col("doc") == F.col("_first"))).select(*PICK)
     else:  # one place stands for all copies
-        pick = met.where((F.col("kinds") > 1) | F.col("_multi")).groupBy("h", "d", "n", "copies", "kinds").agg(F.min(F.struct("doc", "th", "start")).alias("_at")).select("h", "d", "_at.*", "n", "copies", "kinds")
+        pick = met.where(open_).groupBy("h", "d", "n", F.col("_copies").alias("copies")).agg(F.max("multi").alias("multi"), F.min(F.struct("doc", "th", "start")).alias("_at")).select("h", "d", "_at.*", "n", "copies", "multi")
     live = materialise(fetch(rows, pick, u), "live")
-    cool = search_blocks(live.where(F.col("kinds") <= hot_blocks), u, search)
-    return copies.unionByName(cool).unionByName(hot_windows(live.where(F.col("kinds") > hot_blocks), u, earlier))
+    pieces = materialise(trim(live, u), "pieces")
+    left = pieces.join(_known(pieces, earlier), ["h", "d"])
+    spans = _settled(met, earlier).unionByName(_settled(left, earlier))
+    if earlier:
+        ask = left.where(open_ & (F.col("doc") == F.col("_first")))
+    else:
+        one = pieces.groupBy("h", "d").agg(F.min(F.struct("doc", "th", "start")).alias("_one"))
+        ask = left.where(open_).join(one, ["h", "d"]).where(F.struct("doc", "th", "start") == F.col("_one")).withColumn("copies", F.col("_copies"))
+    ask = ask.select("h", "doc", "th", "start", "copies", "kinds", "seg")
+    return spans.unionByName(search_blocks(ask.where(F.col("kinds") <= hot_blocks), u, search)).unionByName(hot_windows(ask.where(F.col("kinds") > hot_blocks), u, earlier))
 
 
 RESULT = "n bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
