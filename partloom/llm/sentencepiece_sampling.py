@@ -143,7 +143,7 @@ class Lattice:
         beta = np.zeros(n + 1)
         first = np.flatnonzero(np.append(True, self.node[1:] != self.node[:-1])) if len(node) else np.zeros(0, np.int64)
         cuts = np.append(np.flatnonzero(np.append(True, left[first][1:] != left[first][:-1])), len(first)) if len(first) else np.zeros(1, np.int64)
-        stop = np.append(first[1:], len(self.node))
+        stop = np.append(first[1:], len(self.node))[: len(first)]
         after = self.node + self.size
         inner = after < self.end[self.node] if len(node) else np.zeros(0, bool)
         total = np.empty(len(self.node))

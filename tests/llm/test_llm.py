@@ -241,10 +241,11 @@ def test_jaccard_small_parts(spark):
 
 
 def test_classifier_on_held_out_labels(spark, data):
+    data = data.replace("sf0.001", "sf0.01")  # enough labels to learn from
     got = {r["doc_id"]: r for r in classify(read(spark, data, "documents"), read(spark, data, "labels")).collect()}
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for i, r in got.items())
     held = [(q, got[i]["predicted"]) for i, q in rows_of(data, "labels", ["doc_id", "quality"]) if got[i]["held_out"]]
-    assert sum(a == b for a, b in held) >= 0.9 * len(held)
+    assert sum(a == b for a, b in held) >= 0.95 * len(held)
 
 
 def test_classifier_on_awkward_tables(spark):
