@@ -7,8 +7,9 @@ group a signature tree is built: a node holds the OR of its members' token bitma
 are walked together, and a pair of nodes goes on only if the largest overlap that bitmaps and sizes allow is enough. Pairs
 of documents left over are compared exactly; documents already linked need no second proof.
 
-Groups beyond BLOCK documents are cut into blocks, each with the pivot. What a block leaves unlinked is then compared with
-the group's other blocks, pair by pair of blocks, so no task holds an unbounded group and no link is lost.
+At first each document visits one group only, which links most copies. A second round takes the groups whose members are
+still in different components, and compares all but the largest component with the whole group. Groups beyond BLOCK
+documents are cut into blocks and compared pair by pair of blocks, so no task holds an unbounded group and no link is lost.
 """
 
 from __future__ import annotations
@@ -66,16 +67,36 @@ def class_of(n: np.ndarray) -> np.ndarray:
     return c - ((c > 0) & (n <= _upper(c - 1)))
 
 
+def _parts(c: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(parts, spare) of a size class. Sets of the class differ in at most parts - 1 - spare shingles, so more than spare
+    parts are the same; a set with no more than spare empty parts then shares one that is not empty."""
+    upper = _upper(c)
+    least = upper / CLASS_GROWTH * percent / 100
+    needed = 2 * upper * (100 - percent) // (100 + percent) + 1
+    spare = np.zeros_like(needed)
+    for _ in range(4):
+        empty = (needed + spare) * np.exp(-least / (needed + spare))
+        spare = np.ceil(empty + 3 * np.sqrt(empty)).astype(np.int64)
+    spare[needed == 1] = 0
+    return needed + spare, spare
+
+
+def _visits(n: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(takes part, number of parts, spare ones, class) of every set, for its own class and for the next one."""
+    own = class_of(n)
+    # a partner has at most n * 100 / percent shingles
+    return [(takes, *_parts(c, percent), c) for takes, c in ((n > 0, own), ((n > 0) & (n * 100 // percent > _upper(own)), own + 1))]
+
+
 def part_keys(sets: np.ndarray, first: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every part of every set, in its own size class and, near the upper end, in the next one too."""
+    """(row, key) of the parts of every set, in its own size class and, near the upper end, in the next one too.
+
+    Empty parts would join sets that have nothing in common. They have keys only in sets with more of them than spare.
+    """
     n = np.diff(first)
-    own = class_of(n)
     rows, keys = [], []
-    for guest in (0, 1):
-        c = own + guest
-        # a partner of this class or the next has at most n * 100 / percent shingles
-        takes = (n > 0) if guest == 0 else (n > 0) & (n * 100 // percent > _upper(own))
-        parts = np.where(takes, 2 * _upper(c) * (100 - percent) // (100 + percent) + 1, 0)
+    for takes, count, spare, c in _visits(n, percent):
+        parts = np.where(takes, count, 0)
         base = np.cumsum(parts) - parts
         total = int(parts.sum())
         row_of = np.repeat(np.arange(len(n)), n)
@@ -86,9 +107,11 @@ def part_keys(sets: np.ndarray, first: np.ndarray, percent: int = PERCENT) -> tu
         np.add.at(sums, slot, mix(x))
         row = np.repeat(np.arange(len(n)), parts)
         part = np.arange(total) - base[row]
-        salt = mix((c[row] * (1 << 32) + part).astype(np.uint64))
-        # an empty part is a part too: it is equal to another empty one
-        rows.append(row), keys.append(mix(sums ^ salt))
+        full = np.bincount(slot, minlength=total) > 0
+        wide = np.bincount(row[~full], minlength=len(n)) > spare
+        give = full | wide[row]
+        key = mix(sums ^ mix((c[row] * (1 << 32) + part).astype(np.uint64)))
+        rows.append(row[give]), keys.append(key[give])
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -234,13 +257,13 @@ def _across(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges: list[tuple[int, int]] = []
         for _, rows in _groups(batches, 3):
-            side = {r[4]: r for r in rows if r[3]}
-            rest = {r[4]: r for r in rows if not r[3] and r[4] not in side}
+            side = {r[5]: r for r in rows if r[3]}
+            rest = {r[5]: r for r in rows if not r[3] and r[5] not in side}
             names = [*sorted(side), *sorted(rest)]
             if not side:
                 continue
             m = Members([(side.get(x) or rest[x])[6] for x in names])
-            label = np.array([(side.get(x) or rest[x])[5] for x in names])
+            label = np.array([(side.get(x) or rest[x])[4] for x in names])
             a, b = np.arange(len(side)), np.arange(len(side), len(names))
             a, b = a[np.argsort(m.size[a], kind="stable")], b[np.argsort(m.size[b], kind="stable")]
             edges += links(m, names, a, None, label, percent)
@@ -274,84 +297,179 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFram
     return nodes.join(edges.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-SETS = "doc bigint, th bigint, n int, d1 bigint, d2 bigint, keys array<bigint>"
+SETS = "doc bigint, th bigint, n int, d1 bigint, d2 bigint, parts bigint"
+#: About so many part keys meet in one bucket.
+BUCKET_KEYS = 2_000_000
+KEY_BITS = 48
 
 
 def _facts(percent: int, size: int):
+    """Size, digest (two sums of mixed hashes) and number of part keys of each set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column(2)):
                 sets, first = shingle_sets(data, offsets, size)
-                total = np.zeros(len(sets) + 1, np.uint64)
-                np.cumsum(mix(sets), out=total[1:])
-                other = np.zeros(len(sets) + 1, np.uint64)
-                np.cumsum(mix(sets ^ np.uint64(0x5851F42D4C957F2D)), out=other[1:])
-                d1, d2 = total[first[1:]] - total[first[:-1]], other[first[1:]] - other[first[:-1]]
-                row, key = part_keys(sets, first, percent)
-                order = np.argsort(row, kind="stable")
-                cut = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=j - i))]).astype(np.int32)
-                keys = pa.ListArray.from_arrays(pa.array(cut), pa.array(key[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(first).astype(np.int32)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), keys], ["doc", "th", "n", "d1", "d2", "keys"])
+                n = np.diff(first)
+                sums = []
+                for salt in (0, 0x5851F42D4C957F2D):
+                    total = np.zeros(len(sets) + 1, np.uint64)
+                    np.cumsum(mix(sets ^ np.uint64(salt)), out=total[1:])
+                    sums.append(pa.array((total[first[1:]] - total[first[:-1]]).view(np.int64)))
+                parts = sum(np.where(takes, m, 0) for takes, m, _, _ in _visits(n, percent))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n.astype(np.int32)), *sums, pa.array(parts)], ["doc", "th", "n", "d1", "d2", "parts"])
 
     return run
 
 
-def _sets_of(size: int):
+PACKED = "bucket int, keys binary, places binary, docs binary, key bigint, doc bigint"
+
+
+def _packed_keys(percent: int, size: int, buckets: int):
+    """Part keys by bucket in packed rows, 8 bytes a key. Keys that come twice in a batch go out as (key, doc) rows, and
+    only one of them into the bucket, so a key that many documents share adds little to its bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in chunks(batch.column(1)):
-                sets, first = shingle_sets(data, offsets, size)
-                arrays = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(sets.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), arrays], ["id", "sets"])
+            ids = batch.column(0).to_numpy()
+            found = []
+            for i, _, data, offsets in chunks(batch.column(1)):
+                row, key = part_keys(*shingle_sets(data, offsets, size), percent)
+                found.append((i + row, key))
+            if not found:
+                continue
+            row, key = (np.concatenate(x) for x in zip(*found))
+            key = ((key >> np.uint64(KEY_BITS)) % np.uint64(buckets) << np.uint64(KEY_BITS)) | (key & np.uint64((1 << KEY_BITS) - 1))
+            order = np.argsort(key, kind="stable")
+            row, key = row[order], key[order]
+            lead = np.ones(len(key), bool)
+            lead[1:] = key[1:] != key[:-1]
+            many = ~lead
+            many[:-1] |= ~lead[1:]
+            cut = np.searchsorted(key[lead], np.arange(buckets + 1).astype(np.uint64) << np.uint64(KEY_BITS))
+            one_key, one_row = key[lead], row[lead]
+            out = []
+            for b in np.flatnonzero(np.diff(cut)):
+                k, r = one_key[cut[b] : cut[b + 1]], one_row[cut[b] : cut[b + 1]]
+                who, place = np.unique(r, return_inverse=True)
+                low = np.concatenate([(k & np.uint64(0xFFFFFFFF)).astype("<u4").view(np.uint8), (k >> np.uint64(32)).astype("<u2").view(np.uint8)])
+                out.append((int(b), low.tobytes(), place.astype("<u2").tobytes(), ids[who].astype("<i8").tobytes()))
+            n, m = len(out), int(many.sum())
+            cols = list(zip(*out)) if out else [()] * 4
+            blank = [None] * m
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([*cols[0], *blank], pa.int32()), *(pa.array([*c, *blank], pa.binary()) for c in cols[1:]),
+                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(key[many].view(np.int64))]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(ids[row[many]])]),
+                ],
+                ["bucket", "keys", "places", "docs", "key", "doc"],
+            )
 
     return run
 
 
+def _met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, doc) of keys that come twice or more in a bucket."""
+
+    def settle(bucket: int, keys: list[np.ndarray], docs: list[np.ndarray]) -> pa.RecordBatch:
+        k, d = np.concatenate(keys), np.concatenate(docs)
+        order = np.argsort(k, kind="stable")
+        k, d = k[order], d[order]
+        same = np.zeros(len(k), bool)
+        same[1:] = k[1:] == k[:-1]
+        same[:-1] |= same[1:]
+        return pa.RecordBatch.from_arrays([pa.array((k[same] | (np.uint64(bucket) << np.uint64(KEY_BITS))).view(np.int64)), pa.array(d[same])], ["key", "doc"])
+
+    now, keys, docs = -1, [], []
+    for batch in batches:
+        for bucket, low, place, who in zip(*(c.to_pylist() for c in batch.columns[:4])):
+            if bucket != now and keys:
+                yield settle(now, keys, docs)
+                keys, docs = [], []
+            now, n = bucket, len(place) // 2
+            keys.append(np.frombuffer(low, "<u4", n).astype(np.uint64) | (np.frombuffer(low, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)))
+            docs.append(np.frombuffer(who, "<i8")[np.frombuffer(place, "<u2")])
+    if keys:
+        yield settle(now, keys, docs)
+
+
+def fetch_sets(rows: DataFrame, wanted: DataFrame, fields: list[str], size: int) -> DataFrame:
+    """wanted (id, id_th and fields) with the shingle set of each id: texts are read once, however often an id is wanted."""
+    lists = wanted.groupBy("id", "id_th").agg(F.collect_list(F.struct(*fields)).alias("_list"))  # at most one for each part
+    kinds = {f.name: f.dataType for f in wanted.schema.fields}
+    joined = rows.join(lists, (F.col("_doc") == F.col("id")) & (F.col("_th") == F.col("id_th"))).select("_text", "id", "_list")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            at, items = lists.offsets.to_numpy(), lists.values
+            for i, j, data, offsets in chunks(batch.column(0)):
+                sets, first = shingle_sets(data, offsets, size)
+                for r in range(i, j):
+                    mine = pa.array(sets[first[r - i] : first[r - i + 1]].view(np.int64))
+                    m = int(at[r + 1] - at[r])
+                    each = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * len(mine)), pa.concat_arrays([mine] * m))
+                    part = items.slice(at[r], m)
+                    yield pa.RecordBatch.from_arrays([*(part.field(k) for k in range(len(fields))), pa.array(np.full(m, batch.column(1)[r].as_py())), each], [*fields, "id", "sets"])
+
+    schema = ", ".join(f"{f} {kinds[f].simpleString()}" for f in fields)
+    return joined.mapInArrow(run, f"{schema}, id bigint, sets array<bigint>")
+
+
+def _placed(member: DataFrame, block: int) -> DataFrame:
+    """(pivot, id, pieces, block) of groups of two or more; the least member of a cut group sits in every block."""
+    sizes = member.groupBy("pivot").agg(F.count("*").alias("size")).where("size > 1")
+    pieces = F.ceil(F.col("size") / block).cast("int")
+    placed = member.join(sizes, "pivot").select("pivot", "id", pieces.alias("pieces"), F.when(pieces > 1, F.pmod(F.xxhash64("id"), pieces)).otherwise(F.lit(0)).cast("int").alias("block"))
+    lead = placed.where("pieces > 1").groupBy("pivot", "pieces").agg(F.min("id").alias("id")).select("pivot", "id", "pieces", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("block"))
+    return placed.union(lead).distinct()
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """One row for each input row: doc_id, n_shingles, component_id.
 
     Texts without words (null, empty, white space) have no shingles and are linked with nothing; their component is their
     own id. Texts of fewer words than a shingle have one. Equal sets are linked whatever their ids; rows of one id share
-    its component, and of different texts under one id only that with the smallest hash is compared. A null doc_id takes no part: n_shingles is given, component_id is null. Empty tables give no rows;
-    other columns are ignored.
+    its component, and of different texts under one id only that with the smallest hash is compared. A null doc_id takes
+    no part: n_shingles is given, component_id is null. Empty tables give no rows; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("bigint").alias("_doc"), F.xxhash64(t).alias("_th"), t.alias("_text"))
-    facts = materialise(rows.mapInArrow(_facts(percent, size), SETS), "facts")
-    small = facts.select("doc", "th", "n", "d1", "d2")
+    small = materialise(rows.mapInArrow(_facts(percent, size), SETS), "facts")
     # one text speaks for an id, and one id (the smallest) for equal sets
     present = small.where("doc is not null and n > 0").groupBy("doc").agg(F.min(F.struct("th", "n", "d1", "d2")).alias("s")).select("doc", "s.*")
     reps = present.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc", "th")).alias("r")).select("d1", "d2", "n", F.col("r.doc").alias("id"), F.col("r.th").alias("id_th"))
-    parts = facts.where("doc is not null and n > 0").select("doc", F.explode_outer("keys").alias("key"))
+    total = small.where("doc is not null").agg(F.coalesce(F.sum("parts"), F.lit(0))).first()[0]
+    buckets = min(1 << 14, max(32, total // BUCKET_KEYS))
+    packed = rows.where("_doc is not null").select("_doc", "_text").mapInArrow(_packed_keys(percent, size, buckets), PACKED)
+    gathered = packed.where("bucket is not null").select("bucket", "keys", "places", "docs").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met_again, "key bigint, doc bigint")
+    parts = materialise(packed.where("key is not null").select("key", "doc").union(gathered), "parts")
     shared = parts.groupBy("key").agg(F.min("doc").alias("pivot"), F.max("doc").alias("_last")).where("_last > pivot").select("key", "pivot")
     # members of each pivot's group, representatives only
     member = parts.join(shared, "key").select("pivot", F.col("doc").alias("id")).distinct()
     one = present.join(reps, ["d1", "d2", "n"]).select("doc", "id").distinct()
     same = one.where("doc <> id").select(F.col("doc").alias("a"), F.col("id").alias("b"))
     member = materialise(member.join(reps.select("id"), "id", "left_semi"), "members")
-    sizes = member.groupBy("pivot").agg(F.count("*").alias("size")).where("size > 1")
-    pieces = F.ceil(F.col("size") / block).cast("int")
-    placed = member.join(sizes, "pivot").select("pivot", "id", pieces.alias("pieces"), F.when(pieces > 1, F.pmod(F.xxhash64("id"), pieces)).otherwise(F.lit(0)).cast("int").alias("block"))
-    # the least member of a big group sits in every block
-    lead = placed.where("pieces > 1").groupBy("pivot", "pieces").agg(F.min("id").alias("id")).select("pivot", "id", "pieces", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("block"))
-    placed = materialise(placed.union(lead).distinct(), "placed")
-    wanted = placed.select("id").distinct().join(reps.select("id", "id_th"), "id")
-    texts = rows.join(wanted, (F.col("_doc") == F.col("id")) & (F.col("_th") == F.col("id_th"))).select("id", "_text")
-    sets = materialise(texts.mapInArrow(_sets_of(size), "id bigint, sets array<bigint>").dropDuplicates(["id"]), "wanted")
-    edges = materialise(placed.select("pivot", "block", "id").join(sets, "id").select("pivot", "block", "id", "sets").repartition("pivot", "block").sortWithinPartitions("pivot", "block").mapInArrow(_within(percent), EDGES), "links")
-    big = placed.where("pieces > 1").select("pivot", "id", "pieces", "block")
-    if big.limit(1).count():
-        label = components(sets.select("id"), edges)
-        seen = materialise(big.join(label, "id"), "labelled")
-        most = seen.groupBy("pivot", "component").agg(F.count("*").alias("_c")).groupBy("pivot").agg(F.max_by("component", F.struct("_c", "component")).alias("_main"))
-        left = seen.join(most, "pivot").where("component <> _main").select("pivot", "id", "pieces", "component").distinct()
-        left = left.withColumn("_slot", F.pmod(F.xxhash64("id", F.lit(1)), F.col("pieces")).cast("int"))
-        slots = left.select("pivot", "_slot").distinct()
-        others = seen.join(slots, "pivot").select("pivot", "_slot", "block", F.lit(False).alias("side"), "id", "component")
-        blocks = left.select("pivot", "id", "component", "_slot", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("block")).select("pivot", "_slot", "block", F.lit(True).alias("side"), "id", "component")
-        pairs = others.union(blocks).join(sets, "id").select("pivot", "_slot", "block", "side", "id", "component", "sets")
-        more = pairs.repartition("pivot", "_slot", "block").sortWithinPartitions("pivot", "_slot", "block").mapInArrow(_across(percent), EDGES)
+    named = reps.select("id", "id_th")
+    # first every document goes to one group only, that of its smallest pivot
+    first = member.groupBy("id").agg(F.min("pivot").alias("pivot"))
+    once = first.select("pivot", "id").union(first.select("pivot", F.col("pivot").alias("id"))).distinct()
+    placed = materialise(_placed(once, block), "placed")
+    sets = fetch_sets(rows, placed.select("pivot", "block", "id").join(named, "id"), ["pivot", "block"], size)
+    edges = materialise(sets.repartition("pivot", "block").sortWithinPartitions("pivot", "block").mapInArrow(_within(percent), EDGES), "links")
+    # then whole groups, but only where they still fall apart: the largest component needs no look at itself
+    seen = member.join(components(member.select("id").distinct(), edges), "id")
+    apart = seen.groupBy("pivot").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count("*").alias("_n")).where("_a < _b").select("pivot", F.ceil(F.col("_n") / block).cast("int").alias("pieces"))
+    seen = materialise(seen.join(apart, "pivot").withColumn("block", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")), "apart")
+    most = seen.groupBy("pivot", "component").agg(F.count("*").alias("_c")).groupBy("pivot").agg(F.max_by("component", F.struct("_c", "component")).alias("_main"))
+    left = seen.join(most, "pivot").where("component <> _main").withColumn("_slot", F.pmod(F.xxhash64("id", F.lit(1)), F.col("pieces")).cast("int"))
+    others = seen.join(left.select("pivot", "_slot").distinct(), "pivot").select("pivot", "_slot", "block", F.lit(False).alias("side"), "component", "id")
+    ask = left.select("pivot", "_slot", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("block"), F.lit(True).alias("side"), "component", "id")
+    pairs = materialise(others.union(ask), "pairs")
+    if pairs.limit(1).count():
+        again = fetch_sets(rows, pairs.join(named, "id"), ["pivot", "_slot", "block", "side", "component"], size)
+        more = again.repartition("pivot", "_slot", "block").sortWithinPartitions("pivot", "_slot", "block").mapInArrow(_across(percent), EDGES)
         edges = edges.union(materialise(more, "links"))
     found = components(present.select(F.col("doc").alias("id")).distinct(), edges.union(same))
     out = small.join(found, F.col("doc") == F.col("id"), "left")
