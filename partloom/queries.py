@@ -358,8 +358,8 @@ def sequence_substring_semi(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("sequence_global_search")
 def sequence_global_search(spark: SparkSession, sf: str) -> DataFrame:
-    s = D.sequences(spark, sf).where(F.length("sequence").between(20, 400))
-    return sequences.global_search(s, s.orderBy("subject").first()["sequence"])
+    s = D.sequences(spark, sf)
+    return sequences.global_search(s, s.where(F.length("sequence").between(sequences.MIN_LENGTH, sequences.MAX_LENGTH)).orderBy("subject").first()["sequence"])
 
 
 @register("greedy_centroid_clusters")
