@@ -45,30 +45,34 @@ def fuzzy_terms(docs: DataFrame, terms: list[str], fields: list[str], most: int
 def bm25(docs: DataFrame, terms: list[str] | dict[str, list[tuple[str, float]]], fields: dict[str, float] | None = None, subject: str | None = "subject") -> DataFrame:
     """docs with column q: the largest over fields of boost * BM25, only rows that any term matches.
 
-    Statistics of all fields and terms come from one aggregation to one row; scoring is a map, without a shuffle.
+    Statistics of all fields and terms come from one aggregation to one row; scoring is a map, without a shuffle. Counts
+    are one array a field, so the plan stays small for many words.
     """
     fields = fields or FIELDS
     weighted = terms if isinstance(terms, dict) else {t: [(t, 1.0)] for t in terms}
     words = sorted({w for alts in weighted.values() for w, _ in alts})
     names = list(fields)
     tok = docs.withColumns({f"_t_{f}": tokens(F.col(f)) for f in names})
-    count = lambda f, w: F.size(F.filter(F.col(f"_t_{f}"), lambda x: x == w))
-    cols = {f"_l_{f}": F.size(f"_t_{f}") for f in names} | {f"_n_{f}_{i}": count(f, w) for f in names for i, w in enumerate(words)}
-    table = tok.withColumns(cols).drop(*(f"_t_{f}" for f in names))
+    tok = tok.withColumns({f"_l_{f}": F.size(f"_t_{f}") for f in names} | {f"_k_{f}": F.filter(F.col(f"_t_{f}"), lambda x: x.isin(words)) for f in names}).drop(*(f"_t_{f}" for f in names))
+    listed = F.lit(words) if words else F.array().cast("array<string>")
+    # an array of one binds the kept words, else the optimizer puts the split of the text into the loop over words
+    count = lambda f: F.transform(F.array(F.col(f"_k_{f}")), lambda kept: F.transform(listed, lambda w: F.size(F.filter(kept, lambda x: x == w))))[0]
+    table = tok.withColumns({f"_n_{f}": count(f) for f in names}).drop(*(f"_k_{f}" for f in names))
     stats = [F.count_if(F.col(f"_l_{f}") > 0).alias(f"_docs_{f}") for f in names] + [F.sum(f"_l_{f}").alias(f"_total_{f}") for f in names]
-    stats += [F.count_if(F.col(f"_n_{f}_{i}") > 0).alias(f"_df_{f}_{i}") for f in names for i in range(len(words))]
+    stats += [F.array(*(F.count_if(F.col(f"_n_{f}")[i] > 0) for i in range(len(words)))).cast("array<bigint>").alias(f"_df_{f}") for f in names]
     scored = table.crossJoin(F.broadcast(table.agg(*stats)))  # one row of statistics
+    flat = [(words.index(w), float(weight)) for alts in weighted.values() for w, weight in alts]
+    alternatives = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(weight).alias("weight")) for i, weight in flat)).cast("array<struct<i:int,weight:double>>")
 
     def field_score(f: str) -> Column:
         length = 1 - B + B * F.col(f"_l_{f}") / (F.col(f"_total_{f}") / F.col(f"_docs_{f}"))
-        total: Column = F.lit(0.0)
-        for alts in weighted.values():
-            for w, weight in alts:
-                i = words.index(w)
-                tf = F.col(f"_n_{f}_{i}")
-                idf = F.log(1 + (F.col(f"_docs_{f}") - F.col(f"_df_{f}_{i}") + 0.5) / (F.col(f"_df_{f}_{i}") + 0.5))
-                total = total + F.when(tf > 0, weight * idf * tf * (K1 + 1) / (tf + K1 * length)).otherwise(0.0)
-        return fields[f] * total
+
+        def add(total: Column, x: Column) -> Column:
+            tf, df = F.col(f"_n_{f}")[x["i"]], F.col(f"_df_{f}")[x["i"]]
+            idf = F.log(1 + (F.col(f"_docs_{f}") - df + 0.5) / (df + 0.5))
+            return total + F.when(tf > 0, x["weight"] * idf * tf * (K1 + 1) / (tf + K1 * length)).otherwise(0.0)
+
+        return fields[f] * F.aggregate(alternatives, F.lit(0.0), add)
 
     each = [field_score(f) for f in names]
     if subject:  # keyword field: a whole value matches or not

@@ -93,7 +93,7 @@ def fuzzy_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
 @register("fuzzy_text_search")
 def fuzzy_text_search(spark: SparkSession, sf: str) -> DataFrame:
     docs = _docs(spark, sf)
-    return search.search_text(docs, search.fuzzy_terms(docs, ["onenth", "reerea"], ["description"], 20)).select("subject", "score")
+    return search.search_text(docs, search.fuzzy_terms(docs, ["onenth", "reerea"], list(search.FIELDS))).select("subject", "score")
 
 
 @register("cluster_demotion", f"""WITH {DOCS}, h AS (SELECT subject, type, doc_id % 10 AS c, round(ln(1 + pagerank), 6) AS score FROM d ORDER BY score DESC, subject LIMIT 10000),
