@@ -252,12 +252,23 @@ def containment_three_hop(spark: SparkSession, sf: str) -> DataFrame:
     return graph.containment(_contained(spark, sf))
 
 
-def _contained(spark: SparkSession, sf: str) -> DataFrame:
+CONTAINED = """WITH a AS (SELECT DISTINCT 'n' || n_nationkey AS parent, 'r' || n_regionkey AS child FROM nation UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem)
+SELECT parent, child FROM a UNION SELECT x.parent, y.child FROM a x JOIN a y ON x.child = y.parent UNION SELECT x.parent, z.child FROM a x JOIN a y ON x.child = y.parent JOIN a z ON y.child = z.parent"""
+
+
+@register("containment_three_hop_whole", CONTAINED)
+def containment_three_hop_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """As containment_three_hop, whose SQL stops at part 50, with every part."""
+    return graph.containment(_contained(spark, sf, None))
+
+
+def _contained(spark: SparkSession, sf: str, last: int | None = 50) -> DataFrame:
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     a = D.table(spark, sf, "nation").select(key("n", "n_nationkey").alias("parent"), key("r", "n_regionkey").alias("child"))
     b = D.table(spark, sf, "supplier").select(key("s", "s_suppkey"), key("n", "s_nationkey"))
-    c = D.table(spark, sf, "lineitem").where("l_partkey <= 50").select(key("p", "l_partkey"), key("s", "l_suppkey"))
-    return a.union(b).union(c)
+    c = D.table(spark, sf, "lineitem")
+    c = c if last is None else c.where(F.col("l_partkey") <= last)
+    return a.union(b).union(c.select(key("p", "l_partkey"), key("s", "l_suppkey")))
 
 
 @register("viz_nodes_links", """WITH p AS (SELECT DISTINCT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation), i AS (SELECT a AS id FROM p UNION SELECT b FROM p)
@@ -432,11 +443,11 @@ EXPECT = """r AS (SELECT o_custkey AS query_id, 'o' || o_orderkey AS subject, ro
 x AS (SELECT o_custkey AS query_id, 'o' || o_orderkey AS child FROM orders WHERE o_orderkey % 4 = 0), pos AS (SELECT x.query_id, child, CAST(coalesce(position, -1) AS BIGINT) AS position FROM x LEFT JOIN r ON r.query_id = x.query_id AND r.subject = x.child)"""
 
 
-def _positions(spark: SparkSession, sf: str) -> DataFrame:
+def _positions(spark: SparkSession, sf: str, every: int = 4) -> DataFrame:
     o = D.table(spark, sf, "orders")
     key = F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))
     results = o.where("o_orderstatus <> 'F'").select(F.col("o_custkey").alias("query_id"), key.alias("subject"), F.col("o_totalprice").alias("order_by"))
-    return evaluate.rank_of_expected(results, o.where("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("query_id"), key.alias("child"))).withColumn("position", F.col("position").cast("bigint"))
+    return evaluate.rank_of_expected(results, o.where(F.col("o_orderkey") % every == 0).select(F.col("o_custkey").alias("query_id"), key.alias("child"))).withColumn("position", F.col("position").cast("bigint"))
 
 
 @register("rank_of_expected", f"WITH {EXPECT} SELECT query_id, child, position FROM pos")
@@ -447,3 +458,19 @@ def rank_of_expected(spark: SparkSession, sf: str) -> DataFrame:
 @register("upper_median_rank", f"WITH {EXPECT}, f AS (SELECT position FROM pos WHERE position >= 0) SELECT (SELECT count(*) FROM pos) AS total, (SELECT count(*) FROM f) AS found, round(avg(position), 6) AS average, (SELECT list_sort(list(position))[count(*) // 2 + 1] FROM f) AS upper_median FROM f")
 def upper_median_rank(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.summary(_positions(spark, sf))
+
+
+EXPECT_ALL = """r AS (SELECT o_custkey AS query_id, 'o' || o_orderkey AS subject, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, 'o' || o_orderkey) - 1 AS position FROM orders WHERE o_orderstatus <> 'F'),
+x AS (SELECT o_custkey AS query_id, 'o' || o_orderkey AS child FROM orders), pos AS (SELECT x.query_id, child, CAST(coalesce(position, -1) AS BIGINT) AS position FROM x LEFT JOIN r ON r.query_id = x.query_id AND r.subject = x.child)"""
+
+
+@register("rank_of_expected_whole", f"WITH {EXPECT_ALL} SELECT query_id, child, position FROM pos")
+def rank_of_expected_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """As rank_of_expected, whose SQL expects every fourth order, with every order."""
+    return _positions(spark, sf, 1)
+
+
+@register("upper_median_rank_whole", f"WITH {EXPECT_ALL}, f AS (SELECT position FROM pos WHERE position >= 0) SELECT (SELECT count(*) FROM pos) AS total, (SELECT count(*) FROM f) AS found, round(avg(position), 6) AS average, (SELECT list_sort(list(position))[count(*) // 2 + 1] FROM f) AS upper_median FROM f")
+def upper_median_rank_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """As upper_median_rank, with every order expected."""
+    return evaluate.summary(_positions(spark, sf, 1))

@@ -71,3 +71,22 @@ def test_fuzzy_text_search_brute_force(spark, tmp_path):
     want = {s: q * q * math.log(1 + docs[s][1]) for s, q in want.items() if q}
     assert len(alts["onenth"]) == 50 and any(w == "onetnh" for _, w in alts["onenth"])
     assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 2e-6 for s in want)
+
+
+def test_containment_and_ranks_of_whole_tables(spark, data):
+    read = lambda t, *c: [tuple(r) for r in spark.read.parquet(f"{data}/{t}.parquet").select(*c).distinct().collect()]
+    down = {}
+    for a, b in [(f"n{n}", f"r{r}") for n, r in read("nation", "n_nationkey", "n_regionkey")] + [(f"s{s}", f"n{n}") for s, n in read("supplier", "s_suppkey", "s_nationkey")] + [(f"p{p}", f"s{s}") for p, s in read("lineitem", "l_partkey", "l_suppkey")]:
+        down.setdefault(a, set()).add(b)
+    want = set()
+    for a in down:
+        level = {a}
+        for _ in range(3):
+            level = {c for x in level for c in down.get(x, ())}
+            want |= {(a, c) for c in level}
+    got = [tuple(r) for r in QUERIES["containment_three_hop_whole"](spark, data).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+    orders = {f"o{k}" for (k,) in read("orders", "o_orderkey")}
+    assert {r["child"] for r in QUERIES["rank_of_expected_whole"](spark, data).collect()} == orders
+    assert QUERIES["upper_median_rank_whole"](spark, data).first()["total"] == len(orders)
