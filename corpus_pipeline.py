@@ -35,7 +35,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sample_segmentations(docs)
+    return sample_segmentations(docs, with_ids=True)
 
 
 STAGES = [

@@ -52,7 +52,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_chat(_table(spark, sf_dir, "conversations")).drop("rendered")
+    return format_chat(_table(spark, sf_dir, "conversations"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_segmentations(_table(spark, sf_dir, "documents"))
+    return sample_segmentations(_table(spark, sf_dir, "documents"), with_ids=True)
 
 
 OP9_SQL = """

@@ -320,7 +320,7 @@ RESULT = "doc_id bigint, sample int, n_pieces bigint, log_prob double, value dou
 
 def sample_segmentations(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SAMPLES, alpha: float = ALPHA, seed: int = SEED, model: str = MODEL, with_ids: bool = False) -> DataFrame:
     """Up to k rows for each input row: sample (from 1, best value first), pieces, scores, digest of the ids, and whether
-    decoding the ids gives the text again.
+    decoding the ids gives the text again; with_ids adds the ids themselves.
 
     Null and empty texts have one segmentation, of no pieces. Texts with fewer than k segmentations give them all, each
     with inclusion probability 1. A null doc_id is kept and seeds as -1. Repeated rows get the same samples. An empty
@@ -347,7 +347,7 @@ def sample_segmentations(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
                 names = ["doc_id", "sample", "n_pieces", "log_prob", "value", "log_inclusion", "ids_sha256", "decoded_ok"]
                 cols = [pa.array(c, t) for c, t in zip(out, kinds)]
                 if with_ids:
-                    cols, names = [*cols, pa.array([c.tolist() for c in out[8]], pa.list_(pa.int32()))], [*names, "ids"]
+                    cols, names = [*cols, pa.ListArray.from_arrays(np.cumsum([0, *map(len, out[8])], dtype=np.int32), pa.array(np.concatenate([np.zeros(0, np.int32), *out[8]])))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
