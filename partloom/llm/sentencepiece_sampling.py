@@ -2,8 +2,10 @@
 
 The lattice of a text has a node at each byte and an edge for each piece of the model found there; characters without a
 piece fall back to byte pieces. Pieces never hold an inner space, so the lattice is a chain of units (a space and what
-follows it), and each different unit of a batch is built once. Backward sums turn the weights into a distribution over
-the edges of each node.
+follows it), and each different unit of a chunk is built once. Backward sums turn the weights into a distribution over
+the edges of each node. A unit of over 4,096 bytes counts as several, cut at characters: no piece crosses such a cut, and
+decoding still gives the text exactly. A long text is sampled range by range of units, so memory beyond the text and its
+ids stays the same however long it is; where ranges are cut has no effect on the samples.
 
 Top-k is an A-star search over sets of paths. The whole set has a Gumbel value; its best path is drawn from the model and
 takes that value. The rest of the set is split by the first edge at which a path leaves the drawn one; each part gets a
@@ -15,6 +17,7 @@ A BPE model ranks its pieces but has no probabilities: a piece of rank r weighs
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
 from collections.abc import Iterator
@@ -29,6 +32,10 @@ from partloom.llm.common import BYTE_CODES, CHUNK_BYTES, WORD_ROLLER, chunks, mi
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, ALPHA, SEED = 2, 0.5, 1
+#: A lattice is built over so many bytes at most (and one unit). No piece of the models given is as long as a unit may be.
+RANGE_BYTES, UNIT_BYTES = CHUNK_BYTES, 4096
+#: Edges of a path whose sets are valued at once.
+EDGES_AT_ONCE = 1 << 18
 NEVER = -1e8  # longer pieces of this score or less are not for use
 BUCKET_BITS = 18
 MASK = (1 << 64) - 1
@@ -68,11 +75,13 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids, without the space that encoding puts first."""
-        if not len(ids):
-            return b""
-        n = self.size[ids]
-        ends = np.cumsum(n)
-        return self.data[np.repeat(self.start[ids] - (ends - n), n) + np.arange(ends[-1])].tobytes()[1:]
+        out = []
+        for a in range(0, len(ids), EDGES_AT_ONCE):
+            part = ids[a : a + EDGES_AT_ONCE]
+            n = self.size[part]
+            ends = np.cumsum(n)
+            out.append(self.data[np.repeat(self.start[part] - (ends - n), n) + np.arange(ends[-1])].tobytes())
+        return b"".join(out)[1:]
 
 
 def load_pieces(path: str = MODEL, alpha: float = ALPHA) -> Pieces:
@@ -156,9 +165,13 @@ class Lattice:
         self.rank = np.zeros(n, np.int64)
         self.rank[self.node[first]] = np.arange(len(first))
         self.first, self.count = first, count
-        p = np.exp(self.logp)
-        running = np.cumsum(p)
-        self.within = running - np.repeat(running[first] - p[first], count) if len(first) else running
+        # sums within each node alone, so that they don't depend on what else is in the lattice
+        self.within = np.exp(self.logp)
+        more, k = first[count > 1], 1
+        while len(more):
+            self.within[more + k] += self.within[more + k - 1]
+            k += 1
+            more = first[count > k]
         self.within[stop - 1] = 1.0
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -199,74 +212,126 @@ def gumbel(x: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(uniform(x)))
 
 
-def units_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Texts with a space put first (none for an empty text), their offsets, unit starts, and the first unit of each text."""
+def units_of(data: np.ndarray, offsets: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts with a space put first (none for an empty text), unit starts, and the first unit of each text."""
     n = np.diff(offsets)
     some = np.flatnonzero(n)
+    out = np.insert(data, offsets[:-1][some], 32)
     moved = np.concatenate([[0], np.cumsum(n + (n > 0))])
-    out = np.full(moved[-1], 32, np.uint8)
-    out[np.arange(len(data)) + np.repeat(np.arange(1, len(some) + 1), n[some])] = data
     control = (out < 32) | (out == 127)
     begin = control | (out == 32)
     begin[1:] |= control[:-1]
     begin[moved[:-1][some]] = True
     starts = np.flatnonzero(begin)
-    return out, moved, starts, np.searchsorted(starts, moved)
+    size = np.diff(np.append(starts, len(out)))
+    long = np.flatnonzero(size > most)
+    if len(long):  # cut before the character at each multiple of most
+        cuts = np.concatenate([np.arange(most, size[i], most) + starts[i] for i in long])
+        for _ in range(3):
+            cuts = cuts - ((out[cuts] & 0xC0) == 0x80)
+        starts = np.union1d(starts, cuts)
+    return out, starts, np.searchsorted(starts, moved)
+
+
+class Ranges:
+    """The units of a chunk in ranges of a bounded number of bytes. Lattices are built when asked for; one is held."""
+
+    def __init__(self, texts: np.ndarray, starts: np.ndarray, pieces: Pieces, size: int):
+        self.texts, self.pieces, self.bounds = texts, pieces, np.append(starts, len(texts))
+        self.cuts = [0]
+        while self.cuts[-1] < len(starts):
+            a = self.cuts[-1]
+            self.cuts.append(max(a + 1, int(np.searchsorted(self.bounds, self.bounds[a] + size, side="right")) - 1))
+        self.now = -1
+
+    def __len__(self) -> int:
+        return len(self.cuts) - 1
+
+    def of(self, unit: int) -> int:
+        return bisect.bisect_right(self.cuts, unit) - 1
+
+    def at(self, g: int) -> tuple[Lattice, np.ndarray, int, int]:
+        """Lattice of range g, the first node of each of its units, its first unit and the one after its last."""
+        a, b = self.cuts[g], self.cuts[g + 1]
+        if g != self.now:
+            bounds = self.bounds[a : b + 1] - self.bounds[a]
+            data = self.texts[self.bounds[a] : self.bounds[b]]
+            h = WORD_ROLLER.spans(WORD_ROLLER.prefix(BYTE_CODES[data]), bounds[:-1], bounds[1:])
+            _, one, which = np.unique(h, return_index=True, return_inverse=True)  # each different unit is built once
+            length = bounds[one + 1] - bounds[one]
+            to = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+            pick = np.repeat(bounds[one] - to[:-1], length) + np.arange(to[-1])
+            self.lattice = None
+            self.lattice, self.first, self.now = Lattice(data[pick], to, self.pieces), to[which], g
+        return self.lattice, self.first, a, b
 
 
 @dataclass
 class Sample:
-    edges: np.ndarray
+    """A path: for each edge its place in its range's lattice, its unit in the text, its piece and log probability."""
+
+    edge: np.ndarray
     unit: np.ndarray
+    ids: np.ndarray
+    logp: np.ndarray
     value: float
 
 
-def encode_chunk(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, pieces: Pieces, k: int = SAMPLES, seed: int = SEED) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """For each text up to k segmentations: (ids, log probability, Gumbel value, log of the inclusion probability)."""
-    texts, moved, starts, first = units_of(data, offsets)
-    bounds = np.append(starts, len(texts))
-    h = WORD_ROLLER.spans(WORD_ROLLER.prefix(BYTE_CODES[texts]), bounds[:-1], bounds[1:])
-    _, one, which = np.unique(h, return_index=True, return_inverse=True)
-    length = bounds[one + 1] - bounds[one]
-    to = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
-    pick = np.repeat(bounds[one] - to[:-1], length) + np.arange(to[-1])
-    lattice = Lattice(texts[pick], to, pieces)
+def _joined(parts: list[tuple[np.ndarray, ...]], value: float) -> Sample:
+    return Sample(*(np.concatenate(x) for x in zip(*parts)), value)
+
+
+def encode_chunk(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, pieces: Pieces, k: int = SAMPLES, seed: int = SEED, range_bytes: int = RANGE_BYTES, unit_bytes: int = UNIT_BYTES) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """For each text up to k segmentations: (ids, log probability, Gumbel value, log of the inclusion probability).
+
+    range_bytes bounds the lattice that is held at a time and has no effect on the result.
+    """
+    texts, starts, first = units_of(data, offsets, unit_bytes)
+    ranges = Ranges(texts, starts, pieces, range_bytes)
     rows = len(offsets) - 1
     row_seed = mix(keys.view(np.uint64) ^ mix(np.full(rows, seed, np.uint64)))
     sampled: list[list[Sample]] = [[] for _ in range(rows)]
     heaps: list[list] = [[] for _ in range(rows)]
 
-    def draw(entry_row: np.ndarray, entry_node: np.ndarray, entry_no: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
-        return lattice.paths(entry_node, mix(row_seed[entry_row] + np.uint64((turn + 1) * 0xD1B54A32D192ED03 & MASK)) + entry_no.astype(np.uint64) * np.uint64(0xABC98388FB8FAC03))
-
-    def expand(r: int, s: Sample, from_edge: int, barred: tuple[int, ...], turn: int) -> None:
-        """Put the best parts of what remains of a drawn set on the row's heap."""
-        logp = lattice.logp[s.edges]
-        before = np.cumsum(logp) - logp
-        mass = -np.expm1(np.minimum(logp[from_edge:], 0.0))
-        if len(mass) and barred:
-            mass[0] -= np.exp(lattice.logp[list(barred)]).sum()
-        mass[mass < 1e-12] = 0
-        can = np.flatnonzero(mass)
-        if not len(can):
-            return
-        t = can + from_edge
-        noise = gumbel(mix(row_seed[r : r + 1] + np.uint64(turn + 1)) + t.astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
-        value = -np.logaddexp(-s.value, -(before[t] + np.log(mass[can]) + noise))
-        best = np.argsort(-value, kind="stable")[:k] if len(value) <= 4 * k else (top := np.argpartition(-value, k)[:k])[np.argsort(-value[top], kind="stable")]
-        for b in best:
-            heapq.heappush(heaps[r], (-float(value[b]), len(sampled[r]) - 1, int(t[b]), barred if t[b] == from_edge else ()))
-
-    entry_row = np.repeat(np.arange(rows), np.diff(first))
-    own = np.arange(len(starts)) - first[entry_row]
-    edges, count = draw(entry_row, to[which], own, 0)
-    edge_unit = np.repeat(own, count)
-    edge_at = np.concatenate([[0], np.cumsum(count)])[first]
+    def draw(lattice: Lattice, row: np.ndarray, node: np.ndarray, unit: np.ndarray, turn: int) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
+        """Paths from nodes to their units' ends, as the arrays of a Sample, and the place after each path's last edge."""
+        noise = mix(row_seed[row] + np.uint64((turn + 1) * 0xD1B54A32D192ED03 & MASK)) + unit.astype(np.uint64) * np.uint64(0xABC98388FB8FAC03)
+        edge, count = lattice.paths(node, noise)
+        return (edge.astype(np.int32), np.repeat(unit.astype(np.int32), count), lattice.ids[edge].astype(np.int32), lattice.logp[edge]), np.concatenate([[0], np.cumsum(count)])
+
+    def expand(r: int, s: Sample, from_edge: int, barred: tuple[int, ...], lost: float, turn: int) -> None:
+        """Put the best parts of what remains of a drawn set on the row's heap; lost is the mass of the barred edges."""
+        before, top = float(s.logp[:from_edge].sum()), []
+        for a in range(from_edge, len(s.logp), EDGES_AT_ONCE):
+            logp = s.logp[a : a + EDGES_AT_ONCE]
+            mass = -np.expm1(np.minimum(logp, 0.0))
+            if a == from_edge:
+                mass[0] -= lost
+            can = np.flatnonzero(mass >= 1e-12)
+            ahead = before + np.cumsum(logp) - logp
+            before += float(logp.sum())
+            t = can + a
+            noise = gumbel(mix(row_seed[r : r + 1] + np.uint64(turn + 1)) + t.astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
+            value = -np.logaddexp(-s.value, -(ahead[can] + np.log(mass[can]) + noise))
+            best = np.argpartition(-value, k)[:k] if len(value) > 4 * k else np.arange(len(value))
+            top.extend(zip((-value[best]).tolist(), t[best].tolist()))
+        for value, t in heapq.nsmallest(k, top):
+            heapq.heappush(heaps[r], (value, len(sampled[r]) - 1, t, barred if t == from_edge else ()))
+
     root = gumbel(row_seed)
+    parts: list[list] = [[] for _ in range(rows)]
+    for g in range(len(ranges)):
+        lattice, node, a, b = ranges.at(g)
+        row = np.searchsorted(first, np.arange(a, b), side="right") - 1
+        cols, ends = draw(lattice, row, node, np.arange(a, b) - first[row], 0)
+        for r in range(int(row[0]), int(row[-1]) + 1):
+            cut = slice(ends[max(first[r], a) - a], ends[max(min(first[r + 1], b), a) - a])
+            parts[r].append(tuple(c[cut] for c in cols))
+    nothing = (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))
     for r in range(rows):
-        a, b = edge_at[r], edge_at[r + 1]
-        sampled[r].append(Sample(edges[a:b], edge_unit[a:b], float(root[r])))
-        expand(r, sampled[r][0], 0, (), 1)
+        sampled[r].append(_joined(parts[r] or [nothing], float(root[r])))
+        parts[r] = []
+        expand(r, sampled[r][0], 0, (), 0.0, 1)
     for turn in range(1, k):
         todo = []
         for r in range(rows):
@@ -274,43 +339,52 @@ def encode_chunk(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, pieces
                 continue
             value, parent, t, barred = heapq.heappop(heaps[r])
             old = sampled[r][parent]
-            node = lattice.node[old.edges[t]]
-            lo = lattice.first[lattice.rank[node]]
-            choices = np.arange(lo, lo + lattice.count[lattice.rank[node]])
-            not_ = (*barred, int(old.edges[t]))
+            unit = int(old.unit[t])
+            lattice, node, a, _ = ranges.at(ranges.of(int(first[r]) + unit))
+            lo = int(lattice.first[lattice.rank[lattice.node[old.edge[t]]]])
+            choices = np.arange(lo, lo + lattice.count[lattice.rank[lattice.node[lo]]])
+            not_ = (*barred, int(old.edge[t]))
             choices = choices[~np.isin(choices, not_)]
             p = np.cumsum(np.exp(lattice.logp[choices]))
             u = uniform(mix(row_seed[r : r + 1]) + np.uint64(turn))[0]
             e = int(choices[min(np.searchsorted(p, u * p[-1], side="right"), len(choices) - 1)])
-            todo.append((r, -value, old, t, e, not_))
-        if not todo:
-            break
-        nodes, rows_of, numbers, sizes = [], [], [], []
-        for r, _, old, t, e, _ in todo:
-            unit = old.unit[t]
-            after = lattice.node[e] + lattice.size[e]
-            rest = to[which[first[r] + unit + 1 : first[r + 1]]]
-            no = np.arange(unit + 1, first[r + 1] - first[r])
-            if after < lattice.end[lattice.node[e]]:
-                rest, no = np.append(after, rest), np.append(unit, no)
-            nodes.append(rest), numbers.append(no), rows_of.append(np.full(len(rest), r)), sizes.append(len(rest))
-        edges, count = draw(np.concatenate(rows_of), np.concatenate(nodes), np.concatenate(numbers), turn)
-        total = np.concatenate([[0], np.cumsum(count)])
-        ends = np.cumsum(sizes)
-        for (r, value, old, t, e, barred), no, size, end in zip(todo, numbers, sizes, ends):
-            a, b = total[end - size], total[end]
-            s = Sample(np.concatenate([old.edges[:t], [e], edges[a:b]]), np.concatenate([old.unit[: t + 1], np.repeat(no, count[end - size : end])]), value)
+            lost = float(np.exp(lattice.logp[list(not_)]).sum())
+            head = (np.array([e], np.int32), np.array([unit], np.int32), lattice.ids[e : e + 1].astype(np.int32), lattice.logp[e : e + 1])
+            after = int(lattice.node[e] + lattice.size[e])
+            rest = after if after < lattice.end[lattice.node[e]] else -1  # where its unit goes on
+            todo.append((r, -value, old, t, not_, lost, unit, rest, [tuple(x[:t] for x in (old.edge, old.unit, old.ids, old.logp)), head]))
+        # what follows the new edges, range by range and for all rows at once
+        for g in sorted({x for r, *_, unit, _, _ in todo for x in range(ranges.of(int(first[r]) + unit), ranges.of(max(int(first[r + 1]) - 1, 0)) + 1)}):
+            lattice, node, a, b = ranges.at(g)
+            nodes, rows_of, units, mine = [], [], [], []
+            for x in todo:
+                r, unit, rest = x[0], x[6], x[7]
+                lo, hi = max(int(first[r]) + unit + 1, a), min(int(first[r + 1]), b)
+                new, no = node[lo - a : max(hi, lo) - a], np.arange(lo, max(hi, lo)) - first[r]
+                if rest >= 0 and a <= first[r] + unit < b:
+                    new, no = np.append(rest, new), np.append(unit, no)
+                if len(new):
+                    nodes.append(new), units.append(no), rows_of.append(np.full(len(new), r)), mine.append(x)
+            if not mine:
+                continue
+            cols, ends = draw(lattice, np.concatenate(rows_of), np.concatenate(nodes), np.concatenate(units), turn)
+            cuts = ends[np.concatenate([[0], np.cumsum([len(x) for x in nodes])])]
+            for x, lo, hi in zip(mine, cuts[:-1], cuts[1:]):
+                x[-1].append(tuple(c[lo:hi] for c in cols))
+        for r, value, old, t, barred, lost, _, _, pieces_of in todo:
+            s = _joined(pieces_of, value)
             sampled[r].append(s)
             # paths that share the part up to t and leave at t by yet another edge, or later
-            expand(r, s, t, barred, turn + 1)
+            expand(r, s, t, barred, lost, turn + 1)
     out = []
     for r in range(rows):
         limit = -heaps[r][0][0] if heaps[r] else -np.inf
         mine = []
         for s in sampled[r]:
-            logp = float(lattice.logp[s.edges].sum())
+            logp = float(s.logp.sum())
             x = logp - limit
-            mine.append((lattice.ids[s.edges].astype(np.int32), logp, s.value, 0.0 if x == np.inf else float(x if x < -30 else np.log(-np.expm1(-np.exp(min(x, 700.0)))))))
+            mine.append((s.ids, logp, s.value, 0.0 if x == np.inf else float(x if x < -30 else np.log(-np.expm1(-np.exp(min(x, 700.0)))))))
+        sampled[r] = []
         out.append(mine)
     return out
 
@@ -334,7 +408,7 @@ def sample_segmentations(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
         pieces = shared.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for i, j, data, offsets in chunks(batch.column(1), 4 * CHUNK_BYTES):
+            for i, j, data, offsets in chunks(batch.column(1), CHUNK_BYTES // 2):
                 keys = np.array([-1 if x is None else x for x in ids[i:j]], np.int64)
                 out: list[list] = [[] for _ in range(9)]
                 for r, samples in enumerate(encode_chunk(data, offsets, keys, pieces, k, seed)):

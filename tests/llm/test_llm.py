@@ -367,6 +367,99 @@ def test_sampling_follows_the_distribution(pieces):
     assert abs(pairs[a, b] / n - p[a] * p[b] / (1 - p[a])) < 0.04
 
 
+def every_segmentation(unit, known, model):
+    """All ways to cut a unit (bytes, with its space) into pieces, by plain recursion; characters without a piece go as bytes."""
+    out = []
+
+    def go(at, ids):
+        if at == len(unit):
+            out.append(tuple(ids))
+            return
+        char = next(n for n in range(1, 5) if at + n == len(unit) or (unit[at + n] & 0xC0) != 0x80)
+        for n in range(1, len(unit) - at + 1):
+            if unit[at : at + n] in known:
+                go(at + n, [*ids, known[unit[at : at + n]]])
+        if unit[at : at + char] not in known:
+            go(at + char, [*ids, *(model.piece_to_id(f"<0x{b:02X}>") for b in unit[at : at + char])])
+
+    go(0, [])
+    return out
+
+
+def test_top_k_against_all_segmentations(pieces):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    known, weight = {}, {}
+    for i in range(model.get_piece_size()):
+        text, rank = model.id_to_piece(i), -model.get_score(i)
+        if model.is_byte(i):
+            weight[i] = -0.5 * np.log(model.get_piece_size() + 2)
+        elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or (rank >= 1e8 and len(text) > 1)) and "▁" not in text[1:]:
+            known[text.replace("▁", " ").encode()] = i
+            weight[i] = -0.5 * np.log(min(rank, model.get_piece_size()) + 2)
+    for t in ("the", "wör", "a b", "日x", "😀"):
+        units = [u if k == 0 else b" " + u for k, u in enumerate((" " + t).encode().split(b" ")[1:])]
+        units[0] = b" " + units[0]
+        ways = [()]
+        for u in units:
+            ways = [a + b for a in ways for b in every_segmentation(u, known, model)]
+        mass = {w: np.exp(sum(weight[i] for i in w)) for w in ways}
+        total = sum(mass.values())
+        (got,) = encode([t], pieces, len(ways) + 3)
+        assert {tuple(int(x) for x in s[0]) for s in got} == set(ways) and len(got) == len(ways)
+        for ids, logp, _, inclusion in got:
+            assert abs(np.exp(logp) - mass[tuple(int(x) for x in ids)] / total) < 1e-9 and inclusion == 0
+        # of fewer, the inclusion probability follows from the next value
+        if len(ways) > 3:
+            (few,) = encode([t], pieces, 2)
+            limit = got[2][2]
+            for (ids, logp, value, inclusion), whole in zip(few, got):
+                assert (ids == whole[0]).all() and value == whole[2]
+                assert abs(np.exp(inclusion) + np.expm1(-np.exp(logp - limit))) < 1e-6
+
+
+def test_ranges_have_no_effect(pieces):
+    import random
+
+    rng = random.Random(7)
+    texts = ["", "hello wörld  x\n\ty", " ".join(f"w{rng.randint(0, 5000)}" for _ in range(400)), "z" * 9000 + "ü" * 5000 + " end", "\x00\x01 \t"]
+    whole = encode(texts, pieces, 4)
+    data = "".join(texts).encode()
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    cut = encode_chunk(np.frombuffer(data, np.uint8), offsets, np.arange(len(texts)), pieces, 4, 1, range_bytes=64)
+    for t, x, y in zip(texts, whole, cut):
+        assert [(s[0].tolist(), *s[1:]) for s in x] == [(s[0].tolist(), *s[1:]) for s in y]
+        assert all(pieces.decode(s[0]).decode() == t for s in x)
+
+
+def test_twenty_megabytes_in_one_text(tmp_path):
+    """In a process of its own, as in a worker: memory beyond the text, its ids and scores stays small."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    script = tmp_path / "long.py"
+    script.write_text("""
+import resource
+import numpy as np
+from partloom.llm.sentencepiece_sampling import MODEL, encode_chunk, load_pieces
+pieces = load_pieces(MODEL, 0.5)
+rng = np.random.default_rng(1)
+words = ["".join(chr(97 + x) for x in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(20000)]
+text = " ".join(words[i] for i in rng.integers(0, len(words), 3_400_000)).encode()[:20_000_000]
+data = np.frombuffer(text, np.uint8)
+(got,) = encode_chunk(data, np.array([0, len(data)]), np.array([5]), pieces)
+assert len(got) == 2 and all(pieces.decode(s[0]) == text for s in got)
+assert not np.array_equal(got[0][0], got[1][0])
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+""")
+    root = str(Path(__file__).resolve().parents[2])
+    done = subprocess.run([sys.executable, str(script)], env={"PYTHONPATH": root, "PATH": "/usr/bin:/bin"}, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 1300
+
+
 def test_segmentation_table(spark):
     got = sample_segmentations(docs(spark, awkward()), k=3).collect()
     assert all(r["decoded_ok"] for r in got) and {r["doc_id"] for r in got} == {i for i, _ in awkward()}
