@@ -37,51 +37,38 @@ RANGE_BYTES, UNIT_BYTES = CHUNK_BYTES, 4096
 #: Edges of a path whose sets are valued at once.
 EDGES_AT_ONCE = 1 << 18
 NEVER = -1e8  # longer pieces of this score or less are not for use
-BUCKET_BITS = 18
 MASK = (1 << 64) - 1
 
 
 @dataclass
 class Pieces:
-    """All pieces as bytes (the space mark is a space), and a table of the hashes of pieces and their beginnings."""
+    """All pieces as bytes (the space mark is a space), and a trie of them. Nodes with children have a row in step, by the
+    class of the next byte; -1 is no node."""
 
     data: np.ndarray
     start: np.ndarray
-    hashes: np.ndarray
-    ids: np.ndarray
     weight: np.ndarray
     byte_ids: np.ndarray
-    bucket: np.ndarray  # first place in hashes of each value of the top BUCKET_BITS bits
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which hashes are in the table, and the ids of those."""
-        top = (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-        at, stop = self.bucket[top], self.bucket[top + 1]
-        ids = np.zeros(len(h), np.int64)
-        good = np.zeros(len(h), bool)
-        open_ = np.flatnonzero(at < stop)
-        while len(open_):
-            same = self.hashes[at[open_]] == h[open_]
-            hit = open_[same]
-            good[hit], ids[hit] = True, self.ids[at[hit]]
-            open_ = open_[~same]
-            at[open_] += 1
-            open_ = open_[at[open_] < stop[open_]]
-        return good, ids[good]
-
-    @property
-    def size(self) -> np.ndarray:
-        return np.diff(self.start)
+    step: np.ndarray
+    byte_class: np.ndarray
+    piece_at: np.ndarray  # by node; -1 where no piece ends
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The text of ids, without the space that encoding puts first."""
+    def __post_init__(self) -> None:
+        self.size = np.diff(self.start)
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        """The bytes of all ids, one after the other."""
         out = []
         for a in range(0, len(ids), EDGES_AT_ONCE):
             part = ids[a : a + EDGES_AT_ONCE]
             n = self.size[part]
             ends = np.cumsum(n)
             out.append(self.data[np.repeat(self.start[part] - (ends - n), n) + np.arange(ends[-1])].tobytes())
-        return b"".join(out)[1:]
+        return b"".join(out)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The text of ids, without the space that encoding puts first."""
+        return self.joined(ids)[1:]
 
 
 def load_pieces(path: str = MODEL, alpha: float = ALPHA) -> Pieces:
@@ -100,21 +87,20 @@ def load_pieces(path: str = MODEL, alpha: float = ALPHA) -> Pieces:
         weight.append(-alpha * np.log(min(rank, model.get_piece_size()) + 2) if usable else 0.0)
         if usable and b" " not in raw[1:]:
             known[raw] = i
-    entries: dict[bytes, int] = {}
-    for raw, i in known.items():
-        for n in range(1, len(raw)):
-            entries.setdefault(raw[:n], -1)
-        entries[raw] = i
-    keys = list(entries)
-    data = np.frombuffer(b"".join(keys), np.uint8)
-    ends = np.cumsum([len(k) for k in keys])
-    hashes = WORD_ROLLER.spans(WORD_ROLLER.prefix(BYTE_CODES[data]), ends - [len(k) for k in keys], ends)
-    order = np.argsort(hashes)
-    ids = np.array([entries[k] for k in keys])[order]
     weight = np.array(weight)
     weight[byte_ids] = -alpha * np.log(len(texts) + 2)
-    bucket = np.searchsorted(hashes[order], np.arange(1 << BUCKET_BITS).astype(np.uint64) << np.uint64(64 - BUCKET_BITS))
-    return Pieces(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]), hashes[order], ids, weight, byte_ids, np.append(bucket, len(hashes)))
+    beginnings = {raw[:n] for raw in known for n in range(len(raw))}
+    number = {raw: i for i, raw in enumerate([*sorted(beginnings, key=lambda x: (len(x), x)), *(raw for raw in known if raw not in beginnings)])}
+    used = sorted({c for raw in known for c in raw})
+    byte_class = np.full(256, len(used), np.int32)
+    byte_class[used] = np.arange(len(used))
+    step = np.full((len(beginnings) or 1, len(used) + 1), -1, np.int32)
+    piece_at = np.full(max(len(number), 1), -1, np.int32)
+    for raw, node in number.items():
+        piece_at[node] = known.get(raw, -1)
+        if raw:
+            step[number[raw[:-1]], byte_class[raw[-1]]] = node
+    return Pieces(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]), weight, byte_ids, step, byte_class, piece_at)
 
 
 class Lattice:
@@ -123,47 +109,67 @@ class Lattice:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, pieces: Pieces):
         n = len(data)
         self.end = np.repeat(offsets[1:], np.diff(offsets))
-        prefix = WORD_ROLLER.prefix(BYTE_CODES[data])
         lead = (data & 0xC0) != 0x80
         at = np.flatnonzero(lead)
         found, length = [], 0
-        width = np.where(data < 0xC0, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4)))
+        width = np.where(data < 0xC0, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4))).astype(np.uint8)
         whole = np.zeros(n, bool)
+        flat, classes, inner_nodes, codes = pieces.step.ravel(), pieces.step.shape[1], len(pieces.step), pieces.byte_class[data]
+        node = flat[codes[at]]
         while len(at):
             length += 1
-            at = at[at + length <= self.end[at]]
-            h = WORD_ROLLER.spans(prefix, at, at + length)
-            good, i = pieces.find(h)
-            at = at[good]
+            good = node >= 0
+            at, node = at[good], node[good]
+            i = pieces.piece_at[node]
             real = i >= 0
-            found.append((at[real], np.full(real.sum(), length), i[real]))
-            whole[at[real & (width[at] == length)]] = True
+            ends_here = at[real]
+            found.append((ends_here, length, i[real]))
+            if length <= 4:
+                whole[ends_here[width[ends_here] == length]] = True
+            on = node < inner_nodes
+            at, node = at[on], node[on]
+            on = at + length < self.end[at]
+            at, node = at[on], node[on]
+            node = flat[node * classes + codes[at + length]]
         alone = np.flatnonzero(lead & ~whole)
         for extra in range(4):
             more = alone[width[alone] > extra] + extra
             more = more[more < self.end[alone[width[alone] > extra]]]
-            found.append((more, np.ones(len(more), np.int64), pieces.byte_ids[data[more]]))
-        node, size, ids = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
-        left = self.end[node] - node
-        order = np.argsort((left << 40) | (node << 8) | (255 - np.minimum(size, 255)), kind="stable")  # long edges first: they are likely, and draws try edges in order
-        self.node, self.size, self.ids, left = node[order], size[order], ids[order], left[order]
+            found.append((more, 1, pieces.byte_ids[data[more]]))
+        # nodes by their distance to the unit's end; the edges of a node together, long ones first: they are likely, and
+        # draws try edges in order
+        count = np.zeros(n, np.int64)
+        for at, _, _ in found:
+            count[at] += 1
+        left = self.end - np.arange(n)
+        order = np.argsort(left.astype(np.uint16) if n and left.max() < 1 << 16 else left, kind="stable")
+        order = order[count[order] > 0]
+        count = count[order]
+        stop = np.cumsum(count)
+        first = stop - count
+        self.rank = np.zeros(n, np.int64)
+        self.rank[order] = np.arange(len(order))
+        self.node = np.repeat(order, count)
+        self.size, self.ids = np.empty(len(self.node), np.int32), np.empty(len(self.node), np.int32)
+        free = np.zeros(n, np.int64)
+        free[order] = first
+        for at, size, ids in reversed(found):
+            to = free[at]
+            self.size[to], self.ids[to] = size, ids
+            free[at] = to + 1
         weight = pieces.weight[self.ids]
         # backward sums, from the unit ends on: nodes with the same distance to the end at once
         beta = np.zeros(n + 1)
-        first = np.flatnonzero(np.append(True, self.node[1:] != self.node[:-1])) if len(node) else np.zeros(0, np.int64)
-        cuts = np.append(np.flatnonzero(np.append(True, left[first][1:] != left[first][:-1])), len(first)) if len(first) else np.zeros(1, np.int64)
-        stop = np.append(first[1:], len(self.node))[: len(first)]
+        cuts = np.append(np.flatnonzero(np.append(True, left[order[1:]] != left[order[:-1]])), len(order)) if len(order) else np.zeros(1, np.int64)
         after = self.node + self.size
-        inner = after < self.end[self.node] if len(node) else np.zeros(0, bool)
+        inner = after < self.end[self.node]
+        after[~inner] = n  # where beta stays 0
         total = np.empty(len(self.node))
         for a, b in zip(cuts[:-1], cuts[1:]):
             lo, hi = first[a], stop[b - 1]
-            total[lo:hi] = weight[lo:hi] + np.where(inner[lo:hi], beta[np.minimum(after[lo:hi], n)], 0.0)
-            beta[self.node[first[a:b]]] = np.logaddexp.reduceat(total[lo:hi], first[a:b] - lo)
+            total[lo:hi] = weight[lo:hi] + beta[after[lo:hi]]
+            beta[order[a:b]] = np.logaddexp.reduceat(total[lo:hi], first[a:b] - lo)
         self.logp = total - beta[self.node]
-        count = stop - first
-        self.rank = np.zeros(n, np.int64)
-        self.rank[self.node[first]] = np.arange(len(first))
         self.first, self.count = first, count
         # sums within each node alone, so that they don't depend on what else is in the lattice
         self.within = np.exp(self.logp)
@@ -261,6 +267,9 @@ class Ranges:
             length = bounds[one + 1] - bounds[one]
             to = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
             pick = np.repeat(bounds[one] - to[:-1], length) + np.arange(to[-1])
+            same = np.repeat(to[which] - bounds[:-1], np.diff(bounds)) + np.arange(bounds[-1])  # of each byte, the place in pick
+            if (np.diff(bounds) != length[which]).any() or not np.array_equal(data[pick][same], data):
+                to, which, pick = bounds, np.arange(len(bounds) - 1), np.arange(len(data))  # two units share a hash: build them all
             self.lattice = None
             self.lattice, self.first, self.now = Lattice(data[pick], to, self.pieces), to[which], g
         return self.lattice, self.first, a, b
@@ -297,7 +306,7 @@ def encode_chunk(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, pieces
         """Paths from nodes to their units' ends, as the arrays of a Sample, and the place after each path's last edge."""
         noise = mix(row_seed[row] + np.uint64((turn + 1) * 0xD1B54A32D192ED03 & MASK)) + unit.astype(np.uint64) * np.uint64(0xABC98388FB8FAC03)
         edge, count = lattice.paths(node, noise)
-        return (edge.astype(np.int32), np.repeat(unit.astype(np.int32), count), lattice.ids[edge].astype(np.int32), lattice.logp[edge]), np.concatenate([[0], np.cumsum(count)])
+        return (edge.astype(np.int32), np.repeat(unit.astype(np.int32), count), lattice.ids[edge], lattice.logp[edge]), np.concatenate([[0], np.cumsum(count)])
 
     def expand(r: int, s: Sample, from_edge: int, barred: tuple[int, ...], lost: float, turn: int) -> None:
         """Put the best parts of what remains of a drawn set on the row's heap; lost is the mass of the barred edges."""
@@ -311,10 +320,10 @@ def encode_chunk(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, pieces
             ahead = before + np.cumsum(logp) - logp
             before += float(logp.sum())
             t = can + a
-            noise = gumbel(mix(row_seed[r : r + 1] + np.uint64(turn + 1)) + t.astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
-            value = -np.logaddexp(-s.value, -(ahead[can] + np.log(mass[can]) + noise))
+            noise = uniform(mix(row_seed[r : r + 1] + np.uint64(turn + 1)) + t.astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
+            value = ahead[can] + np.log(mass[can] / -np.log(noise))  # log mass and Gumbel noise; truncating keeps their order
             best = np.argpartition(-value, k)[:k] if len(value) > 4 * k else np.arange(len(value))
-            top.extend(zip((-value[best]).tolist(), t[best].tolist()))
+            top.extend(zip(np.logaddexp(-s.value, -value[best]).tolist(), t[best].tolist()))
         for value, t in heapq.nsmallest(k, top):
             heapq.heappush(heaps[r], (value, len(sampled[r]) - 1, t, barred if t == from_edge else ()))
 
@@ -349,7 +358,7 @@ def encode_chunk(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, pieces
             u = uniform(mix(row_seed[r : r + 1]) + np.uint64(turn))[0]
             e = int(choices[min(np.searchsorted(p, u * p[-1], side="right"), len(choices) - 1)])
             lost = float(np.exp(lattice.logp[list(not_)]).sum())
-            head = (np.array([e], np.int32), np.array([unit], np.int32), lattice.ids[e : e + 1].astype(np.int32), lattice.logp[e : e + 1])
+            head = (np.array([e], np.int32), np.array([unit], np.int32), lattice.ids[e : e + 1], lattice.logp[e : e + 1])
             after = int(lattice.node[e] + lattice.size[e])
             rest = after if after < lattice.end[lattice.node[e]] else -1  # where its unit goes on
             todo.append((r, -value, old, t, not_, lost, unit, rest, [tuple(x[:t] for x in (old.edge, old.unit, old.ids, old.logp)), head]))
@@ -410,19 +419,27 @@ def sample_segmentations(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
             ids = batch.column(0).to_pylist()
             for i, j, data, offsets in chunks(batch.column(1), CHUNK_BYTES // 2):
                 keys = np.array([-1 if x is None else x for x in ids[i:j]], np.int64)
-                out: list[list] = [[] for _ in range(9)]
-                for r, samples in enumerate(encode_chunk(data, offsets, keys, pieces, k, seed)):
-                    original = data[offsets[r] : offsets[r + 1]].tobytes()
-                    for no, (codes, logp, value, inclusion) in enumerate(samples, 1):
-                        row = (ids[i + r], no, len(codes), logp, value, inclusion, hashlib.sha256(codes.astype("<i4").tobytes()).hexdigest(), pieces.decode(codes) == original, codes if with_ids else None)
-                        for c, v in zip(out, row):
-                            c.append(v)
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
-                names = ["doc_id", "sample", "n_pieces", "log_prob", "value", "log_inclusion", "ids_sha256", "decoded_ok"]
-                cols = [pa.array(c, t) for c, t in zip(out, kinds)]
+                found = encode_chunk(data, offsets, keys, pieces, k, seed)
+                rows = np.repeat(np.arange(j - i), [len(x) for x in found])
+                samples = [s for x in found for s in x]
+                codes = np.concatenate([s[0] for s in samples])
+                ends = np.cumsum([len(s[0]) for s in samples])
+                decoded, raw = pieces.joined(codes), codes.astype("<i4", copy=False).data
+                n = np.concatenate([[0], np.cumsum(pieces.size[codes])])[ends]
+                text, good, digest, at, byte_at = data.tobytes(), [], [], 0, 0
+                for r, end, byte_end in zip(rows.tolist(), ends.tolist(), n.tolist()):
+                    good.append(decoded[byte_at + 1 : byte_end] == text[offsets[r] : offsets[r + 1]])
+                    digest.append(hashlib.sha256(raw[at:end]).hexdigest())
+                    at, byte_at = end, byte_end
+                no = np.concatenate([np.arange(1, len(x) + 1) for x in found])
+                cols = {
+                    "doc_id": pa.array([ids[i + r] for r in rows.tolist()], pa.int64()), "sample": pa.array(no.astype(np.int32)), "n_pieces": pa.array(np.diff(ends, prepend=0)),
+                    "log_prob": pa.array([s[1] for s in samples]), "value": pa.array([s[2] for s in samples]), "log_inclusion": pa.array([s[3] for s in samples]),
+                    "ids_sha256": pa.array(digest, pa.string()), "decoded_ok": pa.array(good),
+                }
                 if with_ids:
-                    cols, names = [*cols, pa.ListArray.from_arrays(np.cumsum([0, *map(len, out[8])], dtype=np.int32), pa.array(np.concatenate([np.zeros(0, np.int32), *out[8]])))], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(cols, names)
+                    cols["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(codes))
+                yield pa.RecordBatch.from_pydict(cols)
 
     slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     return slim.mapInArrow(run, RESULT + (", ids array<int>" if with_ids else "")).withColumnRenamed("doc_id", doc_id)
