@@ -4,7 +4,8 @@ A text is a sequence of units (words or bytes). Every window of W units has a sm
 run of windows of one text with the same smallest hash. Equal windows have equal smallest hashes, so a window can only
 repeat between blocks of one hash, and blocks of different hashes never need to meet. Blocks are first counted by
 (hash, digest), which collapses exact copies before any shuffle by hash; only hashes with different blocks go on to a
-search inside blocks. Nothing is dropped: a block that is alone under its hash holds no repeated window.
+search inside blocks. Nothing is dropped: a block that is alone under its hash holds no repeated window. Rolling hashes
+only propose: a digest is BLAKE2b over the units themselves, and the searches compare units.
 
 Before the search, blocks are trimmed: some grams of each block are chosen by their content, and a chosen gram that comes
 once under its hash can't be in a repeated window, so the block is cut there. What differs around a shared passage goes
@@ -13,6 +14,7 @@ away with that, and equal pieces collapse once more. This keeps the groups to se
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 
 from partloom.llm.common import BYTE_CODES, GRAM_ROLLER, SPAN_ROLLER, chunks, materialise, mix, sliding_min, small_batches, word_bounds, word_hashes
 
-#: A hash with more different pieces than this is settled window by window, so that no task gets an unbounded group.
-HOT_BLOCKS = 4096
+#: A hash with more different pieces, or units in them, than this is settled window by window, so that no task gets an
+#: unbounded group. Windows are equal there if two independent 64-bit hashes are.
+HOT_BLOCKS, HOT_UNITS = 4096, 1 << 22
 #: Rows without a document id count as later than all others.
 NO_ID = (1 << 63) - 1
 BLOCK = "h bigint, d bigint, doc bigint, th bigint, start int, n int, multi boolean"
@@ -51,13 +54,32 @@ class Units:
         at = np.arange(len(data) + 1)
         return BYTE_CODES[data], at[:-1], at[1:], offsets
 
+    def plain(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """Bytes in which equal sequences of units are equal slices (words with one space between), and the units' places."""
+        if not self.words:
+            return data.tobytes(), starts, ends
+        size = ends - starts
+        to = np.cumsum(size + 1) - 1
+        out = np.full(to[-1] + 1 if len(to) else 0, 32, np.uint8)
+        gone = np.repeat(starts - (to - size), size)
+        at = np.arange(len(out)) if not len(to) else np.delete(np.arange(len(out)), to)
+        out[at] = data[at + gone]
+        return out.tobytes(), to - size, to
+
+
+def digests(plain: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of BLAKE2b of each slice."""
+    view = memoryview(plain)
+    found = b"".join([hashlib.blake2b(view[a:b], digest_size=8).digest() for a, b in zip(starts.tolist(), ends.tolist())])
+    return np.frombuffer(found, np.int64)
+
 
 def runs(codes: np.ndarray, first: np.ndarray, u: Units) -> tuple[np.ndarray, ...]:
-    """Blocks of a chunk: row, first window (unit index), units, hash, digest, and whether the smallest gram comes twice."""
+    """Blocks of a chunk: row, first window (unit index), units, hash, and whether the smallest gram comes twice."""
     n = len(codes) - u.window + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool)
+        return none, none, none, none.astype(np.uint64), none.astype(bool)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     whole = row[:n] == row[u.window - 1 :]
     grams = GRAM_ROLLER.grams(GRAM_ROLLER.prefix(codes), u.k)
@@ -79,8 +101,7 @@ def runs(codes: np.ndarray, first: np.ndarray, u: Units) -> tuple[np.ndarray, ..
     owner = np.repeat(np.arange(len(h)), right - left)
     member = np.arange(len(owner)) - np.repeat(np.cumsum(right - left) - (right - left), right - left) + left[owner]
     times = np.bincount(owner[grams[chosen[member]] == h[owner]], minlength=len(h))
-    prefix = SPAN_ROLLER.prefix(codes)
-    return row[begin], begin, end - begin, h, SPAN_ROLLER.spans(prefix, begin, end), times > 1
+    return row[begin], begin, end - begin, h, times > 1
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -97,10 +118,12 @@ def blocks(rows: DataFrame, u: Units) -> DataFrame:
         for batch in batches:
             doc, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, _, data, offsets in chunks(batch.column(2)):
-                codes, _, _, first = u.split(data, offsets)
-                row, begin, n, h, d, multi = runs(codes, first, u)
+                codes, starts, ends, first = u.split(data, offsets)
+                row, begin, n, h, multi = runs(codes, first, u)
+                plain, starts, ends = u.plain(data, starts, ends)
+                d = digests(plain, starts[begin], ends[begin + n - 1])
                 start = begin - first[row]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(d.view(np.int64)), pa.array(doc[i + row]), pa.array(th[i + row]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(multi)], ["h", "d", "doc", "th", "start", "n", "multi"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(d), pa.array(doc[i + row]), pa.array(th[i + row]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(multi)], ["h", "d", "doc", "th", "start", "n", "multi"])
 
     return rows.mapInArrow(run, BLOCK)
 
@@ -141,6 +164,15 @@ def seg_codes(segs: list[bytes], u: Units) -> tuple[np.ndarray, np.ndarray]:
     return codes, first
 
 
+def exact_codes(segs: list[bytes], u: Units) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the units of many segments, the same for the same unit and no other, and the first unit of each."""
+    if not u.words:
+        return np.frombuffer(b"".join(segs), np.uint8).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in segs])]).astype(np.int64)
+    words = [x.split() for x in segs]
+    every = pa.array([w for x in words for w in x], pa.binary()).dictionary_encode()
+    return every.indices.to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in words])]).astype(np.int64)
+
+
 def _chosen(codes: np.ndarray, first: np.ndarray, u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Grams chosen by their hash alone, so in all their places or in none: block, place, hash."""
     block = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -179,11 +211,11 @@ def trim(live: DataFrame, u: Units) -> DataFrame:
                         piece = seg if not edges else b" ".join(units[lo:hi]) if u.words else units[lo:hi]
                         out.append((rows["h"][i], rows["doc"][i], rows["th"][i], rows["start"][i] + lo, hi - lo, rows["copies"][i], rows["multi"][i], piece))
             cols = list(zip(*out)) if out else [()] * 8
-            codes, first = seg_codes(list(cols[7]), u)
-            d = SPAN_ROLLER.spans(SPAN_ROLLER.prefix(codes), first[:-1], first[1:])
+            ends = np.cumsum([len(x) for x in cols[7]], dtype=np.int64)
+            d = digests(b"".join(cols[7]), np.append(0, ends)[:-1], ends)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
             arrays = [pa.array(c, k) for c, k in zip(cols, kinds)]
-            yield pa.RecordBatch.from_arrays([arrays[0], pa.array(d.view(np.int64)), *arrays[1:]], ["h", "d", "doc", "th", "start", "n", "copies", "multi", "seg"])
+            yield pa.RecordBatch.from_arrays([arrays[0], pa.array(d), *arrays[1:]], ["h", "d", "doc", "th", "start", "n", "copies", "multi", "seg"])
 
     return live.join(cuts, ["h", "d"], "left").mapInArrow(cut, LIVE)
 
@@ -219,7 +251,7 @@ def search_blocks(live: DataFrame, u: Units, search: Search, batch_bytes: int =
 
         def settle() -> pa.RecordBatch:
             h, doc, th, start, copies = (np.array([x[k] for x in held], np.int64) for k in range(5))
-            codes, first = seg_codes([x[5] for x in held], u)
+            codes, first = exact_codes([x[5] for x in held], u)
             hit = search(codes, first, h, doc, copies)
             block = np.searchsorted(first, hit, side="right") - 1
             b, s, e = window_spans(first, hit, block, start, u)
@@ -265,9 +297,9 @@ def hot_windows(live: DataFrame, u: Units, earlier: bool) -> DataFrame:
 
 def _known(found: DataFrame, earlier: bool) -> DataFrame:
     """For every (h, d) of hashes that may hold repeated windows: first document, copies and number of different blocks."""
-    kinds = found.groupBy("h", "d").agg(F.min("doc").alias("_first"), F.max("doc").alias("_last"), F.sum("copies").alias("_copies"), F.max("multi").alias("_multi"))
-    groups = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("_copies").alias("_all"), F.max("_multi").alias("_any"), F.min("_first").alias("_low"), F.max("_last").alias("_high"))
-    return kinds.select("h", "d", "_first", "_copies").join(groups.where("_high > _low" if earlier else "_all > 1 or _any").select("h", "kinds", "_any"), "h")
+    kinds = found.groupBy("h", "d").agg(F.min("doc").alias("_first"), F.max("doc").alias("_last"), F.sum("copies").alias("_copies"), F.max("multi").alias("_multi"), F.min("n").alias("_n"))
+    groups = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("_n").alias("units"), F.sum("_copies").alias("_all"), F.max("_multi").alias("_any"), F.min("_first").alias("_low"), F.max("_last").alias("_high"))
+    return kinds.select("h", "d", "_first", "_copies").join(groups.where("_high > _low" if earlier else "_all > 1 or _any").select("h", "kinds", "units", "_any"), "h")
 
 
 def _settled(met: DataFrame, earlier: bool) -> DataFrame:
@@ -296,8 +328,9 @@ def repeated_spans(docs: DataFrame, u: Units, search: Search, earlier: bool, doc
     else:
         one = pieces.groupBy("h", "d").agg(F.min(F.struct("doc", "th", "start")).alias("_one"))
         ask = left.where(open_).join(one, ["h", "d"]).where(F.struct("doc", "th", "start") == F.col("_one")).withColumn("copies", F.col("_copies"))
-    ask = ask.select("h", "doc", "th", "start", "copies", "kinds", "seg")
-    return spans.unionByName(search_blocks(ask.where(F.col("kinds") <= hot_blocks), u, search)).unionByName(hot_windows(ask.where(F.col("kinds") > hot_blocks), u, earlier))
+    few = (F.col("kinds") <= hot_blocks) & (F.col("units") <= HOT_UNITS)
+    ask = ask.select("h", "doc", "th", "start", "copies", "kinds", "units", "seg")
+    return spans.unionByName(search_blocks(ask.where(few), u, search)).unionByName(hot_windows(ask.where(~few), u, earlier))
 
 
 RESULT = "n bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -324,8 +357,6 @@ def remove_spans(docs: DataFrame, spans: DataFrame, u: Units, doc_id: str, text:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*others).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for batch in batches:
             lists = batch.column(m + 1)
             at, items, has = lists.offsets.to_numpy(), lists.values, lists.is_valid().to_numpy(zero_copy_only=False)

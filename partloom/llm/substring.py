@@ -2,8 +2,8 @@
 
 Blocks of one hash (see segments) are parsed in order of document id: each is factored greedily against the index of all
 blocks of smaller ids, taking the longest match at each place. A factor of a whole window or more is a duplicate span.
-A window that no single factor holds can still occur elsewhere, so the starts before each factor's end are looked up one
-by one.
+A repeated window that no single factor holds starts inside a factor and crosses its end, so matches around the ends of
+factors are extended to both sides; no other windows are looked at. Matches are compared word by word.
 """
 
 from __future__ import annotations
@@ -12,86 +12,100 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import GRAM_ROLLER, SPAN_ROLLER
+from partloom.llm.common import GRAM_ROLLER, mix
 from partloom.llm.segments import Units, remove_spans, repeated_spans
 
 WINDOW, SEED = 50, 8
+#: So many units are compared at once, in all places of a seed.
+MOST = 256
 
 
 class Index:
-    """Places of every seed gram and every window in blocks, by (hash, document)."""
-
-    def __init__(self, codes: np.ndarray, first: np.ndarray, doc: np.ndarray, u: Units):
-        self.prefix, self.first, self.doc, self.u = SPAN_ROLLER.prefix(codes), first, doc, u
-        self.block = np.repeat(np.arange(len(doc)), np.diff(first))
-        self.end = first[1:][self.block]
-        self.seeds, self.seed_at = self._places(codes, u.k)
-        self.windows, self.window_at = self._places(codes, u.window)
-        # the smallest document of each window hash comes first among equals
-        order = np.lexsort((doc[self.block[self.window_at]], self.windows))
-        self.windows, self.window_at = self.windows[order], self.window_at[order]
-
-    def _places(self, codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        grams = GRAM_ROLLER.grams(GRAM_ROLLER.prefix(codes), k)
-        at = np.flatnonzero(self.block[: len(grams)] == self.block[k - 1 :]) if len(grams) else np.zeros(0, np.int64)
-        order = np.argsort(grams[at], kind="stable")
-        if k == self.u.k:
-            self.seed_of = grams
-        else:
-            self.window_of = grams
-        return grams[at][order], at[order]
-
-    def longest(self, p: int, places: np.ndarray) -> int:
-        """Length of the longest match of the text at p with that at any of the places, all in their own blocks."""
-        room = np.minimum(self.end[places] - places, self.end[p] - p)
-        low, high = np.full(len(places), self.u.k), room
-        while True:
-            open_ = low < high
-            if not open_.any():
-                return int(low.max())
-            mid = np.where(open_, (low + high + 1) // 2, low)
-            same = SPAN_ROLLER.spans(self.prefix, places, places + mid) == SPAN_ROLLER.spans(self.prefix, np.full(len(places), p), p + mid)
-            low, high = np.where(same, mid, low), np.where(same, high, np.minimum(high, mid - 1))
-            low = np.minimum(low, np.maximum(high, low))
-
-    def parse(self, b: int, reference: np.ndarray) -> list[tuple[int, int]]:
-        """Greedy factors (start, length) of block b against the blocks flagged in reference; literals have length 1."""
-        out, p, end = [], int(self.first[b]), int(self.first[b + 1])
-        while p + self.u.k <= end:
-            lo, hi = np.searchsorted(self.seeds, self.seed_of[p], "left"), np.searchsorted(self.seeds, self.seed_of[p], "right")
-            places = self.seed_at[lo:hi]
-            places = places[reference[self.block[places]]]
-            length = self.longest(p, places) if len(places) else 1
-            out.append((p, length))
-            p += length
-        out.extend((q, 1) for q in range(p, end))
+    """The blocks of whole groups as one text, and the places of every seed gram, by group and in order.
+
+    Blocks of a group come in order of document id, so those of smaller ids are the places before a limit. A mark of its
+    own ends each block, so no match leaves its block.
+    """
+
+    def __init__(self, codes: np.ndarray, first: np.ndarray, h: np.ndarray, doc: np.ndarray, u: Units):
+        self.u, m = u, len(doc)
+        block = np.repeat(np.arange(m), np.diff(first))
+        pad = MOST + u.k + 1  # so that comparing never leaves the text
+        self.begin, self.end = first[:-1] + np.arange(m) + pad, first[1:] + np.arange(m) + pad
+        self.text = -1 - np.arange(len(codes) + m + 2 * pad)  # marks, all different
+        self.place = np.arange(len(codes)) + block + pad
+        self.text[self.place] = codes
+        group = np.cumsum(np.append(0, h[1:] != h[:-1])) if m else np.zeros(0, np.int64)
+        grams = GRAM_ROLLER.grams(GRAM_ROLLER.prefix(mix(self.text.view(np.uint64))), u.k)
+        at = self.place[: max(len(codes) - u.k + 1, 0)]
+        own = block[: len(at)]
+        at, own = at[at + u.k <= self.end[own]], own[at + u.k <= self.end[own]]
+        key = grams[at] ^ mix(group[own].astype(np.uint64))
+        order = np.argsort(key, kind="stable")
+        self.at = at[order]
+        head = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(at) else np.zeros(0, np.int64)
+        size = np.diff(np.append(head, len(at)))
+        self.low, self.high = np.zeros(len(self.text), np.int64), np.zeros(len(self.text), np.int64)
+        self.low[self.at] = np.repeat(head, size)
+        # documents before that of each block: the places before the first block of the same document
+        fresh = np.append(True, (doc[1:] != doc[:-1]) | (group[1:] != group[:-1])) if m else np.zeros(0, bool)
+        self.limit = self.begin[np.maximum.accumulate(np.where(fresh, np.arange(m), 0))] if m else self.begin
+        # how many places of each seed lie before the limit: places of one seed are in order
+        run = np.repeat(np.arange(len(head)), size)
+        wide = len(self.text) + 1
+        before = np.searchsorted(run * wide + self.at, run * wide + self.limit[own[order]])
+        self.high[self.at] = before
+        known = np.flatnonzero(self.high > self.low)
+        self.next = np.append(known, len(self.text))[np.searchsorted(known, np.arange(len(self.text)))]
+
+    def places(self, p: int) -> np.ndarray:
+        """Where blocks of smaller documents in the group have the seed of place p."""
+        return self.at[self.low[p] : self.high[p]]
+
+    def match(self, p: int, places: np.ndarray, way: int) -> np.ndarray:
+        """How many units from p and from each of the places on are the same, to the right (way 1) or the left (-1)."""
+        out, live, done, step = np.zeros(len(places), np.int64), np.arange(len(places)), 0, 16
+        while len(live):
+            by = way * np.arange(done, done + step)
+            same = self.text[places[live][:, None] + by] == self.text[p + by]
+            n = np.where(same.all(1), step, same.argmin(1))
+            out[live] = done + n
+            live, done, step = live[n == step], done + step, min(2 * step, MOST)
         return out
 
+    def parse(self, b: int) -> list[tuple[int, int]]:
+        """Greedy factors (place, length) of block b against the blocks of smaller documents; what they leave out is literal."""
+        out, p, stop = [], int(self.next[self.begin[b]]), int(self.end[b])
+        while p + self.u.k <= stop:
+            length = int(self.match(p, self.places(p), 1).max())
+            if length >= self.u.k:
+                out.append((p, length))
+            p = int(self.next[p + max(length, 1)])
+        return out
+
+    def around(self, p: int) -> list[tuple[int, int]]:
+        """Matches (start, end) of a window or more that hold the seed at place p."""
+        places, w = self.places(p), self.u.window
+        if not len(places):
+            return []
+        right = self.match(p, places, 1)
+        left = self.match(p - 1, places - 1, -1)
+        good = (right >= self.u.k) & (left + right >= w)
+        return [(p - int(x), p + int(y)) for x, y in set(zip(left[good].tolist(), right[good].tolist()))]
+
 
 def search(u: Units):
     def run(codes: np.ndarray, first: np.ndarray, h: np.ndarray, doc: np.ndarray, copies: np.ndarray) -> np.ndarray:
-        index = Index(codes, first, doc, u)
-        hits = np.zeros(len(codes), bool)
-        # a window's smallest document in its hash group, for the look-ups at factor boundaries
-        lowest = np.full(len(codes), np.iinfo(np.int64).max)
-        if len(index.windows):
-            head = np.ones(len(index.windows), bool)
-            head[1:] = index.windows[1:] != index.windows[:-1]
-            lead = index.doc[index.block[index.window_at[np.flatnonzero(head)]]]
-            lowest[index.window_at] = lead[np.cumsum(head) - 1]
-        groups = np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h))
-        for g, stop in zip(groups[:-1], groups[1:]):
-            for b in range(g, stop):
-                reference = np.zeros(len(doc), bool)
-                reference[g:stop] = doc[g:stop] < doc[b]
-                if not reference.any():
-                    continue
-                for p, length in index.parse(b, reference):
-                    inside = max(0, length - u.window + 1)
-                    hits[p : p + inside] = True
-                    edge = np.arange(p + inside, min(p + length, first[b + 1] - u.window + 1))
-                    hits[edge[lowest[edge] < doc[b]]] = True
-        return np.flatnonzero(hits)
+        index = Index(codes, first, h, doc, u)
+        hits = np.zeros(len(index.text), bool)
+        for b in range(len(doc)):
+            for p, length in index.parse(b):
+                hits[p : p + max(length - u.window + 1, 0)] = True
+                # a window that starts in the factor and goes on beyond its end holds the seed before the end or the one after
+                for q in (p + length - u.k, p + length):
+                    for start, end in index.around(q):
+                        hits[start : end - u.window + 1] = True
+        return np.flatnonzero(hits[index.place])
 
     return run
 

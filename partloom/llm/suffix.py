@@ -12,7 +12,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from partloom.llm.common import BYTE_CODES
 from partloom.llm.segments import Units, remove_spans, repeated_spans
 from partloom.llm.substring import rest_of
 
@@ -102,10 +101,7 @@ def unmet_boundaries(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndar
 
 
 def search(u: Units):
-    by_code = np.argsort(BYTE_CODES)
-
-    def run(codes: np.ndarray, first: np.ndarray, h: np.ndarray, doc: np.ndarray, copies: np.ndarray) -> np.ndarray:
-        raw = by_code[np.searchsorted(BYTE_CODES[by_code], codes)]
+    def run(raw: np.ndarray, first: np.ndarray, h: np.ndarray, doc: np.ndarray, copies: np.ndarray) -> np.ndarray:
         block = np.repeat(np.arange(len(doc)), np.diff(first))
         text = np.ones(len(raw) + len(doc) + 1, np.uint64)  # 1 parts the blocks, 0 ends the text
         place = np.arange(len(raw)) + block

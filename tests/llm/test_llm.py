@@ -141,6 +141,51 @@ def test_suffix_dedup(spark, hot, monkeypatch):
         assert sorted(tuple(r) for r in got.select("_n", "_n_removed", "_n_spans", "_kept_sha256").collect()) == sorted(cover_bytes(texts, window))
 
 
+def test_lempel_ziv_factors_carry_the_result(spark, monkeypatch):
+    """Without factors nothing inside differing blocks is found; with them all of it is."""
+    from partloom.llm import segments, substring
+
+    rows = repetitive(60, 11)
+    u = segments.Units(words=True, window=12, k=8)
+    texts = sorted(({i: t for i, t in rows}).items())
+    codes, first = segments.exact_codes([t.encode() for _, t in texts], u)
+    ids = np.array([i for i, _ in texts])
+    args = codes, first, np.zeros(len(ids), np.int64), ids, np.ones(len(ids), np.int64)
+    found = substring.search(u)(*args)
+    low, want = {}, []
+    for b in range(len(ids)):
+        for a in range(first[b], first[b + 1] - 11):
+            if low.setdefault(tuple(codes[a : a + 12]), b) < b:
+                want.append(a)
+    assert found.tolist() == want and want
+    parsed = substring.Index(*args[:4], u)
+    for b in range(len(ids)):  # each factor is the longest match in smaller documents
+        end = parsed.begin[b]
+        for p, n in parsed.parse(b):
+            assert p >= end and n >= 8
+            mine, earlier = parsed.text[p : p + n + 1].tolist(), parsed.text[: parsed.begin[b]].tolist()
+            inside = lambda x: any(earlier[i : i + len(x)] == x for i in range(len(earlier) - len(x) + 1))
+            assert inside(mine[:n]) and not inside(mine)
+            end = p + n
+    monkeypatch.setattr(substring.Index, "parse", lambda self, b: [])
+    assert len(substring.search(u)(*args)) == 0
+
+
+@pytest.mark.parametrize("name", ["op2", "op3"])
+def test_dedup_of_the_whole_table(spark, data, name):
+    from partloom.llm.queries import QUERIES
+
+    data = data.replace("sf0.001", "sf0.01")
+    texts = rows_of(data, "documents", ["doc_id", "text"])
+    if name == "op2":
+        want = {i: w for (i, _), w in zip(texts, cover_words(texts, 50))}
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in QUERIES["op2_substring_dedup"](spark, data).collect()}
+    else:
+        want = {i: w for (i, _), w in zip(texts, cover_bytes(texts, 400))}
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in QUERIES["op3_suffix_dedup"](spark, data).collect()}
+    assert got == want and sum(w[1] > 0 for w in want.values()) > 50
+
+
 def test_dedup_of_nothing(spark):
     assert substring_dedup(docs(spark, [])).count() == 0 and suffix_dedup(docs(spark, [])).count() == 0
     kept = without_repeats(docs(spark, awkward()))
