@@ -4,7 +4,8 @@ A row's text is cut into segments where a line begins with a speaker marker. Seg
 observation joins the marker, the place and the shape of the lines. Counts over all rows with a known role give the
 model. Roles are decoded without the role column, and each segment is rendered as one turn.
 
-Conversations are cut into chunks of CHUNK turn numbers. A chunk of a longer conversation is first summed up as a
+Conversations are cut into chunks of CHUNK turn numbers; where many rows share a turn, so that a chunk would hold over
+CHUNK_ROWS of them, the conversation is cut finer, by turn and by the hash that orders the rows of one turn. A chunk of a longer conversation is first summed up as a
 matrix of best scores from each state before it to each state at its end; these are combined in a tree of FANOUT, and
 the states at chunk borders come back down the tree. So no task holds a whole long conversation, and the path is still
 the best one.
@@ -18,13 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partloom.llm.common import materialise, small_batches
 
 ROLES = ("system", "user", "assistant")
 CHUNK = FANOUT = 64
+#: Chunks of more rows are cut at hashes; each turn then has up to PARTS of them.
+CHUNK_ROWS, PARTS = 4096, 4096
+#: Turns are taken to lie between minus and plus this number; all beyond share the outer chunk.
+FARTHEST = 1 << 46
 # fixed values: how speakers are marked at the beginning of a line
 MARKERS = {"system": r"system|instructions?", "user": r"user|human|question|q|customer|me", "assistant": r"assistant|ai|bot|answer|a|agent|model"}
 MARKER = re.compile("|".join(rf"(?P<{role}>(?:<\|(?:im_start\|>)?|\[|#+ ?|\*\*)?(?:{words})(?:\|>|\]:?|\*\*:?|:))" for role, words in MARKERS.items()), re.I)
@@ -170,7 +175,7 @@ def borders(rows: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in run]), pa.array([r[2] for r in run], pa.int64()), pa.array([before, *path[:-1]], pa.int32()), pa.array(path, pa.int32())], ["conv", "chunk", "before", "last"])
 
     mats = "conv string, chunk bigint, m array<double>"
-    levels = [materialise(_sorted(rows, ["conv", "chunk"], ["turn", "role", "text"]).select("conv", "chunk", "turn", "role", "text").mapInArrow(sum_up, mats), "chunks")]
+    levels = [materialise(_sorted(rows, ["conv", "chunk"], ["turn", "mix", "role", "text"]).select("conv", "chunk", "turn", "role", "text").mapInArrow(sum_up, mats), "chunks")]
     while levels[-1].groupBy("conv").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).where("a < b").limit(1).count():
         up = levels[-1].select("conv", F.floor(F.col("chunk") / FANOUT).alias("up"), "chunk", "m")
         levels.append(materialise(_sorted(up, ["conv", "up"], ["chunk"]).mapInArrow(combine, mats), "chunks"))
@@ -188,11 +193,12 @@ def render(role: str, body: str) -> str:
     return f"<|{role}|>\n{body.strip()}\n<|end|>\n"
 
 
-def format_chat(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def format_chat(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn: Column | None = None) -> DataFrame:
     """One row for each input row: its roles by Viterbi (that of its first segment in role), and its canonical turns.
 
-    The given role is used for counts only and carried along; rows without a known role do not count. A null text is an
-    empty one. A null turn is turn 0; ties are ordered by role and text. A row without conv_id is a conversation of its
+    The given role is used for counts only and carried along; rows without a known role, or for which learn is false, do
+    not count. A null text is an empty one. A null turn is turn 0; ties are ordered by a hash of role and text, then by
+    role and text; only rows that repeat all of it are never parted, however many they are. A row without conv_id is a conversation of its
     own. Without any known role only markers decide. Repeated rows are steps of their own. Empty tables give no rows;
     other columns are ignored.
     """
@@ -201,15 +207,23 @@ def format_chat(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     alone = F.concat(F.lit("alone "), F.xxhash64(t, F.col(role), body).cast("string"))
     rows = conversations.select(
-        F.coalesce(F.col(conv_id).cast("string"), alone).alias("conv"), F.greatest(F.floor(t / CHUNK), F.lit(0)).alias("chunk"), t.alias("turn"), F.col(role).cast("string").alias("role"), body.alias("text"), F.col(conv_id).cast("bigint").alias("id")
-    )
-    model = train(rows)
+        F.coalesce(F.col(conv_id).cast("string"), alone).alias("conv"), t.alias("turn"), F.col(role).cast("string").alias("role"), body.alias("text"), F.col(conv_id).cast("bigint").alias("id"), F.xxhash64(F.col(role), body).alias("mix"),
+        F.coalesce(learn if learn is not None else F.lit(True), F.lit(False)).alias("learn"),
+    )
+    model = train(rows.where("learn"))
+    place = F.greatest(F.least("turn", F.lit(FARTHEST)), F.lit(-FARTHEST)) + FARTHEST  # chunk numbers are in the order of the rows
+    rows = rows.withColumn("chunk", F.floor(place / CHUNK))
+    crowded = rows.groupBy("conv", "chunk").count().where(F.col("count") > CHUNK_ROWS).select("conv").distinct()
+    if crowded.limit(1).count():
+        part = F.floor((F.col("mix") / 2.0**64 + 0.5) * PARTS).cast("bigint")
+        fine = place * PARTS + F.greatest(F.least(part, F.lit(PARTS - 1)), F.lit(0))
+        rows = rows.join(crowded.withColumn("_fine", F.lit(True)), "conv", "left").withColumn("chunk", F.when(F.col("_fine"), fine).otherwise(F.col("chunk"))).drop("_fine")
     long_ = rows.groupBy("conv").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).where("a < b").select("conv")
     if long_.limit(1).count():
         rows = rows.join(borders(rows.join(long_, "conv", "left_semi"), model), ["conv", "chunk"], "left")
     else:
         rows = rows.withColumn("before", F.lit(-1)).withColumn("last", F.lit(-1))
-    ready = _sorted(rows.select("conv", "chunk", "turn", "role", "text", "id", F.coalesce("before", F.lit(-1)).alias("before"), F.coalesce("last", F.lit(-1)).alias("last")), ["conv", "chunk"], ["turn", "role", "text"])
+    ready = _sorted(rows.select("conv", "chunk", "turn", "role", "text", "id", F.coalesce("before", F.lit(-1)).alias("before"), F.coalesce("last", F.lit(-1)).alias("last"), "mix"), ["conv", "chunk"], ["turn", "mix", "role", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Arrow batches hold few rows because one text can be very long.
 ARROW_ROWS = 1024
+ARROW_DEFAULT = "10000"
 #: Texts are hashed in chunks of about this many bytes, so that the arrays stay in cache.
 CHUNK_BYTES = 1 << 20
 
@@ -22,9 +24,15 @@ SYMBOLS = b"#*$%&|<>"
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder named by ``spark.checkpoint.dir``; sets a local one only where none is named."""
+    """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
+
+    Where none is named, a session in one process gets a local one; on a cluster that is an error, as executors would
+    write to disks of their own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="partloom-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -33,13 +41,61 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write as Parquet to the shared folder and read it again. Survives the loss of executors."""
-    path = work_dir(df.sparkSession, name)
+    spark, path = df.sparkSession, work_dir(df.sparkSession, name)
+    if not _folders:
+        atexit.register(_clean)
+    _folders[path] = spark
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._work_folder = path
+    return out
+
+
+#: Work folders that exist, and the sessions that wrote them.
+_folders: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of materialised frames that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_work_folder", None)
+        if path in _folders:
+            _delete(_folders.pop(path), path)
+
+
+def _clean() -> None:
+    """At the end of the process: results have been read by then."""
+    for path, spark in list(_folders.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # the session may be gone, and its folder with it
+            pass
+    _folders.clear()
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Arrow batches of fewer rows where nobody has set their size; a value that is set stays, and results don't depend on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == ARROW_DEFAULT:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
+def by_place(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with columns named by their place, so that no name can clash, and the original names."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), list(df.columns)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with underscores in front until no column of that name is taken."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
 
 
 def rows_for_broadcast(df: DataFrame, most: int) -> bool:

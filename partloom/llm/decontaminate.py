@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import ascii_lower, materialise, rows_for_broadcast
+from partloom.llm.common import ascii_lower, by_place, materialise, rows_for_broadcast
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Low bits of a packed fingerprint hold the position.
@@ -114,7 +114,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_i
     # the benchmark is read once more for each use; it is small beside the corpus
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect())
     small = rows_for_broadcast(windows, broadcast_windows)
-    keep = [F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("_doc"), F.col(text).alias("_text")]
+    # rows are told apart by a number where one job does all, and by their content where they are read again
+    row = F.monotonically_increasing_id() if small else F.xxhash64(F.col(doc_id).cast("string"), F.lit(0), F.col(text))
+    keep = [row.alias("_row"), F.col(doc_id).alias("_doc"), F.col(text).alias("_text")]
     rows = hits(docs.select(*keep), windows, lengths, [F.col("_row"), F.col("_doc"), F.xxhash64("_text").alias("_th")], "_text", small)
     span = F.when(F.col("s").isNotNull(), F.struct("s", (F.col("s") + F.col("length")).alias("e")))
     grouped = rows.groupBy("_row", "_doc").agg(
@@ -126,6 +128,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_i
         lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= x["s"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"))))),
     )
     out = grouped.withColumn("spans", merged)
+    if not small:  # rows that repeat id and text were one so far
+        out = docs.select(row.alias("_again")).join(out, F.col("_again") == F.col("_row")).drop("_again")
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + (x["e"] - x["s"]))
     return out.select(
         F.col("_doc").alias(doc_id), "n_words", hit.alias("n_hit"), F.size("_items").cast("bigint").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (F.size("_spans") > 0).alias("contaminated"), "spans", "text_hash"
@@ -134,8 +138,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_i
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
     """The rows of docs, all columns as they are, that no benchmark window hits."""
-    bad = decontaminate(docs, benchmark, doc_id=doc_id, text=text).where("contaminated").select(F.col(doc_id).alias("_bad"), F.col("text_hash").alias("_hash")).distinct()
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    bad = decontaminate(slim, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_hash")).distinct()
     bad = materialise(bad, "contaminated")
     if rows_for_broadcast(bad, broadcast_rows):
         bad = F.broadcast(bad)
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_bad")) & (F.xxhash64(F.col(text)) == F.col("_hash")), "left_anti")
+    rows, names = by_place(docs)
+    own, body = (F.col(rows.columns[names.index(c)]) for c in (doc_id, text))
+    return rows.join(bad, own.eqNullSafe(F.col("_bad")) & (F.xxhash64(body) == F.col("_hash")), "left_anti").toDF(*names)

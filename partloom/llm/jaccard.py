@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import GRAM_ROLLER, chunks, materialise, mix, rows_for_broadcast, small_batches, word_bounds, word_hashes
+from partloom.llm.common import ARROW_ROWS, GRAM_ROLLER, by_place, chunks, discard, materialise, mix, rows_for_broadcast, small_batches, word_bounds, word_hashes
 
 SHINGLE, PERCENT = 3, 90
 #: Most documents of one group that one task compares with each other.
@@ -287,7 +287,8 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFram
         # small star: smaller neighbours of u, and u, go to the smallest one
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialise(small, "edges")
+        old, edges = edges, materialise(small, "edges")
+        discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             break
@@ -330,7 +331,7 @@ def _packed_keys(percent: int, size: int, buckets: int):
     only one of them into the bucket, so a key that many documents share adds little to its bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(a, ARROW_ROWS) for b in batches for a in range(0, b.num_rows, ARROW_ROWS)):  # so places have 16 bits
             ids = batch.column(0).to_numpy()
             found = []
             for i, _, data, offsets in chunks(batch.column(1)):
@@ -339,18 +340,18 @@ def _packed_keys(percent: int, size: int, buckets: int):
             if not found:
                 continue
             row, key = (np.concatenate(x) for x in zip(*found))
-            key = ((key >> np.uint64(KEY_BITS)) % np.uint64(buckets) << np.uint64(KEY_BITS)) | (key & np.uint64((1 << KEY_BITS) - 1))
-            order = np.argsort(key, kind="stable")
-            row, key = row[order], key[order]
+            bucket, key = mix(key) % np.uint64(buckets), key & np.uint64((1 << KEY_BITS) - 1)
+            order = np.lexsort((key, bucket))
+            row, key, bucket = row[order], key[order], bucket[order]
             lead = np.ones(len(key), bool)
-            lead[1:] = key[1:] != key[:-1]
+            lead[1:] = (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])
             many = ~lead
             many[:-1] |= ~lead[1:]
-            cut = np.searchsorted(key[lead], np.arange(buckets + 1).astype(np.uint64) << np.uint64(KEY_BITS))
-            one_key, one_row = key[lead], row[lead]
+            one_key, one_row, one_bucket = key[lead], row[lead], bucket[lead]
+            cut = np.flatnonzero(np.append(True, one_bucket[1:] != one_bucket[:-1])) if len(one_bucket) else np.zeros(0, np.int64)
             out = []
-            for b in np.flatnonzero(np.diff(cut)):
-                k, r = one_key[cut[b] : cut[b + 1]], one_row[cut[b] : cut[b + 1]]
+            for b, lo, hi in zip(one_bucket[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(one_bucket)]):
+                k, r = one_key[lo:hi], one_row[lo:hi]
                 who, place = np.unique(r, return_inverse=True)
                 low = np.concatenate([(k & np.uint64(0xFFFFFFFF)).astype("<u4").view(np.uint8), (k >> np.uint64(32)).astype("<u2").view(np.uint8)])
                 out.append((int(b), low.tobytes(), place.astype("<u2").tobytes(), ids[who].astype("<i8").tobytes()))
@@ -360,7 +361,7 @@ def _packed_keys(percent: int, size: int, buckets: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([*cols[0], *blank], pa.int32()), *(pa.array([*c, *blank], pa.binary()) for c in cols[1:]),
-                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(key[many].view(np.int64))]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(ids[row[many]])]),
+                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(_whole_key(key[many], bucket[many]))]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(ids[row[many]])]),
                 ],
                 ["bucket", "keys", "places", "docs", "key", "doc"],
             )
@@ -368,6 +369,11 @@ def _packed_keys(percent: int, size: int, buckets: int):
     return run
 
 
+def _whole_key(key: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """A key and its bucket in 64 bits; keys only propose, so that two of them may fall together does no harm."""
+    return mix(key ^ mix(bucket + np.uint64(1))).view(np.int64)
+
+
 def _met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, doc) of keys that come twice or more in a bucket."""
 
@@ -378,7 +384,7 @@ def _met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = np.zeros(len(k), bool)
         same[1:] = k[1:] == k[:-1]
         same[:-1] |= same[1:]
-        return pa.RecordBatch.from_arrays([pa.array((k[same] | (np.uint64(bucket) << np.uint64(KEY_BITS))).view(np.int64)), pa.array(d[same])], ["key", "doc"])
+        return pa.RecordBatch.from_arrays([pa.array(_whole_key(k[same], np.full(same.sum(), bucket, np.uint64))), pa.array(d[same])], ["key", "doc"])
 
     now, keys, docs = -1, [], []
     for batch in batches:
@@ -441,7 +447,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     present = small.where("doc is not null and n > 0").groupBy("doc").agg(F.min(F.struct("th", "n", "d1", "d2")).alias("s")).select("doc", "s.*")
     reps = present.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc", "th")).alias("r")).select("d1", "d2", "n", F.col("r.doc").alias("id"), F.col("r.th").alias("id_th"))
     total = small.where("doc is not null").agg(F.coalesce(F.sum("parts"), F.lit(0))).first()[0]
-    buckets = min(1 << 14, max(32, total // BUCKET_KEYS))
+    buckets = max(32, total // BUCKET_KEYS)
     packed = rows.where("_doc is not null").select("_doc", "_text").mapInArrow(_packed_keys(percent, size, buckets), PACKED)
     gathered = packed.where("bucket is not null").select("bucket", "keys", "places", "docs").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met_again, "key bigint, doc bigint")
     parts = materialise(packed.where("key is not null").select("key", "doc").union(gathered), "parts")
@@ -451,6 +457,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     one = present.join(reps, ["d1", "d2", "n"]).select("doc", "id").distinct()
     same = one.where("doc <> id").select(F.col("doc").alias("a"), F.col("id").alias("b"))
     member = materialise(member.join(reps.select("id"), "id", "left_semi"), "members")
+    discard(parts)
     named = reps.select("id", "id_th")
     # first every document goes to one group only, that of its smallest pivot
     first = member.groupBy("id").agg(F.min("pivot").alias("pivot"))
@@ -458,6 +465,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     placed = materialise(_placed(once, block), "placed")
     sets = fetch_sets(rows, placed.select("pivot", "block", "id").join(named, "id"), ["pivot", "block"], size)
     edges = materialise(sets.repartition("pivot", "block").sortWithinPartitions("pivot", "block").mapInArrow(_within(percent), EDGES), "links")
+    discard(placed)
     # then whole groups, but only where they still fall apart: the largest component needs no look at itself
     seen = member.join(components(member.select("id").distinct(), edges), "id")
     apart = seen.groupBy("pivot").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count("*").alias("_n")).where("_a < _b").select("pivot", F.ceil(F.col("_n") / block).cast("int").alias("pieces"))
@@ -479,11 +487,13 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
 def one_of_each(docs: DataFrame, percent: int, size: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without all but the smallest id of each component; rows that repeat an id are kept once. Null ids stay."""
     found = jaccard_components(docs, percent, size, doc_id, text)
-    gone = materialise(found.where(F.col("component_id") < F.col(doc_id)).select(F.col(doc_id).alias("_gone")).distinct(), "gone")
+    found = found.toDF("doc_id", "n_shingles", "component_id")
+    gone = materialise(found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     if rows_for_broadcast(gone, BROADCAST_IDS):
         gone = F.broadcast(gone)
-    kept = docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
-    repeated = found.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").limit(1).count()
-    if not repeated:
-        return kept
-    return kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(kept.where(F.col(doc_id).isNull()))
+    rows, names = by_place(docs)
+    own = F.col(rows.columns[names.index(doc_id)])
+    kept = rows.join(gone, own.cast("bigint") == F.col("_gone"), "left_anti")
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.where(own.isNotNull()).dropDuplicates([rows.columns[names.index(doc_id)]]).unionByName(kept.where(own.isNull()))
+    return kept.toDF(*names)

@@ -96,9 +96,13 @@ def stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _distinct(hashes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """About how many different words each row has: different values of the top twelve hash bits."""
-    seen = np.unique(rows * 4096 + (hashes >> np.uint64(52)).astype(np.int64)) if len(hashes) else np.zeros(0, np.int64)
-    return np.bincount(seen // 4096, minlength=n)
+    """How many different words (by hash) each row has."""
+    if not len(hashes):
+        return np.zeros(n, np.int64)
+    low = np.argsort(hashes, kind="stable")
+    order = low[np.argsort(rows[low].astype(np.uint32), kind="stable")]
+    h, r = hashes[order], rows[order]
+    return np.bincount(r[np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1]))], minlength=n)
 
 
 def trigram_buckets(data: np.ndarray) -> np.ndarray:

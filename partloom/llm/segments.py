@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import BYTE_CODES, GRAM_ROLLER, SPAN_ROLLER, chunks, materialise, mix, sliding_min, small_batches, word_bounds, word_hashes
+from partloom.llm.common import BYTE_CODES, GRAM_ROLLER, SPAN_ROLLER, by_place, chunks, discard, free_name, materialise, mix, sliding_min, small_batches, word_bounds, word_hashes
 
 #: A hash with more different pieces, or units in them, than this is settled window by window, so that no task gets an
 #: unbounded group. Windows are equal there if two independent 64-bit hashes are.
@@ -314,6 +314,7 @@ def repeated_spans(docs: DataFrame, u: Units, search: Search, earlier: bool, doc
     rows = keyed(docs, doc_id, text)
     found = materialise(blocks(rows, u).withColumn("copies", F.lit(1).cast("bigint")), "blocks")
     met = materialise(found.join(_known(found, earlier), ["h", "d"]), "met")  # hashes met once are gone from here on
+    discard(found)
     open_ = (F.col("kinds") > 1) | F.lit(False if earlier else True) & F.col("_any")
     if earlier:  # every place of a block in its first document; later ones go whole
         pick = met.where(open_ & (F.col("doc") == F.col("_first"))).select(*PICK)
@@ -321,6 +322,7 @@ def repeated_spans(docs: DataFrame, u: Units, search: Search, earlier: bool, doc
         pick = met.where(open_).groupBy("h", "d", "n", F.col("_copies").alias("copies")).agg(F.max("multi").alias("multi"), F.min(F.struct("doc", "th", "start")).alias("_at")).select("h", "d", "_at.*", "n", "copies", "multi")
     live = materialise(fetch(rows, pick, u), "live")
     pieces = materialise(trim(live, u), "pieces")
+    discard(live)
     left = pieces.join(_known(pieces, earlier), ["h", "d"])
     spans = _settled(met, earlier).unionByName(_settled(left, earlier))
     if earlier:
@@ -346,12 +348,14 @@ def _merge(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, u: Units, doc_id: str, text: str, rest: Callable[[bytes, np.ndarray, np.ndarray], tuple[int, bytes]]) -> DataFrame:
-    """Every row of docs with the columns of RESULT and kept (the text that is left)."""
+    """Every row of docs: its columns but the text, then _n, _n_removed, _n_spans, _kept_sha256 and _kept (the text that is
+    left). Where docs has a column of such a name, the new one gets one more underscore in front."""
     lists = spans.distinct().groupBy("doc", "th").agg(F.collect_list(F.struct("s", "e")).alias("_list"))  # of one document
-    names = [f"_c{i}" for i in range(len(docs.columns))]
-    slim = docs.toDF(*names).withColumn("_text", F.coalesce(F.col(names[docs.columns.index(text)]).cast("string"), F.lit("")))
-    slim = slim.withColumns({"_doc": F.coalesce(F.col(names[docs.columns.index(doc_id)]).cast("bigint"), F.lit(NO_ID)), "_th": F.xxhash64("_text")}).drop(names[docs.columns.index(text)])
-    others = [n for n in names if n != names[docs.columns.index(text)]]
+    slim, original = by_place(docs)
+    names, body = slim.columns, slim.columns[docs.columns.index(text)]
+    slim = slim.withColumn("_text", F.coalesce(F.col(body).cast("string"), F.lit("")))
+    slim = slim.withColumns({"_doc": F.coalesce(F.col(names[docs.columns.index(doc_id)]).cast("bigint"), F.lit(NO_ID)), "_th": F.xxhash64("_text")}).drop(body)
+    others = [n for n in names if n != body]
     joined = slim.join(lists, (F.col("_doc") == F.col("doc")) & (F.col("_th") == F.col("th")), "left").select(*others, "_text", "_list")
     m = len(others)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*others).schema.fields)
@@ -370,6 +374,6 @@ def remove_spans(docs: DataFrame, spans: DataFrame, u: Units, doc_id: str, text:
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(m)), *(pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())))], [*others, "n", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     done = joined.mapInArrow(run, f"{fields}, {RESULT}, kept string")
-    back = dict(zip(names, docs.columns))
-    return done.select(*(F.col(c).alias(back[c]) for c in others), *(F.col(c).alias(f"_{c}") for c in ("n", "n_removed", "n_spans", "kept_sha256", "kept")))
+    back = dict(zip(names, original))
+    return done.select(*(F.col(c).alias(back[c]) for c in others), *(F.col(c).alias(free_name(f"_{c}", original)) for c in ("n", "n_removed", "n_spans", "kept_sha256", "kept")))
 

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import GRAM_ROLLER, mix
+from partloom.llm.common import GRAM_ROLLER, free_name, mix
 from partloom.llm.segments import Units, remove_spans, repeated_spans
 
 WINDOW, SEED = 50, 8
@@ -140,8 +140,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id
 def without_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with repeated words taken out of the text; texts that lose nothing stay as they are, n_chars follows the text."""
     done = substring_dedup(docs, window, doc_id, text)
-    kept = docs.columns
-    out = done.withColumn(text, F.col("_kept"))
-    if "n_chars" in kept:
-        out = out.withColumn("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*kept)
+    kept = F.col(free_name("_kept", docs.columns))
+    chars = {"n_chars": F.char_length(kept).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    new = {text: kept} | chars
+    return done.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))

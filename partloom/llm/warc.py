@@ -37,10 +37,12 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
     """
     boundary = uuid.uuid4().hex
     rows = pages.select(
-        F.monotonically_increasing_id().alias("_row"), F.col(page_id).cast("bigint").alias("_id"), F.col(url).cast("string").alias("_url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("_html")
-    ).select("*", F.sha2(F.col("_html").cast("binary"), 256).alias("_digest"), F.octet_length("_html").cast("bigint").alias("_bytes"))
+        F.col(page_id).cast("bigint").alias("_id"), F.col(url).cast("string").alias("_url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("_html")
+    ).select("*", F.sha2(F.col("_html").cast("binary"), 256).alias("_digest"), F.octet_length("_html").cast("bigint").alias("_bytes"), F.xxhash64("_id", "_url").alias("_key"))
     slim = rows.drop("_html")
-    firsts = slim.groupBy("_digest").agg(F.min("_id").alias("_first"), F.min("_row").alias("_keep"))
+    # of equal payloads one row is chosen by its content, so that it is the same row whenever pages are read again
+    kinds = slim.groupBy("_digest", "_key").agg(F.min("_id").alias("_id"), F.count("*").alias("_n"))
+    firsts = kinds.groupBy("_digest").agg(F.min("_id").alias("_first"), F.min(F.struct("_key", "_n")).alias("_keep"))
     revisit = (F.col("_bytes") >= min_revisit) & F.col("_first").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_first"))
     records = slim.join(firsts.drop("_keep"), "_digest").select(
         F.concat(
@@ -57,9 +59,15 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
         ).alias("value")
     )
     records.write.option("lineSep", END).option("compression", "gzip").text(f"{path}/headers")
-    # every payload once: the rows to keep are known by number, so copies never meet in one task
-    keep = firsts.select(F.col("_keep").alias("_row")).hint("shuffle_hash")
-    payloads = rows.join(keep, "_row", "left_semi").select(
+    # every payload once: the row to keep is known by digest and key, so copies of a payload never meet in one task
+    def kept(keep: DataFrame) -> DataFrame:
+        return rows.join(keep.select("_digest", F.col("_keep._key").alias("_key")).hint("shuffle_hash"), ["_digest", "_key"], "left_semi").select("_digest", "_bytes", "_html")
+
+    stored = kept(firsts.where("_keep._n = 1"))
+    again = firsts.where("_keep._n > 1")  # rows that repeat id, address and payload: one of them, found before the shuffle
+    if again.limit(1).count():
+        stored = stored.unionByName(kept(again).groupBy("_digest", "_bytes").agg(F.first("_html").alias("_html")))
+    payloads = stored.select(
         F.concat(
             F.lit(f"WARC/1.1\r\nX-Boundary: {boundary}"),
             _header("WARC-Type", F.lit("resource")),
@@ -100,8 +108,14 @@ def read_payloads(spark: SparkSession, path: str, boundary: str) -> DataFrame:
 
 
 def read_archive(spark: SparkSession, path: str, boundary: str) -> DataFrame:
-    """The original records: header fields with the full payload, revisits included."""
-    return read_headers(spark, path).join(read_payloads(spark, path, boundary), "digest")
+    """The original records: header fields with the full payload, revisits included. A record without its payload is an
+    error, not left out."""
+    return _complete(read_headers(spark, path).join(read_payloads(spark, path, boundary).withColumn("_there", F.lit(True)), "digest", "left"))
+
+
+def _complete(records: DataFrame) -> DataFrame:
+    lost = F.raise_error(F.concat(F.lit("no payload is stored under "), F.col("digest"))).cast("string")
+    return records.withColumn("digest", F.when(F.col("_there"), F.col("digest")).otherwise(lost)).drop("_there")
 
 
 def archive_digests(pages: DataFrame, **options) -> DataFrame:
@@ -109,5 +123,5 @@ def archive_digests(pages: DataFrame, **options) -> DataFrame:
     spark = pages.sparkSession
     path = work_dir(spark, "warc")
     boundary = write_archive(pages, path, **options)
-    facts = read_payloads(spark, path, boundary).select("digest", F.octet_length("payload").cast("bigint").alias("payload_bytes"))
-    return read_headers(spark, path).join(facts, "digest").select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    facts = read_payloads(spark, path, boundary).select("digest", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.lit(True).alias("_there"))
+    return _complete(read_headers(spark, path).join(facts, "digest", "left")).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")

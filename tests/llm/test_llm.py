@@ -202,6 +202,49 @@ def test_chat_roles_on_given_conversations(spark, data):
     assert n == read(spark, data, "conversations").count() and right >= 0.95 * n
 
 
+def test_chat_roles_of_unseen_conversations(spark, data):
+    """Counts from four fifths of the conversations, roles of the others."""
+    table = read(spark, data.replace("sf0.001", "sf0.01"), "conversations")
+    fold = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(5)) == 0
+    unseen = chat.format_chat(table, learn=~fold).where(fold & F.col("given_role").isNotNull())
+    n = unseen.count()
+    assert n >= 50 and unseen.where("role = given_role").count() >= 0.95 * n
+
+
+def test_viterbi_against_all_paths():
+    import itertools
+
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        model = chat.Model(rng.integers(0, 9, 3).astype(float), rng.integers(0, 9, (3, 3)).astype(float), rng.integers(0, 5, (3, chat.OBSERVATIONS)).astype(float))
+        obs = rng.integers(0, chat.OBSERVATIONS, rng.integers(1, 6)).tolist()
+        before, last = int(rng.integers(-1, 3)), int(rng.integers(-1, 3))
+
+        def score(path):
+            total = (model.start if before < 0 else model.step[before])[path[0]] + model.emit[path[0], obs[0]]
+            return total + sum(model.step[a, b] + model.emit[b, o] for a, b, o in zip(path, path[1:], obs[1:]))
+
+        every = [p for p in itertools.product(range(3), repeat=len(obs)) if last < 0 or p[-1] == last]
+        got = model.decode(obs, before, last)
+        assert got[-1] == last or last < 0
+        assert score(got) == pytest.approx(max(map(score, every)))
+        # a chunk's matrix has the best score from each state to each
+        m = model.matrix(obs)
+        free = [p for p in itertools.product(range(3), repeat=len(obs))]
+        for end in range(3):
+            assert m[3 if before < 0 else before, end] == pytest.approx(max(score(p) for p in free if p[-1] == end))
+
+
+def test_chat_crowded_turns_are_cut(spark, monkeypatch):
+    """Many rows without a turn, or of one turn: the same roles as in one piece, and no task has them all."""
+    rows = [(1, None, ("user", "assistant", None)[i % 3], f"word {i}" + "?" * (i % 2)) for i in range(150)] + [(1, -3, "system", "first"), (1, 5, "user", "last"), (2, 0, "user", "hi")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = sorted(map(repr, chat.format_chat(table).collect()))
+    monkeypatch.setattr(chat, "CHUNK_ROWS", 20)
+    monkeypatch.setattr(chat, "FANOUT", 4)
+    assert sorted(map(repr, chat.format_chat(table).collect())) == whole and len(whole) == len(rows)
+
+
 def test_chat_chunks_do_not_matter(spark, monkeypatch):
     import random
 
@@ -346,12 +389,72 @@ def test_ratio_is_that_of_the_definition(spark):
 # 7 ----------------------------------------------------------------------------------------------------------------
 
 
-def test_licenses(spark):
-    rows = [("a/LICENSE", "Released under the MIT License."), ("a/b/x", "no word of it"), ("a/b/c/y", None), ("a/d/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("a/d/z", "text\nLicensed under the Apache License, Version 2.0.\nmore " + "text " * 20), ("e/f", "nothing"), (None, "")]
+def brute_cosine(text):
+    """Best template of a text by a plain TF-IDF of its own."""
+    import math
+
+    from partloom.llm.licenses import TEMPLATES
+
+    tokens = lambda t: Counter(re.findall(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*", t.lower()))
+    bags = [(name, tokens(t)) for name, t in TEMPLATES]
+    df = Counter(w for _, b in bags for w in b)
+    idf = lambda w: math.log((1 + len(bags)) / (1 + df[w])) + 1 if w in df else 1.0
+    vector = lambda b: {w: n * idf(w) for w, n in b.items()}
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    mine = vector(tokens(text))
+    scored = []
+    for name, b in bags:
+        v = vector(b)
+        scored.append((round(sum(x * v.get(w, 0) for w, x in mine.items()) / (size(mine) * size(v)), 6) if mine else 0, name))
+    return max(scored)
+
+
+def scanned(spark, rows):
     d = spark.createDataFrame([(i, t, p, "x") for i, (p, t) in enumerate(rows)], "doc_id long, text string, path string, license string")
-    got = {r["doc_id"]: (r["own_license"], r["license"], r["inherited_from"]) for r in license_scan(d, F.col("path")).collect()}
-    assert got == {0: ("MIT", "MIT", None), 1: (None, "MIT", "a/LICENSE"), 2: (None, "MIT", "a/LICENSE"), 3: ("GPL-3.0", "GPL-3.0", None), 4: ("Apache-2.0", "Apache-2.0", None), 5: (None, None, None), 6: (None, None, None)}
-    assert license_scan(d.limit(0), F.col("path")).count() == 0
+    return {r["doc_id"]: r for r in license_scan(d, F.col("path")).collect()}
+
+
+def test_licenses(spark):
+    from partloom.llm.licenses import TEXTS
+
+    texts = dict(TEXTS)
+    wrapped = "\n".join(f" * {texts['MIT'][a : a + 60]}" for a in range(0, len(texts["MIT"]), 60))
+    rows = [
+        ("a/LICENSE", "Released under the MIT License."), ("a/b/x", "no word of it"), ("a/b/c/y", None), ("a/d/COPYING", "This work is licensed under the GNU General Public License, version 3."),
+        ("a/d/z", "text\nLicensed under the Apache License, Version 2.0.\nmore " + "text " * 20), ("e/f", "nothing"), (None, ""),
+        # a file that is no licence file gives nothing to its siblings, however little else it holds
+        ("g/4", "This work is licensed under the GNU General Public License, version 3."), ("g/5", "sibling"),
+        # the text of a licence does, whatever its name
+        ("h/terms.txt", f"Copyright 2020 Somebody\n\n{texts['ISC']}"), ("h/i/j", "sibling"),
+    ]
+    got = {i: (r["own_license"], r["license"], r["inherited_from"]) for i, r in scanned(spark, rows).items()}
+    assert got == {
+        0: ("MIT", "MIT", None), 1: (None, "MIT", "a/LICENSE"), 2: (None, "MIT", "a/LICENSE"), 3: ("GPL-3.0", "GPL-3.0", None), 4: ("Apache-2.0", "Apache-2.0", None), 5: (None, None, None), 6: (None, None, None),
+        7: ("GPL-3.0", "GPL-3.0", None), 8: (None, None, None), 9: ("ISC", "ISC", None), 10: (None, "ISC", "h/terms.txt"),
+    }
+    assert license_scan(spark.createDataFrame([], "doc_id long, text string, path string"), F.col("path")).count() == 0
+    headers = {
+        "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "# SPDX-License-Identifier: GPL-3.0-only": "GPL-3.0", "/* SPDX-License-Identifier: LGPL-2.1-or-later */": "LGPL-2.1", "SPDX-License-Identifier: Nothing-9.9": None,
+        "BSD 2-Clause License\n\nCopyright (c) 2019, Somebody": "BSD-2-Clause", "ISC License": "ISC", "GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007": "AGPL-3.0",
+        "GNU LESSER GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007": "LGPL-3.0", "GNU GENERAL PUBLIC LICENSE\n Version 2, June 1991": "GPL-2.0", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy": "Unlicense",
+        "# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy": "Apache-2.0",
+        "This project is licensed under the MIT License. See LICENSE.": "MIT", f"/*\n{wrapped}\n */\nint main() {{}}": "MIT", "she submitted the public work under general terms": None, "The licence fee went up again last year, and nobody was told why.": None,
+    }
+    got = scanned(spark, [(f"src{i}/file", t) for i, t in enumerate(headers)])
+    assert {t: got[i]["own_license"] for i, t in enumerate(headers)} == headers
+
+
+def test_license_scores_against_plain_cosine(spark):
+    from partloom.llm.licenses import TEMPLATES, score_texts
+
+    texts = [t for _, t in TEMPLATES[::7]] + ["This program is under the Mozilla license 2.0", "GNU public license version 3 version 3", "released under MIT terms", "no such thing", "SPDX-License-Identifier: Zlib OR MIT"]
+    got = {r["key"]: r for r in score_texts(spark.createDataFrame(list(enumerate(texts)), "key long, text string")).collect()}
+    for i, t in enumerate(texts):
+        cosine, name = brute_cosine(t)
+        if cosine:
+            assert (got[i]["license"], got[i]["cosine"]) == (name, pytest.approx(cosine, abs=2e-6)), t
+        else:
+            assert i not in got
 
 
 # 9 ----------------------------------------------------------------------------------------------------------------
