@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partloom.llm.common import materialise
+from partloom.llm.common import discard, materialise
 from partloom.llm.decontaminate import without_contaminated
 from partloom.llm.jaccard import one_of_each
 from partloom.llm.quality import keep_good, trusted_ids
@@ -53,7 +53,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs, f"stage{k}")
+            discard(before)
     return docs
