@@ -27,7 +27,7 @@ from partloom.llm.common import BYTE_CODES, GRAM_ROLLER, SPAN_ROLLER, by_place,
 
 #: A hash with more different pieces, or units in them, than this is settled window by window, so that no task gets an
 #: unbounded group. Windows are equal there if two independent 64-bit hashes are.
-HOT_BLOCKS, HOT_UNITS = 4096, 1 << 22
+HOT_BLOCKS, HOT_UNITS = 2048, 1 << 21
 #: Rows without a document id count as later than all others.
 NO_ID = (1 << 63) - 1
 BLOCK = "h bigint, d bigint, doc bigint, th bigint, start int, n int, multi boolean"
@@ -242,7 +242,7 @@ def window_spans(first: np.ndarray, hit: np.ndarray, block: np.ndarray, start: n
 Search = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def search_blocks(live: DataFrame, u: Units, search: Search, batch_bytes: int = 2 << 20) -> DataFrame:
+def search_blocks(live: DataFrame, u: Units, search: Search, batch_bytes: int = 1 << 20) -> DataFrame:
     """Run search on whole hash groups, many at a time; it gets codes, first, h, doc, copies and returns the hit windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

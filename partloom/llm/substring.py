@@ -62,10 +62,25 @@ class Index:
         """Where blocks of smaller documents in the group have the seed of place p."""
         return self.at[self.low[p] : self.high[p]]
 
-    def match(self, p: int, places: np.ndarray, way: int) -> np.ndarray:
-        """How many units from p and from each of the places on are the same, to the right (way 1) or the left (-1)."""
+    def longest(self, p: int) -> int:
+        """Length of the longest match of the text at place p with blocks of smaller documents."""
+        places, best, tries = self.places(p), 0, 0
+        while len(places):
+            if tries == 24:  # many that differ early: all at once
+                return max(best, int(self.match(p, places, 1).max()))
+            near, places, tries = int(places[-1]), places[:-1], tries + 1
+            done, step = 0, 32
+            while (same := self.text[near + done : near + done + step] == self.text[p + done : p + done + step]).all():
+                done, step = done + step, MOST
+            best = max(best, done + int(same.argmin()))
+            places = places[self.text[places + best] == self.text[p + best]]  # others can't be longer
+        return best
+
+    def match(self, p: int, places: np.ndarray, way: int, most: int | None = None) -> np.ndarray:
+        """How many units from p and from each of the places on are the same, to the right (way 1) or the left (-1). Where
+        most is given and as many are, there may be more."""
         out, live, done, step = np.zeros(len(places), np.int64), np.arange(len(places)), 0, 16
-        while len(live):
+        while len(live) and (most is None or done < most):
             by = way * np.arange(done, done + step)
             same = self.text[places[live][:, None] + by] == self.text[p + by]
             n = np.where(same.all(1), step, same.argmin(1))
@@ -77,7 +92,7 @@ class Index:
         """Greedy factors (place, length) of block b against the blocks of smaller documents; what they leave out is literal."""
         out, p, stop = [], int(self.next[self.begin[b]]), int(self.end[b])
         while p + self.u.k <= stop:
-            length = int(self.match(p, self.places(p), 1).max())
+            length = self.longest(p)
             if length >= self.u.k:
                 out.append((p, length))
             p = int(self.next[p + max(length, 1)])
@@ -88,8 +103,8 @@ class Index:
         places, w = self.places(p), self.u.window
         if not len(places):
             return []
-        right = self.match(p, places, 1)
-        left = self.match(p - 1, places - 1, -1)
+        right = self.match(p, places, 1, w)
+        left = self.match(p - 1, places - 1, -1, w)
         good = (right >= self.u.k) & (left + right >= w)
         return [(p - int(x), p + int(y)) for x, y in set(zip(left[good].tolist(), right[good].tolist()))]
 

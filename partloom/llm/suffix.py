@@ -16,7 +16,7 @@ from partloom.llm.segments import Units, remove_spans, repeated_spans
 from partloom.llm.substring import rest_of
 
 WINDOW, SEED = 400, 32
-#: Steps to the right of a boundary before ranks over the whole alphabet take over.
+#: Runs of an interval that are looked at before ranks over the whole alphabet take over.
 WALK = 24
 
 
@@ -28,12 +28,14 @@ def bounded_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for i in range(7):
         key = (key << np.uint64(9)) | padded[i : i + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key).astype(np.int32)
     ordered = key[order]
     head = np.ones(n, bool)
     head[1:] = ordered[1:] != ordered[:-1]
-    group = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
+    del key, ordered
+    place = np.arange(n, dtype=np.int32)
+    group = np.maximum.accumulate(np.where(head, place, 0))
+    rank = np.zeros(n + 1, np.int32)  # after the end: 0, which only the suffix at the end has otherwise
     rank[order] = group
     length = 7
     while length < depth:
@@ -44,59 +46,74 @@ def bounded_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
         if not len(at):
             break
         suffix = order[at]
-        after = suffix + length
-        key = (rank[suffix] << 32) | np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        by = np.argsort(key, kind="stable")
-        order[at], key = suffix[by], key[by]
+        # suffixes that are still tied are longer than length, as the 0 at the end comes once
+        key = (rank[suffix].astype(np.int64) << 32) | rank[suffix + length]
+        by = np.argsort(key)
+        suffix, key = suffix[by], key[by]
+        order[at] = suffix
         head[at[1:]] = key[1:] != key[:-1]
         head[at[0]] = True
-        group = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-        rank[order[at]] = group[at]
+        own = np.maximum.accumulate(np.where(head[at], at, 0))
+        rank[suffix] = own
         length *= 2
     return order
 
 
 def unmet_boundaries(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Places i > 0 where suffixes i-1 and i share at least depth symbols, by expansion over common prefixes 0, 1, ..."""
+    """Places i > 0 where suffixes i-1 and i share at least depth symbols, by expansion over common prefixes 0, 1, ...
+
+    An interval is held by its ends. Its left end is a boundary just met; a step backward with each symbol that occurs in
+    it gives the intervals of the next length. Symbols are found at the runs of the transform, which are few where the
+    text repeats.
+    """
     n = len(text)
-    bwt = text[order - 1]  # the suffix at 0 is preceded by the last symbol
-    by = np.argsort(bwt, kind="stable")  # psi: place in the transform of the j-th smallest symbol
+    bwt = text[order - 1].astype(np.uint16)  # the suffix at 0 is preceded by the last symbol
+    by = np.argsort(bwt, kind="stable").astype(np.int32)  # psi: place in the transform of the j-th smallest symbol
     symbols = bwt[by]
-    step = np.empty(n, np.int64)
-    step[by] = np.arange(n)  # last-to-first mapping
-    before = np.full(n, -1, np.int64)  # psi of the place before, in the same symbol's part
+    step = np.empty(n, np.int32)
+    step[by] = np.arange(n, dtype=np.int32)  # last-to-first mapping
+    before = np.full(n, -1, np.int32)  # psi of the place before, in the same symbol's part
     same = np.flatnonzero(symbols[1:] == symbols[:-1]) + 1
     before[same] = by[same - 1]
+    ranked = symbols.astype(np.int64) * (n + 1) + by  # in order, so a search is a rank
+    run = np.full(n + 1, n, np.int32)
+    fresh = np.flatnonzero(bwt[1:] != bwt[:-1]) + 1
+    run[fresh] = fresh
+    run = np.minimum.accumulate(run[::-1])[::-1][1:]  # the next place with another symbol than the one before it
     begin = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1]))
     stop = np.append(begin[1:], n)
     met = np.zeros(n, bool)
     met[begin] = True
-    front = begin[begin > 0]
+    left, right = begin[1:].astype(np.int32), stop[1:].astype(np.int32)
     for _ in range(depth - 1):
-        if not len(front):
+        if not len(left):
             break
-        found = []
-        # walk right from each boundary to the end of its interval, which is the next boundary met before
-        live = front
-        at = front.copy()
+        at, lefts, rights = left, [], []
         for _ in range(WALK):
             j = step[at]
-            good = ~met[j] & (before[j] < live)
-            found.append(j[good])
-            at = at + 1
-            on = at < n
-            on[on] &= ~met[at[on]]
-            live, at = live[on], at[on]
+            good = ~met[j] & (before[j] < left)  # the symbol's first place in the interval
+            after = run[at]
+            on = after < right
+            ends = np.flatnonzero(good & ~on)  # in the last run, the symbol's last place is that before the end
+            lefts.append(j[ends])
+            rights.append(step[right[ends] - 1] + 1)
+            inner = np.flatnonzero(good & on)
+            if len(inner):
+                lefts.append(j[inner])
+                rights.append(np.searchsorted(ranked, bwt[at[inner]].astype(np.int64) * (n + 1) + right[inner]).astype(np.int32))
+            at, left, right = after[on], left[on], right[on]
             if not len(at):
                 break
-        if len(live):  # wide intervals: one rank for every symbol
-            live = np.unique(live)
+        met[np.concatenate(lefts)] = True
+        if len(at):  # many runs: one rank for every symbol
             for b, e in zip(begin, stop):
-                j = b + np.searchsorted(by[b:e], live)
-                j = j[(j < e) & (j > b)]
-                found.append(j[~met[j]])
-        front = np.unique(np.concatenate(found))
-        met[front] = True
+                j = b + np.searchsorted(by[b:e], left)
+                good = np.flatnonzero((j > b) & (j < e))
+                good = good[(by[j[good]] < right[good]) & ~met[j[good]]]
+                lefts.append(j[good].astype(np.int32))
+                rights.append((b + np.searchsorted(by[b:e], right[good])).astype(np.int32))
+                met[lefts[-1]] = True
+        left, right = np.concatenate(lefts), np.concatenate(rights)
     return np.flatnonzero(~met)
 
 
@@ -111,10 +128,12 @@ def search(u: Units):
         hit = unmet_boundaries(text, order, u.window)
         unit = np.full(len(text), -1, np.int64)
         unit[place] = np.arange(len(raw))
-        windows = unit[np.unique(np.concatenate([order[hit], order[hit - 1]]))]
+        shared = np.zeros(len(text), bool)
+        shared[order[hit]] = shared[order[hit - 1]] = True
+        windows = unit[shared]
         windows = windows[windows >= 0]
         # all copies of a block met more than once go whole, and are not asked again
-        return np.sort(windows[(windows + u.window <= first[1:][block[windows]]) & (copies[block[windows]] == 1)])
+        return windows[(windows + u.window <= first[1:][block[windows]]) & (copies[block[windows]] == 1)]
 
     return run
 
