@@ -4,10 +4,8 @@ Templates are notices, titles, SPDX lines and whole licence texts. The term weig
 a text scores the same in every corpus. A header is a line or a sentence (of lines joined, comment marks taken off); each
 different one is scored once, however many documents hold it. A licence file, by its name, is scored as a whole as well.
 
-Which headers are scored follows from the templates: a few needles are chosen for each, its heaviest terms down to where
-the rest holds less than REST of the squared weight, and a header has at least one needle. A text with a higher cosine
-than the root of REST can't be without one (Cauchy and Schwarz); a text that is closest to a notice by its small words
-alone, and farther than that, is no header.
+Which lines and sentences are scored follows from the templates: a header holds one of a few needles, terms chosen so
+that every template has one; a text without any of them is no header.
 
 Documents that are licence files (by name, or as a whole close to the text of one) give their licence to their directory;
 a document without one of its own takes that of the nearest directory above it.
@@ -23,7 +21,7 @@ from functools import lru_cache, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import materialise
+from partloom.llm.common import materialise, rows_for_broadcast
 
 # fixed values: notices and titles of common licences
 NOTICES = [
@@ -94,7 +92,9 @@ QUOTED = [(name, re.split(r"(?<=[.:])\s", text)[0]) for name, text in TEXTS if n
 SPDX = ["0BSD", "AFL-3.0", "AGPL-3.0", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MIT-0", "MPL-2.0", "Unlicense", "Zlib"]
 LINES = [(name, f"SPDX-License-Identifier: {name}{end}") for name in SPDX for end in (("", "-only", "-or-later") if "GPL" in name else ("",))]
 TEMPLATES = [*NOTICES, *QUOTED, *LINES, *TEXTS]
-MIN_COSINE, REST = 0.6, 0.8
+MIN_COSINE = 0.6
+#: Directories that inherit a licence are broadcast up to this number (some 100 bytes each), and joined by a shuffle beyond.
+BROADCAST_DIRS = 100_000
 #: A document this close as a whole to the text of a licence is a licence file, whatever its name.
 FILE_COSINE = 0.8
 FILE_NAMES = r"(?i)^(licen[sc]e|copying|notice|unlicense)([.\-_].*)?$"
@@ -123,22 +123,15 @@ def fitted() -> tuple[dict[str, float], list[dict[str, float]], float]:
 
 
 @lru_cache
-def needles(rest: float) -> list[str]:
-    """Terms without which no template, but for whole texts, keeps that share of its squared weight.
-
-    Needles of other templates count first, then long terms are taken, as they are seldom met by chance; a term that
-    holds a needle needs no place of its own.
-    """
-    chosen: list[str] = []
-    vectors = [v for (_, text), v in zip(TEMPLATES, fitted()[1]) if (_, text) not in TEXTS]
-    for v in sorted(vectors, key=lambda v: (len(v), sorted(v))):
-        left = sum(w * w for t, w in v.items() if not any(x in t for x in chosen))
-        for t in sorted((t for t in v if not any(x in t for x in chosen)), key=lambda t: (-(v[t] ** 2) * min(len(t), 8) ** 2, t)):
-            if left < rest:
-                break
-            chosen.append(t)
-            left = sum(w * w for t2, w in v.items() if not any(x in t2 for x in chosen))
-    return [x for x in chosen if not any(y in x and y != x for y in chosen)]
+def needles() -> list[str]:
+    """A few terms of five letters or more, of which every template has one, within another term too: greedy set cover."""
+    left, chosen = [sorted(set(re.findall(TOKEN, text.lower()))) for _, text in TEMPLATES], []
+    while left:
+        count = Counter(t for own in left for t in own if len(t) >= 5)
+        count = {x: sum(any(x in t for t in own) for own in left) for x in count}
+        chosen.append(max(count, key=lambda x: (count[x], len(x), x)))
+        left = [own for own in left if not any(chosen[-1] in t for t in own)]
+    return sorted(chosen)
 
 
 def _cue(text: Column, words: list[str]) -> Column:
@@ -172,7 +165,7 @@ def license_scan(docs: DataFrame, path: Column, doc_id: str = "doc_id", text: st
     base = docs.select(F.col(doc_id).alias("_id"), F.coalesce(path, F.lit("")).alias("_path"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).withColumn("_th", F.xxhash64("_text"))
     folder, name = F.regexp_extract("_path", r"^(.*)/[^/]*$", 1), F.regexp_extract("_path", r"([^/]*)$", 1)
     named = name.rlike(FILE_NAMES)
-    words = needles(REST)
+    words = needles()
     some = base.where(_cue(F.lower("_text"), words) | named)
     # headers: lines, and sentences of what stands between empty lines
     blocks = F.split("_text", r"\n[\x20\x09\x0B\x0C\x0D]*\n")
@@ -197,6 +190,8 @@ def license_scan(docs: DataFrame, path: Column, doc_id: str = "doc_id", text: st
     parts = F.split("_dir", "/")
     above = slim.select("_dir").distinct().select("_dir", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("_depth")).select("_dir", "_depth", F.array_join(F.slice(parts, 1, F.col("_depth")), "/").alias("dir"))
     nearest = above.join(given, "dir").groupBy("_dir").agg(F.max(F.struct("_depth", "given", "given_from")).alias("_n")).select("_dir", F.col("_n.given").alias("given"), F.col("_n.given_from").alias("given_from"))
+    if rows_for_broadcast(nearest, BROADCAST_DIRS):  # a directory may hold a third of all documents
+        nearest = F.broadcast(nearest)
     out = slim.join(own.drop("_whole"), ["_path", "_th"], "left").join(nearest, "_dir", "left")
     return out.select(
         F.col("_id").alias(doc_id), F.col("_path").alias("path"), "own_license", "cosine", F.coalesce("own_license", "given").alias("license"), F.when(F.col("own_license").isNull(), F.col("given_from")).alias("inherited_from")
