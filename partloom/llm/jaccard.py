@@ -8,7 +8,8 @@ are walked together, and a pair of nodes goes on only if the largest overlap tha
 of documents left over are compared exactly; documents already linked need no second proof.
 
 At first each document visits one group only, which links most copies. A second round takes the groups whose members are
-still in different components, and compares all but the largest component with the whole group. Groups beyond BLOCK
+still in different components, and compares all but the largest component with the whole group: first by trees of the
+signatures alone, then by the sets of those members which the trees leave a partner in another component. Groups beyond BLOCK
 documents are cut into blocks and compared pair by pair of blocks, so no task holds an unbounded group and no link is lost.
 """
 
@@ -115,18 +116,26 @@ def part_keys(sets: np.ndarray, first: np.ndarray, percent: int = PERCENT) -> tu
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    """Bitmap of a set."""
+    bits = np.zeros(BITS, np.uint8)
+    bits[(s % np.uint64(BITS)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.uint64)
+
+
 class Members:
-    """Sets of a group with their signatures."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        self.size = np.array([len(s) for s in sets])
-        self.bitmap = np.zeros((len(sets), BITS // 64), np.uint64)
-        for i, s in enumerate(sets):
-            np.bitwise_or.at(self.bitmap[i], (s >> np.uint64(6)).astype(np.int64) % (BITS // 64), np.uint64(1) << (s & np.uint64(63)))
+    """Members of a group: sizes and bitmaps, and the sets where they are there."""
+
+    def __init__(self, size: list[int], bitmap: list[np.ndarray], sets: list[np.ndarray] | None = None):
+        self.sets, self.size = sets or [], np.array(size, np.int64)
+        self.bitmap = np.array(bitmap, np.uint64).reshape(len(size), BITS // 64)
         # shingles beyond the first of each bit: an overlap can exceed the common bits by no more than these
         self.excess = self.size - np.bitwise_count(self.bitmap).sum(1).astype(np.int64)
 
+    @classmethod
+    def of(cls, sets: list[np.ndarray]) -> Members:
+        return cls([len(s) for s in sets], [signature(s) for s in sets], sets)
+
 
 class Tree:
     """Levels from the leaves up: OR of bitmaps, size ranges and largest excess; node i of a level holds 8i..8i+7 below."""
@@ -243,7 +252,7 @@ def _within(percent: int):
             sets = {r[2]: r[3] for r in rows}
             names = sorted(sets)
             if len(names) > 1:
-                m = Members([sets[x] for x in names])
+                m = Members.of([sets[x] for x in names])
                 edges += links(m, names, np.lexsort((np.arange(len(names)), m.size)), None, None, percent)
             if len(edges) > 5000:
                 yield _edge_batch(edges)
@@ -253,6 +262,43 @@ def _within(percent: int):
     return run
 
 
+MEET = ["pivot", "_slot", "block", "side", "component"]
+MEETING = "pivot bigint, _slot int, block int, side boolean, component bigint, id bigint"
+
+
+def _promising(percent: int):
+    """Of each block of pairs the members which, by their signatures, may be linked with one of another component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*out)) if out else [()] * 6
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64())
+            done = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [*MEET, "id"])
+            out.clear()
+            return done
+
+        for _, rows in _groups(batches, 3):
+            rows.sort(key=lambda r: not r[3])
+            n = sum(r[3] for r in rows)
+            m = Members([r[6] for r in rows], [r[7] for r in rows])
+            label, hope = np.array([r[4] for r in rows]), np.zeros(len(rows), bool)
+            order = np.argsort(m.size, kind="stable")
+            a, b = order[order < n], order[order >= n]
+            for left, right in [(a, None), (a, b)]:
+                if len(left) and (right is None or len(right)):
+                    for i, j in candidate_pairs(m, left, right, percent):
+                        apart = label[i] != label[j]
+                        hope[i[apart]] = hope[j[apart]] = True
+            out.extend(r[:6] for r, good in zip(rows, hope.tolist()) if good)
+            if len(out) > 5000:
+                yield flush()
+        yield flush()
+
+    return run
+
+
 def _across(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges: list[tuple[int, int]] = []
@@ -262,7 +308,7 @@ def _across(percent: int):
             names = [*sorted(side), *sorted(rest)]
             if not side:
                 continue
-            m = Members([(side.get(x) or rest[x])[6] for x in names])
+            m = Members.of([(side.get(x) or rest[x])[6] for x in names])
             label = np.array([(side.get(x) or rest[x])[4] for x in names])
             a, b = np.arange(len(side)), np.arange(len(side), len(names))
             a, b = a[np.argsort(m.size[a], kind="stable")], b[np.argsort(m.size[b], kind="stable")]
@@ -399,8 +445,9 @@ def _met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settle(now, keys, docs)
 
 
-def fetch_sets(rows: DataFrame, wanted: DataFrame, fields: list[str], size: int) -> DataFrame:
-    """wanted (id, id_th and fields) with the shingle set of each id: texts are read once, however often an id is wanted."""
+def fetch_sets(rows: DataFrame, wanted: DataFrame, fields: list[str], size: int, signatures: bool = False) -> DataFrame:
+    """wanted (id, id_th and fields) with the shingle set of each id, or only its size and bitmap: texts are read once,
+    however often an id is wanted."""
     lists = wanted.groupBy("id", "id_th").agg(F.collect_list(F.struct(*fields)).alias("_list"))  # at most one for each part
     kinds = {f.name: f.dataType for f in wanted.schema.fields}
     joined = rows.join(lists, (F.col("_doc") == F.col("id")) & (F.col("_th") == F.col("id_th"))).select("_text", "id", "_list")
@@ -412,14 +459,16 @@ def fetch_sets(rows: DataFrame, wanted: DataFrame, fields: list[str], size: int)
             for i, j, data, offsets in chunks(batch.column(0)):
                 sets, first = shingle_sets(data, offsets, size)
                 for r in range(i, j):
-                    mine = pa.array(sets[first[r - i] : first[r - i + 1]].view(np.int64))
+                    mine = sets[first[r - i] : first[r - i + 1]]
+                    many = len(mine)
+                    mine = pa.array((signature(mine) if signatures else mine).view(np.int64))
                     m = int(at[r + 1] - at[r])
                     each = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * len(mine)), pa.concat_arrays([mine] * m))
                     part = items.slice(at[r], m)
-                    yield pa.RecordBatch.from_arrays([*(part.field(k) for k in range(len(fields))), pa.array(np.full(m, batch.column(1)[r].as_py())), each], [*fields, "id", "sets"])
+                    yield pa.RecordBatch.from_arrays([*(part.field(k) for k in range(len(fields))), pa.array(np.full(m, batch.column(1)[r].as_py())), *([pa.array(np.full(m, many, np.int32))] if signatures else []), each], [*fields, "id", *(["n"] if signatures else []), "sets"])
 
     schema = ", ".join(f"{f} {kinds[f].simpleString()}" for f in fields)
-    return joined.mapInArrow(run, f"{schema}, id bigint, sets array<bigint>")
+    return joined.mapInArrow(run, f"{schema}, id bigint{', n int' if signatures else ''}, sets array<bigint>")
 
 
 def _placed(member: DataFrame, block: int) -> DataFrame:
@@ -476,7 +525,10 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     ask = left.select("pivot", "_slot", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("block"), F.lit(True).alias("side"), "component", "id")
     pairs = materialise(others.union(ask), "pairs")
     if pairs.limit(1).count():
-        again = fetch_sets(rows, pairs.join(named, "id"), ["pivot", "_slot", "block", "side", "component"], size)
+        # documents that only share a passage are told apart by their signatures, before any set is moved
+        marks = fetch_sets(rows, pairs.join(named, "id"), MEET, size, signatures=True)
+        hope = materialise(marks.repartition("pivot", "_slot", "block").sortWithinPartitions("pivot", "_slot", "block").mapInArrow(_promising(percent), MEETING), "promising")
+        again = fetch_sets(rows, hope.join(named, "id"), MEET, size)
         more = again.repartition("pivot", "_slot", "block").sortWithinPartitions("pivot", "_slot", "block").mapInArrow(_across(percent), EDGES)
         edges = edges.union(materialise(more, "links"))
     found = components(present.select(F.col("doc").alias("id")).distinct(), edges.union(same))
