@@ -12,6 +12,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iteration in the shared folder named by spark.checkpoint.dir (a local one only where unset)."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="partloom-")
@@ -81,7 +83,7 @@ def out_degrees(nodes: DataFrame, edges: DataFrame, multi: bool = False) -> Data
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float | None = 1e-4, iterations: int | None = None, static_dangling: bool = False, multi: bool = False, most: int = 200) -> DataFrame:
     """(id, rank). Stops when the L1 change is at most tolerance, or after so many iterations.
 
-    Edges (src, dst) with unknown ends are dropped. No nodes give no rows. static_dangling keeps the first pass's dangling
+    Raises RuntimeError where it has not settled after `most` passes. Edges (src, dst) with unknown ends are dropped. No nodes give no rows. static_dangling keeps the first pass's dangling
     share; multi lets repeated edges count.
     """
     nodes = nodes.select("id").distinct().cache()
@@ -108,6 +110,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, toleranc
         ranks = raw.select("id", (F.col("raw") / total).alias("rank"), "dangling")
         if moved is not None and tolerance is not None and moved <= tolerance:
             break
+    else:
+        if iterations is None:
+            raise RuntimeError(f"PageRank did not settle in {most} passes")
     return ranks.select("id", "rank")
 
 
@@ -129,6 +134,43 @@ def connected_components(nodes: DataFrame, edges: DataFrame, most: int = 60) ->
     raise RuntimeError("components did not settle")
 
 
+def _having(quads: DataFrame, p: str, o: str) -> DataFrame:
+    return quads.where((F.col("p") == p) & (F.col("o") == o)).select("s").distinct()
+
+
+def _linked(quads: DataFrame, p: str, s: str, o: str) -> DataFrame:
+    return quads.where(F.col("p") == p).select(F.col("s").alias(s), F.col("o").alias(o)).distinct()
+
+
+def sequence_chain(quads: DataFrame, sequence: str = "sequence", elements: str = "elements", kind: str = "ComponentDefinition", sequence_kind: str = "Sequence", type_predicate: str = TYPE) -> DataFrame:
+    """(subject, sequence): the elements of each sequence of each definition; both ends must have their type."""
+    own = _linked(quads, sequence, "subject", "seq").join(_having(quads, type_predicate, kind).withColumnRenamed("s", "subject"), "subject", "left_semi")
+    known = _linked(quads, elements, "seq", "sequence").join(_having(quads, type_predicate, sequence_kind).withColumnRenamed("s", "seq"), "seq", "left_semi")
+    return own.join(known, "seq").select("subject", "sequence")
+
+
+def component_usage(quads: DataFrame, component: str = "component", definition: str = "definition", derived: str = "wasDerivedFrom", kind: str = "ComponentDefinition", type_predicate: str = TYPE) -> DataFrame:
+    """Distinct (parent, origin, child): what a definition uses, once for each origin that the definition derives from."""
+    parents = _having(quads, type_predicate, kind).withColumnRenamed("s", "parent")
+    uses = _linked(quads, component, "parent", "part").join(_linked(quads, definition, "part", "child"), "part").select("parent", "child").distinct()
+    origins = _linked(quads, derived, "parent", "origin").join(parents, "parent", "left_semi")
+    return uses.join(origins, "parent").select("parent", "origin", "child")
+
+
+def component_pairs(quads: DataFrame, component: str = "component", definition: str = "definition", kind: str = "ComponentDefinition", type_predicate: str = TYPE) -> DataFrame:
+    """Distinct (parent, child) with one to three components between them; both ends must have the type."""
+    steps = _linked(quads, component, "parent", "part").join(_linked(quads, definition, "part", "child"), "part").select("parent", "child")
+    known = _having(quads, type_predicate, kind)
+    pairs = containment(steps).join(known.withColumnRenamed("s", "parent"), "parent", "left_semi")
+    return pairs.join(known.withColumnRenamed("s", "child"), "child", "left_semi").select("parent", "child")
+
+
+def either_end(pairs: DataFrame, quads: DataFrame, criteria: list[tuple[str, str]]) -> DataFrame:
+    """Distinct pairs of which the parent or the child has every (predicate, object)."""
+    chosen = with_criteria(quads.select("s").distinct(), quads, criteria)
+    return pairs.join(chosen.withColumnRenamed("s", "parent"), "parent", "left_semi").select("parent", "child").union(pairs.join(chosen.withColumnRenamed("s", "child"), "child", "left_semi").select("parent", "child")).distinct()
+
+
 def containment(components: DataFrame) -> DataFrame:
     """Distinct (parent, child) one, two or three steps apart; components: (parent, child)."""
     a = components.select("parent", "child").distinct()

@@ -109,7 +109,8 @@ def global_search(sequences: DataFrame, query: str, identity: float = IDENTITY,
         return pd.DataFrame([align(q, t.lower()) for t in s], columns=["pct_id", "cigar"])
 
     hits = near.select("subject", aligned("sequence").alias("a")).select("subject", F.round(F.col("a.pct_id") * 100, 1).alias("pct_id"), "a.cigar")
-    return hits.where(F.col("pct_id") >= 100 * identity).orderBy(F.desc("pct_id"), "subject").limit(most)
+    good = hits.where(F.col("pct_id") >= 100 * identity)
+    return good.orderBy(F.desc("pct_id"), "subject").limit(most) if most else good  # 0 is no limit
 
 
 def substring_semi(parts: DataFrame, hits: DataFrame) -> DataFrame:

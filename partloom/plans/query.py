@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 import re
+from collections import OrderedDict
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,13 +14,41 @@ from pyspark.sql import functions as F
 from partloom.operators import search as S
 from partloom.operators import sequences as Q
 from partloom.session import Options
+from partloom.sources.readers import read_fasta
 
 _FROM = re.compile(r"FROM\s*<([^>]*)>")
 _KEYWORD = re.compile(r"CONTAINS\(lcase\(\?displayId\),\s*lcase\('([^']*)'\)\)")
-_FLAG = re.compile(r"#\s*(\w+)\s*:\s*([\w./:;<=>?@\[\\\]^]*)")
+# fixed values: how a hub writes flags, and the settings of a search that it may change
+_FLAG = re.compile(r"# flag_([\w.]*): (\S*)")
+SEARCH_FLAGS = {"maxaccepts": "50", "id": "0.8", "iddef": "2", "maxrejects": "0", "maxseqlength": "5000", "minseqlength": "20"}
+ROUTE_FLAGS = ("file_search", "search_exact")
 _SEQUENCE = re.compile(r"\?seq\w*\s+\S*elements\s+\"([A-Za-z*.-]+)\"")
 
 
+@dataclass(frozen=True)
+class SearchFlags:
+    """Settings of one sequence search. Each request has its own; nothing stays for the next."""
+
+    identity: float
+    accepts: int
+    shortest: int
+    longest: int
+
+    @classmethod
+    def of(cls, flags: dict[str, str]) -> SearchFlags:
+        """The defaults with the known ones of flags; others are not accepted. ValueError for values that can't be served:
+        identities are those of definition 2, and no search gives up after so many rejects."""
+        values = SEARCH_FLAGS | {k: v for k, v in flags.items() if k in SEARCH_FLAGS}
+        if unknown := sorted(k for k in flags if k not in SEARCH_FLAGS and k not in ROUTE_FLAGS):
+            logging.getLogger(__name__).warning("flags not accepted: %s", ", ".join(unknown))
+        if values["iddef"] != "2" or values["maxrejects"] != "0":
+            raise ValueError("iddef must be 2 and maxrejects 0")
+        out = cls(float(values["id"]), int(values["maxaccepts"]), int(values["minseqlength"]), int(values["maxseqlength"]))
+        if not 0 < out.identity <= 1 or out.accepts < 0 or not 0 < out.shortest <= out.longest:
+            raise ValueError(f"flags out of range: {values}")
+        return out
+
+
 @dataclass(frozen=True)
 class Request:
     keywords: str = ""
@@ -95,16 +126,25 @@ class Engine:
         rows = S.acl(self.parts.join(subjects, "subject", "left_semi"), list(r.graphs))
         return self._page(S.criteria_rows(rows, self.ranks, self.options.role_prefix), r)
 
+    def _sequence_hits(self, query: str, flags: dict[str, str]) -> DataFrame:
+        if "search_exact" in flags:
+            return Q.exact_search(self.sequences, query).select("subject", F.lit(100.0).alias("pct_id"), F.lit(None).cast("string").alias("cigar"))
+        f = SearchFlags.of(flags)
+        return Q.global_search(self.sequences, query, f.identity, f.accepts, f.shortest, f.longest)
+
+    def _terms(self, words: list[str]) -> list[str] | dict[str, list[tuple[str, float]]]:
+        """Words as they are, or with their neighbours in the index's vocabulary."""
+        return S.fuzzy_terms(self.documents, words, list(S.FIELDS)) if self.options.fuzzy and words else words
+
     def search(self, r: Request) -> DataFrame:
         graphs, cap, mode = list(r.graphs), self.options.retrieval_cap, self.options.boost_mode
         words = r.keywords.lower().split()
         if r.path in ("file", "sequence"):
-            query = r.sequence or r.flags["file_search"]
-            if "search_exact" in r.flags:
-                hits = Q.exact_search(self.sequences, query).select("subject", F.lit(100.0).alias("pct_id"), F.lit(None).cast("string").alias("cigar"))
-            else:
-                hits = Q.global_search(self.sequences, query, float(r.flags.get("id", Q.IDENTITY)), int(r.flags.get("maxaccepts", Q.MAX_ACCEPTS)))
-            return self._by_hits(hits, r)
+            # a file names its queries, a few sequences; a subject that several of them find counts with the best match
+            queries = [r.sequence or ""] if r.path == "sequence" else [x["sequence"] for x in read_fasta(self.sequences.sparkSession, r.flags["file_search"]).collect()]
+            found = [self._sequence_hits(q, r.flags) for q in queries if q] or [self._sequence_hits("", r.flags)]
+            every = reduce(lambda a, b: a.unionByName(b), found)
+            return self._by_hits(every.groupBy("subject").agg(F.max(F.struct("pct_id", "cigar")).alias("m")).select("subject", "m.*"), r)
         if r.path == "similar":
             return self._criteria(S.similar(self.clusters, r.similar_to or ""), r)
         if r.path == "related":
@@ -117,14 +157,34 @@ class Engine:
                 return self.documents.where(F.col("graph").isin(graphs)).agg(F.count("*").alias("n"))
             return S.demote(S.all_in_graphs(self.documents, graphs, r.offset, r.limit), self.clusters).orderBy(F.desc("order_by"), "subject")
         if r.path == "keywords":
-            hits = S.search_text(self.documents, words, mode, cap)
+            hits = S.search_text(self.documents, self._terms(words), mode, cap)
         else:
             from partloom.operators.graph import with_criteria
 
             allowed = with_criteria(self.documents.select(F.col("subject").alias("s")), self.quads, list(r.criteria)).select(F.col("s").alias("subject"))
-            hits = S.search_allowed(self.documents, words, allowed, mode, cap) if words else S.allowed_only(self.documents, allowed, cap)
+            hits = S.search_allowed(self.documents, self._terms(words), allowed, mode, cap) if words else S.allowed_only(self.documents, allowed, cap)
         return self._page(S.demote(S.acl(hits, graphs), self.clusters), r)
 
     def search_raw(self, words: str) -> DataFrame:
         """Text search as it is: no graphs, no demotion."""
-        return S.search_text(self.documents, words.lower().split(), self.options.boost_mode, self.options.retrieval_cap)
+        return S.search_text(self.documents, self._terms(words.lower().split()), self.options.boost_mode, self.options.retrieval_cap)
+
+
+class Memo:
+    """The last results by query text, kept in memory by Spark; clear() after an update of the index."""
+
+    def __init__(self, engine: Engine, most: int = 32):
+        self.engine, self.most, self._kept = engine, most, OrderedDict()
+
+    def search(self, text: str) -> DataFrame:
+        if text not in self._kept:
+            self._kept[text] = self.engine.search(parse(text)).cache()
+        self._kept.move_to_end(text)
+        while len(self._kept) > self.most:
+            self._kept.popitem(last=False)[1].unpersist()
+        return self._kept[text]
+
+    def clear(self) -> None:
+        for df in self._kept.values():
+            df.unpersist()
+        self._kept.clear()

@@ -139,7 +139,7 @@ def search_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     quads = parts.where("role is not null").select(F.col("graph").alias("g"), F.col("subject").alias("s"), F.lit("role").alias("p"), F.col("role").alias("o"))
     clusters = docs.select("subject", (F.col("doc_id") % 7).alias("cluster_id"))
     none = docs.limit(0)
-    engine = Engine(docs, parts, quads, none.select("subject", "pagerank"), clusters, none.select("subject", F.lit("").alias("sequence")), none.select(F.col("subject").alias("parent"), F.col("subject").alias("child")), Options())
+    engine = Engine(docs, parts, quads, none.select("subject", "pagerank"), clusters, none.select("subject", F.lit("").alias("sequence")), none.select(F.col("subject").alias("parent"), F.col("subject").alias("child")), Options(fuzzy=False))  # its SQL has exact terms
     text = """SELECT DISTINCT ?subject FROM <src1> FROM <src2> FROM <src3> WHERE { ?subject role <http://roles.example.org/q1> .
     FILTER (CONTAINS(lcase(?displayId), lcase('the')) || CONTAINS(lcase(?displayId), lcase('onenth'))) } LIMIT 20 OFFSET 2"""
     return engine.search(parse(text)).select("subject", F.round("order_by", 9).alias("order_by"))
@@ -246,28 +246,54 @@ def components_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return graph.connected_components(nodes, e.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"))
 
 
-@register("containment_three_hop", """WITH a AS (SELECT DISTINCT 'n' || n_nationkey AS parent, 'r' || n_regionkey AS child FROM nation UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_partkey <= 50)
-SELECT parent, child FROM a UNION SELECT x.parent, y.child FROM a x JOIN a y ON x.child = y.parent UNION SELECT x.parent, z.child FROM a x JOIN a y ON x.child = y.parent JOIN a z ON y.child = z.parent""")
+CONTAINED = """WITH a AS (SELECT DISTINCT 'n' || n_nationkey AS parent, 'r' || n_regionkey AS child FROM nation UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem),
+pairs AS (SELECT parent, child FROM a UNION SELECT x.parent, y.child FROM a x JOIN a y ON x.child = y.parent UNION SELECT x.parent, z.child FROM a x JOIN a y ON x.child = y.parent JOIN a z ON y.child = z.parent)"""
+
+
+@register("containment_three_hop", f"{CONTAINED} SELECT parent, child FROM pairs")
 def containment_three_hop(spark: SparkSession, sf: str) -> DataFrame:
     return graph.containment(_contained(spark, sf))
 
 
-CONTAINED = """WITH a AS (SELECT DISTINCT 'n' || n_nationkey AS parent, 'r' || n_regionkey AS child FROM nation UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem)
-SELECT parent, child FROM a UNION SELECT x.parent, y.child FROM a x JOIN a y ON x.child = y.parent UNION SELECT x.parent, z.child FROM a x JOIN a y ON x.child = y.parent JOIN a z ON y.child = z.parent"""
+@register("component_containment", f"{CONTAINED} SELECT parent, child FROM pairs")
+def component_containment(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from component and definition statements."""
+    return graph.component_pairs(_component_quads(spark, sf))
+
+
+@register("constraint_on_either_end", f"{CONTAINED}, m AS (SELECT 's' || s_suppkey AS id FROM supplier WHERE s_acctbal > 5000) SELECT parent, child FROM pairs WHERE parent IN (SELECT id FROM m) OR child IN (SELECT id FROM m)")
+def constraint_on_either_end(spark: SparkSession, sf: str) -> DataFrame:
+    q = _component_quads(spark, sf)
+    rich = D.table(spark, sf, "supplier").where("s_acctbal > 5000").select(F.lit("public").alias("g"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("s"), F.lit("role").alias("p"), F.lit("rich").alias("o"))
+    return graph.either_end(graph.component_pairs(q), q.union(rich), [("type", "ComponentDefinition"), ("role", "rich")])
 
 
-@register("containment_three_hop_whole", CONTAINED)
-def containment_three_hop_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """As containment_three_hop, whose SQL stops at part 50, with every part."""
-    return graph.containment(_contained(spark, sf, None))
+@register("component_usage", "SELECT DISTINCT 'supplier/' || l_suppkey AS parent, 'nation/' || s_nationkey AS origin, 'part/' || l_partkey AS child FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_acctbal > 0 UNION SELECT DISTINCT 'supplier/' || l_suppkey, 'even', 'part/' || l_partkey FROM lineitem WHERE l_suppkey % 2 = 0")
+def component_usage(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers use parts by their lines; those in credit derive from their nation, even ones from another origin too."""
+    supplier, line = D.table(spark, sf, "supplier"), D.table(spark, sf, "lineitem")
+    key = lambda kind, *cols: F.concat(F.lit(f"{kind}/"), F.concat_ws("-", *(F.col(c).cast("string") for c in cols)))
+    one = lambda df, s_, p_, o_: df.select(F.lit("public").alias("g"), s_.alias("s"), F.lit(p_).alias("p"), o_.alias("o"))
+    q = one(supplier, key("supplier", "s_suppkey"), "type", F.lit("ComponentDefinition"))
+    q = q.union(one(supplier.where("s_acctbal > 0"), key("supplier", "s_suppkey"), "wasDerivedFrom", key("nation", "s_nationkey"))).union(one(supplier.where("s_suppkey % 2 = 0"), key("supplier", "s_suppkey"), "wasDerivedFrom", F.lit("even")))
+    q = q.union(one(line, key("supplier", "l_suppkey"), "component", key("line", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).union(one(line, key("line", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "definition", key("part", "l_partkey")))
+    return graph.component_usage(q)
 
 
-def _contained(spark: SparkSession, sf: str, last: int | None = 50) -> DataFrame:
+def _component_quads(spark: SparkSession, sf: str) -> DataFrame:
+    """Each containment as a component of the parent that has the child as its definition; every end is a definition."""
+    pairs = _contained(spark, sf).distinct()
+    node = F.concat_ws(">", "parent", "child")
+    ends = pairs.select(F.explode(F.array("parent", "child")).alias("s")).distinct()
+    q = pairs.select(F.lit("public").alias("g"), F.explode(F.array(F.struct(F.col("parent").alias("s"), F.lit("component").alias("p"), node.alias("o")), F.struct(node.alias("s"), F.lit("definition").alias("p"), F.col("child").alias("o")))).alias("x")).select("g", "x.*")
+    return q.union(ends.select(F.lit("public"), "s", F.lit("type"), F.lit("ComponentDefinition")))
+
+
+def _contained(spark: SparkSession, sf: str) -> DataFrame:
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     a = D.table(spark, sf, "nation").select(key("n", "n_nationkey").alias("parent"), key("r", "n_regionkey").alias("child"))
     b = D.table(spark, sf, "supplier").select(key("s", "s_suppkey"), key("n", "s_nationkey"))
     c = D.table(spark, sf, "lineitem")
-    c = c if last is None else c.where(F.col("l_partkey") <= last)
     return a.union(b).union(c.select(key("p", "l_partkey"), key("s", "l_suppkey")))
 
 
@@ -296,6 +322,17 @@ def ontology_role_enrich(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- sequences ----------------------------------------------------------------------------------------------------
 
+@register("sequence_chain", "SELECT 'doc/' || doc_id AS subject, regexp_replace(lower(text), '[^gatc]', '', 'g') AS sequence FROM documents WHERE lang <> 'de' AND text IS NOT NULL")
+def sequence_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Subjects, their sequences and the elements of these, from statements; what is no component definition is left out."""
+    docs, number = D.table(spark, sf, "documents").select("doc_id", "lang"), F.col("doc_id").cast("string")
+    subject, seq = F.concat(F.lit("doc/"), number), F.concat(F.lit("seq/"), number)
+    one = lambda df, s_, p_, o_: df.select(F.lit("public").alias("g"), s_.alias("s"), F.lit(p_).alias("p"), o_.alias("o"))
+    q = one(docs, subject, "type", F.when(F.col("lang") == "de", F.lit("ModuleDefinition")).otherwise(F.lit("ComponentDefinition"))).union(one(docs, subject, "sequence", seq)).union(one(docs, seq, "type", F.lit("Sequence")))
+    texts = D.sequences(spark, sf).where("sequence is not null")
+    return graph.sequence_chain(q.union(one(texts, F.replace(F.col("subject"), F.lit("doc/"), F.lit("seq/")), "elements", F.col("sequence"))))
+
+
 SEQ = "s AS (SELECT 'doc/' || doc_id AS subject, doc_id, regexp_replace(lower(text), '[^gatc]', '', 'g') AS q FROM documents)"
 
 
@@ -440,14 +477,14 @@ def collection_remove(spark: SparkSession, sf: str) -> DataFrame:
 
 
 EXPECT = """r AS (SELECT o_custkey AS query_id, 'o' || o_orderkey AS subject, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, 'o' || o_orderkey) - 1 AS position FROM orders WHERE o_orderstatus <> 'F'),
-x AS (SELECT o_custkey AS query_id, 'o' || o_orderkey AS child FROM orders WHERE o_orderkey % 4 = 0), pos AS (SELECT x.query_id, child, CAST(coalesce(position, -1) AS BIGINT) AS position FROM x LEFT JOIN r ON r.query_id = x.query_id AND r.subject = x.child)"""
+x AS (SELECT o_custkey AS query_id, 'o' || o_orderkey AS child FROM orders), pos AS (SELECT x.query_id, child, CAST(coalesce(position, -1) AS BIGINT) AS position FROM x LEFT JOIN r ON r.query_id = x.query_id AND r.subject = x.child)"""
 
 
-def _positions(spark: SparkSession, sf: str, every: int = 4) -> DataFrame:
+def _positions(spark: SparkSession, sf: str) -> DataFrame:
     o = D.table(spark, sf, "orders")
     key = F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))
     results = o.where("o_orderstatus <> 'F'").select(F.col("o_custkey").alias("query_id"), key.alias("subject"), F.col("o_totalprice").alias("order_by"))
-    return evaluate.rank_of_expected(results, o.where(F.col("o_orderkey") % every == 0).select(F.col("o_custkey").alias("query_id"), key.alias("child"))).withColumn("position", F.col("position").cast("bigint"))
+    return evaluate.rank_of_expected(results, o.select(F.col("o_custkey").alias("query_id"), key.alias("child"))).withColumn("position", F.col("position").cast("bigint"))
 
 
 @register("rank_of_expected", f"WITH {EXPECT} SELECT query_id, child, position FROM pos")
@@ -458,19 +495,3 @@ def rank_of_expected(spark: SparkSession, sf: str) -> DataFrame:
 @register("upper_median_rank", f"WITH {EXPECT}, f AS (SELECT position FROM pos WHERE position >= 0) SELECT (SELECT count(*) FROM pos) AS total, (SELECT count(*) FROM f) AS found, round(avg(position), 6) AS average, (SELECT list_sort(list(position))[count(*) // 2 + 1] FROM f) AS upper_median FROM f")
 def upper_median_rank(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.summary(_positions(spark, sf))
-
-
-EXPECT_ALL = """r AS (SELECT o_custkey AS query_id, 'o' || o_orderkey AS subject, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, 'o' || o_orderkey) - 1 AS position FROM orders WHERE o_orderstatus <> 'F'),
-x AS (SELECT o_custkey AS query_id, 'o' || o_orderkey AS child FROM orders), pos AS (SELECT x.query_id, child, CAST(coalesce(position, -1) AS BIGINT) AS position FROM x LEFT JOIN r ON r.query_id = x.query_id AND r.subject = x.child)"""
-
-
-@register("rank_of_expected_whole", f"WITH {EXPECT_ALL} SELECT query_id, child, position FROM pos")
-def rank_of_expected_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """As rank_of_expected, whose SQL expects every fourth order, with every order."""
-    return _positions(spark, sf, 1)
-
-
-@register("upper_median_rank_whole", f"WITH {EXPECT_ALL}, f AS (SELECT position FROM pos WHERE position >= 0) SELECT (SELECT count(*) FROM pos) AS total, (SELECT count(*) FROM f) AS found, round(avg(position), 6) AS average, (SELECT list_sort(list(position))[count(*) // 2 + 1] FROM f) AS upper_median FROM f")
-def upper_median_rank_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """As upper_median_rank, with every order expected."""
-    return evaluate.summary(_positions(spark, sf, 1))

@@ -32,6 +32,7 @@ class Options:
     page_size: int = 50
     role_prefix: str | None = None
     boost_mode: str = "multiply"
+    fuzzy: bool = True
 
     @classmethod
     def load(cls, values: dict | None = None) -> Options:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from partloom.functions import text as X
 from partloom.operators import enrich, evaluate, graph, search, sequences
-from partloom.plans.query import parse
+from partloom.plans.query import Engine, Memo, SearchFlags, parse
 from partloom.plans.rebuild import rebuild
 from partloom.session import Options
 from partloom.sources import readers, writers
@@ -175,13 +175,85 @@ def test_options():
         ("where { SIMILAR <http://s> }", "similar"),
         ("where { USES <http://s> }", "related"),
         ('where { ?seq sbol:elements "gatc" }', "sequence"),
-        ("# file_search: /tmp/x.fsa\nwhere { }", "file"),
+        ("# flag_file_search: /tmp/x.fsa\nwhere { }", "file"),
+        ("# file_search: /tmp/x.fsa\nwhere { }", "empty"),
     ],
 )
 def test_routes(text, path):
     assert parse(text).path == path
 
 
+HUB = """SELECT DISTINCT ?subject ?displayId ?version ?name ?description ?type
+FROM <http://hub/public> FROM <http://hub/user/a>
+WHERE { %s ?subject a ?type . ?subject sbh:topLevel ?subject . }
+LIMIT 50 OFFSET 0"""
+
+
+def engine(spark, **options):
+    parts = [("s/a", "alpha", "1", "Alpha", "green protein", "Component", "http://hub/public", None, None), ("s/b", "beta", "1", "Beta", "red protien", "Component", "http://hub/public", None, None), ("s/c", "gamma", "1", "Gamma", "green light", "Component", "http://hub/user/b", None, None)]
+    columns = "subject string, displayId string, version string, name string, description string, type string, graph string, role string, sboltype string"
+    p = spark.createDataFrame(parts, columns)
+    docs = p.selectExpr("*", "0.5D as pagerank", "displayId as keywords")
+    sequences_ = spark.createDataFrame([("s/a", "gattacagattacagattacagattaca"), ("s/b", "gattacagattacagattacagattacc"), ("s/c", "ccccccccccccccccccccccccccccc")], "subject string, sequence string")
+    empty = lambda ddl: spark.createDataFrame([], ddl)
+    return Engine(docs, p, empty(readers.QUADS), empty("subject string, pagerank double"), empty("subject string, cluster_id long"), sequences_, empty("parent string, child string"), Options(**options))
+
+
+def test_flags_of_a_hub():
+    r = parse("# flag_file_search: /tmp/q.fsa\n# flag_id: 0.9\n# flag_maxaccepts: 7\n# flag_other: x\n" + HUB % "")
+    assert r.path == "file" and r.flags == {"file_search": "/tmp/q.fsa", "id": "0.9", "maxaccepts": "7", "other": "x"} and r.graphs == ("http://hub/public", "http://hub/user/a")
+    f = SearchFlags.of(r.flags)
+    assert (f.identity, f.accepts, f.shortest, f.longest) == (0.9, 7, 20, 5000)
+    assert SearchFlags.of({}).identity == 0.8  # nothing stays from the request before
+    for bad in ({"id": "2"}, {"iddef": "1"}, {"maxrejects": "8"}, {"maxaccepts": "many"}, {"minseqlength": "30", "maxseqlength": "20"}):
+        with pytest.raises(ValueError):
+            SearchFlags.of(bad)
+
+
+def test_sequence_routes(spark, tmp_path):
+    path = tmp_path / "q.fsa"
+    path.write_text(">sequence_to_search\ngattacagattacag\nattacagattaca\n>other\ncccccccccccccccccccccccc\n")
+    e = engine(spark)
+    got = {r["subject"]: r for r in e.search(parse(f"# flag_file_search: {path}\n" + HUB % "")).collect()}
+    assert set(got) == {"s/a", "s/b"} and got["s/a"]["percentMatch"] == 1.0  # s/c is in a graph that is not asked for
+    sequence = HUB % '?subject sbol2:sequence ?seq . ?seq sbol2:elements "GATTACAGATTACAGATTACAGATTACA" .'
+    assert [r["subject"] for r in e.search(parse("# flag_search_exact: True\n" + sequence)).collect()] == ["s/a"]
+    assert {r["subject"] for r in e.search(parse("# flag_id: 0.99\n" + sequence)).collect()} == {"s/a"}
+
+
+def test_keyword_routes_are_fuzzy(spark):
+    words = HUB % "FILTER (CONTAINS(lcase(?displayId), lcase('protein')) || CONTAINS(lcase(?name), lcase('protein'))) ."
+    asked = parse(words)
+    assert asked.path == "keywords"
+    assert {r["subject"] for r in engine(spark).search(asked).collect()} == {"s/a", "s/b"}
+    assert {r["subject"] for r in engine(spark, fuzzy=False).search(asked).collect()} == {"s/a"}
+    memo = Memo(engine(spark), most=1)
+    first = memo.search(words)
+    assert memo.search(words) is first and len(memo._kept) == 1
+    memo.search(HUB % "")
+    assert len(memo._kept) == 1 and memo.search(words) is not first
+    memo.clear()
+    assert not memo._kept
+
+
+def test_patterns_over_components(spark):
+    T, C, D_ = "type", "component", "definition"
+    rows = [("a", T, "ComponentDefinition"), ("b", T, "ComponentDefinition"), ("c", T, "ComponentDefinition"), ("d", T, "Other"), ("a", C, "a1"), ("a1", D_, "b"), ("a", C, "a2"), ("a2", D_, "b"), ("b", C, "b1"), ("b1", D_, "c"), ("c", C, "c1"), ("c1", D_, "d"), ("a", "wasDerivedFrom", "x"), ("a", "wasDerivedFrom", "y"), ("d", "wasDerivedFrom", "x"), ("c", "role", "R"), ("a", "sequence", "q"), ("d", "sequence", "q"), ("b", "sequence", "r"), ("q", T, "Sequence"), ("q", "elements", "gatc"), ("r", "elements", "cc")]
+    q = spark.createDataFrame([("g", s, p, o, "uri") for s, p, o in rows], readers.QUADS)
+    as_set = lambda df: {tuple(r) for r in df.collect()}
+    assert as_set(graph.sequence_chain(q)) == {("a", "gatc")}
+    assert as_set(graph.component_usage(q)) == {("a", "x", "b"), ("a", "y", "b")}
+    pairs = graph.component_pairs(q)
+    assert as_set(pairs) == {("a", "b"), ("b", "c"), ("a", "c")}
+    assert as_set(graph.either_end(pairs, q, [("role", "R")])) == {("b", "c"), ("a", "c")}
+
+
+def test_pagerank_that_does_not_settle(spark):
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    with pytest.raises(RuntimeError):
+        graph.pagerank(nodes, spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "a")], "src string, dst string"), tolerance=1e-12, most=2)
+
+
 def test_parse_defaults():
     r = parse("FROM <g1> FROM <g2> where { FILTER (CONTAINS(lcase(?displayId), lcase('a')) || CONTAINS(lcase(?displayId), lcase('b'))) }")
     assert (r.limit, r.offset, r.keywords, r.graphs) == (50, 0, "a b", ("g1", "g2"))
