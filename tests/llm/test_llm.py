@@ -647,6 +647,78 @@ def test_pipeline(spark, data):
     assert P.run(spark, data).count() == d.count()
 
 
+CLASH = "_bad string, _hash string, _gone string, _kept string, _n string, _n_removed string, _text string, _doc string, doc string, th string, key string, sample int, n_pieces int, c0 string, _row string, role string"
+
+
+def clashing(spark, texts):
+    """A table whose other columns have the names that are used inside."""
+    fill = tuple(1 if " int" in c else "x" for c in CLASH.split(","))
+    return spark.createDataFrame([(i, t, *fill) for i, t in texts], f"doc_id long, text string, {CLASH}")
+
+
+def test_columns_that_clash(spark):
+    texts = awkward() + [(8, "word " * 30)]
+    d = clashing(spark, texts)
+    items = spark.createDataFrame([("i1", "one")], "item_id string, text string")
+    trusted = spark.createDataFrame([(3,)], "doc_id long")
+    left = without_contaminated(d, items)
+    assert left.columns == d.columns and left.count() == len(texts) - 1 and left.where("doc_id = 7").count() == 0
+    once = jaccard.one_of_each(d, 80, 5)
+    assert once.columns == d.columns and once.where("doc_id in (3, 4)").count() == 1
+    kept = without_repeats(d)
+    assert kept.columns == d.columns and kept.count() == len(texts) and {r["_kept"] for r in kept.collect()} == {"x"}
+    assert keep_good(d, trusted).columns == d.columns
+    done = suffix_dedup(d)
+    assert done.count() == len(texts) and {"__n", "__n_removed", "_n_spans", "_kept_sha256", "__kept"} <= set(done.columns)
+    assert sample_segmentations(d, k=2).where("not decoded_ok").count() == 0
+    assert quality_rules(d, trusted).count() == len(texts) and license_scan(d, F.lit("a/b")).count() == len(texts)
+    assert decontaminate(d, items).count() == len(texts)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_awkward_tables(spark, tmp_path, empty):
+    import corpus_pipeline as P
+
+    good = " ".join(f"good{i} sentence of words" for i in range(40))
+    texts = [] if empty else [*awkward(), (20, good), (20, good), (21, good + " more"), (22, good.replace("good", "fine")), (23, f"start here {good.replace('good', 'other')} benchmark item has these ten words in this very order now")]
+    clashing(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(20, 1, 0), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("b", "benchmark item has these ten words in this very order"), ("n", None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = d.columns
+    for _, stage in P.STAGES[:4]:
+        d = stage(spark, d, str(tmp_path))
+        assert d.columns == columns
+    rows = P.run(spark, str(tmp_path)).collect()
+    assert all(r["decoded_ok"] for r in rows) and bool(rows) != empty
+    ids = {r["doc_id"] for r in rows}
+    assert not {0, 1, 2, 7, 23} & ids and (empty or 20 in ids and 21 not in ids)
+
+
+def test_archive_that_lost_a_payload(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "a" * 200), (2, "v", "b" * 200)], "page_id long, url string, html string")
+    mark = write_archive(pages.repartition(3), str(tmp_path / "w"))
+    some = spark.read.option("lineSep", "\r\n\r\nWARC/1.1\r\nX-Boundary: " + mark).text(str(tmp_path / "w" / "payloads"))
+    assert some.count() == 2
+    other = write_archive(pages.limit(1), str(tmp_path / "o"))
+    (tmp_path / "w" / "payloads").rename(tmp_path / "w" / "gone")
+    (tmp_path / "o" / "payloads").rename(tmp_path / "w" / "payloads")
+    with pytest.raises(Exception, match="no payload is stored"):
+        read_archive(spark, str(tmp_path / "w"), other).collect()
+
+
+def test_work_folders_go(spark):
+    from partloom.llm import common
+
+    held = common.materialise(spark.range(3).toDF("x"), "test")
+    path = held._work_folder
+    assert held.count() == 3 and path in common._folders
+    common.discard(held)
+    assert path not in common._folders
+    with pytest.raises(Exception):
+        spark.read.parquet(path)
+
+
 def test_sql_of_queries(spark, data):
     from pathlib import Path
 
