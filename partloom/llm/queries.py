@@ -1,4 +1,4 @@
-"""The registered queries op1 to op10 and pipeline, and the SQL that states the same results where SQL can."""
+"""The registered queries op1 to op13, and the SQL that states the same results where SQL can."""
 
 from __future__ import annotations
 
@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from partloom.llm.chat import format_chat
 from partloom.llm.classifier import classify
 from partloom.llm.decontaminate import decontaminate
+from partloom.llm.divergence import divergence_audit
 from partloom.llm.jaccard import jaccard_components
 from partloom.llm.licenses import license_scan
+from partloom.llm.negatives import hard_negatives
 from partloom.llm.quality import quality_rules, trusted_ids
 from partloom.llm.sentencepiece_sampling import sample_segmentations
 from partloom.llm.substring import substring_dedup
 from partloom.llm.suffix import suffix_dedup
+from partloom.llm.token_counts import token_counts
 from partloom.llm.warc import archive_digests
 
 
@@ -79,6 +82,45 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_segmentations(_table(spark, sf_dir, "documents"), with_ids=True)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = """
+WITH r AS (SELECT row_number() OVER () AS k, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.k, a.id AS anchor_id, r.id, a.label = r.label AS alike, a.k = r.k AS itself, CAST(coalesce(list_sum(list_transform(list_zip(a.v, r.v), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score FROM r a, r WHERE a.id % 50 = 0),
+p AS (SELECT k, anchor_id, id, score, row_number() OVER (PARTITION BY k ORDER BY score DESC, id) AS place FROM s WHERE alike AND NOT itself QUALIFY place <= 5),
+n AS (SELECT p.k, p.place, p.anchor_id, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.k, p.place ORDER BY s.score DESC, s.id) AS rank
+      FROM p JOIN s ON p.k = s.k WHERE NOT s.alike AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score QUALIFY rank <= 3)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n
+"""
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT k, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT k) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+cell AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n FROM g JOIN kept ON g.lang = kept.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+gp AS (SELECT lang, source, term, n, CAST(1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS BIGINT) AS p FROM cell JOIN v USING (lang)),
+lp AS (SELECT lang, term, CAST(1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS BIGINT) AS q FROM (SELECT lang, term, sum(n) AS n FROM cell GROUP BY lang, term) JOIN v USING (lang)),
+pr AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM gp a JOIN gp b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(pr.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pr ON pr.lang = a.lang AND pr.source = a.source AND pr.item = b.source),
+own AS (SELECT gp.lang, source, 'term' AS part, gp.term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM gp JOIN lp ON gp.lang = lp.lang AND gp.term = lp.term WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM own) QUALIFY part = 'pair' OR rank <= 10
+"""
+
 OP9_SQL = """
 WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS m FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
@@ -98,5 +140,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_warc": op9_warc,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_token_counts": op12_token_counts,
+    "op13_divergence_audit": op13_divergence_audit,
 }
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op9_warc": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op9_warc": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op13_divergence_audit": OP13_SQL}
