@@ -5,20 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from partloom.session import shared_folder
+
 TYPE, TOP_LEVEL = "type", "topLevel"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iteration in the shared folder named by spark.checkpoint.dir (a local one only where unset)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="partloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,44 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from partloom.functions.text import tokens
+from partloom.operators.postings import EXPANSIONS, FIELDS, K1, B, edits_allowed, nearest
 
-# fixed values: boosts of the searched fields
-FIELDS = {"displayId": 3.0, "version": 1.0, "name": 1.0, "description": 1.0, "type": 1.0, "keywords": 1.0}
-K1, B = 1.2, 0.75
 CAP = 10_000
 SEQUENCE = "Sequence"
 
 
-def edits_allowed(term: str) -> int:
-    return 0 if len(term) <= 2 else 1 if len(term) <= 5 else 2
+def fuzzy_terms(docs: DataFrame, terms: list[str], fields: list[str], most: int = EXPANSIONS) -> dict[str, list[tuple[str, float]]]:
+    """For each term the nearest words of the vocabulary of docs, without an index: one reading of the fields for all terms.
 
+    Only words within the length difference are compared.
+    """
+    given = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(len(t)).alias("length"), F.lit(edits_allowed(t)).alias("allowed")) for t in dict.fromkeys(terms)))
+    spans = [F.length("word").between(len(t) - edits_allowed(t), len(t) + edits_allowed(t)) for t in terms]
+    words = docs.select(F.explode(F.concat(*(tokens(F.col(f)) for f in fields))).alias("word")).where(reduce(lambda a, b: a | b, spans, F.lit(False))).distinct()
+    fits = F.filter(given, lambda x: F.abs(F.length("word") - x["length"]) <= x["allowed"])
+    return nearest(words.select(F.explode(fits).alias("x"), "word").select("x.term", "word"), terms, most) if terms else {}
 
-def fuzzy_terms(docs: DataFrame, terms: list[str], fields: list[str], most: int = 50) -> dict[str, list[tuple[str, float]]]:
-    """For each term the nearest words of the vocabulary with weight 1 - d / shorter length.
 
-    One neighbouring swap counts as one edit. Only words within the length difference are compared, and at most `most`
-    words for each term come to the driver, as the definition asks.
-    """
-    words = reduce(lambda a, b: a.union(b), [docs.select(F.explode(tokens(F.col(f))).alias("word")) for f in fields]).distinct()
-    out: dict[str, list[tuple[str, float]]] = {}
-    for t in terms:
-        k = edits_allowed(t)
-        d = F.levenshtein(F.col("word"), F.lit(t))
-        swapped = F.lit(False)
-        for i in range(len(t) - 1):
-            s = t[:i] + t[i + 1] + t[i] + t[i + 2 :]
-            swapped = swapped | (F.col("word") == s)
-        d = F.when((F.col("word") != t) & swapped, F.lit(1)).otherwise(d)
-        near = words.where(F.abs(F.length("word") - len(t)) <= k).select("word", d.alias("d")).where(F.col("d") <= k).orderBy("d", "word").limit(most)
-        out[t] = [(w, 1 - e / min(len(w), len(t))) for w, e in near.collect()]
-    return out
+Scorer = Callable[[DataFrame, Any, dict[str, float] | None], DataFrame]
 
 
 def bm25(docs: DataFrame, terms: list[str] | dict[str, list[tuple[str, float]]], fields: dict[str, float] | None = None, subject: str | None = "subject") -> DataFrame:
@@ -92,13 +82,14 @@ def top(docs: DataFrame, cap: int = CAP) -> DataFrame:
     return docs.orderBy(F.desc("score"), "subject").limit(cap)
 
 
-def search_text(docs: DataFrame, terms, mode: str = "multiply", cap: int = CAP, fields: dict[str, float] | None = None) -> DataFrame:
-    return top(blend(bm25(docs, terms, fields), F.col("q"), mode), cap)
+def search_text(docs: DataFrame, terms, mode: str = "multiply", cap: int = CAP, fields: dict[str, float] | None = None, scorer: Scorer = bm25) -> DataFrame:
+    """scorer: bm25 over the documents themselves, or that of a stored index."""
+    return top(blend(scorer(docs, terms, fields), F.col("q"), mode), cap)
 
 
-def search_allowed(docs: DataFrame, terms, allowed: DataFrame, mode: str = "multiply", cap: int = CAP) -> DataFrame:
+def search_allowed(docs: DataFrame, terms, allowed: DataFrame, mode: str = "multiply", cap: int = CAP, scorer: Scorer = bm25) -> DataFrame:
     """Text search within an allow-list; a list match adds 1 to the text score. Statistics are those of all documents."""
-    return top(blend(bm25(docs, terms).join(allowed.select("subject").distinct(), "subject", "left_semi"), F.col("q"), mode, 1.0), cap)
+    return top(blend(scorer(docs, terms, None).join(allowed.select("subject").distinct(), "subject", "left_semi"), F.col("q"), mode, 1.0), cap)
 
 
 def allowed_only(docs: DataFrame, allowed: DataFrame, cap: int = CAP) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import re
 from collections import OrderedDict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from partloom.operators import search as S
 from partloom.operators import sequences as Q
+from partloom.operators.postings import TextIndex
 from partloom.session import Options
 from partloom.sources.readers import read_fasta
 
@@ -112,6 +114,7 @@ class Engine:
     sequences: DataFrame
     links: DataFrame
     options: Options = Options()
+    index: TextIndex | None = None  # of the documents; without one they are read for each search
 
     def _page(self, rows: DataFrame, r: Request) -> DataFrame:
         return rows.select(F.countDistinct("subject").alias("n")) if r.count else S.page(rows, r.offset, r.limit)
@@ -133,8 +136,14 @@ class Engine:
         return Q.global_search(self.sequences, query, f.identity, f.accepts, f.shortest, f.longest)
 
     def _terms(self, words: list[str]) -> list[str] | dict[str, list[tuple[str, float]]]:
-        """Words as they are, or with their neighbours in the index's vocabulary."""
-        return S.fuzzy_terms(self.documents, words, list(S.FIELDS)) if self.options.fuzzy and words else words
+        """Words as they are, or with their neighbours in the vocabulary."""
+        if not self.options.fuzzy or not words:
+            return words
+        return self.index.near(words) if self.index else S.fuzzy_terms(self.documents, words, list(S.FIELDS))
+
+    @property
+    def _scorer(self) -> S.Scorer:
+        return self.index.bm25 if self.index else S.bm25
 
     def search(self, r: Request) -> DataFrame:
         graphs, cap, mode = list(r.graphs), self.options.retrieval_cap, self.options.boost_mode
@@ -157,26 +166,35 @@ class Engine:
                 return self.documents.where(F.col("graph").isin(graphs)).agg(F.count("*").alias("n"))
             return S.demote(S.all_in_graphs(self.documents, graphs, r.offset, r.limit), self.clusters).orderBy(F.desc("order_by"), "subject")
         if r.path == "keywords":
-            hits = S.search_text(self.documents, self._terms(words), mode, cap)
+            hits = S.search_text(self.documents, self._terms(words), mode, cap, scorer=self._scorer)
         else:
             from partloom.operators.graph import with_criteria
 
             allowed = with_criteria(self.documents.select(F.col("subject").alias("s")), self.quads, list(r.criteria)).select(F.col("s").alias("subject"))
-            hits = S.search_allowed(self.documents, self._terms(words), allowed, mode, cap) if words else S.allowed_only(self.documents, allowed, cap)
+            hits = S.search_allowed(self.documents, self._terms(words), allowed, mode, cap, self._scorer) if words else S.allowed_only(self.documents, allowed, cap)
         return self._page(S.demote(S.acl(hits, graphs), self.clusters), r)
 
     def search_raw(self, words: str) -> DataFrame:
         """Text search as it is: no graphs, no demotion."""
-        return S.search_text(self.documents, self._terms(words.lower().split()), self.options.boost_mode, self.options.retrieval_cap)
+        return S.search_text(self.documents, self._terms(words.lower().split()), self.options.boost_mode, self.options.retrieval_cap, scorer=self._scorer)
 
 
 class Memo:
-    """The last results by query text, kept in memory by Spark; clear() after an update of the index."""
+    """The last results by query text, kept in memory by Spark.
+
+    With a version (such as the number of a store's last commit) engine is a function that makes an engine; when the version
+    is another one, all results go and a new engine is made.
+    """
 
-    def __init__(self, engine: Engine, most: int = 32):
-        self.engine, self.most, self._kept = engine, most, OrderedDict()
+    def __init__(self, engine: Engine | Callable[[], Engine], most: int = 32, version: Callable[[], int] | None = None):
+        self.most, self._kept, self._version, self._seen = most, OrderedDict(), version, None
+        self._make = engine if version else lambda: engine
+        self.engine = None if version else engine
 
     def search(self, text: str) -> DataFrame:
+        if self._version and (now := self._version()) != self._seen:
+            self.clear()
+            self.engine, self._seen = self._make(), now
         if text not in self._kept:
             self._kept[text] = self.engine.search(parse(text)).cache()
         self._kept.move_to_end(text)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from partloom.operators import enrich, graph, sequences
 from partloom.session import Options
-from partloom.sources.writers import IndexStore, split_by_size
+from partloom.sources.store import IndexStore
+from partloom.sources.writers import split_by_size
 
 
 def rebuild(quads: DataFrame, optional: dict[str, str], seqs: DataFrame, terms: DataFrame, store: IndexStore, options: Options = Options(), skip_clustering: bool = True) -> dict[str, DataFrame | int | None]:

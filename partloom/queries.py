@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from partloom.functions.text import kgrams
 from partloom.operators import enrich, evaluate, graph, search, sequences
+from partloom.operators.postings import TextTables, edits_allowed
+from partloom.operators.postings import swaps as swapped
 from partloom.plans import domain as D
 from partloom.plans.query import Engine, parse
-from partloom.session import Options
+from partloom.session import Options, shared_folder
+from partloom.sources.store import IndexStore
 from partloom.streaming import updates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,10 +93,74 @@ def fuzzy_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(found, "word string, weight double").select("word", F.round("weight", 6).alias("weight"))
 
 
-@register("fuzzy_text_search")
+def _fuzzy_sql(terms: tuple[str, ...], fields: dict[str, float]) -> str:
+    """CTEs up to q (subject, q) as above, for terms (ASCII) with their 50 nearest words; a swap of neighbours is one edit."""
+    tok = " UNION ALL ".join(f"SELECT subject, '{f}' AS field, {b} AS boost, regexp_extract_all(lower({f}), '[\\p{{L}}\\p{{N}}_]+') AS t FROM d" for f, b in fields.items())
+    swaps = ", ".join(f"('{t}', '{w}')" for t in terms for w in swapped(t))
+    allowed = ", ".join(f"('{t}', {edits_allowed(t)})" for t in terms)
+    # DuckDB counts bytes: a sign that no word has stands for each character beyond ASCII
+    return f"""f AS ({tok}),
+st AS (SELECT field, count(*) FILTER (WHERE len(t) > 0) AS n, sum(len(t)) AS l FROM f GROUP BY field),
+voc AS (SELECT DISTINCT unnest(t) AS word FROM f), asked(term, k) AS (VALUES {allowed}), sw(term, word) AS (VALUES {swaps}),
+dist AS (SELECT term, voc.word, k, CASE WHEN sw.word IS NOT NULL THEN 1 ELSE levenshtein(regexp_replace(voc.word, '[^\\x00-\\x7F]', '?', 'g'), term) END AS d FROM voc JOIN asked ON abs(length(voc.word) - length(term)) <= k LEFT JOIN sw USING (term, word)),
+nb AS (SELECT term, word, 1 - d / least(length(word), length(term)) AS weight, row_number() OVER (PARTITION BY term ORDER BY d, word) AS place FROM dist WHERE d <= k QUALIFY place <= 50),
+wt AS (SELECT word, sum(weight) AS weight FROM nb GROUP BY word),
+tf AS (SELECT subject, field, boost, len, word, count(*) AS tf FROM (SELECT subject, field, boost, len(t) AS len, unnest(t) AS word FROM f) JOIN wt USING (word) GROUP BY ALL),
+df AS (SELECT field, word, count(*) AS df FROM tf GROUP BY ALL),
+fs AS (SELECT subject, field, sum(boost * weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (l / n)))) AS s FROM tf JOIN df USING (field, word) JOIN st USING (field) JOIN wt USING (word) GROUP BY subject, field),
+q AS (SELECT subject, max(s) AS q FROM fs GROUP BY subject)"""
+
+
+def _stored(spark: SparkSession, rows: DataFrame) -> IndexStore:
+    """A store of rows with its inverted index, in the shared folder."""
+    store = IndexStore(spark, shared_folder(spark, "index"), text=TextTables())
+    store.publish(rows)
+    return store
+
+
+@register("indexed_bm25", f"WITH {DOCS}, {_bm25_sql(TERMS, search.FIELDS)} SELECT subject, round(q * q * ln(1 + pagerank), 6) AS score FROM q JOIN d USING (subject) ORDER BY score DESC, subject LIMIT 10000")
+def indexed_bm25(spark: SparkSession, sf: str) -> DataFrame:
+    """As bm25_multifield_boost, from stored postings."""
+    return search.search_text(None, list(TERMS), scorer=_stored(spark, _docs(spark, sf)).index().bm25).select("subject", "score")
+
+
+@register("index_after_changes", f"""WITH {DOCS.replace("d AS (", "d0 AS (", 1)}, d AS (SELECT * REPLACE (CASE WHEN role = 'http://roles.example.org/q1' THEN 'onenth ' || name ELSE name END AS name) FROM d0 WHERE graph <> 'src1' OR role = 'http://roles.example.org/q1'),
+{_bm25_sql(TERMS, search.FIELDS)} SELECT subject, round(q * q * ln(1 + pagerank), 6) AS score FROM q JOIN d USING (subject) ORDER BY score DESC, subject LIMIT 10000""")
+def index_after_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """One commit adds a word to the names of trusted parts and removes a graph's other parts; then a search."""
+    docs = _docs(spark, sf)
+    store = _stored(spark, docs)
+    renamed = docs.where(F.col("role") == "http://roles.example.org/q1").withColumn("name", F.concat(F.lit("onenth "), "name"))
+    store.change(add=renamed, remove=docs.where("graph = 'src1'"))
+    return search.search_text(None, list(TERMS), scorer=store.index().bm25).select("subject", "score")
+
+
+FUZZY = ("onenth", "reerea")
+
+
+@register("indexed_fuzzy_search", f"""WITH {DOCS}, {_fuzzy_sql(FUZZY, search.FIELDS)},
+h AS (SELECT subject, type, graph, round(q * q * ln(1 + pagerank), 6) AS score FROM q JOIN d USING (subject) ORDER BY score DESC, subject LIMIT 10000)
+SELECT subject, round(CASE WHEN type LIKE '%Sequence%' THEN score / 10 ELSE score END, 9) AS order_by FROM h WHERE graph IN ('src1', 'src2', 'src3') ORDER BY order_by DESC, subject LIMIT 50""")
+def indexed_fuzzy_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Keywords as a user sends them: near words by the stored vocabulary, scores by the stored postings."""
+    engine = _engine(spark, sf, _stored(spark, _docs(spark, sf)))
+    text = """SELECT DISTINCT ?subject FROM <src1> FROM <src2> FROM <src3> WHERE {
+    FILTER (CONTAINS(lcase(?displayId), lcase('onenth')) || CONTAINS(lcase(?displayId), lcase('reerea'))) }"""
+    return engine.search(parse(text)).select("subject", F.round("order_by", 9).alias("order_by"))
+
+
+def _engine(spark: SparkSession, sf: str, store: IndexStore | None = None, **tables: DataFrame) -> Engine:
+    """An engine over the parts, with empty tables for what is not given."""
+    docs = _docs(spark, sf)
+    none = docs.limit(0)
+    empty = {"quads": none.select(F.lit("").alias("g"), F.lit("").alias("s"), F.lit("").alias("p"), F.lit("").alias("o")), "ranks": none.select("subject", "pagerank"), "clusters": none.select("subject", F.lit(0).alias("cluster_id")), "sequences": none.select("subject", F.lit("").alias("sequence")), "links": none.select(F.col("subject").alias("parent"), F.col("subject").alias("child"))}
+    return Engine(docs, D.parts(spark, sf), **(empty | tables), index=store.index() if store else None)
+
+
+@register("fuzzy_text_search", f"WITH {DOCS}, {_fuzzy_sql(FUZZY, search.FIELDS)} SELECT subject, round(q * q * ln(1 + pagerank), 6) AS score FROM q JOIN d USING (subject) ORDER BY score DESC, subject LIMIT 10000")
 def fuzzy_text_search(spark: SparkSession, sf: str) -> DataFrame:
     docs = _docs(spark, sf)
-    return search.search_text(docs, search.fuzzy_terms(docs, ["onenth", "reerea"], list(search.FIELDS))).select("subject", "score")
+    return search.search_text(docs, search.fuzzy_terms(docs, list(FUZZY), list(search.FIELDS))).select("subject", "score")
 
 
 @register("cluster_demotion", f"""WITH {DOCS}, h AS (SELECT subject, type, doc_id % 10 AS c, round(ln(1 + pagerank), 6) AS score FROM d ORDER BY score DESC, subject LIMIT 10000),

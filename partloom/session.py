@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import SparkSession
@@ -21,6 +23,18 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
     return b.getOrCreate()
 
 
+def shared_folder(spark: SparkSession, name: str = "") -> str:
+    """A fresh path in the folder named by spark.checkpoint.dir; only a local session gets one of its own where none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="partloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 @dataclass(frozen=True)
 class Options:
     """Validated settings of the engine; numbers may come as strings."""

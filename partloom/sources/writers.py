@@ -1,10 +1,8 @@
-"""Sinks: FASTA, cluster files, keyed index versions, and typed query responses."""
+"""Sinks: FASTA, cluster files, and typed query responses."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partloom.sources.readers import xsd
@@ -37,41 +35,6 @@ def split_by_size(parts: DataFrame, most: int = MAX_SUBJECT_BYTES) -> tuple[Data
     return parts.where(fits), parts.where(~fits)
 
 
-class IndexStore:
-    """Versions of a keyed table under one folder; a pointer table names the current one, and moves only after a full write."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def current(self) -> DataFrame:
-        row = self.spark.read.text(f"{self.path}/_current").orderBy(F.desc("value")).first()
-        return self.spark.read.parquet(f"{self.path}/{row[0].split(' ')[1]}")
-
-    def exists(self) -> bool:
-        try:
-            return bool(self.spark.read.text(f"{self.path}/_current").limit(1).count())
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return False
-
-    def publish(self, rows: DataFrame) -> str:
-        """Write a new version, then append its name to the pointer; readers see the old version until then."""
-        at = 0
-        if self.exists():
-            at = int(self.spark.read.text(f"{self.path}/_current").agg(F.max("value")).first()[0].split(" ")[0]) + 1
-        name = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{name}")
-        self.spark.createDataFrame([(f"{at:09d} {name}",)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/_current")
-        return name
-
-    def delete(self, subjects: DataFrame) -> str:
-        return self.publish(self.current().join(subjects.select("subject").distinct(), "subject", "left_anti"))
-
-    def upsert(self, rows: DataFrame) -> str:
-        return self.publish(self.current().join(rows.select("subject").distinct(), "subject", "left_anti").unionByName(rows))
-
-
 def cell(name: str, value: Column) -> Column:
     """A typed binding cell; null, -1 and N/A give no cell."""
     text = value.cast("string")

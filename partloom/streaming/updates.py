@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from partloom.operators.enrich import add_keywords, add_rank
-from partloom.sources.writers import IndexStore
+from partloom.sources.store import IndexStore
 
 
 def latest(changes: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from partloom.plans.query import Engine, Memo, SearchFlags, parse
 from partloom.plans.rebuild import rebuild
 from partloom.session import Options
 from partloom.sources import readers, writers
+from partloom.sources.store import IndexStore
 from partloom.streaming import updates
 
 
@@ -115,7 +116,7 @@ def test_hit_report_and_graph(spark, tmp_path):
 
 
 def test_index_store(spark, tmp_path):
-    store = writers.IndexStore(spark, str(tmp_path / "index"))
+    store = IndexStore(spark, str(tmp_path / "index"))
     assert not store.exists()
     rows = spark.createDataFrame([("a", 1), ("b", 2)], "subject string, v int")
     store.publish(rows)
@@ -150,7 +151,7 @@ def test_updates(spark):
 
 
 def test_stream_of_changes(spark, tmp_path):
-    store = writers.IndexStore(spark, str(tmp_path / "index"))
+    store = IndexStore(spark, str(tmp_path / "index"))
     store.publish(spark.createDataFrame([("a", "d", 1.0, "k")], "subject string, displayId string, pagerank double, keywords string"))
     schema = "op string, subject string, seq int, part struct<subject:string,displayId:string>"
     spark.createDataFrame([("add", "b", 1, ("b", "y_z")), ("remove", "a", 1, None)], schema).write.json(str(tmp_path / "in"))
@@ -274,7 +275,7 @@ def test_substring_semi_keeps_longer_numbers(spark):
 
 def test_rebuild(spark, tmp_path):
     q = spark.createDataFrame([("g", s, p, o, "uri") for s, p, o in (("a", "type", "T"), ("a", "topLevel", "a"), ("b", "type", "T"), ("b", "topLevel", "b"), ("a", "uses", "b"), ("a", "displayId", "A_1"))], readers.QUADS)
-    store = writers.IndexStore(spark, str(tmp_path / "index"))
+    store = IndexStore(spark, str(tmp_path / "index"))
     optional = {"displayId": "displayId", "version": "version", "name": "title", "description": "description", "role": "role", "sboltype": "biotype"}
     terms = spark.createDataFrame([], readers.TERMS)
     got = rebuild(q, optional, spark.createDataFrame([], "subject string, sequence string"), terms, store)
