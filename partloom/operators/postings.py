@@ -27,9 +27,11 @@ FIELDS = {"displayId": 3.0, "version": 1.0, "name": 1.0, "description": 1.0, "ty
 K1, B = 1.2, 0.75
 #: A list of near words has so many at most.
 EXPANSIONS = 50
-BYTES_AT_ONCE = 8 << 20
+BYTES_AT_ONCE = 32 << 20
 
-POSTINGS = "term string, field string, rows array<bigint>, counts array<int>, lengths array<int>, n bigint, total bigint"
+#: A list has three integers for each row: its number less base, the count of the word, and the length of the field. Most
+#: words are rare, so a list is as narrow as it can be. Without a term: documents and words of a stretch.
+POSTINGS = "term string, field tinyint, base bigint, data array<int>"
 
 
 def edits_allowed(term: str) -> int:
@@ -73,23 +75,20 @@ def words_of(column: pa.Array, word: np.ndarray) -> tuple[pa.DictionaryArray, np
     return words.dictionary_encode(), np.searchsorted(start, offsets)
 
 
-def _lists(field: str, rows: np.ndarray, column: pa.Array, word: np.ndarray) -> list[pa.Array]:
+def _lists(field: int, rows: np.ndarray, column: pa.Array, word: np.ndarray) -> list[pa.Array]:
     """Posting lists of one field of a stretch of rows, and last its totals, without a term."""
     words, first = words_of(column, word)
     size = np.diff(first)
-    wide = max(len(words.dictionary), 1)
-    n_rows = max(len(size), 1)
+    n_terms, n_rows = len(words.dictionary), max(len(size), 1)
     cells = np.sort(words.indices.to_numpy().astype(np.int64) * n_rows + np.repeat(np.arange(len(size)), size))
     at = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])) if len(cells) else np.zeros(0, np.int64)
-    tf, cells = np.diff(np.append(at, len(cells))), cells[at]
-    term, row = cells // n_rows, cells % n_rows
-    edges = np.searchsorted(term, np.arange(wide + 1)) if len(term) else np.zeros(1, np.int64)
-    edges = np.append(edges, edges[-1]).astype(np.int32)  # an empty list for the totals
-    k = len(edges) - 1
-    lists = lambda v, kind: pa.ListArray.from_arrays(pa.array(edges), pa.array(v, kind))
-    names = pa.concat_arrays([words.dictionary.cast(pa.string())[: k - 1], pa.nulls(1, pa.string())])
-    n, total = np.append(np.diff(edges)[:-1], (size > 0).sum()), np.append(np.zeros(k - 1, np.int64), size.sum())
-    return [names, pa.array([field] * k, pa.string()), lists(rows[row], pa.int64()), lists(tf, pa.int32()), lists(size[row], pa.int32()), pa.array(n, pa.int64()), pa.array(total, pa.int64())]
+    counts, cells = np.diff(np.append(at, len(cells))), cells[at]
+    row = cells % n_rows
+    base = rows.min() if len(rows) else 0
+    data = np.append(np.stack([rows[row] - base, counts, size[row]], 1).ravel(), [(size > 0).sum(), size.sum()]).astype(np.int32)
+    edges = np.append(3 * np.searchsorted(cells // n_rows, np.arange(n_terms + 1)), len(data)).astype(np.int32)
+    names = pa.concat_arrays([words.dictionary.cast(pa.string()), pa.nulls(1, pa.string())])
+    return [names, pa.array([field] * (n_terms + 1), pa.int8()), pa.array([base] * (n_terms + 1), pa.int64()), pa.ListArray.from_arrays(pa.array(edges), pa.array(data))]
 
 
 def bucket_of(column: Column, buckets: int) -> Column:
@@ -170,28 +169,31 @@ class TextTables:
             word = np.unpackbits(shared.value).astype(bool)
             for batch in batches:
                 sizes = np.maximum(1, sum(np.asarray(pc.binary_length(batch.column(i + 1)).fill_null(0)).astype(np.int64) for i in range(len(fields))))
-                cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // BYTES_AT_ONCE)) + 1
+                # a stretch has rows of one file at most, whose numbers differ by less than 32 bits
+                cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // BYTES_AT_ONCE) | np.diff(batch.column(0).to_numpy() >> 31)) + 1
                 for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
                     if i < j:
                         part = batch.slice(i, j - i)
                         numbers = part.column(0).to_numpy()
-                        for k, f in enumerate(fields):
-                            yield pa.RecordBatch.from_arrays(_lists(f, numbers, part.column(k + 1), word), ["term", "field", "rows", "counts", "lengths", "n", "total"])
+                        for k in range(len(fields)):
+                            yield from pa.Table.from_arrays(_lists(k, numbers, part.column(k + 1), word), ["term", "field", "base", "data"]).to_batches(max_chunksize=1 << 16)
 
         lower = [F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f"_f{i}") for i, f in enumerate(fields)]
         return rows.select("_row", *lower).mapInArrow(run, POSTINGS)
 
-    def lists(self, rows: DataFrame, commit: int) -> DataFrame:
+    def lists(self, rows: DataFrame) -> DataFrame:
         """Posting lists of new rows as they are stored; a common word's lists are dealt to several tasks."""
-        lists = self.postings(rows).withColumns({"_commit": F.lit(commit), "bucket": bucket_of(F.coalesce("term", F.lit("")), self.buckets)})
+        lists = self.postings(rows).withColumn("bucket", bucket_of(F.coalesce("term", F.lit("")), self.buckets))
         return lists.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
 
     def counts(self, lists: DataFrame | None, old: DataFrame | None) -> dict[str, tuple[DataFrame, str | None]]:
         """The other tables, and the column of their folders, for stored lists of rows that come and rows that go."""
-        signed = [lists.select("term", "field", "n", "total")] if lists is not None else []
-        if old is not None:
-            signed.append(self.postings(old).select("term", "field", (-F.col("n")).alias("n"), (-F.col("total")).alias("total")))
-        both = reduce(lambda a, b: a.union(b), signed)
+
+        def signed(df: DataFrame, sign: int) -> DataFrame:
+            n, total = F.when(F.col("term").isNull(), F.col("data")[0]).otherwise(F.size("data") / 3), F.when(F.col("term").isNull(), F.col("data")[1]).otherwise(0)
+            return df.select("term", "field", (sign * n.cast("bigint")).alias("n"), (sign * total.cast("bigint")).alias("total"))
+
+        both = reduce(lambda a, b: a.union(b), [signed(df, sign) for df, sign in ((lists, 1), (None if old is None else self.postings(old), -1)) if df is not None])
         terms = both.where("term is not null").groupBy("term", "field").agg(F.sum("n").alias("n")).where("n <> 0").withColumn("bucket", bucket_of(F.col("term"), self.buckets))
         out = {"terms": (terms.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term"), "bucket")}
         out["totals"] = (both.where("term is null").groupBy("field").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), None)
@@ -250,12 +252,13 @@ class TextIndex:
         idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         # at most words times fields rows
         facts = known.join(F.broadcast(totals), "field").join(F.broadcast(given), "term").select("term", "field", (F.col("weight") * idf).alias("worth"), (F.col("total") / F.col("docs")).alias("mean"))
-        hits = self._of(self.postings, words).where(F.col("field").isin(list(fields))).join(F.broadcast(facts), ["term", "field"])
-        each = hits.select("_commit", "field", "worth", "mean", F.explode(F.arrays_zip("rows", "counts", "lengths")).alias("x"))
-        tf = F.col("x.counts")
-        score = F.col("worth") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("x.lengths") / F.col("mean")))
-        each = each.select("_commit", F.col("x.rows").alias("_row"), "field", score.alias("s"))
-        sums = each.groupBy("_commit", "_row").agg(*(F.sum(F.when(F.col("field") == f, F.col("s"))).alias(f"_{i}") for i, f in enumerate(fields)))
+        places = [self.tables.fields.index(f) for f in fields]
+        hits = self._of(self.postings, words).where(F.col("field").isin(places)).join(F.broadcast(facts), ["term", "field"])
+        each = hits.select("_commit", "field", "worth", "mean", "base", "data", F.explode(F.sequence(F.lit(0), F.size("data") - 3, F.lit(3))).alias("i"))
+        tf, length = F.col("data")[F.col("i") + 1], F.col("data")[F.col("i") + 2]
+        score = F.col("worth") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.col("mean")))
+        each = each.select("_commit", (F.col("base") + F.col("data")[F.col("i")]).alias("_row"), "field", score.alias("s"))
+        sums = each.groupBy("_commit", "_row").agg(*(F.sum(F.when(F.col("field") == f, F.col("s"))).alias(f"_{i}") for i, f in enumerate(places)))
         best = [boost * F.col(f"_{i}") for i, boost in enumerate(fields.values())]
         scored = sums.select("_commit", "_row", (F.greatest(*best) if len(best) > 1 else best[0]).alias("q"))
         named = self.rows.where(F.col(self.key).isin(list(weighted))).select("_commit", "_row", F.lit(1.0).alias("q"))

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from partloom.functions.text import closed_bucket, kgrams, normalise_sequence, percent
+from partloom.operators import alignment
+from partloom.operators.alignment import WORD
 
 # fixed values: defaults of the global search
-MAX_ACCEPTS, IDENTITY, MIN_LENGTH, MAX_LENGTH, WORD = 50, 0.8, 20, 5000, 8
+MAX_ACCEPTS, IDENTITY, MIN_LENGTH, MAX_LENGTH = 50, 0.8, 20, 5000
 
 
 def normalise(sequences: DataFrame, bases: str = "gatc") -> DataFrame:
@@ -26,91 +28,48 @@ def exact_search(sequences: DataFrame, query: str) -> DataFrame:
 
 
 def align(a: str, b: str) -> tuple[float, str]:
-    """Identity (matches over columns without end gaps) and CIGAR of one best global alignment.
+    """Identity (matches by inner columns) and CIGAR of one best global alignment."""
+    if not a or not b:
+        return 0.0, ""
+    ops = alignment.align(a, b)
+    return alignment.identity_of(ops, a, b), alignment.cigar(ops)
+
+
+def global_search(
+    sequences: DataFrame, query: str, identity: float = IDENTITY, most: int = MAX_ACCEPTS, shortest: int = MIN_LENGTH, longest: int = MAX_LENGTH, definition: int = 2, rejects: int = 0
+) -> DataFrame:
+    """subject, pct_id and cigar of the matches of one query, found by shared words and then aligned.
 
-    Match 2, mismatch -4, gap -3 a column and -1 at the ends; ties prefer the diagonal. Alignments of less than half the
-    shorter sequence count as of that length, so a short overlap of the ends is not a match. Row by row with numpy; memory is |a| x |b| bytes.
+    Without a limit of rejects the best matches of all candidates, at most `most` (0: all). With one, candidates come by
+    the number of shared words, shorter ones and then smaller subjects first, and the search ends at `most` accepted or
+    so many rejected; no more than both together are read, so that is what is aligned.
     """
-    n, m = len(a), len(b)
-    if not n or not m:
-        return 0.0, ""
-    x, y = np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8)
-    back = np.zeros((n + 1, m + 1), np.int8)
-    prev = -1.0 * np.arange(m + 1)
-    for i in range(1, n + 1):
-        gap = -1.0 if i == n else -3.0
-        diag = prev[:-1] + np.where(y == x[i - 1], 2.0, -4.0)
-        up = prev.copy()
-        up[1:-1] -= 3.0
-        up[-1] -= 1.0
-        cur = up.copy()
-        back[i] = 1
-        take = diag >= up[1:]
-        cur[1:][take] = diag[take]
-        back[i, 1:][take] = 0
-        cur[0] = -1.0 * i
-        # gaps along the row: a running maximum after removing the slope
-        slope = -gap * np.arange(m + 1)
-        lifted = np.maximum.accumulate(cur + slope) - slope
-        left = lifted > cur + 1e-9
-        back[i][left] = 2
-        prev = np.where(left, lifted, cur)
-    i, j, ops = n, m, []
-    while i or j:
-        if i == 0:
-            ops.append("I")
-            j -= 1
-        elif j == 0:
-            ops.append("D")
-            i -= 1
-        elif back[i, j] == 0:
-            ops.append("M")
-            i, j = i - 1, j - 1
-        elif back[i, j] == 1:
-            ops.append("D")
-            i -= 1
-        else:
-            ops.append("I")
-            j -= 1
-    ops.reverse()
-    text = "".join(ops)
-    inner = text.strip("DI")
-    start = len(text) - len(text.lstrip("DI"))
-    i = text[:start].count("D")
-    j = text[:start].count("I")
-    same = 0
-    for op in inner:
-        if op == "M":
-            same += a[i] == b[j]
-        i += op != "I"
-        j += op != "D"
-    cigar, k = "", 0
-    while k < len(text):
-        e = k
-        while e < len(text) and text[e] == text[k]:
-            e += 1
-        cigar += (str(e - k) if e - k > 1 else "") + text[k]
-        k = e
-    return same / max(len(inner), min(n, m) // 2, 1), cigar
-
-
-def global_search(sequences: DataFrame, query: str, identity: float = IDENTITY, most: int = MAX_ACCEPTS, shortest: int = MIN_LENGTH, longest: int = MAX_LENGTH) -> DataFrame:
-    """subject, pct_id and cigar of the best matches of one query, found by shared words and then aligned."""
     q = query.lower()
-    words = sorted({q[i : i + WORD] for i in range(len(q) - WORD + 1)})
-    if not words or not shortest <= len(q) <= longest:
+    if len(q) < WORD or not shortest <= len(q) <= longest:
         return sequences.limit(0).select("subject", F.lit(0.0).alias("pct_id"), F.lit("").alias("cigar"))
-    near = sequences.where(F.length("sequence").between(shortest, longest))
-    grams = kgrams(F.lower("sequence"), WORD)
-    near = near.withColumn("_shared", F.size(F.array_intersect(grams, F.lit(words)))).where("_shared > 0")
-
-    @F.pandas_udf("pct_id double, cigar string")
-    def aligned(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([align(q, t.lower()) for t in s], columns=["pct_id", "cigar"])
-
-    hits = near.select("subject", aligned("sequence").alias("a")).select("subject", F.round(F.col("a.pct_id") * 100, 1).alias("pct_id"), "a.cigar")
-    good = hits.where(F.col("pct_id") >= 100 * identity)
-    return good.orderBy(F.desc("pct_id"), "subject").limit(most) if most else good  # 0 is no limit
+    near = sequences.where(F.length("sequence").between(shortest, longest)).select("subject", "sequence")
+    run = lambda prune: lambda batches: alignment.matches(q, batches, identity, definition, 1, prune)
+    if not rejects:
+        good = near.mapInArrow(run(True), alignment.MATCHES).where(F.col("pct_id") >= 100 * identity).select("subject", "pct_id", "cigar")
+        return good.orderBy(F.desc("pct_id"), "subject").limit(most) if most else good
+    own = alignment.words(q.encode())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = alignment.shared_words(own, [s.lower().encode() for s in b.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n)], ["subject", "sequence", "words"])
+
+    by_words = [F.desc("words"), "length", "subject"]
+    counted = near.mapInArrow(count, "subject string, sequence string, words bigint").where("words > 0").withColumn("length", F.length("sequence"))
+    if most:
+        counted = counted.orderBy(*by_words).limit(most + rejects - 1)
+    done = counted.select("subject", "sequence").mapInArrow(run(False), alignment.MATCHES).withColumn("good", F.col("pct_id") >= 100 * identity)
+    # the candidates are few: as many as both limits allow
+    w = W.orderBy(*by_words).rowsBetween(W.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.count_if(c).over(w), F.lit(0))
+    met = done.withColumns({"_yes": before(F.col("good")), "_no": before(~F.col("good"))}).where(F.col("_no") < rejects)
+    met = met.where(F.col("_yes") < most) if most else met
+    return met.where("good").orderBy(F.desc("pct_id"), "subject").select("subject", "pct_id", "cigar")
 
 
 def substring_semi(parts: DataFrame, hits: DataFrame) -> DataFrame:

@@ -35,18 +35,17 @@ class SearchFlags:
     accepts: int
     shortest: int
     longest: int
+    definition: int = 2
+    rejects: int = 0
 
     @classmethod
     def of(cls, flags: dict[str, str]) -> SearchFlags:
-        """The defaults with the known ones of flags; others are not accepted. ValueError for values that can't be served:
-        identities are those of definition 2, and no search gives up after so many rejects."""
+        """The defaults with the known ones of flags; others are not accepted. ValueError for values out of range."""
         values = SEARCH_FLAGS | {k: v for k, v in flags.items() if k in SEARCH_FLAGS}
         if unknown := sorted(k for k in flags if k not in SEARCH_FLAGS and k not in ROUTE_FLAGS):
             logging.getLogger(__name__).warning("flags not accepted: %s", ", ".join(unknown))
-        if values["iddef"] != "2" or values["maxrejects"] != "0":
-            raise ValueError("iddef must be 2 and maxrejects 0")
-        out = cls(float(values["id"]), int(values["maxaccepts"]), int(values["minseqlength"]), int(values["maxseqlength"]))
-        if not 0 < out.identity <= 1 or out.accepts < 0 or not 0 < out.shortest <= out.longest:
+        out = cls(float(values["id"]), *(int(values[k]) for k in ("maxaccepts", "minseqlength", "maxseqlength", "iddef", "maxrejects")))
+        if not 0 < out.identity <= 1 or out.accepts < 0 or out.rejects < 0 or out.definition not in range(5) or not 0 < out.shortest <= out.longest:
             raise ValueError(f"flags out of range: {values}")
         return out
 
@@ -133,7 +132,7 @@ class Engine:
         if "search_exact" in flags:
             return Q.exact_search(self.sequences, query).select("subject", F.lit(100.0).alias("pct_id"), F.lit(None).cast("string").alias("cigar"))
         f = SearchFlags.of(flags)
-        return Q.global_search(self.sequences, query, f.identity, f.accepts, f.shortest, f.longest)
+        return Q.global_search(self.sequences, query, f.identity, f.accepts, f.shortest, f.longest, f.definition, f.rejects)
 
     def _terms(self, words: list[str]) -> list[str] | dict[str, list[tuple[str, float]]]:
         """Words as they are, or with their neighbours in the vocabulary."""

@@ -77,7 +77,7 @@ class IndexStore:
     # --- reading -----------------------------------------------------------------------------------------------------
 
     def _union(self, segments: list[dict], part: str) -> DataFrame:
-        frames = [self._stored(s[part]) for s in segments if s.get(part)]
+        frames = [self._stored(s[part]) if part != "postings" else self._stored(s[part]).withColumn(COMMIT, F.lit(s["commit"])) for s in segments if s.get(part)]
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
     def _stored(self, at: list) -> DataFrame:
@@ -122,7 +122,7 @@ class IndexStore:
         """[folder, schema] as a segment has them: an empty table has no file that tells its columns."""
         name = f"{kind}/{uuid.uuid4().hex}"
         writer = df.write.partitionBy(by) if by else df.write
-        writer.parquet(f"{self.path}/{name}")
+        writer.option("compression", "zstd").parquet(f"{self.path}/{name}")
         return [name, df.schema.jsonValue()]
 
     def _write_rows(self, rows: DataFrame, number: int) -> list:
@@ -141,7 +141,7 @@ class IndexStore:
         if self.text is not None:
             lists = None
             if rows is not None:
-                segment["postings"] = self._write(self.text.lists(self._stored(segment["rows"]), number), "postings", "bucket")
+                segment["postings"] = self._write(self.text.lists(self._stored(segment["rows"])), "postings", "bucket")
                 lists = self._stored(segment["postings"])
             for part, (df, by) in self.text.counts(lists, old).items():
                 segment[part] = self._write(df, part, by)

@@ -206,7 +206,7 @@ def test_flags_of_a_hub():
     f = SearchFlags.of(r.flags)
     assert (f.identity, f.accepts, f.shortest, f.longest) == (0.9, 7, 20, 5000)
     assert SearchFlags.of({}).identity == 0.8  # nothing stays from the request before
-    for bad in ({"id": "2"}, {"iddef": "1"}, {"maxrejects": "8"}, {"maxaccepts": "many"}, {"minseqlength": "30", "maxseqlength": "20"}):
+    for bad in ({"id": "2"}, {"iddef": "5"}, {"maxrejects": "-1"}, {"maxaccepts": "many"}, {"minseqlength": "30", "maxseqlength": "20"}):
         with pytest.raises(ValueError):
             SearchFlags.of(bad)
 
