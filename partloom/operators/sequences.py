@@ -14,9 +14,14 @@ from pyspark.sql import Window as W
 from partloom.functions.text import closed_bucket, kgrams, normalise_sequence, percent
 from partloom.operators import alignment
 from partloom.operators.alignment import WORD
+from partloom.operators.graph import checkpointed, connected_components
+from partloom.operators.linkage import centroids, single_link
+from partloom.operators.seeds import RUN, candidate_pairs, distinct_sequences, identities, members, seed_edges
 
 # fixed values: defaults of the global search
 MAX_ACCEPTS, IDENTITY, MIN_LENGTH, MAX_LENGTH = 50, 0.8, 20, 5000
+#: Share of minimizers from which two sequences are aligned for clusters.
+SHARE = 0.1
 
 
 def normalise(sequences: DataFrame, bases: str = "gatc") -> DataFrame:
@@ -106,87 +111,79 @@ def uc_summary(uc: DataFrame) -> DataFrame:
     return uc.agg(F.count_if(hit | (F.col("rec") == "S")).alias("parts"), F.count_if(hit).alias("hits"), F.coalesce(F.round(F.avg(F.when(hit, F.col("pct_id").try_cast("double"))), 6), F.lit(0.0)).alias("mean_identity"))
 
 
-def gram_pairs(sequences: DataFrame, k: int = 3, widest: int | None = None) -> DataFrame:
-    """Exact distance of all pairs a < b that share a gram: intersections counted over posting lists.
+def gram_sets(sequences: DataFrame, k: int) -> DataFrame:
+    """(subject, grams, n): grams from rare to frequent, ties by the gram."""
+    each = sequences.select("subject", F.explode(kgrams(F.col("sequence"), k)).alias("gram"))
+    ranked = each.join(each.groupBy("gram").agg(F.count("*").alias("df")), "gram")
+    return ranked.groupBy("subject").agg(F.sort_array(F.collect_list(F.struct("df", "gram")))["gram"].alias("grams")).withColumn("n", F.size("grams"))
 
-    widest, if given, leaves grams of more sequences out of the candidate search only; distances stay exact.
+
+def gram_pairs(sequences: DataFrame, k: int = WORD, within: float = 0.5, distance: Distance | None = None) -> DataFrame:
+    """(a, b, dist), a < b: all pairs of different sequences, under their smallest subjects, whose sets of grams have a
+    Jaccard distance of at most `within` (below 1). Exact.
+
+    With similarity s a pair has a gram in common among the first n - ceil(s n) + 1 of each set, when both are in the same
+    order. Rare grams come first, so few sets meet; sizes and places rule out more before sets are compared. distance, a
+    function of two sets, takes the place of the Jaccard distance in the result; pairs are still proposed by the latter.
     """
-    sets = sequences.select("subject", kgrams(F.col("sequence"), k).alias("grams"))
-    sizes = sets.select("subject", F.size("grams").alias("n"))
-    posts = sets.select("subject", F.explode("grams").alias("gram"))
-    if widest:
-        posts = posts.join(posts.groupBy("gram").count().where(F.col("count") <= widest).select("gram"), "gram", "left_semi")
-        pairs = posts.alias("x").join(posts.alias("y"), "gram").where("x.subject < y.subject").select(F.col("x.subject").alias("a"), F.col("y.subject").alias("b")).distinct()
-        both = pairs.join(sets.select(F.col("subject").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("subject").alias("b"), F.col("grams").alias("gb")), "b")
-        return both.select("a", "b", (1 - F.size(F.array_intersect("ga", "gb")) / F.size(F.array_union("ga", "gb"))).alias("dist"))
-    common = posts.alias("x").join(posts.alias("y"), "gram").where("x.subject < y.subject").groupBy(F.col("x.subject").alias("a"), F.col("y.subject").alias("b")).agg(F.count("*").alias("c"))
-    sized = common.join(sizes.select(F.col("subject").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("subject").alias("b"), F.col("n").alias("nb")), "b")
-    return sized.select("a", "b", (1 - F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("dist"))
-
-
-def greedy_clusters(sequences: DataFrame, identity: float = IDENTITY) -> DataFrame:
-    """(cluster_id, subject, centroid, identity) of greedy centroid clustering, longest sequences first.
-
-    Connected groups of sequences that share words are independent; each is clustered by itself, in parallel.
+    if not 0 <= within < 1:
+        raise ValueError("within must be at least 0 and below 1")
+    s = 1 - within
+    sets = checkpointed(gram_sets(distinct_sequences(sequences), k))
+    prefix = F.col("n") - F.ceil(F.col("n") * s - 1e-9) + 1
+    posts = sets.select("subject", "n", F.posexplode(F.slice("grams", 1, prefix.cast("int"))).alias("at", "gram"))
+    x, y = (posts.select("gram", *(F.col(c).alias(f"{c}{p}") for c in ("subject", "n", "at"))) for p in "ab")
+    met = x.join(y, "gram").where("subjecta < subjectb").where((F.col("nb") >= s * F.col("na") - 1e-9) & (F.col("na") >= s * F.col("nb") - 1e-9))
+    # what is common can be no more than what follows this gram in either set
+    met = met.groupBy(F.col("subjecta").alias("a"), F.col("subjectb").alias("b")).agg(F.min(F.struct("ata", "atb", "na", "nb")).alias("f"))
+    rest = F.least(F.col("f.na") - F.col("f.ata"), F.col("f.nb") - F.col("f.atb"))
+    met = met.where(rest >= s / (1 + s) * (F.col("f.na") + F.col("f.nb")) - 1e-9).select("a", "b")
+    both = met.join(sets.select(F.col("subject").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("subject").alias("b"), F.col("grams").alias("gb")), "b")
+    common = F.size(F.array_intersect("ga", "gb"))
+    near = both.withColumn("dist", 1 - common / (F.size("ga") + F.size("gb") - common)).where(F.col("dist") <= within + 1e-9)
+    return near.select("a", "b", "dist") if distance is None else pair_scores(near.select("a", "ga", "b", "gb"), distance)
+
+
+def greedy_clusters(sequences: DataFrame, identity: float = IDENTITY, run: int = RUN, share: float = SHARE) -> DataFrame:
+    """(cluster_id, subject, centroid, identity) of greedy centroid clustering.
+
+    Longer sequences come first, then smaller subjects. A sequence joins the earlier centroid with the highest identity, if
+    that is high enough (ties: the earliest), and is a centroid of its own if not. Sequences are held against each other
+    where they share enough of the minimizers of the one that has fewer; equal ones are always in one cluster. Null
+    sequences are in none.
+
+    All pairs with enough identity are found first; who is a centroid then follows from the order in rounds.
     """
-    from partloom.operators.graph import connected_components
-
-    words = sequences.select("subject", F.explode(kgrams(F.lower("sequence"), WORD)).alias("gram"))
-    lead = words.groupBy("gram").agg(F.min("subject").alias("dst"))
-    edges = words.join(lead, "gram").select(F.col("subject").alias("src"), "dst").distinct()
-    groups = connected_components(sequences.select(F.col("subject").alias("id")), edges)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(pdf["subject"], pdf["sequence"]), key=lambda r: (-len(r[1]), r[0]))
-        centroids: list[tuple[str, str]] = []
-        out = []
-        for s, q in rows:
-            best = max(((align(q, c)[0], -k) for k, (_, c) in enumerate(centroids)), default=(0.0, 0))
-            if centroids and best[0] >= identity:
-                out.append((s, centroids[-best[1]][0], best[0]))
-            else:
-                centroids.append((s, q))
-                out.append((s, s, 1.0))
-        return pd.DataFrame(out, columns=["subject", "centroid", "identity"])
-
-    done = sequences.select("subject", F.lower("sequence").alias("sequence")).join(groups.withColumnRenamed("id", "subject"), "subject").groupBy("component").applyInPandas(run, "subject string, centroid string, identity double")
+    distinct = checkpointed(distinct_sequences(sequences))
+    near = checkpointed(identities(candidate_pairs(distinct, run, share=share), distinct, identity))
+    heads = centroids(near)
+    lost = heads.where("not is_centroid").select(F.col("id").alias("later"))
+    to = near.join(lost, "later").join(heads.where("not is_centroid").select(F.col("id").alias("earlier")), "earlier", "left_anti")
+    length = distinct.select(F.col("subject").alias("earlier"), F.length("sequence").alias("length"))
+    # the highest identity, then the earliest in the order
+    joined = to.join(length, "earlier").groupBy("later").agg(F.min_by(F.struct("earlier", "identity"), F.struct(-F.col("identity"), -F.col("length"), "earlier")).alias("x"))
+    own = distinct.select("subject").join(joined, F.col("subject") == F.col("later"), "left").select(F.col("subject").alias("representative"), F.coalesce("x.earlier", "subject").alias("centroid"), F.coalesce("x.identity", F.lit(1.0)).alias("identity"))
+    done = members(sequences, distinct).join(own, "representative")
     return done.select(F.xxhash64("centroid").alias("cluster_id"), "subject", "centroid", "identity")
 
 
-Distance = Callable[[frozenset, frozenset], float]
+def threshold_clusters(sequences: DataFrame, above: int = 500, run: int = RUN) -> DataFrame:
+    """(subject, component): sequences linked by scores above the threshold, and equal ones; the smallest subject's name."""
+    distinct = checkpointed(distinct_sequences(sequences))
+    edges = seed_edges(distinct, above, run).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    found = connected_components(distinct.select(F.col("subject").alias("id")), edges)
+    return members(sequences, distinct).join(found, F.col("representative") == F.col("id")).select("subject", "component")
 
 
-def hierarchical_clusters(sequences: DataFrame, clusters: int, k: int = 3) -> DataFrame:
-    """(cluster, subject): single link merged until so many clusters are left; ids are the smallest subject.
+Distance = Callable[[frozenset, frozenset], float]
 
-    Merging closest clusters is Kruskal's algorithm: pairs by distance, cut before the last merges. Pairs without a
-    common gram have distance 1 and come last, so they are merged in subject order without being listed.
-    """
-    names = [r[0] for r in sequences.select("subject").distinct().orderBy("subject").collect()]  # a clustering sample
-    parent = {n: n for n in names}
-
-    def root(x: str) -> str:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    left = len(names)
-    for r in gram_pairs(sequences, k).orderBy("dist", "a", "b").toLocalIterator():
-        if left <= clusters:
-            break
-        a, b = root(r["a"]), root(r["b"])
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            left -= 1
-    for n in names:
-        if left <= clusters:
-            break
-        a, b = root(names[0]), root(n)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            left -= 1
-    return sequences.sparkSession.createDataFrame([(root(n), n) for n in names], "cluster string, subject string")
+
+def hierarchical_clusters(sequences: DataFrame, clusters: int, k: int = WORD, within: float = 0.5, distance: Distance | None = None) -> DataFrame:
+    """(cluster, subject): single link merged until so many clusters of different sequences are left, or no two clusters
+    have sequences within the bound; ids are the smallest subject. Equal sequences are one for the count."""
+    distinct = checkpointed(distinct_sequences(sequences))
+    found = single_link(distinct.select(F.col("subject").alias("id")), gram_pairs(distinct, k, within, distance), clusters)
+    return members(sequences, distinct).join(found, F.col("representative") == F.col("id")).select("cluster", "subject")
 
 
 def base_frequencies(sequences: DataFrame) -> DataFrame:

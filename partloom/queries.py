@@ -424,10 +424,6 @@ def length_cumulative(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PART_SEQ = "s AS (SELECT 'part/' || p_partkey AS subject, lower(p_name) AS q FROM part)"
-PAIRS = f"""{PART_SEQ}, g AS (SELECT DISTINCT subject, substr(q, i, 3) AS gram FROM (SELECT subject, q, unnest(range(1, length(q) - 1)) AS i FROM s)),
-n AS (SELECT subject, count(*) AS n FROM g GROUP BY subject), c AS (SELECT x.subject AS a, y.subject AS b, count(*) AS c FROM g x JOIN g y USING (gram) WHERE x.subject < y.subject GROUP BY ALL),
-pd AS (SELECT a, b, round(1 - c / (na.n + nb.n - c), 6) AS dist FROM c JOIN n na ON na.subject = a JOIN n nb ON nb.subject = b)"""
-
 
 def _part_sequences(spark: SparkSession, sf: str) -> DataFrame:
     return D.table(spark, sf, "part").select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("subject"), F.lower("p_name").alias("sequence"))
@@ -438,26 +434,45 @@ def kgram_sets(spark: SparkSession, sf: str) -> DataFrame:
     return _part_sequences(spark, sf).select("subject", F.size(kgrams(F.col("sequence"), 3)).alias("n"))
 
 
-def _few(spark: SparkSession, sf: str) -> DataFrame:
-    return D.table(spark, sf, "supplier").select(F.concat(F.lit("s/"), F.col("s_suppkey").cast("string")).alias("subject"), F.concat_ws(" ", F.lower("s_name"), F.round("s_acctbal", 0).cast("int").cast("string")).alias("sequence"))
+WITHIN = 0.5
+NEAR = f"""{SEQ}, u AS (SELECT min(subject) AS subject, q FROM s WHERE q IS NOT NULL GROUP BY q),
+g AS (SELECT DISTINCT subject, substr(q, i, 8) AS gram FROM (SELECT subject, q, unnest(range(1, length(q) - 6)) AS i FROM u)),
+n AS (SELECT subject, count(*) AS n FROM g GROUP BY subject), c AS (SELECT x.subject AS a, y.subject AS b, count(*) AS c FROM g x JOIN g y USING (gram) WHERE x.subject < y.subject GROUP BY ALL),
+pd AS (SELECT a, b, round(1 - c / (na.n + nb.n - c), 6) AS dist FROM c JOIN n na ON na.subject = a JOIN n nb ON nb.subject = b WHERE 1 - c / (na.n + nb.n - c) <= {WITHIN})"""
 
 
-FEW = PAIRS.replace(PART_SEQ, "s AS (SELECT 's/' || s_suppkey AS subject, lower(s_name) || ' ' || CAST(round(s_acctbal, 0) AS INTEGER) AS q FROM supplier)")
+def _near(spark: SparkSession, sf: str) -> DataFrame:
+    return sequences.gram_pairs(D.sequences(spark, sf), 8, WITHIN).select("a", "b", F.round("dist", 6).alias("dist"))
 
 
-@register("kgram_jaccard_pairs", f"WITH {FEW} SELECT a, b, dist FROM pd")
+@register("kgram_jaccard_pairs", f"WITH {NEAR} SELECT a, b, dist FROM pd")
 def kgram_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return sequences.gram_pairs(_few(spark, sf)).select("a", "b", F.round("dist", 6).alias("dist"))
+    """All pairs of different sequences within distance 0.5 by their words of eight letters."""
+    return _near(spark, sf)
 
 
-@register("distance_ecdf", f"WITH {FEW} SELECT dist AS value, round((SELECT count(*) FROM pd p WHERE p.dist <= x.dist) / (SELECT count(*) FROM pd)::DOUBLE, 6) AS y FROM (SELECT DISTINCT dist FROM pd) x")
+@register("distance_ecdf", f"WITH {NEAR} SELECT dist AS value, round((SELECT count(*) FROM pd p WHERE p.dist <= x.dist) / (SELECT count(*) FROM pd)::DOUBLE, 6) AS y FROM (SELECT DISTINCT dist FROM pd) x")
 def distance_ecdf(spark: SparkSession, sf: str) -> DataFrame:
-    return sequences.ecdf(sequences.gram_pairs(_few(spark, sf)).select(F.round("dist", 6).alias("dist")), "dist").select("value", F.round("y", 6).alias("y"))
+    return sequences.ecdf(_near(spark, sf), "dist").select("value", F.round("y", 6).alias("y"))
 
 
-@register("hierarchical_single_link")
+@register("hierarchical_single_link", f"""WITH RECURSIVE {NEAR}, e AS (SELECT a, b FROM pd UNION ALL SELECT b, a FROM pd),
+r AS (SELECT subject AS id, subject AS m FROM u UNION SELECT e.b, r.m FROM r JOIN e ON r.id = e.a),
+k AS (SELECT id, min(m) AS cluster FROM r GROUP BY id)
+SELECT cluster, s.subject FROM s JOIN u USING (q) JOIN k ON k.id = u.subject""")
 def hierarchical_single_link(spark: SparkSession, sf: str) -> DataFrame:
-    return sequences.hierarchical_clusters(_few(spark, sf), 10)
+    """Single link as far as the bound goes: one cluster is asked for, and pairs beyond the bound don't merge."""
+    return sequences.hierarchical_clusters(D.sequences(spark, sf), 1, 8, WITHIN)
+
+
+@register("sequence_seed_edges")
+def sequence_seed_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return sequences.seed_edges(D.sequences(spark, sf))
+
+
+@register("sequence_threshold_clusters")
+def sequence_threshold_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return sequences.threshold_clusters(D.sequences(spark, sf))
 
 
 @register("sequence_exact_search", f"WITH {SEQ} SELECT subject FROM s WHERE q = (SELECT q FROM s WHERE doc_id = 1)")
@@ -479,8 +494,7 @@ def sequence_global_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("greedy_centroid_clusters")
 def greedy_centroid_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    seqs = D.table(spark, sf, "supplier").select(F.concat(F.lit("s/"), F.col("s_suppkey").cast("string")).alias("subject"), F.regexp_replace(F.lower(F.sha2(F.col("s_suppkey").cast("string"), 256)), "[^acd]", "").alias("sequence"))
-    return sequences.greedy_clusters(seqs)
+    return sequences.greedy_clusters(D.sequences(spark, sf))
 
 
 def _uc(spark: SparkSession, sf: str) -> DataFrame:

@@ -69,6 +69,15 @@ def test_definitions_of_identity():
     assert identity_of(ops, "gattaca", "ccgattaca", 1) == 7 / 9 and identity_of(ops, "gattaca", "ccgattaca", 2) == 1.0
 
 
+def test_identity_in_rows_is_that_of_the_alignment():
+    for seed in range(6):
+        base, others = related(seed, n=25, size=60)
+        for s in others:
+            for a, b in ((base, s), (s, base)):
+                assert alignment.identity(a, b) == identity_of(alignment.align(a, b), a, b)
+    assert alignment.identity("", "gat") == alignment.identity("gat", "") == 0.0
+
+
 def by_hand(rows, q, identity, most, definition, rejects):
     own = {q[i : i + 8] for i in range(len(q) - 7)}
     found = []

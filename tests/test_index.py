@@ -44,13 +44,12 @@ def test_same_scores_as_without_an_index(spark, tmp_path, terms):
 
 
 def test_rows_of_many_files_in_one_batch(spark, tmp_path):
-    docs = documents(spark, [(f"s/{i}", f"name{i % 5}", "gfp " * (i % 3)) for i in range(200)]).repartition(40)
-    store = store_of(spark, tmp_path / "i", docs)
-    one = store.rows().coalesce(1)
-    lists = store.text.postings(one).where("term is not null").collect()
+    docs = documents(spark, [(f"s/{i}", f"name{i % 5}", "gfp " * (i % 3)) for i in range(200)]).repartition(40).withColumn("_row", F.monotonically_increasing_id())
+    docs.write.parquet(str(tmp_path / "rows"))
+    one = spark.read.parquet(str(tmp_path / "rows")).coalesce(1)
+    lists = TextTables().postings(one).where("term is not null").collect()
     numbers = {r["_row"] for r in one.collect()}
     assert {r["base"] + r["data"][i] for r in lists for i in range(0, len(r["data"]), 3)} == numbers and len({n >> 33 for n in numbers}) > 1
-    assert scored(store.index().bm25(None, ["gfp", "name3"])) == scored(search.bm25(docs, ["gfp", "name3"]))
 
 
 def test_same_results_on_the_whole_table(spark, data, tmp_path):
