@@ -15,16 +15,19 @@ from pyspark.sql import functions as F
 from partloom.operators import search as S
 from partloom.operators import sequences as Q
 from partloom.operators.postings import TextIndex
+from partloom.plans.criteria import Criteria, parse_criteria, with_criteria
 from partloom.session import Options
 from partloom.sources.readers import read_fasta
 
 _FROM = re.compile(r"FROM\s*<([^>]*)>")
-_KEYWORD = re.compile(r"CONTAINS\(lcase\(\?displayId\),\s*lcase\('([^']*)'\)\)")
+#: A keyword, asked for in the display id or another text of a part; it becomes a term of the text search.
+_KEYWORD = re.compile(r"CONTAINS\(\s*lcase\(\s*\?(?:displayId|name|description)\s*\)\s*,\s*lcase\(\s*'([^']*)'\s*\)\s*\)", re.I)
 # fixed values: how a hub writes flags, and the settings of a search that it may change
 _FLAG = re.compile(r"# flag_([\w.]*): (\S*)")
 SEARCH_FLAGS = {"maxaccepts": "50", "id": "0.8", "iddef": "2", "maxrejects": "0", "maxseqlength": "5000", "minseqlength": "20"}
 ROUTE_FLAGS = ("file_search", "search_exact")
-_SEQUENCE = re.compile(r"\?seq\w*\s+\S*elements\s+\"([A-Za-z*.-]+)\"")
+_SEQUENCE = re.compile(r"\?seq\w*\s+\S*elements\s+\"([A-Za-z*.-]+)\"\s*\.?")
+_SEQUENCE_OF = re.compile(r"\?subject\s+\S*sequence>?\s+\?seq\w*\s*\.?")
 
 
 @dataclass(frozen=True)
@@ -54,7 +57,7 @@ class SearchFlags:
 class Request:
     keywords: str = ""
     graphs: tuple[str, ...] = ()
-    criteria: tuple[tuple[str, str], ...] = ()
+    criteria: Criteria = Criteria()
     offset: int = 0
     limit: int = 50
     sequence: str | None = None
@@ -81,18 +84,24 @@ class Request:
 
 
 def parse(text: str, default_graph: str = "public", limit: int = 50) -> Request:
-    """Read what a hub sends. Without LIMIT the default page, without OFFSET 0; keywords are joined by a space."""
+    """Read what a hub sends. Without LIMIT the default page, without OFFSET 0; keywords are joined by a space. ValueError for
+    criteria that are not understood."""
     body = text[text.find("{") + 1 : text.rfind("}")] if "{" in text else text
-    triples = re.findall(r"\?subject\s+(\S+)\s+<([^>]+)>", body)
+    related = re.compile(r"\b(?:SIMILAR|USES|TWINS)\b\s*\(?\s*<[^>]+>\s*\)?\s*\.?")
+    sequence = _SEQUENCE.search(body)
+    asked = related.sub(" ", body)
+    for form in (_SEQUENCE, _SEQUENCE_OF):
+        asked = form.sub(" ", asked)
+    prefixes = dict(re.findall(r"PREFIX\s+([\w-]*):\s*<([^>]*)>", text, re.I))
     number = lambda word, default: int(m[1]) if (m := re.search(rf"\b{word}\s+(\d+)", text)) else default
     one = lambda word: m[1] if (m := re.search(rf"\b{word}\b\s*\(?\s*<([^>]+)>", body)) else None
     return Request(
-        keywords=" ".join(_KEYWORD.findall(body)).strip(),
+        keywords=" ".join(dict.fromkeys(_KEYWORD.findall(body))).strip(),
         graphs=tuple(dict.fromkeys(_FROM.findall(text))) or (default_graph,),
-        criteria=tuple((p.strip("<>"), o) for p, o in triples if p.strip("<>") not in ("SIMILAR", "USES", "TWINS")),
+        criteria=parse_criteria(asked, prefixes, _KEYWORD),
         offset=number("OFFSET", 0),
         limit=number("LIMIT", limit),
-        sequence=m[1] if (m := _SEQUENCE.search(body)) else None,
+        sequence=sequence[1] if sequence else None,
         flags={k: v for k, v in _FLAG.findall(text)},
         similar_to=one("SIMILAR"),
         uses=one("USES"),
@@ -167,9 +176,7 @@ class Engine:
         if r.path == "keywords":
             hits = S.search_text(self.documents, self._terms(words), mode, cap, scorer=self._scorer)
         else:
-            from partloom.operators.graph import with_criteria
-
-            allowed = with_criteria(self.documents.select(F.col("subject").alias("s")), self.quads, list(r.criteria)).select(F.col("s").alias("subject"))
+            allowed = with_criteria(self.documents.select("subject"), self.quads, r.criteria)
             hits = S.search_allowed(self.documents, self._terms(words), allowed, mode, cap, self._scorer) if words else S.allowed_only(self.documents, allowed, cap)
         return self._page(S.demote(S.acl(hits, graphs), self.clusters), r)
 
