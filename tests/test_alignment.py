@@ -39,7 +39,7 @@ def plain_local(a, b, w):
     return best
 
 
-@pytest.mark.parametrize("cells", [500, 1 << 17])
+@pytest.mark.parametrize("cells", [500, 1 << 15])
 def test_local_scores(monkeypatch, cells):
     monkeypatch.setattr(alignment, "DIAGONAL_CELLS", cells)
     base, others = related(n=25)
@@ -78,6 +78,19 @@ def test_identity_in_rows_is_that_of_the_alignment():
     assert alignment.identity("", "gat") == alignment.identity("gat", "") == 0.0
 
 
+@pytest.mark.parametrize("cells", [300, 1 << 15])
+def test_identities_of_many_at_once(monkeypatch, cells):
+    monkeypatch.setattr(alignment, "DIAGONAL_CELLS", cells)
+    for seed in range(4):
+        base, others = related(seed, n=30, size=70)
+        others += ["g", "", base * 3]
+        assert alignment.identities(base.encode(), [s.encode() for s in others]).tolist() == [alignment.identity(base, s) for s in others]
+    assert alignment.identities(b"g", [b"g", b"a", b"gg"]).tolist() == [alignment.identity("g", x) for x in ("g", "a", "gg")]
+    assert alignment.identities(b"", [b"g"]).tolist() == [0.0]
+    monkeypatch.setattr(alignment, "LONGEST", 100)
+    assert alignment.identities(base.encode(), [others[0].encode(), b"gat"]).tolist() == [1.0, alignment.identity(base, "gat")]
+
+
 def by_hand(rows, q, identity, most, definition, rejects):
     own = {q[i : i + 8] for i in range(len(q) - 7)}
     found = []
