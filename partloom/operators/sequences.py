@@ -17,6 +17,7 @@ from partloom.operators.alignment import WORD
 from partloom.operators.graph import checkpointed, connected_components
 from partloom.operators.linkage import centroids, single_link
 from partloom.operators.seeds import RUN, candidate_pairs, distinct_sequences, identities, members, seed_edges
+from partloom.session import spread
 
 # fixed values: defaults of the global search
 MAX_ACCEPTS, IDENTITY, MIN_LENGTH, MAX_LENGTH = 50, 0.8, 20, 5000
@@ -52,7 +53,7 @@ def global_search(
     q = query.lower()
     if len(q) < WORD or not shortest <= len(q) <= longest:
         return sequences.limit(0).select("subject", F.lit(0.0).alias("pct_id"), F.lit("").alias("cigar"))
-    near = sequences.where(F.length("sequence").between(shortest, longest)).select("subject", "sequence")
+    near = spread(sequences.where(F.length("sequence").between(shortest, longest)).select("subject", "sequence"))
     run = lambda prune: lambda batches: alignment.matches(q, batches, identity, definition, 1, prune)
     if not rejects:
         good = near.mapInArrow(run(True), alignment.MATCHES).where(F.col("pct_id") >= 100 * identity).select("subject", "pct_id", "cigar")

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass, replace
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -35,6 +35,13 @@ def shared_folder(spark: SparkSession, name: str = "") -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *by: Column | str) -> DataFrame:
+    """df dealt to all cores before a step that costs far more than moving its rows; a few bytes can be hours of work, so
+    the number of partitions is not left to their size."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *by)
+
+
 @dataclass(frozen=True)
 class Options:
     """Validated settings of the engine; numbers may come as strings."""
