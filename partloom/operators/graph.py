@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from partloom.session import shared_folder
@@ -74,18 +74,23 @@ def out_degrees(nodes: DataFrame, edges: DataFrame, multi: bool = False) -> Data
     return nodes.join(e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree")), "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float | None = 1e-4, iterations: int | None = None, static_dangling: bool = False, multi: bool = False, most: int = 200) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float | None = 1e-4, iterations: int | None = None, static_dangling: bool = False, multi: bool = False, most: int = 200, dropped: Observation | None = None) -> DataFrame:
     """(id, rank). Stops when the L1 change is at most tolerance, or after so many iterations.
 
-    Raises RuntimeError where it has not settled after `most` passes. Edges (src, dst) with unknown ends are dropped. No nodes give no rows. static_dangling keeps the first pass's dangling
-    share; multi lets repeated edges count.
+    Raises RuntimeError where it has not settled after `most` passes. Edges (src, dst) with unknown ends are dropped, and
+    counted on the way (edges, dropped) where there is an observation. No nodes give no rows. static_dangling keeps the
+    first pass's dangling share; multi lets repeated edges count.
     """
     nodes = nodes.select("id").distinct().cache()
     n = nodes.count()
     if n == 0:
         return nodes.select("id", F.lit(0.0).alias("rank"))
-    known = edges.select("src", "dst").join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
-    known = known if multi else known.distinct()
+    end = lambda c: nodes.select(F.col("id").alias(c), F.lit(True).alias(f"_{c}"))
+    each = edges.select("src", "dst").join(end("src"), "src", "left").join(end("dst"), "dst", "left").withColumn("_known", F.col("_src").isNotNull() & F.col("_dst").isNotNull())
+    if dropped is not None:
+        each = each.observe(dropped, F.count(F.lit(1)).alias("edges"), F.count_if(~F.col("_known")).alias("dropped"))
+    known = each.where("_known").select("src", "dst")
+    known = checkpointed(known if multi else known.distinct())
     degree = known.groupBy("src").agg(F.count("*").alias("degree"))
     # shares of each edge do not change: keep them partitioned by source
     weighted = known.join(degree, "src").select("src", "dst", (1.0 / F.col("degree")).alias("w")).repartition("src").cache()

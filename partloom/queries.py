@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -157,6 +158,42 @@ def _engine(spark: SparkSession, sf: str, store: IndexStore | None = None, **tab
     return Engine(docs, D.parts(spark, sf), **(empty | tables), index=store.index() if store else None)
 
 
+def _statements(spark: SparkSession, sf: str) -> DataFrame:
+    """Role, language and first line of every part, and the other way round its source."""
+    p = D.parts(spark, sf)
+    own = F.array(*(F.struct(F.lit(k).alias("p"), F.col(c).alias("o")) for k, c in (("role", "role"), ("lang", "type"), ("title", "name"))))
+    out = p.select(F.lit("public").alias("g"), F.col("subject").alias("s"), F.explode(own).alias("x")).select("g", "s", "x.p", "x.o").where("o is not null")
+    return out.union(p.select(F.lit("public"), F.col("graph"), F.lit("member"), F.col("subject"))).union(p.select(F.lit("public"), "graph", F.lit("kind"), F.when(F.endswith("graph", F.lit("1")), F.lit("first")).otherwise(F.lit("other"))).distinct())
+
+
+@register("route_criteria", f"""WITH {DOCS} SELECT subject, round(ln(1 + pagerank) / (CASE WHEN type LIKE '%Sequence%' THEN 10 ELSE 1 END), 6) AS order_by FROM d
+WHERE type = 'fr' AND graph LIKE '%1' AND contains(lower(name), 'e') AND NOT starts_with(subject, 'doc/9')
+QUALIFY row_number() OVER (ORDER BY round(ln(1 + pagerank), 6) DESC, subject) <= 10000 ORDER BY 2 DESC, 1 LIMIT 100""")
+def route_criteria(spark: SparkSession, sf: str) -> DataFrame:
+    """Literal, path, reversed pattern and filters."""
+    text = """SELECT ?subject FROM <a> WHERE { ?subject a ?type . ?subject lang 'fr' ; title ?t . ?set member ?subject . ?set kind "first" .
+    FILTER (CONTAINS(lcase(?t), lcase('E'))) FILTER regex(?subject, '^doc/[^9]') } LIMIT 100"""
+    engine = _engine(spark, sf, quads=_statements(spark, sf))
+    found = engine.search(replace(parse(text), graphs=tuple(f"src{i}" for i in range(20))))
+    return found.select("subject", F.round("order_by", 6).alias("order_by"))
+
+
+@register("route_similar", f"WITH {DOCS} SELECT subject, round(CASE WHEN type LIKE '%Sequence%' THEN pagerank / 10 ELSE pagerank END, 6) AS order_by FROM d WHERE doc_id % 50 = 3 AND doc_id <> 3 AND graph IN ('src1', 'src2', 'src3', 'src4') ORDER BY 2 DESC, 1 LIMIT 50")
+def route_similar(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _docs(spark, sf)
+    engine = _engine(spark, sf, clusters=docs.select("subject", (F.col("doc_id") % 50).alias("cluster_id")), ranks=docs.select("subject", "pagerank"))
+    return engine.search(parse("SELECT ?subject FROM <src1> FROM <src2> FROM <src3> FROM <src4> WHERE { SIMILAR <doc/3> }")).select("subject", F.round("order_by", 6).alias("order_by"))
+
+
+@register("route_twins", f"WITH {DOCS}, s AS (SELECT doc_id, regexp_replace(lower(text), '[^gatc]', '', 'g') AS q FROM documents), x AS (SELECT doc_id, q FROM s WHERE q <> '' QUALIFY count(*) OVER (PARTITION BY q) > 1 ORDER BY 'doc/' || doc_id LIMIT 1) SELECT subject FROM d WHERE doc_id IN (SELECT s.doc_id FROM s JOIN x USING (q) WHERE s.doc_id <> x.doc_id) ORDER BY CASE WHEN type LIKE '%Sequence%' THEN 0.1 ELSE 1 END DESC, subject LIMIT 50")
+def route_twins(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts with the sequence of the first part that has twins."""
+    s = D.sequences(spark, sf)
+    first = s.where("sequence <> ''").groupBy("sequence").agg(F.min("subject").alias("m"), F.count("*").alias("n")).where("n > 1").agg(F.min("m")).first()[0]
+    engine = _engine(spark, sf, sequences=s)
+    return engine.search(replace(parse(f"SELECT ?subject WHERE {{ TWINS <{first}> }}"), graphs=tuple(f"src{i}" for i in range(20)))).select("subject")
+
+
 @register("fuzzy_text_search", f"WITH {DOCS}, {_fuzzy_sql(FUZZY, search.FIELDS)} SELECT subject, round(q * q * ln(1 + pagerank), 6) AS score FROM q JOIN d USING (subject) ORDER BY score DESC, subject LIMIT 10000")
 def fuzzy_text_search(spark: SparkSession, sf: str) -> DataFrame:
     docs = _docs(spark, sf)

@@ -147,12 +147,19 @@ class IndexStore:
                 segment[part] = self._write(df, part, by)
         return segment
 
-    def publish(self, rows: DataFrame) -> int:
-        """A new base; readers see the old state until it is complete. Returns the number of the commit."""
+    def publish(self, rows: DataFrame, **tables: DataFrame) -> int:
+        """A new base, with other tables that belong to it; readers see the old state until all is complete. Returns the
+        number of the commit."""
         number = self.head()[0] + 1
-        self._commit(number, [self._segment(number, rows, None, None)])
+        segment = self._segment(number, rows, None, None)
+        segment["tables"] = {name: self._write(df, "tables") for name, df in tables.items()}
+        self._commit(number, [segment])
         return number
 
+    def table(self, name: str) -> DataFrame:
+        """A table published with the base."""
+        return self._stored(self.head()[1][0]["tables"][name])
+
     def change(self, add: DataFrame | None = None, remove: DataFrame | None = None) -> int:
         """One commit that removes the keys of remove and puts the rows of add in the place of any of their keys.
 
@@ -177,4 +184,6 @@ class IndexStore:
     def compact(self, most: int = 0) -> int:
         """A new base of the live rows, if there are more than so many changes. Returns the number of the last commit."""
         number, segments = self.head()
-        return self.publish(self.rows(segments)) if len(segments) > most + 1 else number
+        if len(segments) <= most + 1:
+            return number
+        return self.publish(self.rows(segments), **{name: self._stored(at) for name, at in segments[0].get("tables", {}).items()})

@@ -41,10 +41,19 @@ def refresh(index: DataFrame, parts: DataFrame, subject: str, ranks: DataFrame,
     return rest.unionByName(add_keywords(add_rank(found, ranks)).select(*index.columns))
 
 
-def stream_changes(changes: DataFrame, store: IndexStore, ranks: DataFrame, checkpoint: str) -> DataStreamWriter:
-    """A stream of changes into the store; each batch publishes one new version, readers never see half of one."""
+def change_store(store: IndexStore, changes: DataFrame, ranks: DataFrame) -> int:
+    """apply_changes() as one commit of the store: writes the rows and keys of the batch and nothing else. The same batch
+    twice leaves the same state."""
+    adds = latest(changes.where("op = 'add'"), "subject", ["seq"]).select("part.*")
+    return store.change(add=add_keywords(add_rank(adds, ranks)).select(*store.current().columns), remove=changes)
+
+
+def stream_changes(changes: DataFrame, store: IndexStore, ranks: DataFrame, checkpoint: str, compact_after: int = 16) -> DataStreamWriter:
+    """A stream of changes into the store; each batch is one commit, readers never see half of one. After so many changes
+    they are put together with the base."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        store.publish(apply_changes(store.current(), rows, ranks))
+        change_store(store, rows, ranks)
+        store.compact(compact_after)
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

@@ -278,7 +278,38 @@ def test_rebuild(spark, tmp_path):
     store = IndexStore(spark, str(tmp_path / "index"))
     optional = {"displayId": "displayId", "version": "version", "name": "title", "description": "description", "role": "role", "sboltype": "biotype"}
     terms = spark.createDataFrame([], readers.TERMS)
-    got = rebuild(q, optional, spark.createDataFrame([], "subject string, sequence string"), terms, store)
-    assert got["skipped"] == 0 and got["clusters"] is None
+    got = rebuild(q, optional, terms, store)
+    assert got == {"parts": 2, "skipped": 0, "edges": 3, "dropped": 0, "commit": 0}
     rows = {r["subject"]: r for r in store.current().collect()}
     assert set(rows) == {"a", "b"} and rows["a"]["keywords"] == "A 1" and abs(sum(r["pagerank"] for r in rows.values()) - 1) < 1e-9
+    assert store.table("ranks").count() == 2 and {r["step"] for r in store.table("stamps").collect()} == {"ranks", "index"}
+
+
+def test_rebuild_with_clusters_from_the_statements(spark, tmp_path):
+    base = "gattacacctgattgcatgcaatcggatctagctagcatcgatcagctacgatcagcatcagcat" * 2
+    rows = [("a", "type", "ComponentDefinition"), ("b", "type", "ComponentDefinition"), ("c" * 600, "type", "ComponentDefinition")]
+    rows += [(s, "topLevel", s) for s, _, _ in rows[:3]]
+    rows += [(s, "sequence", f"q{s[0]}") for s in ("a", "b")] + [(f"q{s}", "type", "Sequence") for s in "ab"] + [("qa", "elements", base), ("qb", "elements", base[:100] + "g" + base[101:])]
+    q = spark.createDataFrame([("g", *r, "uri") for r in rows], readers.QUADS)
+    optional = {"displayId": "displayId", "version": "version", "name": "title", "description": "description", "role": "role", "sboltype": "biotype"}
+    store = IndexStore(spark, str(tmp_path / "index"))
+    terms = spark.createDataFrame([], readers.TERMS)
+    got = rebuild(q, optional, terms, store, skip_clustering=False)
+    assert (got["parts"], got["skipped"]) == (3, 1) and store.current().count() == 2
+    clusters = {r["subject"]: r["cluster_id"] for r in store.table("clusters").collect()}
+    assert set(clusters) == {"a", "b"} and len(set(clusters.values())) == 1
+    made = []
+    memo = Memo(lambda: made.append(1) or engine(spark), version=lambda: store.head()[0])
+    first = memo.search(HUB % "")
+    assert memo.search(HUB % "") is first and len(made) == 1
+    rebuild(q, optional, terms, store)
+    assert memo.search(HUB % "") is not first and len(made) == 2
+
+
+def test_edges_that_are_dropped_are_counted(spark):
+    from pyspark.sql import Observation
+
+    seen = Observation("e")
+    nodes = spark.createDataFrame([("a",), ("b",)], "id string")
+    graph.pagerank(nodes, spark.createDataFrame([("a", "b"), ("a", "x"), ("y", "z")], "src string, dst string"), iterations=1, dropped=seen)
+    assert seen.get == {"edges": 3, "dropped": 2}
