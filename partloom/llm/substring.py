@@ -12,12 +12,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import GRAM_ROLLER, free_name, mix
+from partloom.llm.common import GRAM_ROLLER, SPAN_ROLLER, free_name, mix
 from partloom.llm.segments import Units, remove_spans, repeated_spans
 
 WINDOW, SEED = 50, 8
 #: So many units are compared at once, in all places of a seed.
 MOST = 256
+#: Places that are compared at once.
+PLACES = 1 << 15
 
 
 class Index:
@@ -28,7 +30,7 @@ class Index:
     """
 
     def __init__(self, codes: np.ndarray, first: np.ndarray, h: np.ndarray, doc: np.ndarray, u: Units):
-        self.u, m = u, len(doc)
+        self.u, m, self.hashes = u, len(doc), None
         block = np.repeat(np.arange(m), np.diff(first))
         pad = MOST + u.k + 1  # so that comparing never leaves the text
         self.begin, self.end = first[:-1] + np.arange(m) + pad, first[1:] + np.arange(m) + pad
@@ -66,8 +68,8 @@ class Index:
         """Length of the longest match of the text at place p with blocks of smaller documents."""
         places, best, tries = self.places(p), 0, 0
         while len(places):
-            if tries == 24:  # many that differ early: all at once
-                return max(best, int(self.match(p, places, 1).max()))
+            if tries == 24:  # many: all at once
+                return max(best, self._longest_of_many(p, places))
             near, places, tries = int(places[-1]), places[:-1], tries + 1
             done, step = 0, 32
             while (same := self.text[near + done : near + done + step] == self.text[p + done : p + done + step]).all():
@@ -76,7 +78,30 @@ class Index:
             places = places[self.text[places + best] == self.text[p + best]]  # others can't be longer
         return best
 
+    def _longest_of_many(self, p: int, places: np.ndarray) -> int:
+        """The same for many places: lengths by halving over hashes of spans, which are never too short, and the longest
+        compared unit by unit. However long matches are, a place costs a logarithm of that."""
+        if self.hashes is None:
+            self.hashes = SPAN_ROLLER.prefix(mix(self.text.view(np.uint64)))
+        low, high = np.zeros(len(places), np.int64), np.minimum(len(self.text) - places, len(self.text) - p)
+        while (open_ := np.flatnonzero(low < high)).size:
+            half = (low[open_] + high[open_] + 1) // 2
+            same = SPAN_ROLLER.spans(self.hashes, places[open_], places[open_] + half) == SPAN_ROLLER.spans(self.hashes, p + half * 0, p + half)
+            low[open_], high[open_] = np.where(same, half, low[open_]), np.where(same, high[open_], half - 1)
+        for k in np.argsort(-low, kind="stable"):
+            n, at = int(low[k]), int(places[k])
+            if (self.text[at : at + n] == self.text[p : p + n]).all():
+                return n
+            low[k] = int(self.match(p, places[k : k + 1], 1)[0])  # two spans of one hash
+            if low[k] >= low.max():
+                return int(low[k])
+        return int(low.max())
+
     def match(self, p: int, places: np.ndarray, way: int, most: int | None = None) -> np.ndarray:
+        """As _match, for a bounded number of places at once."""
+        return np.concatenate([self._match(p, places[i : i + PLACES], way, most) for i in range(0, max(len(places), 1), PLACES)])
+
+    def _match(self, p: int, places: np.ndarray, way: int, most: int | None = None) -> np.ndarray:
         """How many units from p and from each of the places on are the same, to the right (way 1) or the left (-1). Where
         most is given and as many are, there may be more."""
         out, live, done, step = np.zeros(len(places), np.int64), np.arange(len(places)), 0, 16
@@ -106,7 +131,8 @@ class Index:
         right = self.match(p, places, 1, w)
         left = self.match(p - 1, places - 1, -1, w)
         good = (right >= self.u.k) & (left + right >= w)
-        return [(p - int(x), p + int(y)) for x, y in set(zip(left[good].tolist(), right[good].tolist()))]
+        pairs = np.unique(left[good] << 32 | right[good]).tolist()
+        return [(p - (x >> 32), p + (x & 0xFFFFFFFF)) for x in pairs]
 
 
 def search(u: Units):
