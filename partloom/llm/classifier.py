@@ -23,7 +23,7 @@ FOLDS, HELD_OUT_FOLD, CUT = 5, 0, 0.3
 
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One row of numbers for each text: sizes, shares of byte classes, repetition. An empty text gives zeros."""
-    s = stats(data, offsets)
+    s = stats(data, offsets, distinct=True)
     words, size, lines = np.maximum(s["n_words"], 1), np.maximum(s["n_bytes"], 1), np.maximum(s["n_lines"], 1)
     shares = s["kinds"] / size[:, None]
     letters = np.maximum(s["kinds"][:, 3] + s["kinds"][:, 4], 1)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import BYTE_CODES, GRAM_ROLLER, SPAN_ROLLER, chunks, mix, rows_for_broadcast, small_batches, word_bounds, word_hashes
+from partloom.llm.common import IS_SPACE, chunks, rows_for_broadcast, small_batches, word_bounds
 
 BUCKETS = 1 << 16
 #: A text is kept when its mean log-likelihood ratio (nats a trigram) is at least this.
@@ -51,8 +51,9 @@ def _per_row(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Integer statistics of each row of a chunk."""
+def stats(data: np.ndarray, offsets: np.ndarray, distinct: bool = False) -> dict[str, np.ndarray]:
+    """Integer statistics of each row of a chunk; equal lines, words and windows are told by their bytes. distinct: the
+    number of different words too."""
     n = len(offsets) - 1
     row_of = np.repeat(np.arange(n), np.diff(offsets))
     kinds = np.bincount(row_of * 16 + CLASSES[data], minlength=16 * n).reshape(n, 16)
@@ -66,7 +67,7 @@ def stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     line_end = np.sort(np.concatenate([breaks, offsets[1:]]))
     line_row = np.repeat(np.arange(n), kinds[:, 2] + 1)
     has_word = np.searchsorted(starts, line_start) < np.searchsorted(starts, line_end)
-    key = SPAN_ROLLER.spans(SPAN_ROLLER.prefix(BYTE_CODES[data]), line_start[has_word], line_end[has_word])
+    key = numbered(data[data != 10], line_end - line_start)[has_word]
     rows = line_row[has_word]
     order = np.lexsort((key, rows))
     key, rows = key[order], rows[order]
@@ -75,13 +76,15 @@ def stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     out["n_dup_lines"] = np.bincount(rows[again], minlength=n)
 
     # words in windows that come twice or more in one text
-    hashes = word_hashes(data, starts, ends)
+    solid = np.ones(len(data), bool)
+    solid[IS_SPACE[data]] = False
+    words = numbered(data[solid], ends - starts)
     word_row = np.repeat(np.arange(n), out["n_words"])
-    repeated = np.zeros(len(hashes) + 1, np.int64)
-    if len(hashes) >= REPEAT_WINDOW:
-        grams = GRAM_ROLLER.grams(GRAM_ROLLER.prefix(hashes), REPEAT_WINDOW)
+    repeated = np.zeros(len(words) + 1, np.int64)
+    if len(words) >= REPEAT_WINDOW:
+        grams = windows(words, REPEAT_WINDOW)
         whole = np.flatnonzero(word_row[: len(grams)] == word_row[REPEAT_WINDOW - 1 :])
-        key = mix(grams[whole] ^ mix(word_row[whole].astype(np.uint64) + np.uint64(1)))
+        key = word_row[whole] * (int(grams.max()) + 1) + grams[whole]
         ordered = np.sort(key)
         twice = ordered[1:][ordered[1:] == ordered[:-1]]
         if len(twice):
@@ -91,18 +94,36 @@ def stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
             np.add.at(repeated, hit + REPEAT_WINDOW, -1)
     covered = np.cumsum(repeated)[:-1] > 0
     out["n_repeat_words"] = _per_row(covered, first)
-    out["n_distinct_words"] = _distinct(hashes, word_row, n)
+    if distinct:
+        pairs = np.sort(word_row * (len(words) + 1) + words)
+        out["n_distinct_words"] = np.bincount(pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]] // (len(words) + 1), minlength=n)
     return out
 
 
-def _distinct(hashes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """How many different words (by hash) each row has."""
-    if not len(hashes):
-        return np.zeros(n, np.int64)
-    low = np.argsort(hashes, kind="stable")
-    order = low[np.argsort(rows[low].astype(np.uint32), kind="stable")]
-    h, r = hashes[order], rows[order]
-    return np.bincount(r[np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1]))], minlength=n)
+def numbered(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A number for each of the byte strings that make up data, the same for equal strings and for no others."""
+    bounds = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=bounds[1:])
+    strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data.tobytes())])
+    return strings.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def windows(numbers: np.ndarray, k: int) -> np.ndarray:
+    """A number for every k consecutive numbers, the same for equal windows and for no others: pairs are numbered anew."""
+
+    def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a * (int(b.max()) + 1) + b
+        order = np.argsort(key)
+        new = np.append(False, key[order][1:] != key[order][:-1])
+        out = np.empty(len(key), np.int64)
+        out[order] = np.cumsum(new)
+        return out
+
+    have, size = numbers, 1
+    while size < k:  # windows may overlap: two of the size so far, the second moved by what is missing
+        step = min(size, k - size)
+        have, size = pairs(have[: len(have) - step], have[step:]), size + step
+    return have
 
 
 def trigram_buckets(data: np.ndarray) -> np.ndarray:
