@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import ARROW_ROWS, GRAM_ROLLER, by_place, chunks, discard, materialise, mix, rows_for_broadcast, small_batches, word_bounds, word_hashes
+from partloom.llm.common import ARROW_ROWS, GRAM_ROLLER, by_place, chunks, discard, keyed_words, materialise, mix, rows_for_broadcast, small_batches, word_bounds
 
 SHINGLE, PERCENT = 3, 90
 #: Most documents of one group that one task compares with each other.
@@ -38,7 +38,7 @@ FANOUT = 8
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, end to end, and where each text's begin."""
     starts, ends, first = word_bounds(data, offsets)
-    words = word_hashes(data, starts, ends, lower=True)
+    words = keyed_words(data, starts, ends)
     grams = GRAM_ROLLER.grams(GRAM_ROLLER.prefix(words), size)
     prefix = GRAM_ROLLER.prefix(words)
     out, n = [], np.zeros(len(offsets), np.int64)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from partloom.llm import substring
+from partloom.llm.jaccard import jaccard_components
 from partloom.llm.quality import numbered, quality_rules, stats, windows
 from partloom.llm.segments import Units
 from partloom.llm.substring import substring_dedup
@@ -37,6 +38,12 @@ def test_lines_and_words_that_collide(spark):
     assert not rows[1]["base_failed"] and rows[3]["base_failed"]
 
 
+def test_documents_that_collide(spark):
+    docs = spark.createDataFrame([(1, "x y z"), (2, A), (3, B), (4, A.upper()), (5, f"p q {A} r s"), (6, f"p q {B} r s")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_components(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 2, 5: 5, 6: 6}
+
+
 def test_windows_are_numbered_by_content():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 3, 400)
