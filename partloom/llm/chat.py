@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from partloom.llm.common import materialise, small_batches
 
@@ -197,17 +198,20 @@ def format_chat(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
     """One row for each input row: its roles by Viterbi (that of its first segment in role), and its canonical turns.
 
     The given role is used for counts only and carried along; rows without a known role, or for which learn is false, do
-    not count. A null text is an empty one. A null turn is turn 0; ties are ordered by a hash of role and text, then by
+    not count. Ids that are no whole numbers are texts, and stay so. A null text is an empty one. A turn that is null or no
+    number is turn 0; ties are ordered by a hash of role and text, then by
     role and text; only rows that repeat all of it are never parted, however many they are. A row without conv_id is a conversation of its
     own. Without any known role only markers decide. Repeated rows are steps of their own. Empty tables give no rows;
     other columns are ignored.
     """
     small_batches(conversations.sparkSession)
-    t = F.coalesce(F.col(turn).cast("bigint"), F.lit(0))
+    t = F.coalesce(F.col(turn).try_cast("bigint"), F.lit(0))
+    whole = isinstance(conversations.select(conv_id).schema[0].dataType, T.IntegralType)
+    kind, arrow_kind = ("bigint", pa.int64()) if whole else ("string", pa.string())
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     alone = F.concat(F.lit("alone "), F.xxhash64(t, F.col(role), body).cast("string"))
     rows = conversations.select(
-        F.coalesce(F.col(conv_id).cast("string"), alone).alias("conv"), t.alias("turn"), F.col(role).cast("string").alias("role"), body.alias("text"), F.col(conv_id).cast("bigint").alias("id"), F.xxhash64(F.col(role), body).alias("mix"),
+        F.coalesce(F.col(conv_id).cast("string"), alone).alias("conv"), t.alias("turn"), F.col(role).cast("string").alias("role"), body.alias("text"), F.col(conv_id).cast(kind).alias("id"), F.xxhash64(F.col(role), body).alias("mix"),
         F.coalesce(learn if learn is not None else F.lit(True), F.lit(False)).alias("learn"),
     )
     model = train(rows.where("learn"))
@@ -230,7 +234,7 @@ def format_chat(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
 
         def flush() -> pa.RecordBatch:
             cols = list(zip(*out)) if out else [()] * 8
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
+            kinds = (arrow_kind, pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["conv_id", "turn", "given_role", "role", "n_segments", "n_lines", "rendered", "rendered_sha256"])
 
         for group in _runs(batches, 2):
@@ -245,4 +249,4 @@ def format_chat(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
                 out.clear()
         yield flush()
 
-    return ready.mapInArrow(run, RESULT).withColumnsRenamed({"conv_id": conv_id, "turn": turn})
+    return ready.mapInArrow(run, RESULT.replace("conv_id bigint", f"conv_id {kind}", 1)).withColumnsRenamed({"conv_id": conv_id, "turn": turn})

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from partloom.llm import substring
+from partloom.llm.chat import format_chat
 from partloom.llm.jaccard import jaccard_components
 from partloom.llm.quality import numbered, quality_rules, stats, windows
 from partloom.llm.segments import Units
@@ -85,3 +86,11 @@ def test_repetitive_documents(spark):
     texts = [(1, "0 " * 40_000), (2, "0 " * 40_001 + "end"), (3, "0 1 " * 20_000), (4, "1 0 " * 20_000)]
     rows = {r["doc_id"]: r for r in substring_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert [rows[k]["_n_removed"] for k in (1, 2, 3, 4)] == [0, 40_001, 0, 40_000]
+
+
+def test_conversations_with_text_ids(spark):
+    rows = [("a-1", "0", "user", "User: hi"), ("a-1", "1", "assistant", "Assistant: hello"), (None, "x", "user", "alone"), ("7", None, "user", None)]
+    got = format_chat(spark.createDataFrame(rows, "conv_id string, turn string, role string, text string"))
+    assert dict(got.dtypes)["conv_id"] == "string" and sorted((r["conv_id"] or "", r["turn"], r["given_role"]) for r in got.collect()) == [("", 0, "user"), ("7", 0, "user"), ("a-1", 0, "user"), ("a-1", 1, "assistant")]
+    numbers = spark.createDataFrame([(1, 0, "user", "hi")], "conv_id int, turn int, role string, text string")
+    assert dict(format_chat(numbers).dtypes)["conv_id"] == "bigint"
