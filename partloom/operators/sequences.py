@@ -224,9 +224,15 @@ def ecdf(rows: DataFrame, column: str) -> DataFrame:
     return counts.select("value", (F.sum("c").over(w) / F.sum("c").over(W.partitionBy())).alias("y"))
 
 
-def cluster_sizes(clusters: DataFrame, outliers: int = 0) -> DataFrame:
-    """(size, clusters) after dropping the largest clusters."""
-    sizes = clusters.groupBy("cluster_id").agg(F.count("*").alias("size"))
+def rank_histogram(ranks: DataFrame, bins: int = 10_000, rank: str = "pagerank", key: str = "subject") -> DataFrame:
+    """(bin, n) of all ranks but the highest one, which would leave the others in one bin; of equal ones the first key goes."""
+    top = ranks.orderBy(F.desc(rank), key).limit(1).select(key)
+    return histogram(ranks.join(F.broadcast(top), key, "left_anti"), rank, bins)  # one row
+
+
+def cluster_sizes(clusters: DataFrame, outliers: int = 0, least: int = 1) -> DataFrame:
+    """(size, clusters) of clusters of at least so many members, after dropping the largest clusters."""
+    sizes = clusters.groupBy("cluster_id").agg(F.count("*").alias("size")).where(F.col("size") >= least)
     if outliers:
         drop = sizes.orderBy(F.desc("size"), "cluster_id").limit(outliers).select("cluster_id")
         sizes = sizes.join(F.broadcast(drop), "cluster_id", "left_anti")  # `outliers` rows

@@ -125,7 +125,7 @@ class Engine:
     index: TextIndex | None = None  # of the documents; without one they are read for each search
 
     def _page(self, rows: DataFrame, r: Request) -> DataFrame:
-        return rows.select(F.countDistinct("subject").alias("n")) if r.count else S.page(rows, r.offset, r.limit)
+        return rows.agg(F.count("*").alias("n")) if r.count else S.page(rows, r.offset, r.limit)
 
     def _by_hits(self, hits: DataFrame, r: Request) -> DataFrame:
         rows = S.acl(Q.substring_semi(self.parts, hits), list(r.graphs))

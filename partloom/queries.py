@@ -178,6 +178,21 @@ def route_criteria(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("subject", F.round("order_by", 6).alias("order_by"))
 
 
+@register("route_empty", f"""WITH {DOCS}, p AS (SELECT subject, type, doc_id % 7 AS c, round(ln(1 + pagerank), 6) AS score FROM d WHERE graph IN ('src1', 'src2') ORDER BY score DESC, subject LIMIT 30 OFFSET 5),
+k AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY score DESC, subject) AS k FROM p)
+SELECT subject, round((CASE WHEN k > 1 THEN score / 2 ELSE score END) / (CASE WHEN type LIKE '%Sequence%' THEN 10 ELSE 1 END), 9) AS order_by FROM k""")
+def route_empty(spark: SparkSession, sf: str) -> DataFrame:
+    """A page of everything by rank; demoted inside the page, after it was cut."""
+    engine = _engine(spark, sf, clusters=_docs(spark, sf).select("subject", (F.col("doc_id") % 7).alias("cluster_id")))
+    return engine.search(parse("SELECT ?subject FROM <src1> FROM <src2> WHERE { } LIMIT 30 OFFSET 5")).select("subject", F.round("order_by", 9).alias("order_by"))
+
+
+@register("route_count", f"WITH {DOCS} SELECT count(*) AS n FROM d WHERE graph IN ('src1', 'src2') AND doc_id % 50 = 3 AND doc_id <> 3")
+def route_count(spark: SparkSession, sf: str) -> DataFrame:
+    engine = _engine(spark, sf, clusters=_docs(spark, sf).select("subject", (F.col("doc_id") % 50).alias("cluster_id")))
+    return engine.search(parse("select (count(distinct ?subject) as ?n) FROM <src1> FROM <src2> WHERE { SIMILAR <doc/3> }"))
+
+
 @register("route_similar", f"WITH {DOCS} SELECT subject, round(CASE WHEN type LIKE '%Sequence%' THEN pagerank / 10 ELSE pagerank END, 6) AS order_by FROM d WHERE doc_id % 50 = 3 AND doc_id <> 3 AND graph IN ('src1', 'src2', 'src3', 'src4') ORDER BY 2 DESC, 1 LIMIT 50")
 def route_similar(spark: SparkSession, sf: str) -> DataFrame:
     docs = _docs(spark, sf)
@@ -570,6 +585,31 @@ def hit_attributes(spark: SparkSession, sf: str) -> DataFrame:
     return sequences.hit_attributes(p, _uc(spark, sf), spark.createDataFrame([], "subject string, pagerank double")).select("subject", F.round("order_by", 6).alias("order_by"), F.col("strandAlignment").alias("strand"))
 
 
+@register("rank_histogram", f"WITH {DOCS}, r AS (SELECT pagerank AS x FROM d QUALIFY row_number() OVER (ORDER BY pagerank DESC, subject) > 1), m AS (SELECT min(x) AS a, max(x) AS b FROM r) SELECT CAST(least(floor((x - a) / (b - a) * 40) + 1, 40) AS BIGINT) AS bin, count(*) AS n FROM r, m GROUP BY 1")
+def rank_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return sequences.rank_histogram(_docs(spark, sf).select("subject", "pagerank"), 40)
+
+
+@register("cluster_sizes_at_least", "WITH z AS (SELECT o_custkey AS k, count(*) AS size FROM orders GROUP BY 1 HAVING count(*) >= 12) SELECT size, count(*) AS clusters FROM z GROUP BY size")
+def cluster_sizes_at_least(spark: SparkSession, sf: str) -> DataFrame:
+    o = D.table(spark, sf, "orders")
+    return sequences.cluster_sizes(o.select(F.col("o_custkey").alias("cluster_id"), F.col("o_orderkey").cast("string").alias("subject")), least=12)
+
+
+@register("popular_parts", f"WITH {DOCS} SELECT subject, pagerank FROM d WHERE pagerank > 0.5 AND NOT contains(subject, '7')")
+def popular_parts(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.popular(_docs(spark, sf).select("subject", "pagerank"), 0.5, "7", "subject", "pagerank")
+
+
+@register("evaluation_set", f"WITH {DOCS}, u AS (SELECT DISTINCT 'doc/' || l_partkey AS subject FROM lineitem) SELECT DISTINCT subject, description FROM d JOIN u USING (subject) WHERE role = 'http://roles.example.org/q1' AND type = 'fr' AND subject IN (SELECT 'doc/' || s_suppkey * 3 FROM supplier) ORDER BY subject LIMIT 5000")
+def evaluation_set(spark: SparkSession, sf: str) -> DataFrame:
+    """Trusted French parts of a collection that have components."""
+    named = lambda df, c: df.select(F.concat(F.lit("doc/"), F.col(c).cast("string")).alias("subject"))
+    components = named(D.table(spark, sf, "lineitem"), "l_partkey").withColumnRenamed("subject", "parent")
+    collection = named(D.table(spark, sf, "supplier").withColumn("k", F.col("s_suppkey") * 3), "k")
+    return evaluate.evaluation_set(D.parts(spark, sf), components, "http://roles.example.org/q1", collection, "fr")
+
+
 # --- updates and evaluation ---------------------------------------------------------------------------------------
 
 

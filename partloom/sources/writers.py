@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from partloom.sources.readers import xsd
@@ -50,5 +51,19 @@ def response(results: DataFrame) -> DataFrame:
     return results.select(F.to_json(F.struct(*fields, *order)).alias("binding"))
 
 
+def envelope(page: DataFrame) -> DataFrame:
+    """A page of results as one JSON text: the names of its columns, and its bindings in the order of order_by and subject.
+
+    A page is as long as its limit, so it fits in one row.
+    """
+    names = [c for c in page.columns if c != "order_by"]
+    order = F.desc("order_by") if "order_by" in page.columns else F.lit(0)
+    placed = page.withColumn("_no", F.row_number().over(W.orderBy(order, names[0])))
+    cells = F.struct(*(cell(c, F.col(c)).alias(c) for c in names))
+    bindings = F.transform(F.array_sort(F.collect_list(F.struct("_no", cells.alias("b")))), lambda x: x["b"])
+    head = F.struct(F.array(*map(F.lit, names)).alias("vars"))
+    return placed.agg(F.to_json(F.struct(head.alias("head"), F.struct(bindings.alias("bindings")).alias("results"))).alias("response"))
+
+
 def count_response(results: DataFrame) -> DataFrame:
     return results.agg(F.to_json(F.struct(F.lit("typed-literal").alias("type"), F.count("*").cast("string").alias("value"), xsd("integer").alias("datatype"))).alias("binding"))

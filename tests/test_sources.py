@@ -160,3 +160,11 @@ def test_files_of_clusters_and_terms(spark, tmp_path):
     grams = spark.createDataFrame([("a", ["x", "y"])], "subject string, grams array<string>")
     writers.write_grams(grams, str(tmp_path / "g"))
     assert spark.read.text(str(tmp_path / "g")).first()[0] == "a x y"
+
+
+def test_envelope(spark):
+    page = spark.createDataFrame([("b", "Bee", 1.0), ("a", None, 2.0)], "subject string, name string, order_by double")
+    got = json.loads(writers.envelope(page).first()[0])
+    assert got["head"] == {"vars": ["subject", "name"]} and [b["subject"]["value"] for b in got["results"]["bindings"]] == ["a", "b"]
+    assert "name" not in got["results"]["bindings"][0] and got["results"]["bindings"][1]["name"]["value"] == "Bee"
+    assert json.loads(writers.envelope(page.limit(0)).first()[0])["results"]["bindings"] == []
