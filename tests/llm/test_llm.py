@@ -736,4 +736,4 @@ def test_sql_of_queries(spark, data):
         assert sorted(got.columns) == cols
         key = lambda df: sorted(map(repr, df[cols].astype(object).where(df[cols].notna(), None).itertuples(index=False, name=None)))
         assert key(got) == key(want), name
-    assert sorted({n.split("_")[0] for n in QUERIES}) == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted({n.split("_")[0] for n in QUERIES}) == sorted(f"op{i}" for i in range(1, 14))
