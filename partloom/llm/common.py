@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -47,11 +48,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         atexit.register(_clean)
     _folders[path] = spark
     df.write.parquet(path)
+    release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._work_folder = path
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that no plan needs any more: Spark deletes them when the driver's garbage is collected, which
+    otherwise happens whenever its memory fills up, and disks may fill up first."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Work folders that exist, and the sessions that wrote them.
 _folders: dict[str, SparkSession] = {}
 
