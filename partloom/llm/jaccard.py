@@ -229,26 +229,37 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Runs of equal leading columns of sorted batches."""
+def _each_set(column: pa.Array, size: int | None) -> Iterator[np.ndarray]:
+    """The values of a list column, or the shingle set of each text."""
+    if size is None:
+        at, values = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            yield values[a:b].copy()
+        return
+    for _, _, data, offsets in chunks(column):
+        sets, first = shingle_sets(data, offsets, size)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            yield sets[a:b].copy()
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int, size: int | None = None) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of equal leading columns of sorted batches; with a size the last column has texts, and rows get their sets."""
     held: list[tuple] = []
     for batch in batches:
         cols = [batch.column(k).to_pylist() for k in range(batch.num_columns - 1)]
-        sets = batch.column(batch.num_columns - 1)
-        at, values = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)
-        for i, row in enumerate(zip(*cols)):
+        for row, own in zip(zip(*cols), _each_set(batch.column(batch.num_columns - 1), size)):
             if held and held[-1][:keys] != row[:keys]:
                 yield held[-1][:keys], held
                 held = []
-            held.append((*row, values[at[i] : at[i + 1]].copy()))
+            held.append((*row, own))
     if held:
         yield held[-1][:keys], held
 
 
-def _within(percent: int):
+def _within(percent: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges: list[tuple[int, int]] = []
-        for _, rows in _groups(batches, 2):
+        for _, rows in _groups(batches, 2, size):
             sets = {r[2]: r[3] for r in rows}
             names = sorted(sets)
             if len(names) > 1:
@@ -299,10 +310,10 @@ def _promising(percent: int):
     return run
 
 
-def _across(percent: int):
+def _across(percent: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges: list[tuple[int, int]] = []
-        for _, rows in _groups(batches, 3):
+        for _, rows in _groups(batches, 3, size):
             side = {r[5]: r for r in rows if r[3]}
             rest = {r[5]: r for r in rows if not r[3] and r[5] not in side}
             names = [*sorted(side), *sorted(rest)]
@@ -445,9 +456,15 @@ def _met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settle(now, keys, docs)
 
 
-def fetch_sets(rows: DataFrame, wanted: DataFrame, fields: list[str], size: int, signatures: bool = False) -> DataFrame:
-    """wanted (id, id_th and fields) with the shingle set of each id, or only its size and bitmap: texts are read once,
-    however often an id is wanted."""
+def fetch_texts(rows: DataFrame, wanted: DataFrame, fields: list[str]) -> DataFrame:
+    """wanted (id, id_th and fields) with the text of each id. Texts are moved, and sets made of them where they meet: eight
+    bytes a shingle, which don't compress, are more than the words that they stand for."""
+    return rows.join(wanted, (F.col("_doc") == F.col("id")) & (F.col("_th") == F.col("id_th"))).select(*fields, "id", "_text")
+
+
+def fetch_signatures(rows: DataFrame, wanted: DataFrame, fields: list[str], size: int) -> DataFrame:
+    """wanted (id, id_th and fields) with the size and bitmap of the shingle set of each id: texts are read once, however
+    often an id is wanted."""
     lists = wanted.groupBy("id", "id_th").agg(F.collect_list(F.struct(*fields)).alias("_list"))  # at most one for each part
     kinds = {f.name: f.dataType for f in wanted.schema.fields}
     joined = rows.join(lists, (F.col("_doc") == F.col("id")) & (F.col("_th") == F.col("id_th"))).select("_text", "id", "_list")
@@ -461,14 +478,14 @@ def fetch_sets(rows: DataFrame, wanted: DataFrame, fields: list[str], size: int,
                 for r in range(i, j):
                     mine = sets[first[r - i] : first[r - i + 1]]
                     many = len(mine)
-                    mine = pa.array((signature(mine) if signatures else mine).view(np.int64))
+                    mine = pa.array(signature(mine).view(np.int64))
                     m = int(at[r + 1] - at[r])
                     each = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * len(mine)), pa.concat_arrays([mine] * m))
                     part = items.slice(at[r], m)
-                    yield pa.RecordBatch.from_arrays([*(part.field(k) for k in range(len(fields))), pa.array(np.full(m, batch.column(1)[r].as_py())), *([pa.array(np.full(m, many, np.int32))] if signatures else []), each], [*fields, "id", *(["n"] if signatures else []), "sets"])
+                    yield pa.RecordBatch.from_arrays([*(part.field(k) for k in range(len(fields))), pa.array(np.full(m, batch.column(1)[r].as_py())), pa.array(np.full(m, many, np.int32)), each], [*fields, "id", "n", "sets"])
 
     schema = ", ".join(f"{f} {kinds[f].simpleString()}" for f in fields)
-    return joined.mapInArrow(run, f"{schema}, id bigint{', n int' if signatures else ''}, sets array<bigint>")
+    return joined.mapInArrow(run, f"{schema}, id bigint, n int, sets array<bigint>")
 
 
 def _placed(member: DataFrame, block: int) -> DataFrame:
@@ -512,8 +529,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     first = member.groupBy("id").agg(F.min("pivot").alias("pivot"))
     once = first.select("pivot", "id").union(first.select("pivot", F.col("pivot").alias("id"))).distinct()
     placed = materialise(_placed(once, block), "placed")
-    sets = fetch_sets(rows, placed.select("pivot", "block", "id").join(named, "id"), ["pivot", "block"], size)
-    edges = materialise(sets.repartition("pivot", "block").sortWithinPartitions("pivot", "block").mapInArrow(_within(percent), EDGES), "links")
+    texts = fetch_texts(rows, placed.select("pivot", "block", "id").join(named, "id"), ["pivot", "block"])
+    edges = materialise(texts.repartition("pivot", "block").sortWithinPartitions("pivot", "block").mapInArrow(_within(percent, size), EDGES), "links")
     discard(placed)
     # then whole groups, but only where they still fall apart: the largest component needs no look at itself
     seen = member.join(components(member.select("id").distinct(), edges), "id")
@@ -526,10 +543,10 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     pairs = materialise(others.union(ask), "pairs")
     if pairs.limit(1).count():
         # documents that only share a passage are told apart by their signatures, before any set is moved
-        marks = fetch_sets(rows, pairs.join(named, "id"), MEET, size, signatures=True)
+        marks = fetch_signatures(rows, pairs.join(named, "id"), MEET, size)
         hope = materialise(marks.repartition("pivot", "_slot", "block").sortWithinPartitions("pivot", "_slot", "block").mapInArrow(_promising(percent), MEETING), "promising")
-        again = fetch_sets(rows, hope.join(named, "id"), MEET, size)
-        more = again.repartition("pivot", "_slot", "block").sortWithinPartitions("pivot", "_slot", "block").mapInArrow(_across(percent), EDGES)
+        again = fetch_texts(rows, hope.join(named, "id"), MEET)
+        more = again.repartition("pivot", "_slot", "block").sortWithinPartitions("pivot", "_slot", "block").mapInArrow(_across(percent, size), EDGES)
         edges = edges.union(materialise(more, "links"))
     found = components(present.select(F.col("doc").alias("id")).distinct(), edges.union(same))
     out = small.join(found, F.col("doc") == F.col("id"), "left")

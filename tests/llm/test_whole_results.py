@@ -29,3 +29,15 @@ def test_op10_and_last_stage_return_ids(spark, data):
 def test_op4_returns_rendered_turns(spark, data):
     rows = QUERIES["op4_chat_format"](spark, data).collect()
     assert rows and all(hashlib.sha256(r["rendered"].encode()).hexdigest() == r["rendered_sha256"] for r in rows)
+
+
+def test_jaccard_groups_meet_as_texts():
+    """What is moved to a group is its texts, and the links are those of their sets."""
+    import pyarrow as pa
+    from partloom.llm import jaccard
+
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, 0, 5, base), (1, 0, 7, base + " more"), (1, 0, 9, "other words altogether"), (2, 0, 5, "a b c"), (2, 0, 8, "A  B\nc")]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 2])], ["pivot", "block", "id", "_text"]) for i in (0, 2, 4)]
+    got = [tuple(r.values()) for b in jaccard._within(90, 3)(iter(batches)) for r in b.to_pylist()]
+    assert got == [(5, 7), (5, 8)]
