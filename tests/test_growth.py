@@ -15,3 +15,18 @@ def test_neighbours_are_counted_once_for_a_cluster(spark, data):
     got = {r[0]: r[1] for r in sequences.neighbour_counts(rows).groupBy("others").count().collect()}
     assert got == {29_999: 30_000, 0: 1}
     assert "collect_set" not in plan_of(QUERIES["uc_cluster_neighbours"](spark, data))
+
+
+def test_block_pairs_don_t_depend_on_blocks(spark):
+    """Frequent words in every sequence: nothing is joined by word, and any size of blocks gives the same pairs."""
+    from partloom.operators.blocks import near_pairs
+
+    rows = [(f"s{i:03d}", "gattaca" * 6 + "".join("gatc"[(i // 3 * j * j + j // 5) % 4] for j in range(90)) + "acgt"[i % 3]) for i in range(90)]
+    table = spark.createDataFrame(rows, "subject string, sequence string")
+    grams = {s: {x[i : i + 8] for i in range(len(x) - 7)} for s, x in rows}
+    want = {(a, b, len(grams[a] & grams[b]), len(grams[a]), len(grams[b])) for a in grams for b in grams if a < b and 1 - len(grams[a] & grams[b]) / len(grams[a] | grams[b]) <= 0.5}
+    assert len(want) > 80
+    for letters in (700, 10_000_000):
+        got = near_pairs(table, 8, 0.5, letters)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+        assert "Join" not in plan_of(got)
