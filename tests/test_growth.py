@@ -30,3 +30,32 @@ def test_block_pairs_don_t_depend_on_blocks(spark):
         got = near_pairs(table, 8, 0.5, letters)
         assert sorted(tuple(r) for r in got.collect()) == sorted(want)
         assert "Join" not in plan_of(got)
+
+
+def test_pagerank_passes_over_lists_of_bounded_length(spark, monkeypatch):
+    """A node with many targets, and repeated edges, whatever the length of lists."""
+    from partloom.operators import graph
+
+    nodes = spark.range(40).select(F.concat(F.lit("n"), "id").alias("id"))
+    rows = [("n0", f"n{i}") for i in range(1, 40)] + [(f"n{i}", "n0") for i in range(1, 30)] + [("n1", "n2")] * 25 + [("n1", "unknown")]
+    edges = spark.createDataFrame(rows, "src string, dst string")
+
+    def ranks(multi):
+        return {r[0]: r[1] for r in graph.pagerank(nodes, edges, iterations=3, multi=multi).collect()}
+
+    def plain(multi):
+        e = [x for x in (rows if multi else dict.fromkeys(rows)) if x[1] != "unknown"]
+        out = {x: sum(a == x for a, _ in e) for x in (f"n{i}" for i in range(40))}
+        r = dict.fromkeys(out, 1 / 40)
+        for _ in range(3):
+            new = {x: 0.15 / 40 + 0.85 * sum(r[y] for y in out if not out[y]) / 40 for x in out}
+            for a, b in e:
+                new[b] += 0.85 * r[a] / out[a]
+            r = {x: v / sum(new.values()) for x, v in new.items()}
+        return r
+
+    for size in (3, 1024):
+        monkeypatch.setattr(graph, "LIST", size)
+        for multi in (False, True):
+            got, want = ranks(multi), plain(multi)
+            assert got.keys() == want.keys() and max(abs(got[x] - want[x]) for x in want) < 1e-12
