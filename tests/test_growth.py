@@ -59,3 +59,19 @@ def test_pagerank_passes_over_lists_of_bounded_length(spark, monkeypatch):
         for multi in (False, True):
             got, want = ranks(multi), plain(multi)
             assert got.keys() == want.keys() and max(abs(got[x] - want[x]) for x in want) < 1e-12
+
+
+def test_either_end_reads_the_pairs_once(spark):
+    from partloom.operators import graph
+
+    pairs = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("c", "d"), (None, "a"), ("d", "e")], "parent string, child string")
+    quads = spark.createDataFrame([("a", "role", "x"), ("a", "role", "x"), ("c", "role", "x"), ("d", "role", "y")], "s string, p string, o string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    got = graph.either_end(pairs.mapInArrow(count, "parent string, child string"), quads, [("role", "x")])
+    assert sorted((r[0] or "", r[1]) for r in got.collect()) == [("", "a"), ("a", "b"), ("b", "c"), ("c", "d")] and seen.value == 6
