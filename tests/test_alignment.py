@@ -126,3 +126,32 @@ def test_global_search_by_hand(spark, identity, most, definition, rejects):
 def test_global_search_of_too_short_a_query(spark):
     table = spark.createDataFrame([("a", "gattaca" * 5)], "subject string, sequence string")
     assert sequences.global_search(table, "gattaca").count() == 0 and sequences.global_search(table, "").count() == 0
+
+
+def plain_overlap(q, s, t):
+    """Edit distances from any border: is there an end with few enough of them?"""
+    d = np.zeros((len(q) + 1, len(s) + 1), int)
+    for i in range(1, len(q) + 1):
+        for j in range(1, len(s) + 1):
+            d[i, j] = min(d[i - 1, j - 1] + (q[i - 1] != s[j - 1]), d[i - 1, j] + 1, d[i, j - 1] + 1)
+    ends = [(d[i, -1], min(i, len(s))) for i in range(1, len(q) + 1)] + [(d[-1, j], min(j, len(q))) for j in range(1, len(s) + 1)]
+    return any(e <= (1 / t - 1) * m + 1e-6 and m >= t * max(min(len(q), len(s)) // 2, 1) - 1e-6 for e, m in ends)
+
+
+@pytest.mark.parametrize("bits", [100, 1 << 18])
+def test_bit_vectors_are_the_plain_distances(monkeypatch, bits):
+    monkeypatch.setattr(alignment, "VECTOR_BITS", bits)
+    base, others = related(n=20, size=70)
+    for q in (base, others[7], others[-20]):
+        for t in (0.6, 0.8, 0.95):
+            assert alignment.overlapping(q.encode(), [s.encode() for s in others], t).tolist() == [plain_overlap(q, s, t) for s in others]
+
+
+def test_a_shared_phrase_inside_is_not_aligned(monkeypatch):
+    """Unrelated sequences with one long phrase in common have a high local score, but no border lies near."""
+    rng = random.Random(8)
+    phrase = "".join(rng.choices("gatc", k=90))
+    around = lambda: "".join(rng.choices("gatc", k=150)) + phrase + "".join(rng.choices("gatc", k=150))
+    query, others = around(), [around().encode() for _ in range(40)]
+    assert not alignment.passing(query.encode(), others, 0.8).any()
+    assert (alignment.reached(query.encode(), [*others, query[20:].encode()], 0.8) >= 0).tolist() == [False] * 40 + [True]
