@@ -27,7 +27,8 @@ FIELDS = {"displayId": 3.0, "version": 1.0, "name": 1.0, "description": 1.0, "ty
 K1, B = 1.2, 0.75
 #: A list of near words has so many at most.
 EXPANSIONS = 50
-BYTES_AT_ONCE = 32 << 20
+#: Bytes of text that are cut into words at once: some fifteen times as much is held for them.
+BYTES_AT_ONCE = 8 << 20
 
 #: A list has three integers for each row: its number less base, the count of the word, and the length of the field. Most
 #: words are rare, so a list is as narrow as it can be. Without a term: documents and words of a stretch.
@@ -91,6 +92,12 @@ def _lists(field: int, rows: np.ndarray, column: pa.Array, word: np.ndarray) ->
     return [names, pa.array([field] * (n_terms + 1), pa.int8()), pa.array([base] * (n_terms + 1), pa.int64()), pa.ListArray.from_arrays(pa.array(edges), pa.array(data))]
 
 
+def stretches(sizes: np.ndarray, numbers: np.ndarray) -> list[tuple[int, int]]:
+    """Rows that are cut into words at once, by their bytes; of one file at most, whose numbers differ by less than 32 bits."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // BYTES_AT_ONCE) | np.diff(numbers >> 31)) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)]))
+
+
 def bucket_of(column: Column, buckets: int) -> Column:
     return F.pmod(F.crc32(column.cast("binary")), F.lit(buckets)).cast("int")
 
@@ -169,9 +176,7 @@ class TextTables:
             word = np.unpackbits(shared.value).astype(bool)
             for batch in batches:
                 sizes = np.maximum(1, sum(np.asarray(pc.binary_length(batch.column(i + 1)).fill_null(0)).astype(np.int64) for i in range(len(fields))))
-                # a stretch has rows of one file at most, whose numbers differ by less than 32 bits
-                cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // BYTES_AT_ONCE) | np.diff(batch.column(0).to_numpy() >> 31)) + 1
-                for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                for i, j in stretches(sizes, batch.column(0).to_numpy()):
                     if i < j:
                         part = batch.slice(i, j - i)
                         numbers = part.column(0).to_numpy()

@@ -176,3 +176,17 @@ def test_empty_index(spark, tmp_path):
     assert scored(store.index().bm25(None, ["gfp"])) == scored(search.bm25(documents(spark, AWKWARD), ["gfp"]))
     with pytest.raises(ValueError):
         IndexStore(spark, str(tmp_path / "none")).current()
+
+
+def test_words_are_cut_in_small_stretches():
+    """A batch of 10,000 rows of 2,500 bytes was one stretch, and a worker held some 700 MB for it."""
+    import numpy as np
+
+    from partloom.operators.postings import stretches
+
+    sizes = np.full(10_000, 2500)
+    got = stretches(sizes, np.arange(10_000))
+    assert [i for i, _ in got] == [0, *(j for _, j in got[:-1])] and got[-1][1] == 10_000
+    assert max(sizes[i:j].sum() for i, j in got) <= (8 << 20) + 2500
+    assert stretches(np.full(3, 9 << 20), np.arange(3)) == [(0, 1), (1, 2), (2, 3)]
+    assert stretches(np.ones(4, int), np.array([0, 1, 1 << 33, (1 << 33) + 1])) == [(0, 2), (2, 4)]
