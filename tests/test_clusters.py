@@ -181,3 +181,23 @@ def test_centroids_in_a_chain(spark):
 def test_clusters_of_nothing(spark):
     none = table(spark, [])
     assert sequences.greedy_clusters(none).count() == sequences.threshold_clusters(none).count() == sequences.hierarchical_clusters(none, 3).count() == 0
+
+
+@pytest.mark.parametrize("above", [0, 200])
+def test_scores_of_letters_that_repeat(above):
+    """Texts of one letter, of short periods and of both: chains of equal words give the scores of all diagonals."""
+    rng = random.Random(6)
+    piece = lambda: rng.choice(["g" * 60, "a" * 45, "ta" * 25, "gat" * 15, "gatcc" * 9, "".join(rng.choices("gatc", k=30))])
+    left, right = (["".join(piece() for _ in range(rng.randint(1, 2))) for _ in range(4)] for _ in range(2))
+    want = {(i, j): s for i, x in enumerate(left) for j, y in enumerate(right) if (s := plain_score(x, y)) > above}
+    assert seeds._scores_of_blocks(left, right, False, above, 28, 10) == want and want
+
+
+def test_long_texts_of_one_letter_are_not_squares():
+    """4,000 by 3,000 equal words of one pair were twelve million matches, each moved and sorted."""
+    import tracemalloc
+
+    tracemalloc.start()
+    assert seeds._scores_of_blocks(["a" * 4000], ["a" * 3000], False, 500, 28, 10) == {(0, 0): 15_000}
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
