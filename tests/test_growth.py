@@ -75,3 +75,16 @@ def test_either_end_reads_the_pairs_once(spark):
 
     got = graph.either_end(pairs.mapInArrow(count, "parent string, child string"), quads, [("role", "x")])
     assert sorted((r[0] or "", r[1]) for r in got.collect()) == [("", "a"), ("a", "b"), ("b", "c"), ("c", "d")] and seen.value == 6
+
+
+def test_edges_are_dealt_into_partitions_that_grow_with_the_lines(spark, data, monkeypatch):
+    from partloom import session
+    from partloom.plans import domain
+
+    assert session.partitions_for(spark.range(4_100), 100) == 41 and session.partitions_for(spark.range(3), 100) == 4
+    few = sorted(map(tuple, QUERIES["outdegree_dangling"](spark, data).collect()))
+    monkeypatch.setattr(domain, "partitions_for", lambda df: session.partitions_for(df, 400))
+    df, n = QUERIES["outdegree_dangling"](spark, data), -(-domain.table(spark, data, "lineitem").count() // 400)
+    plan = plan_of(df)
+    assert n > 4 and all(f"{n}" in line for line in plan.splitlines() if "RepartitionByExpression" in line) and plan.count("RepartitionByExpression") == 4
+    assert sorted(map(tuple, df.collect())) == few and any(k == 0 for _, k in few)
