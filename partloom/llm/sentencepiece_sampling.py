@@ -34,6 +34,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, ALPHA, SEED = 2, 0.5, 1
 #: A lattice is built over so many bytes at most (and one unit). No piece of the models given is as long as a unit may be.
 RANGE_BYTES, UNIT_BYTES = CHUNK_BYTES, 4096
+#: Bytes of different units whose edges a task holds, some 100 bytes for each.
+MET_BYTES = 1 << 20
 #: Edges of a path whose sets are valued at once.
 EDGES_AT_ONCE = 1 << 18
 NEVER = -1e8  # longer pieces of this score or less are not for use
@@ -115,22 +117,20 @@ class Lattice:
         width = np.where(data < 0xC0, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4))).astype(np.uint8)
         whole = np.zeros(n, bool)
         flat, classes, inner_nodes, codes = pieces.step.ravel(), pieces.step.shape[1], len(pieces.step), pieces.byte_class[data]
-        node = flat[codes[at]]
+        node = flat.take(codes.take(at))
         while len(at):
             length += 1
-            good = node >= 0
-            at, node = at[good], node[good]
-            i = pieces.piece_at[node]
-            real = i >= 0
-            ends_here = at[real]
-            found.append((ends_here, length, i[real]))
+            good = np.flatnonzero(node >= 0)
+            at, node = at.take(good), node.take(good)
+            i = pieces.piece_at.take(node)
+            real = np.flatnonzero(i >= 0)
+            ends_here = at.take(real)
+            found.append((ends_here, length, i.take(real)))
             if length <= 4:
-                whole[ends_here[width[ends_here] == length]] = True
-            on = node < inner_nodes
-            at, node = at[on], node[on]
-            on = at + length < self.end[at]
-            at, node = at[on], node[on]
-            node = flat[node * classes + codes[at + length]]
+                whole[ends_here[width.take(ends_here) == length]] = True
+            on = np.flatnonzero((node < inner_nodes) & (at + length < self.end.take(at)))
+            at = at.take(on)
+            node = flat.take(node.take(on) * classes + codes.take(at + length))
         alone = np.flatnonzero(lead & ~whole)
         for extra in range(4):
             more = alone[width[alone] > extra] + extra
@@ -140,37 +140,34 @@ class Lattice:
         # draws try edges in order
         count = np.zeros(n, np.int64)
         for at, _, _ in found:
-            count[at] += 1
+            count[at] += 1  # a place is there once
         left = self.end - np.arange(n)
         order = np.argsort(left.astype(np.uint16) if n and left.max() < 1 << 16 else left, kind="stable")
         order = order[count[order] > 0]
         count = count[order]
         stop = np.cumsum(count)
         first = stop - count
-        self.rank = np.zeros(n, np.int64)
-        self.rank[order] = np.arange(len(order))
+        self.first, self.count = np.zeros(n, np.int64), np.zeros(n, np.int64)  # of the edges of each node
+        self.first[order], self.count[order] = first, count
         self.node = np.repeat(order, count)
         self.size, self.ids = np.empty(len(self.node), np.int32), np.empty(len(self.node), np.int32)
-        free = np.zeros(n, np.int64)
-        free[order] = first
+        free = self.first.copy()
         for at, size, ids in reversed(found):
-            to = free[at]
+            to = free.take(at)
             self.size[to], self.ids[to] = size, ids
             free[at] = to + 1
-        weight = pieces.weight[self.ids]
+        weight = pieces.weight.take(self.ids)
         # backward sums, from the unit ends on: nodes with the same distance to the end at once
         beta = np.zeros(n + 1)
         cuts = np.append(np.flatnonzero(np.append(True, left[order[1:]] != left[order[:-1]])), len(order)) if len(order) else np.zeros(1, np.int64)
         after = self.node + self.size
-        inner = after < self.end[self.node]
-        after[~inner] = n  # where beta stays 0
+        after[after >= self.end.take(self.node)] = n  # where beta stays 0
         total = np.empty(len(self.node))
         for a, b in zip(cuts[:-1], cuts[1:]):
             lo, hi = first[a], stop[b - 1]
-            total[lo:hi] = weight[lo:hi] + beta[after[lo:hi]]
+            total[lo:hi] = weight[lo:hi] + beta.take(after[lo:hi])
             beta[order[a:b]] = np.logaddexp.reduceat(total[lo:hi], first[a:b] - lo)
-        self.logp = total - beta[self.node]
-        self.first, self.count = first, count
+        self.logp = total - beta.take(self.node)
         # sums within each node alone, so that they don't depend on what else is in the lattice
         self.within = np.exp(self.logp)
         more, k = first[count > 1], 1
@@ -179,14 +176,24 @@ class Lattice:
             k += 1
             more = first[count > k]
         self.within[stop - 1] = 1.0
+        self.nodes, self.edges = n, len(self.node)
+
+    def append(self, other: Lattice) -> None:
+        """Put the units of another lattice behind those here, whose places stay."""
+        nodes, edges = self.nodes, self.edges
+        self.nodes, self.edges = nodes + other.nodes, edges + other.edges
+        for name, shift in (("end", nodes), ("first", edges), ("count", 0)):
+            setattr(self, name, appended(getattr(self, name), nodes, getattr(other, name), shift))
+        for name, shift in (("node", nodes), ("size", 0), ("ids", 0), ("logp", 0), ("within", 0)):
+            setattr(self, name, appended(getattr(self, name), edges, getattr(other, name), shift))
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """One edge for each node."""
-        e = self.first[self.rank[node]]
-        more = np.flatnonzero(u > self.within[e])
+        e = self.first.take(node)
+        more = np.flatnonzero(u > self.within.take(e))
         while len(more):
             e[more] += 1
-            more = more[u[more] > self.within[e[more]]]
+            more = more[u.take(more) > self.within.take(e.take(more))]
         return e
 
     def paths(self, node: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,21 +202,71 @@ class Lattice:
         live, at, steps = np.arange(len(node)), node.copy(), []
         step = 0
         while len(live):
-            e = self.draw(at, uniform(seed[live] + np.uint64(step * 0x9E3779B97F4A7C15 & MASK)))
+            e = self.draw(at, uniform(seed.take(live) + np.uint64(step * 0x9E3779B97F4A7C15 & MASK)))
             steps.append((live, e))
             count[live] += 1
-            goal = self.end[at]
-            at = at + self.size[e]
-            on = at < goal
-            live, at = live[on], at[on]
+            goal = self.end.take(at)
+            at = at + self.size.take(e)
+            on = np.flatnonzero(at < goal)
+            live, at = live.take(on), at.take(on)
             step += 1
         begin = np.cumsum(count) - count
         out = np.empty(count.sum(), np.int64)
         for k, (live, e) in enumerate(steps):
-            out[begin[live] + k] = e
+            out[begin.take(live) + k] = e
         return out, count
 
 
+def appended(a: np.ndarray, used: int, more: np.ndarray, shift: int) -> np.ndarray:
+    """a with more + shift from place used on, in place where there is room."""
+    need = used + len(more)
+    if need > len(a):
+        a, old = np.empty(max(need, len(a) * 5 // 4), a.dtype), a
+        a[:used] = old[:used]
+    np.add(more, a.dtype.type(shift), out=a[used:need])
+    return a
+
+
+class Met:
+    """Units that a task has met, each built once and held with its edges, as chunks of text share most of their words.
+
+    About most bytes of them are held; then it begins anew. What is held has no effect on samples.
+    """
+
+    def __init__(self, pieces: Pieces, most: int = MET_BYTES):
+        self.pieces, self.most, self.data = pieces, most, np.zeros(0, np.uint8)
+        self.lattice = Lattice(self.data, np.zeros(1, np.int64), pieces)
+        self.clear()
+
+    def clear(self) -> None:
+        self.lattice.nodes = self.lattice.edges = 0  # arrays stay, to be filled again
+        self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def places(self, data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, one: np.ndarray, which: np.ndarray) -> np.ndarray | None:
+        """First nodes of units, those not met before built on the way. keys: the hashes of different units, in order; one and
+        which as np.unique gives them. None where a hash stands for different units."""
+        length = bounds[one + 1] - bounds[one]
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        inner = at < len(self.keys)
+        new[inner] = self.keys[at[inner]] != keys[inner]
+        held = self.lattice.nodes
+        if held and held + length[new].sum() > self.most:
+            self.clear()
+            return self.places(data, bounds, keys, one, which)
+        if new.any():
+            to = np.concatenate([[0], np.cumsum(length[new])])
+            raw = data[np.repeat(bounds[one[new]] - to[:-1], length[new]) + np.arange(to[-1])]
+            self.data = appended(self.data, held, raw, 0)
+            self.lattice.append(Lattice(raw, to, self.pieces))
+            self.keys, self.begin, self.size = (np.insert(a, at[new], x) for a, x in ((self.keys, keys[new]), (self.begin, held + to[:-1]), (self.size, length[new])))
+            at = np.searchsorted(self.keys, keys)
+        first = self.begin[at][which]
+        if (self.size[at][which] != np.diff(bounds)).any() or not np.array_equal(self.data[np.repeat(first - bounds[:-1], np.diff(bounds)) + np.arange(bounds[-1])], data):
+            return None
+        return first
+
+
 def uniform(x: np.ndarray) -> np.ndarray:
     return ((mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
@@ -242,7 +299,8 @@ def units_of(data: np.ndarray, offsets: np.ndarray, most: int) -> tuple[np.ndarr
 class Ranges:
     """The units of a chunk in ranges of a bounded number of bytes. Lattices are built when asked for; one is held."""
 
-    def __init__(self, texts: np.ndarray, starts: np.ndarray, pieces: Pieces, size: int):
+    def __init__(self, texts: np.ndarray, starts: np.ndarray, pieces: Pieces, size: int, met: Met | None = None):
+        self.met = met
         self.texts, self.pieces, self.bounds = texts, pieces, np.append(starts, len(texts))
         self.cuts = [0]
         while self.cuts[-1] < len(starts):
@@ -263,7 +321,12 @@ class Ranges:
             bounds = self.bounds[a : b + 1] - self.bounds[a]
             data = self.texts[self.bounds[a] : self.bounds[b]]
             h = WORD_ROLLER.spans(WORD_ROLLER.prefix(BYTE_CODES[data]), bounds[:-1], bounds[1:])
-            _, one, which = np.unique(h, return_index=True, return_inverse=True)  # each different unit is built once
+            keys, one, which = np.unique(h, return_index=True, return_inverse=True)  # each different unit is built once
+            if self.met is not None and len(self) == 1:
+                known = self.met.places(data, bounds, keys, one, which)
+                if known is not None:
+                    self.lattice, self.first, self.now = self.met.lattice, known, g
+                    return self.lattice, self.first, a, b
             length = bounds[one + 1] - bounds[one]
             to = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
             pick = np.repeat(bounds[one] - to[:-1], length) + np.arange(to[-1])
@@ -290,13 +353,14 @@ def _joined(parts: list[tuple[np.ndarray, ...]], value: float) -> Sample:
     return Sample(*(np.concatenate(x) for x in zip(*parts)), value)
 
 
-def encode_chunk(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, pieces: Pieces, k: int = SAMPLES, seed: int = SEED, range_bytes: int = RANGE_BYTES, unit_bytes: int = UNIT_BYTES) -> list[list[tuple[np.ndarray, float, float, float]]]:
+def encode_chunk(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, pieces: Pieces, k: int = SAMPLES, seed: int = SEED, range_bytes: int = RANGE_BYTES, unit_bytes: int = UNIT_BYTES, met: Met | None = None) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to k segmentations: (ids, log probability, Gumbel value, log of the inclusion probability).
 
-    range_bytes bounds the lattice that is held at a time and has no effect on the result.
+    range_bytes bounds the lattice that is held at a time and has no effect on the result; nor has met, which holds what other
+    chunks had to build.
     """
     texts, starts, first = units_of(data, offsets, unit_bytes)
-    ranges = Ranges(texts, starts, pieces, range_bytes)
+    ranges = Ranges(texts, starts, pieces, range_bytes, met)
     rows = len(offsets) - 1
     row_seed = mix(keys.view(np.uint64) ^ mix(np.full(rows, seed, np.uint64)))
     sampled: list[list[Sample]] = [[] for _ in range(rows)]
@@ -306,26 +370,49 @@ def encode_chunk(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, pieces
         """Paths from nodes to their units' ends, as the arrays of a Sample, and the place after each path's last edge."""
         noise = mix(row_seed[row] + np.uint64((turn + 1) * 0xD1B54A32D192ED03 & MASK)) + unit.astype(np.uint64) * np.uint64(0xABC98388FB8FAC03)
         edge, count = lattice.paths(node, noise)
-        return (edge.astype(np.int32), np.repeat(unit.astype(np.int32), count), lattice.ids[edge], lattice.logp[edge]), np.concatenate([[0], np.cumsum(count)])
-
-    def expand(r: int, s: Sample, from_edge: int, barred: tuple[int, ...], lost: float, turn: int) -> None:
-        """Put the best parts of what remains of a drawn set on the row's heap; lost is the mass of the barred edges."""
-        before, top = float(s.logp[:from_edge].sum()), []
-        for a in range(from_edge, len(s.logp), EDGES_AT_ONCE):
-            logp = s.logp[a : a + EDGES_AT_ONCE]
-            mass = -np.expm1(np.minimum(logp, 0.0))
-            if a == from_edge:
-                mass[0] -= lost
-            can = np.flatnonzero(mass >= 1e-12)
-            ahead = before + np.cumsum(logp) - logp
-            before += float(logp.sum())
-            t = can + a
-            noise = uniform(mix(row_seed[r : r + 1] + np.uint64(turn + 1)) + t.astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
-            value = ahead[can] + np.log(mass[can] / -np.log(noise))  # log mass and Gumbel noise; truncating keeps their order
-            best = np.argpartition(-value, k)[:k] if len(value) > 4 * k else np.arange(len(value))
-            top.extend(zip(np.logaddexp(-s.value, -value[best]).tolist(), t[best].tolist()))
-        for value, t in heapq.nsmallest(k, top):
-            heapq.heappush(heaps[r], (value, len(sampled[r]) - 1, t, barred if t == from_edge else ()))
+        return (edge.astype(np.int32), np.repeat(unit.astype(np.int32), count), lattice.ids.take(edge), lattice.logp.take(edge)), np.concatenate([[0], np.cumsum(count)])
+
+    def expand(drawn: list[tuple[int, Sample, int, tuple[int, ...], float]], turn: int) -> None:
+        """Put the best parts of what remains of drawn sets (row, path, first edge, edges barred there, their mass) on the rows'
+        heaps. The edges of many paths are valued at once, those of a long one in parts."""
+        seeds = mix(row_seed + np.uint64(turn + 1))
+        before, top = [float(s.logp[:t].sum()) for _, s, t, _, _ in drawn], [[] for _ in drawn]
+        parts, held = [], 0
+        for x, (_, s, from_edge, _, _) in enumerate(drawn):
+            for a in range(from_edge, len(s.logp), EDGES_AT_ONCE):
+                n = min(EDGES_AT_ONCE, len(s.logp) - a)
+                if held + n > EDGES_AT_ONCE:
+                    value(drawn, parts, seeds, before, top)
+                    parts, held = [], 0
+                parts.append((x, a, n))
+                held += n
+        value(drawn, parts, seeds, before, top)
+        for x, (r, _, from_edge, barred, _) in enumerate(drawn):
+            for v, t in heapq.nsmallest(k, top[x]):
+                heapq.heappush(heaps[r], (v, len(sampled[r]) - 1, t, barred if t == from_edge else ()))
+
+    def value(drawn: list[tuple[int, Sample, int, tuple[int, ...], float]], parts: list[tuple[int, int, int]], seeds: np.ndarray, before: list[float], top: list[list]) -> None:
+        if not parts:
+            return
+        x, first_edge, n = np.array(parts).T
+        bounds = np.concatenate([[0], np.cumsum(n)])
+        all_logp = np.concatenate([drawn[i][1].logp[a : a + m] for i, a, m in parts])
+        mass = -np.expm1(np.minimum(all_logp, 0.0))
+        for (i, a, _), lo in zip(parts, bounds.tolist()):
+            if a == drawn[i][2]:
+                mass[lo] -= drawn[i][4]
+        can = np.flatnonzero(mass >= 1e-12)
+        t = can + np.repeat(first_edge - bounds[:-1], n).take(can)
+        noise = uniform(np.repeat(seeds[[d[0] for d in drawn]][x], n).take(can) + t.astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
+        gain = np.log(mass.take(can) / -np.log(noise))  # log mass and Gumbel noise; truncating keeps their order
+        cuts = np.searchsorted(can, bounds).tolist()
+        for (i, _, _), lo, hi, c, d in zip(parts, bounds[:-1].tolist(), bounds[1:].tolist(), cuts[:-1], cuts[1:]):
+            logp = all_logp[lo:hi]
+            ahead = before[i] + np.cumsum(logp) - logp
+            before[i] += float(logp.sum())
+            v = ahead.take(can[c:d] - lo) + gain[c:d]
+            best = np.argpartition(-v, k)[:k] if len(v) > 4 * k else np.arange(len(v))
+            top[i].extend(zip(np.logaddexp(-drawn[i][1].value, -v[best]).tolist(), t[c:d][best].tolist()))
 
     root = gumbel(row_seed)
     parts: list[list] = [[] for _ in range(rows)]
@@ -340,28 +427,28 @@ def encode_chunk(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, pieces
     for r in range(rows):
         sampled[r].append(_joined(parts[r] or [nothing], float(root[r])))
         parts[r] = []
-        expand(r, sampled[r][0], 0, (), 0.0, 1)
+    expand([(r, sampled[r][0], 0, (), 0.0) for r in range(rows)], 1)
     for turn in range(1, k):
-        todo = []
+        todo, chance = [], uniform(mix(row_seed) + np.uint64(turn))
         for r in range(rows):
             if not heaps[r]:
                 continue
-            value, parent, t, barred = heapq.heappop(heaps[r])
+            best, parent, t, barred = heapq.heappop(heaps[r])
             old = sampled[r][parent]
             unit = int(old.unit[t])
             lattice, node, a, _ = ranges.at(ranges.of(int(first[r]) + unit))
-            lo = int(lattice.first[lattice.rank[lattice.node[old.edge[t]]]])
-            choices = np.arange(lo, lo + lattice.count[lattice.rank[lattice.node[lo]]])
+            at = lattice.node[old.edge[t]]
+            choices = np.arange(lattice.first[at], lattice.first[at] + lattice.count[at])
             not_ = (*barred, int(old.edge[t]))
-            choices = choices[~np.isin(choices, not_)]
+            for x in not_:
+                choices = choices[choices != x]
             p = np.cumsum(np.exp(lattice.logp[choices]))
-            u = uniform(mix(row_seed[r : r + 1]) + np.uint64(turn))[0]
-            e = int(choices[min(np.searchsorted(p, u * p[-1], side="right"), len(choices) - 1)])
+            e = int(choices[min(np.searchsorted(p, chance[r] * p[-1], side="right"), len(choices) - 1)])
             lost = float(np.exp(lattice.logp[list(not_)]).sum())
             head = (np.array([e], np.int32), np.array([unit], np.int32), lattice.ids[e : e + 1], lattice.logp[e : e + 1])
             after = int(lattice.node[e] + lattice.size[e])
             rest = after if after < lattice.end[lattice.node[e]] else -1  # where its unit goes on
-            todo.append((r, -value, old, t, not_, lost, unit, rest, [tuple(x[:t] for x in (old.edge, old.unit, old.ids, old.logp)), head]))
+            todo.append((r, -best, old, t, not_, lost, unit, rest, [tuple(x[:t] for x in (old.edge, old.unit, old.ids, old.logp)), head]))
         # what follows the new edges, range by range and for all rows at once
         for g in sorted({x for r, *_, unit, _, _ in todo for x in range(ranges.of(int(first[r]) + unit), ranges.of(max(int(first[r + 1]) - 1, 0)) + 1)}):
             lattice, node, a, b = ranges.at(g)
@@ -380,11 +467,14 @@ def encode_chunk(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, pieces
             cuts = ends[np.concatenate([[0], np.cumsum([len(x) for x in nodes])])]
             for x, lo, hi in zip(mine, cuts[:-1], cuts[1:]):
                 x[-1].append(tuple(c[lo:hi] for c in cols))
-        for r, value, old, t, barred, lost, _, _, pieces_of in todo:
-            s = _joined(pieces_of, value)
+        new = []
+        for r, best, old, t, barred, lost, _, _, pieces_of in todo:
+            s = _joined(pieces_of, best)
+            pieces_of.clear()
             sampled[r].append(s)
-            # paths that share the part up to t and leave at t by yet another edge, or later
-            expand(r, s, t, barred, lost, turn + 1)
+            new.append((r, s, t, barred, lost))
+        # paths that share the part up to t and leave at t by yet another edge, or later
+        expand(new, turn + 1)
     out = []
     for r in range(rows):
         limit = -heaps[r][0][0] if heaps[r] else -np.inf
@@ -415,11 +505,12 @@ def sample_segmentations(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared.value
+        met = Met(pieces)
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for i, j, data, offsets in chunks(batch.column(1), CHUNK_BYTES // 2):
+            for i, j, data, offsets in chunks(batch.column(1), CHUNK_BYTES // 4):
                 keys = np.array([-1 if x is None else x for x in ids[i:j]], np.int64)
-                found = encode_chunk(data, offsets, keys, pieces, k, seed)
+                found = encode_chunk(data, offsets, keys, pieces, k, seed, met=met)
                 rows = np.repeat(np.arange(j - i), [len(x) for x in found])
                 samples = [s for x in found for s in x]
                 codes = np.concatenate([s[0] for s in samples])

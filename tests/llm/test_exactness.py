@@ -94,3 +94,43 @@ def test_conversations_with_text_ids(spark):
     assert dict(got.dtypes)["conv_id"] == "string" and sorted((r["conv_id"] or "", r["turn"], r["given_role"]) for r in got.collect()) == [("", 0, "user"), ("7", 0, "user"), ("a-1", 0, "user"), ("a-1", 1, "assistant")]
     numbers = spark.createDataFrame([(1, 0, "user", "hi")], "conv_id int, turn int, role string, text string")
     assert dict(format_chat(numbers).dtypes)["conv_id"] == "bigint"
+
+
+def test_units_held_from_other_chunks_have_no_effect_on_samples(monkeypatch):
+    """Held units are built once, whatever else is held, and two units under one hash are built apart."""
+    import numpy as np
+
+    from partloom.llm import sentencepiece_sampling as S
+
+    pieces, rng = S.load_pieces(), np.random.default_rng(3)
+    words = ["".join(chr(97 + x) for x in rng.integers(0, 5, rng.integers(1, 9))) for _ in range(300)] + ["naïve", "日本", "\t", "🙂🙂"]
+    texts = [" ".join(words[i] for i in rng.integers(0, len(words), n)).encode() for n in (0, 1, 2, 40, 300, 3, 900, 0, 77)]
+    chunks = [texts[i : i + 3] for i in range(0, 9, 3)] * 3
+
+    def samples(met, **options):
+        out = []
+        for no, chunk in enumerate(chunks):
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in chunk])])
+            got = S.encode_chunk(np.frombuffer(b"".join(chunk), np.uint8), offsets, np.arange(3) + no, pieces, 3, met=met, **options)
+            out.append([(s[0].tolist(), *s[1:]) for row in got for s in row])
+        return out
+
+    want, built = samples(None), []
+    init = S.Lattice.__init__
+    monkeypatch.setattr(S.Lattice, "__init__", lambda self, data, offsets, pieces: (built.append(len(data)), init(self, data, offsets, pieces))[1])
+    assert samples(S.Met(pieces)) == want and sum(built) == sum(map(len, {u for x in texts for u in units(x, S)}))
+    assert samples(S.Met(pieces, 700)) == want and samples(S.Met(pieces), range_bytes=500) == want
+    monkeypatch.setattr(S, "EDGES_AT_ONCE", 50)
+    assert [[s[0] for s in x] for x in samples(S.Met(pieces))] == [[s[0] for s in x] for x in want]
+    monkeypatch.setattr(S, "EDGES_AT_ONCE", 1 << 18)
+    spans = S.WORD_ROLLER.spans
+    monkeypatch.setattr(S.WORD_ROLLER, "spans", lambda *x: spans(*x) % np.uint64(5))
+    assert samples(S.Met(pieces)) == want
+
+
+def units(text, S):
+    import numpy as np
+
+    data, starts, _ = S.units_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]), S.UNIT_BYTES)
+    ends = [*starts[1:].tolist(), len(data)]
+    return [data[a:b].tobytes() for a, b in zip(starts.tolist(), ends)]
