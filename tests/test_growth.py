@@ -88,3 +88,34 @@ def test_edges_are_dealt_into_partitions_that_grow_with_the_lines(spark, data, m
     plan = plan_of(df)
     assert n > 4 and all(f"{n}" in line for line in plan.splitlines() if "RepartitionByExpression" in line) and plan.count("RepartitionByExpression") == 4
     assert sorted(map(tuple, df.collect())) == few and any(k == 0 for _, k in few)
+
+
+def test_containment_moves_steps_a_bounded_number_of_times(spark, data):
+    """Against the plain definition, with loops, repeated and broken statements; shuffles are counted without broadcasts."""
+    from partloom.operators import graph
+
+    def plain(rows, ends=None):
+        a = set(rows)
+        join = lambda x: {(p, d) for p, c in x for c2, d in a if c == c2 and c is not None}
+        out = a | join(a) | join(join(a))
+        return {(p, c) for p, c in out if ends is None or (p in ends and c in ends)}
+
+    rows = [("a", "b"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "f"), ("f", "g"), ("g", "g"), ("h", None), ("b", "h"), (None, "a"), (None, None)]
+    steps, ends = spark.createDataFrame(rows, "parent string, child string"), {"a", "c", "d", "f", "g"}
+    as_set = lambda df: [tuple(r) for r in df.collect()]
+    got = as_set(graph.containment(steps))
+    assert len(got) == len(set(got)) and set(got) == plain(rows)
+    quads = [(p, "component", f"{p}>{c}") for p, c in rows if p and c] + [(f"{p}>{c}", "definition", c) for p, c in rows if p and c] + [(x, "type", "ComponentDefinition") for x in ends] + [("a", "component", None), (None, "definition", "a")]
+    got = as_set(graph.component_pairs(spark.createDataFrame(quads * 2, "s string, p string, o string")))
+    assert len(got) == len(set(got)) and set(got) == plain(rows, ends)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        df = QUERIES["component_containment"](spark, data)
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set(key, before)
+    moved = [line for line in final.splitlines() if "Exchange hashpartitioning" in line and "ReusedExchange" not in line]
+    assert len(moved) <= 12, final
