@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import ARROW_ROWS, GRAM_ROLLER, by_place, chunks, discard, keyed_words, materialise, mix, rows_for_broadcast, small_batches, word_bounds
+from partloom.llm.common import ARROW_ROWS, GRAM_ROLLER, by_place, chunks, discard, keyed_words, lean, materialise, mix, rows_for_broadcast, small_batches, word_bounds
 
 SHINGLE, PERCENT = 3, 90
 #: Most documents of one group that one task compares with each other.
@@ -485,7 +485,7 @@ def fetch_signatures(rows: DataFrame, wanted: DataFrame, fields: list[str], size
                     yield pa.RecordBatch.from_arrays([*(part.field(k) for k in range(len(fields))), pa.array(np.full(m, batch.column(1)[r].as_py())), pa.array(np.full(m, many, np.int32)), each], [*fields, "id", "n", "sets"])
 
     schema = ", ".join(f"{f} {kinds[f].simpleString()}" for f in fields)
-    return joined.mapInArrow(run, f"{schema}, id bigint, n int, sets array<bigint>")
+    return joined.mapInArrow(lean(run), f"{schema}, id bigint, n int, sets array<bigint>")
 
 
 def _placed(member: DataFrame, block: int) -> DataFrame:
@@ -508,14 +508,14 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     small_batches(docs.sparkSession)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("bigint").alias("_doc"), F.xxhash64(t).alias("_th"), t.alias("_text"))
-    small = materialise(rows.mapInArrow(_facts(percent, size), SETS), "facts")
+    small = materialise(rows.mapInArrow(lean(_facts(percent, size)), SETS), "facts")
     # one text speaks for an id, and one id (the smallest) for equal sets
     present = small.where("doc is not null and n > 0").groupBy("doc").agg(F.min(F.struct("th", "n", "d1", "d2")).alias("s")).select("doc", "s.*")
     reps = present.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc", "th")).alias("r")).select("d1", "d2", "n", F.col("r.doc").alias("id"), F.col("r.th").alias("id_th"))
     total = small.where("doc is not null").agg(F.coalesce(F.sum("parts"), F.lit(0))).first()[0]
     buckets = max(32, total // BUCKET_KEYS)
-    packed = rows.where("_doc is not null").select("_doc", "_text").mapInArrow(_packed_keys(percent, size, buckets), PACKED)
-    gathered = packed.where("bucket is not null").select("bucket", "keys", "places", "docs").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met_again, "key bigint, doc bigint")
+    packed = rows.where("_doc is not null").select("_doc", "_text").mapInArrow(lean(_packed_keys(percent, size, buckets)), PACKED)
+    gathered = packed.where("bucket is not null").select("bucket", "keys", "places", "docs").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_met_again), "key bigint, doc bigint")
     parts = materialise(packed.where("key is not null").select("key", "doc").union(gathered), "parts")
     shared = parts.groupBy("key").agg(F.min("doc").alias("pivot"), F.max("doc").alias("_last")).where("_last > pivot").select("key", "pivot")
     # members of each pivot's group, representatives only
@@ -530,7 +530,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     once = first.select("pivot", "id").union(first.select("pivot", F.col("pivot").alias("id"))).distinct()
     placed = materialise(_placed(once, block), "placed")
     texts = fetch_texts(rows, placed.select("pivot", "block", "id").join(named, "id"), ["pivot", "block"])
-    edges = materialise(texts.repartition("pivot", "block").sortWithinPartitions("pivot", "block").mapInArrow(_within(percent, size), EDGES), "links")
+    edges = materialise(texts.repartition("pivot", "block").sortWithinPartitions("pivot", "block").mapInArrow(lean(_within(percent, size)), EDGES), "links")
     discard(placed)
     # then whole groups, but only where they still fall apart: the largest component needs no look at itself
     seen = member.join(components(member.select("id").distinct(), edges), "id")
@@ -544,9 +544,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     if pairs.limit(1).count():
         # documents that only share a passage are told apart by their signatures, before any set is moved
         marks = fetch_signatures(rows, pairs.join(named, "id"), MEET, size)
-        hope = materialise(marks.repartition("pivot", "_slot", "block").sortWithinPartitions("pivot", "_slot", "block").mapInArrow(_promising(percent), MEETING), "promising")
+        hope = materialise(marks.repartition("pivot", "_slot", "block").sortWithinPartitions("pivot", "_slot", "block").mapInArrow(lean(_promising(percent)), MEETING), "promising")
         again = fetch_texts(rows, hope.join(named, "id"), MEET)
-        more = again.repartition("pivot", "_slot", "block").sortWithinPartitions("pivot", "_slot", "block").mapInArrow(_across(percent, size), EDGES)
+        more = again.repartition("pivot", "_slot", "block").sortWithinPartitions("pivot", "_slot", "block").mapInArrow(lean(_across(percent, size)), EDGES)
         edges = edges.union(materialise(more, "links"))
     found = components(present.select(F.col("doc").alias("id")).distinct(), edges.union(same))
     out = small.join(found, F.col("doc") == F.col("id"), "left")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import IS_SPACE, chunks, rows_for_broadcast, small_batches, word_bounds
+from partloom.llm.common import IS_SPACE, chunks, lean, rows_for_broadcast, small_batches, word_bounds
 
 BUCKETS = 1 << 16
 #: A text is kept when its mean log-likelihood ratio (nats a trigram) is at least this.
@@ -154,7 +154,7 @@ def corpus_counts(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", t
         some = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[0][some]), pa.array(total[1][some])], ["bucket", "raw", "target"])
 
-    sums = slim.mapInArrow(count, "bucket int, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    sums = slim.mapInArrow(lean(count), "bucket int, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for b, r, t in sums.collect():  # at most BUCKETS rows
         raw[b], target[b] = r, t
@@ -210,7 +210,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", t
                 numbers = [pa.array(got[c].astype(np.int64)) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *numbers, pa.array(got["base_failed"]), pa.array(got["kept"]), pa.array(got["ratio"])], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio"])
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, COLUMNS).withColumnRenamed("doc_id", doc_id)
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), COLUMNS).withColumnRenamed("doc_id", doc_id)
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", min_ratio: float = MIN_RATIO) -> DataFrame:
@@ -225,4 +225,4 @@ def keep_good(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text:
             if parts:
                 yield batch.filter(pa.array(np.concatenate(parts)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import BYTE_CODES, CHUNK_BYTES, WORD_ROLLER, chunks, mix, small_batches
+from partloom.llm.common import BYTE_CODES, CHUNK_BYTES, WORD_ROLLER, chunks, lean, mix, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, ALPHA, SEED = 2, 0.5, 1
@@ -44,19 +44,26 @@ MASK = (1 << 64) - 1
 
 @dataclass
 class Pieces:
-    """All pieces as bytes (the space mark is a space), and a trie of them. Nodes with children have a row in step, by the
-    class of the next byte; -1 is no node."""
+    """All pieces as bytes (the space mark is a space), and a trie of them as rows laid over each other: the child of a node by
+    a byte is in place base[node] + byte of child, if parent has the node there. 0 is the root."""
 
     data: np.ndarray
     start: np.ndarray
     weight: np.ndarray
     byte_ids: np.ndarray
-    step: np.ndarray
-    byte_class: np.ndarray
+    base: np.ndarray
+    child: np.ndarray
+    parent: np.ndarray  # -1 where no child is
     piece_at: np.ndarray  # by node; -1 where no piece ends
 
     def __post_init__(self) -> None:
         self.size = np.diff(self.start)
+        self.size_type = np.min_scalar_type(int(self.size.max(initial=1)))
+
+    def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """Children of nodes by a byte each; -1 is no node."""
+        place = self.base.take(node) + byte
+        return np.where(self.parent.take(place) == node, self.child.take(place), np.int32(-1))
 
     def joined(self, ids: np.ndarray) -> bytes:
         """The bytes of all ids, one after the other."""
@@ -91,18 +98,39 @@ def load_pieces(path: str = MODEL, alpha: float = ALPHA) -> Pieces:
             known[raw] = i
     weight = np.array(weight)
     weight[byte_ids] = -alpha * np.log(len(texts) + 2)
-    beginnings = {raw[:n] for raw in known for n in range(len(raw))}
-    number = {raw: i for i, raw in enumerate([*sorted(beginnings, key=lambda x: (len(x), x)), *(raw for raw in known if raw not in beginnings)])}
-    used = sorted({c for raw in known for c in raw})
-    byte_class = np.full(256, len(used), np.int32)
-    byte_class[used] = np.arange(len(used))
-    step = np.full((len(beginnings) or 1, len(used) + 1), -1, np.int32)
-    piece_at = np.full(max(len(number), 1), -1, np.int32)
+    number = {raw: i for i, raw in enumerate(sorted({b""} | {raw[:n] for raw in known for n in range(1, len(raw) + 1)}, key=lambda x: (len(x), x)))}
+    piece_at = np.array([known.get(raw, -1) for raw in number], np.int32)
+    trie = laid_over(number)
+    return Pieces(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]), weight, byte_ids, *trie, piece_at)
+
+
+def laid_over(number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """base, child and parent of a trie's nodes. Rows of many children look for room first, one child fits anywhere."""
+    rows: list[list[tuple[int, int]]] = [[] for _ in number]
     for raw, node in number.items():
-        piece_at[node] = known.get(raw, -1)
         if raw:
-            step[number[raw[:-1]], byte_class[raw[-1]]] = node
-    return Pieces(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]), weight, byte_ids, step, byte_class, piece_at)
+            rows[number[raw[:-1]]].append((raw[-1], node))
+    base = np.zeros(len(number), np.int32)
+    places = len(number) + 512  # rows that find no room go behind
+    child, parent = np.zeros(places, np.int32), np.full(places, -1, np.int32)
+    low = 256  # no place of a row is before 0; about all places before low are taken
+    for node in sorted(range(len(rows)), key=lambda x: -len(rows[x])):
+        row = sorted(rows[node])
+        if not row:
+            break
+        nodes, at = np.array([n for _, n in row], np.int32), np.array([c for c, _ in row])
+        while True:
+            if low + 2048 > len(parent):
+                child, parent = np.append(child, np.zeros(4096, np.int32)), np.append(parent, np.full(4096, -1, np.int32))
+            free = np.flatnonzero(parent[low : low + 1024] < 0) + low - at[0]
+            fits = free[(parent[free[:, None] + at] < 0).all(1)] if len(row) > 1 else free
+            if len(fits):
+                break
+            low += 256
+        base[node] = fits[0]
+        child[fits[0] + at], parent[fits[0] + at] = nodes, node
+    end = int(base.max(initial=0)) + 256
+    return base, child[:end].copy(), parent[:end].copy()
 
 
 class Lattice:
@@ -110,14 +138,13 @@ class Lattice:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, pieces: Pieces):
         n = len(data)
-        self.end = np.repeat(offsets[1:], np.diff(offsets))
+        self.end = np.repeat(offsets[1:].astype(np.int32), np.diff(offsets))
         lead = (data & 0xC0) != 0x80
-        at = np.flatnonzero(lead)
+        at = np.flatnonzero(lead).astype(np.int32)
         found, length = [], 0
         width = np.where(data < 0xC0, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4))).astype(np.uint8)
         whole = np.zeros(n, bool)
-        flat, classes, inner_nodes, codes = pieces.step.ravel(), pieces.step.shape[1], len(pieces.step), pieces.byte_class[data]
-        node = flat.take(codes.take(at))
+        node = pieces.step(np.zeros(len(at), np.int32), data.take(at))
         while len(at):
             length += 1
             good = np.flatnonzero(node >= 0)
@@ -128,9 +155,9 @@ class Lattice:
             found.append((ends_here, length, i.take(real)))
             if length <= 4:
                 whole[ends_here[width.take(ends_here) == length]] = True
-            on = np.flatnonzero((node < inner_nodes) & (at + length < self.end.take(at)))
+            on = np.flatnonzero(at + length < self.end.take(at))
             at = at.take(on)
-            node = flat.take(node.take(on) * classes + codes.take(at + length))
+            node = pieces.step(node.take(on), data.take(at + length))
         alone = np.flatnonzero(lead & ~whole)
         for extra in range(4):
             more = alone[width[alone] > extra] + extra
@@ -138,19 +165,19 @@ class Lattice:
             found.append((more, 1, pieces.byte_ids[data[more]]))
         # nodes by their distance to the unit's end; the edges of a node together, long ones first: they are likely, and
         # draws try edges in order
-        count = np.zeros(n, np.int64)
+        count = np.zeros(n, np.int16)  # a piece is shorter than a unit
         for at, _, _ in found:
             count[at] += 1  # a place is there once
-        left = self.end - np.arange(n)
+        left = self.end - np.arange(n, dtype=np.int32)
         order = np.argsort(left.astype(np.uint16) if n and left.max() < 1 << 16 else left, kind="stable")
-        order = order[count[order] > 0]
+        order = order[count[order] > 0].astype(np.int32)
         count = count[order]
         stop = np.cumsum(count)
         first = stop - count
-        self.first, self.count = np.zeros(n, np.int64), np.zeros(n, np.int64)  # of the edges of each node
+        self.first, self.count = np.zeros(n, np.int32), np.zeros(n, np.int16)  # of the edges of each node
         self.first[order], self.count[order] = first, count
         self.node = np.repeat(order, count)
-        self.size, self.ids = np.empty(len(self.node), np.int32), np.empty(len(self.node), np.int32)
+        self.size, self.ids = np.empty(len(self.node), pieces.size_type), np.empty(len(self.node), np.int32)
         free = self.first.copy()
         for at, size, ids in reversed(found):
             to = free.take(at)
@@ -349,8 +376,18 @@ class Sample:
     value: float
 
 
-def _joined(parts: list[tuple[np.ndarray, ...]], value: float) -> Sample:
-    return Sample(*(np.concatenate(x) for x in zip(*parts)), value)
+NOTHING = (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))
+
+
+def _joined(parts: list[tuple[np.ndarray, ...]], value: float, last: bool = False) -> Sample:
+    """One path of parts, which are emptied column by column on the way. No path leaves a last one: its edges and units go."""
+    columns = [list(x) for x in zip(*parts)] or [[x] for x in NOTHING]
+    parts.clear()
+    out = []
+    for i, column in enumerate(columns):
+        out.append(NOTHING[i] if last and i < 2 else np.concatenate(column))
+        column.clear()
+    return Sample(*out, value)
 
 
 def encode_chunk(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, pieces: Pieces, k: int = SAMPLES, seed: int = SEED, range_bytes: int = RANGE_BYTES, unit_bytes: int = UNIT_BYTES, met: Met | None = None) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -423,12 +460,12 @@ def encode_chunk(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, pieces
         for r in range(int(row[0]), int(row[-1]) + 1):
             cut = slice(ends[max(first[r], a) - a], ends[max(min(first[r + 1], b), a) - a])
             parts[r].append(tuple(c[cut] for c in cols))
-    nothing = (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))
+        cols = ()
     for r in range(rows):
-        sampled[r].append(_joined(parts[r] or [nothing], float(root[r])))
-        parts[r] = []
+        sampled[r].append(_joined(parts[r], float(root[r]), k == 1))
     expand([(r, sampled[r][0], 0, (), 0.0) for r in range(rows)], 1)
     for turn in range(1, k):
+        last = turn == k - 1
         todo, chance = [], uniform(mix(row_seed) + np.uint64(turn))
         for r in range(rows):
             if not heaps[r]:
@@ -464,13 +501,15 @@ def encode_chunk(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, pieces
             if not mine:
                 continue
             cols, ends = draw(lattice, np.concatenate(rows_of), np.concatenate(nodes), np.concatenate(units), turn)
+            if last:
+                cols = (*NOTHING[:2], *cols[2:])
             cuts = ends[np.concatenate([[0], np.cumsum([len(x) for x in nodes])])]
             for x, lo, hi in zip(mine, cuts[:-1], cuts[1:]):
                 x[-1].append(tuple(c[lo:hi] for c in cols))
+            cols = ()
         new = []
         for r, best, old, t, barred, lost, _, _, pieces_of in todo:
-            s = _joined(pieces_of, best)
-            pieces_of.clear()
+            s = _joined(pieces_of, best, last)
             sampled[r].append(s)
             new.append((r, s, t, barred, lost))
         # paths that share the part up to t and leave at t by yet another edge, or later
@@ -533,4 +572,4 @@ def sample_segmentations(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
                 yield pa.RecordBatch.from_pydict(cols)
 
     slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return slim.mapInArrow(run, RESULT + (", ids array<int>" if with_ids else "")).withColumnRenamed("doc_id", doc_id)
+    return slim.mapInArrow(lean(run), RESULT + (", ids array<int>" if with_ids else "")).withColumnRenamed("doc_id", doc_id)

@@ -134,3 +134,49 @@ def units(text, S):
     data, starts, _ = S.units_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]), S.UNIT_BYTES)
     ends = [*starts[1:].tolist(), len(data)]
     return [data[a:b].tobytes() for a, b in zip(starts.tolist(), ends)]
+
+
+def test_workers_hold_little_of_pieces_units_and_past_tasks():
+    """The trie of the model, 1 MB of held units, what a task leaves behind, and paths of one long text beyond the text."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    script = """
+import numpy as np
+import pyarrow as pa
+from partloom.llm import common
+from partloom.llm import sentencepiece_sampling as S
+
+def peak(what):
+    return next(int(x.split()[1]) >> 10 for x in open("/proc/self/status") if x.startswith(what))  # of this process alone
+
+pieces, rng = S.load_pieces(), np.random.default_rng(1)
+assert sum(x.nbytes for x in vars(pieces).values() if isinstance(x, np.ndarray)) < 4 << 20
+for no in range(256):  # the trie has every piece once
+    assert pieces.data[pieces.start[pieces.byte_ids[no]]] == no
+texts = [" ".join("".join(chr(97 + x) for x in rng.integers(0, 26, 7)) for _ in range(120000)).encode()]
+met = S.Met(pieces, 1 << 20)
+S.encode_chunk(np.frombuffer(texts[0][:900_000], np.uint8), np.array([0, 900_000]), np.array([1]), pieces, met=met)
+assert met.lattice.nodes > 800_000 and sum(x.nbytes for x in vars(met.lattice).values() if isinstance(x, np.ndarray)) < 80 * met.lattice.nodes
+del met
+
+def run(batches):
+    held = [np.ones(1 << 16, np.uint8) for _ in range(1600)]  # 100 MB in small arrays
+    common.WORD_ROLLER.prefix(common.BYTE_CODES[np.zeros(4_000_000, np.uint8)])
+    yield from batches
+before = peak("VmRSS")
+assert list(common.lean(run)(iter([1, 2]))) == [1, 2]
+assert peak("VmRSS") < before + 20 and len(common.WORD_ROLLER.up) == 1, (before, peak("VmRSS"))
+
+text = np.frombuffer((texts[0] + b" ") * 16, np.uint8)[:15_000_000]
+before = peak("VmRSS")
+(got,) = S.encode_chunk(text, np.array([0, len(text)]), np.array([5]), pieces)
+assert all(pieces.decode(s[0]) == text.tobytes() for s in got)
+print(peak("VmHWM") - before, sum(len(s[0]) for s in got))
+"""
+    root = str(Path(__file__).resolve().parents[2])
+    done = subprocess.run([sys.executable, "-c", script], env={"PYTHONPATH": root, "PATH": "/usr/bin:/bin"}, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr
+    more, edges = map(int, done.stdout.split())
+    assert more < 200 + 30 * edges / 1e6, (more, edges)
