@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from partloom.operators import linkage, seeds, sequences
+from partloom.operators import blocks, linkage, seeds, sequences
 from partloom.operators.alignment import align, identity_of
 
 from test_alignment import mutated
@@ -201,3 +202,26 @@ def test_long_texts_of_one_letter_are_not_squares():
     assert seeds._scores_of_blocks(["a" * 4000], ["a" * 3000], False, 500, 28, 10) == {(0, 0): 15_000}
     assert tracemalloc.get_traced_memory()[1] < 20 << 20
     tracemalloc.stop()
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_frequent_words_are_not_counted_for_every_pair(monkeypatch, same):
+    """Texts that share frequent words and differ in rare ones: words of all pairs were looked up before pairs were dropped."""
+    rng, looked_up, bincount = random.Random(8), [0], np.bincount
+    often = ["".join(rng.choices("gatc", k=40)) for _ in range(6)]
+    texts = ["".join(rng.sample(often, 3)) + "".join(rng.choices("gatc", k=200)) for _ in range(300)]
+    texts += [mutated(rng, t, 0.02) for t in texts[:40]]
+
+    def counting(x, *args, **kw):
+        looked_up[0] += len(x)
+        return bincount(x, *args, **kw)
+
+    monkeypatch.setattr(blocks.np, "bincount", counting)
+    one, two = (texts, texts) if same else (texts[:300], texts[300:])
+    got = {(p, q): (c, x, y) for cols in blocks.near_texts(one, two, same, 8, 0.5) for p, q, c, x, y in zip(*(col.tolist() for col in cols))}
+    own, other = [grams(t, 8) for t in one], [grams(t, 8) for t in two]
+    every = [(i, j) for i in range(len(one)) for j in range(len(two)) if not same or i < j]
+    want = {(i, j): (len(own[i] & other[j]), len(own[i]), len(other[j])) for i, j in every if 2 * len(own[i] & other[j]) >= len(own[i] | other[j])}
+    assert {tuple(sorted(p)) if same else p for p in got} == want.keys() and len(got) == len(want) >= 10 * (1 + same)
+    assert all(c == want[tuple(sorted(p)) if same else p][0] for p, (c, _, _) in got.items())
+    assert looked_up[0] < sum(len(own[i] & other[j]) for i, j in every) / 3
