@@ -217,7 +217,7 @@ def test_frequent_words_are_not_counted_for_every_pair(monkeypatch, same):
         return bincount(x, *args, **kw)
 
     monkeypatch.setattr(blocks.np, "bincount", counting)
-    one, two = (texts, texts) if same else (texts[:300], texts[300:])
+    one, two = (texts, texts) if same else (texts[:200], texts[150:])
     got = {(p, q): (c, x, y) for cols in blocks.near_texts(one, two, same, 8, 0.5) for p, q, c, x, y in zip(*(col.tolist() for col in cols))}
     own, other = [grams(t, 8) for t in one], [grams(t, 8) for t in two]
     every = [(i, j) for i in range(len(one)) for j in range(len(two)) if not same or i < j]
@@ -225,3 +225,34 @@ def test_frequent_words_are_not_counted_for_every_pair(monkeypatch, same):
     assert {tuple(sorted(p)) if same else p for p in got} == want.keys() and len(got) == len(want) >= 10 * (1 + same)
     assert all(c == want[tuple(sorted(p)) if same else p][0] for p, (c, _, _) in got.items())
     assert looked_up[0] < sum(len(own[i] & other[j]) for i, j in every) / 3
+
+
+def test_diagonals_beside_each_other_score_as_one_by_one():
+    rng = np.random.default_rng(9)
+    x, y = (np.frombuffer("".join(rng.choice(["g" * 40, "ta" * 25, "gatcc" * 9, "tc"], 60)).encode(), np.uint8) for _ in range(2))
+    begin, other, size = rng.integers(0, 500, 3000), rng.integers(0, 500, 3000), np.append(rng.integers(0, 300, 2990), [min(len(x), len(y)) - 500] * 10)
+    args = (x, y, begin, begin - other, size, 28, 5, -4)
+    want = seeds._scores_one_by_one(*args)
+    assert np.array_equal(seeds._scores_on_diagonals(*args), want) and (want > 0).mean() > 0.2
+    few = tuple(a[:3] if isinstance(a, np.ndarray) and a is not x and a is not y else a for a in args)
+    assert np.array_equal(seeds._scores_on_diagonals(*few), want[:3])
+
+
+def test_single_link_of_a_chain_takes_few_rounds(spark, monkeypatch):
+    """Each of 200 in a chain takes its edge to the one before; components of the chain were found by labels, and then once more."""
+    made, checkpointed = [0], linkage.checkpointed
+
+    def counting(df):
+        made[0] += 1
+        return checkpointed(df)
+
+    def not_again(*_):
+        raise AssertionError("trees are known from the forest")
+
+    monkeypatch.setattr(linkage, "checkpointed", counting)
+    monkeypatch.setattr(linkage, "connected_components", not_again)
+    edges = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}", i / 1000) for i in range(199)] + [("x1", "x2", 0.5)], "a string, b string, dist double")
+    nodes = edges.selectExpr("explode(array(a, b)) id").union(spark.createDataFrame([("alone",)], "id string")).distinct()
+    got = {r["id"]: r["cluster"] for r in linkage.single_link(nodes, edges, 1).collect()}
+    assert got == {f"n{i:03d}": "n000" for i in range(200)} | {"x1": "x1", "x2": "x1", "alone": "alone"}
+    assert made[0] <= 16
